@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, lines, ngram_join, packing, secrets
-from tessera.llm.shared import row_key
+from tessera.llm.shared import row_key, shared_folder
 
 #: The least share of the best language: chance is a fourth where four are known.
 MIN_SCORE = 0.3
@@ -62,12 +62,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    import tempfile
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{top}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

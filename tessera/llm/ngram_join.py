@@ -4,8 +4,9 @@ Words are runs of letters and digits, lower case; a document is the set of its s
 (a shorter one: of all its words). Documents with equal sets are one class until the end. Each run
 sends every class down the branches of the shingles that it chooses: at a node, a shingle is
 chosen if its hash with the node is under 1 / (similarity * size of the set), alike in all sets, so that two
-similar sets are expected to share a branch. Small buckets are compared by brute force; members of larger
-ones choose again, up to ``depth`` times, and what is still large is compared tile by tile, exactly.
+similar sets are expected to share a branch. Small buckets are compared by brute force; the paths of larger
+ones go on along the next two runs' branches, up to ``depth`` shingles, and what is still large is compared tile
+by tile, exactly. A member of a bucket with no other of a size that allows the similarity leaves it.
 Runs are repeated until a pair at the threshold is missed with probability ``miss`` at most: two sets at the
 threshold share a chosen shingle of one level with a probability of 1 - exp(-2 / (1 + similarity)).
 
@@ -20,7 +21,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import BYTE_VALUES, SpanHash, chunked, components, cut, local_roots, mix, parts_for, row_key, tiled
@@ -65,11 +66,20 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def chosen(tokens: np.ndarray, node: int, similarity: float) -> np.ndarray:
-    """Branches that a set takes at a node."""
-    h = mix(tokens ^ np.uint64(node))
-    limit = min(1.0, 1.0 / (similarity * max(1, len(tokens))))
-    return h[h <= np.uint64(min(2**64 - 1, int(limit * 2**64)))].view(np.int64)
+def branches(sets: list[np.ndarray], seeds: list[int], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, run, node) of the branches that the sets take at the runs' roots, by set."""
+    sizes = np.array([len(s) for s in sets])
+    owner, tokens = np.repeat(np.arange(len(sets)), sizes), np.concatenate([*sets, np.empty(0, np.uint64)])
+    limit = np.minimum(1.0 / (similarity * np.maximum(sizes, 1)), 1.0)
+    limit = np.minimum(limit * 2.0**64, 2.0**64 - 2048).astype(np.uint64)[owner]
+    found = []
+    for run, seed in enumerate(seeds):
+        h = mix(tokens ^ np.uint64(seed))
+        at = np.flatnonzero(h <= limit)
+        found.append((owner[at], np.full(len(at), run), h[at].view(np.int64)))
+    owner, run, node = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(owner, kind="stable")
+    return owner[order], run[order], node[order]
 
 
 def run_seeds(runs: int) -> list[int]:
@@ -107,48 +117,52 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
 
     A row for each row of docs; null ids are members of classes, but a class takes its name from the others.
     """
-    seeds = run_seeds(runs_for(similarity, miss))
+    runs = runs_for(similarity, miss)
     base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rkey"), F.col(text_col).alias("text"))
+    kind = "array<struct<run: int, node: long>>"
 
     def sign(batches):
         for batch in batches:
-            sids, sizes, nodes = [], [], []
-            for tokens in shingle_sets(batch.column(2).to_pylist(), words):
-                sids.append(xxhash.xxh128_digest(tokens.tobytes()) if len(tokens) else None)
-                sizes.append(len(tokens))
-                nodes.append(np.unique(np.concatenate([chosen(tokens, s, similarity) for s in seeds])) if len(tokens) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "rkey", "sid", "size", "nodes"])
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
+            sids = [xxhash.xxh128_digest(t.tobytes()) if len(t) else None for t in sets]
+            owner, run, node = branches(sets, run_seeds(runs), similarity)
+            offsets = np.searchsorted(owner, np.arange(len(sets) + 1)).astype(np.int32)
+            nodes = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(run.astype(np.int32)), pa.array(node)], names=["run", "node"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array([len(t) for t in sets], pa.int32()), nodes], names=["id", "rkey", "sid", "size", "nodes"])
 
-    signed = cut(base.mapInArrow(sign, "id long, rkey long, sid binary, size int, nodes array<long>"))
-    classes = signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull(), "id", "rkey")).alias("r"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"))
-    classes = classes.select("sid", "first", F.col("r.rkey").alias("rkey"), "copies", "nodes")
+    signed = cut(base.mapInArrow(sign, f"id long, rkey long, sid binary, size int, nodes {kind}"))
+    classes = signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull(), "id", "rkey")).alias("r"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("nodes").alias("nodes"))
+    classes = cut(classes.select("sid", "first", F.col("r.rkey").alias("rkey"), "copies", "size", "nodes"))
 
     def sets_of(wanted: DataFrame, run, schema: str) -> DataFrame:
         """Run over (sid, text and the columns of ``wanted``), one row for each class wanted."""
         return base.select("rkey", "text").join(wanted, "rkey").mapInArrow(run, schema)
 
-    paths = classes.select("sid", F.explode("nodes").alias("node"))
-    leaves = []
-    for level in range(depth):
-        counts = paths.groupBy("node").count().where("count > 1")
-        if level == depth - 1 or not counts.where(F.col("count") > bucket).limit(1).count():
-            leaves.append(paths.join(counts.select("node"), "node", "left_semi"))
+    def alive(paths: DataFrame) -> DataFrame:
+        """Members of a node that share it with a set of a size that the similarity allows, and how many it has."""
+        by_size = Window.partitionBy("node").orderBy("size")
+        below = F.lag("size").over(by_size) >= F.col("size") * F.lit(similarity - 1e-9)
+        above = F.lead("size").over(by_size) * F.lit(similarity - 1e-9) <= F.col("size")
+        found = paths.withColumn("near", F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))).where("near").drop("near")
+        return cut(found.withColumn("many", F.count("*").over(Window.partitionBy("node"))))
+
+    # a path's next branches are those of the two next runs, so that a longer path needs no look at the texts
+    paths = alive(classes.select("sid", "size", F.explode("nodes").alias("x")).select("sid", "size", F.col("x.run").alias("run"), F.col("x.node").alias("node")))
+    leaf = paths.where(F.col("many") <= bucket).select("sid", "node")
+    for level in range(1, depth):
+        large = paths.where(F.col("many") > bucket)
+        if not large.limit(1).count():
             break
-        leaves.append(paths.join(counts.where(F.col("count") <= bucket).select("node"), "node", "left_semi"))
-        large = paths.join(counts.where(F.col("count") > bucket).select("node"), "node", "left_semi")
-        wanted = large.groupBy("sid").agg(F.collect_set("node").alias("at")).join(classes.select("sid", "rkey"), "sid")
-
-        def descend(batches):
-            for batch in batches:
-                sid, at = batch.column("sid").to_pylist(), batch.column("at").to_pylist()
-                got = [np.unique(np.concatenate([chosen(t, n & (2**64 - 1), similarity) for n in nodes])) for t, nodes in zip(shingle_sets(batch.column("text").to_pylist(), words), at, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(got, pa.list_(pa.int64()))], names=["sid", "nodes"])
-
-        paths = cut(sets_of(wanted, descend, "sid binary, nodes array<long>").select("sid", F.explode("nodes").alias("node")).distinct())
-    leaf = leaves[0]
-    for more in leaves[1:]:
-        leaf = leaf.union(more)
-    places = tiled(leaf.distinct(), ["node"], "sid", bucket)
+        following = F.filter("nodes", lambda x: F.pmod(x["run"] - F.col("run"), F.lit(runs)).isin(2 * level - 1, 2 * level))
+        longer = large.join(classes.select("sid", "nodes"), "sid").select("sid", "size", "run", "node", F.explode(following).alias("x"))
+        paths = alive(longer.select("sid", "size", "run", F.xxhash64("node", "x.node").alias("node")).distinct())
+        leaf = leaf.union((paths.where(F.col("many") <= bucket) if level < depth - 1 else paths).select("sid", "node"))
+    if depth == 1:
+        leaf = paths.select("sid", "node")
+    # of nodes with the same members one is enough
+    alike = leaf.distinct().groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    leaf = leaf.distinct().join(alike.groupBy("n", "x", "s").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
+    places = tiled(cut(leaf), ["node"], "sid", bucket)
     members = cut(places.groupBy("sid").agg(F.collect_list(F.struct("node", "tile_i", "tile_j", "tile_own")).alias("places")).join(classes.select("sid", "rkey", "copies"), "sid"))
     total = members.agg(F.sum(F.size("places"))).first()[0] or 0
     groups = parts_for(total, 1_500)
