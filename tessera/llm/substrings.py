@@ -3,7 +3,7 @@
 Every window of ``length`` bytes holds an anchor: the ``gram``-byte string with the smallest hash among the
 window's. Equal windows have equal anchors at equal places, so the windows around an anchor need only be
 compared with those around the same anchor. Anchors whose whole surroundings (all windows that hold them)
-are equal are counted by a plain aggregation. Where an anchor has different surroundings, one of each
+are equal are counted alone. Where an anchor has different surroundings, one of each
 kind is brought together; a suffix array of these texts, its LCP array and previous and next smaller
 positions in suffix order give each position's longest previous factor: a window that also starts earlier.
 A very common anchor's surroundings are compared tile by tile.
@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import BYTE_VALUES, SpanHash, chunked, cut, mix, parts_for, row_key, tiled
@@ -164,19 +164,28 @@ def substring_dedup(docs: DataFrame, length: int = 200, gram: int = 32, keep: st
 
     def mark(batches):
         for batch in batches:
-            text, place, gram_hash, around = anchors_of(batch.column(1).to_pylist(), length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(gram_hash), pa.array(around), batch.column(0).take(pa.array(text)), pa.array(place.astype(np.int32))], names=["gram", "around", "rkey", "place"])
-
-    anchors = base.where(F.octet_length("text") >= length).select("rkey", "text").mapInArrow(mark, "gram long, around long, rkey long, place int")
-    kinds = anchors.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("rkey", "place")).alias("first"))
-    grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1")
-    kinds = cut(kinds.join(grams.select("gram", "kinds"), "gram"))  # only grams that occur twice
-    equal = anchors.join(kinds.where("n > 1").select("gram", "around", "first"), ["gram", "around"])
+            text, place, gram_hash, around = anchors_of(batch.column("text").to_pylist(), length, gram)
+            # equal anchors of a batch are one row already
+            rkey = batch.column("rkey").to_numpy()[text]
+            order = np.lexsort((place, rkey, around, gram_hash))
+            gram_hash, around = gram_hash[order], around[order]
+            first = np.flatnonzero(np.r_[True, (gram_hash[1:] != gram_hash[:-1]) | (around[1:] != around[:-1])]) if len(order) else order
+            offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(rkey[order]), pa.array(place[order].astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array(gram_hash[first]), pa.array(around[first]), *lists], names=["gram", "around", "rkeys", "places"])
+
+    anchors = base.where(F.octet_length("text") >= length).mapInArrow(mark, "gram long, around long, rkeys array<long>, places array<int>").repartition("gram")
+    kind, own = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
+    first = F.struct(F.element_at("rkeys", 1).alias("rkey"), F.element_at("places", 1).alias("place"))
+    anchors = anchors.withColumn("n", F.sum(F.size("rkeys")).over(kind)).withColumn("first", F.min(first).over(kind))
+    anchors = anchors.withColumn("mixed", F.min("around").over(own) != F.max("around").over(own)).where("n > 1 or mixed")
+    anchors = cut(anchors.withColumn("leads", F.col("first") == first))
+    each = anchors.where("n > 1").select("first", F.explode(F.arrays_zip("rkeys", "places")).alias("x")).select("first", F.col("x.rkeys").alias("rkey"), F.col("x.places").alias("place"))
     if keep == "first":
-        equal = equal.where(F.struct("rkey", "place") != F.col("first"))
-    whole = equal.select("rkey", (F.col("place") - reach).alias("start"), (F.col("place") + length).alias("stop"))
+        each = each.where(F.struct("rkey", "place") != F.col("first"))
+    whole = each.select("rkey", (F.col("place") - reach).alias("start"), (F.col("place") + length).alias("stop"))
 
-    sent = kinds.where("kinds > 1").select("gram", F.col("first.rkey").alias("rkey"), F.col("first.place").alias("place"))
+    sent = cut(anchors.where("mixed and leads").select("gram", F.col("first.rkey").alias("rkey"), F.col("first.place").alias("place")).distinct())
     sent = cut(tiled(sent, ["gram"], "rkey", tile).groupBy("rkey").agg(F.collect_list(F.struct("gram", "place", "tile_i", "tile_j")).alias("sent")))
     n_sent = sent.agg(F.sum(F.size("sent"))).first()[0] or 0
     groups = parts_for(n_sent, 4_000)
@@ -192,7 +201,7 @@ def substring_dedup(docs: DataFrame, length: int = 200, gram: int = 32, keep: st
                         cols[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in (("gram", pa.int64()), ("tile_i", pa.int32()), ("tile_j", pa.int32()), ("rkey", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary()))], names=list(cols))
 
-    around = base.select("rkey", "text").join(sent, "rkey").mapInArrow(send, "gram long, tile_i int, tile_j int, rkey long, start int, bytes binary")
+    around = base.join(sent, "rkey").mapInArrow(send, "gram long, tile_i int, tile_j int, rkey long, start int, bytes binary")
     around = around.withColumn("grp", F.pmod(F.xxhash64("gram", "tile_i", "tile_j"), F.lit(groups)))
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -239,4 +248,4 @@ def substring_dedup(docs: DataFrame, length: int = 200, gram: int = 32, keep: st
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: 6 if with_text else 5], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=False)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 6 if with_text else 5])
 
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return base.join(covers, "rkey", "left").select("id", "text", "covers").mapInArrow(finish, schema)
+    return base.join(covers, "rkey", "left").mapInArrow(finish, schema)
