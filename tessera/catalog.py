@@ -1,4 +1,186 @@
 """Registries of the library's queries and of SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.adaptive import adaptive_rate
+from tessera.operators import biclique, graph, similarity, triangles
+from tessera.plans import reports
+from tessera.sources import edges as sources
+from tessera.streaming import reservoir
+
+ORDER_PART = "e AS (SELECT DISTINCT l_orderkey AS u, l_partkey AS v FROM lineitem)"
+USER_K = "e AS (SELECT DISTINCT user_id AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)"
+USER_NEXT = """p AS (SELECT user_id AS a, lead(user_id) OVER (ORDER BY event_id) AS b, row_number() OVER (ORDER BY event_id) AS s FROM events),
+g AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(s) AS first FROM p WHERE a <> b GROUP BY 1, 2)"""
+TRIANGLES = "t AS (SELECT x.src AS x, x.dst AS y, z.dst AS z FROM g x JOIN g y ON x.dst = y.src JOIN g z ON z.src = x.src AND z.dst = y.dst)"
+LOCAL = "l AS (SELECT node, CAST(count(*) AS DOUBLE) AS triangles FROM (SELECT unnest([x, y, z]) AS node FROM t) GROUP BY 1)"
+DEGREES = "d AS (SELECT u, count(*) AS deg FROM e GROUP BY 1)"
+PAIRS = "p AS (SELECT a.u AS u1, b.u AS u2, count(*) AS common FROM e a JOIN e b ON a.v = b.v AND a.u < b.u GROUP BY 1, 2)"
+JACCARD = "j AS (SELECT u1, u2, common, common / (x.deg + y.deg - common) AS jaccard FROM p JOIN d x ON x.u = u1 JOIN d y ON y.u = u2)"
+
+
+def core_sql(k: int, rounds: int = 10) -> str:
+    """Unrolled rounds of peeling; c is the core's edges."""
+    steps = []
+    for i in range(rounds):
+        a = "e" if i == 0 else f"k{i}"
+        steps.append(f"h{i + 1} AS (SELECT * FROM {a} WHERE u IN (SELECT u FROM {a} GROUP BY 1 HAVING count(*) >= {k})), k{i + 1} AS (SELECT * FROM h{i + 1} WHERE v IN (SELECT v FROM h{i + 1} GROUP BY 1 HAVING count(*) >= {k}))")
+    return ", ".join(steps) + f", c AS (SELECT * FROM k{rounds})"
+
+
+def minhash_sql(hashes: int) -> str:
+    each = ", ".join(f"min((v * {similarity.parameters(h)[0]} + {similarity.parameters(h)[1]}) % {similarity.PRIME})" for h in range(hashes))
+    return f"s AS (SELECT u, [{each}] AS sig FROM e GROUP BY u)"
+
+
+def biclique_sql(tau: int, tail: str) -> str:
+    """b: sets of two (tau 2) or three (tau 3) with least similarity and right sides."""
+    if tau == 2:
+        sets = "m AS (SELECT [u1, u2] AS members, jaccard AS sim FROM j WHERE common >= 2)"
+    else:
+        sets = "q AS (SELECT * FROM j WHERE common >= 3 AND jaccard > 0.25), m AS (SELECT [a.u1, a.u2, b.u2] AS members, least(a.jaccard, b.jaccard, c.jaccard) AS sim FROM q a JOIN q b ON b.u1 = a.u2 JOIN q c ON c.u1 = a.u1 AND c.u2 = b.u2)"
+    return f"""{sets}, x AS (SELECT members, sim, v FROM (SELECT members, sim, unnest(members) AS u FROM m) JOIN e USING (u) GROUP BY 1, 2, 3 HAVING count(*) = len(members)),
+b AS (SELECT sim, members, list_sort(list(v)) AS "right" FROM x GROUP BY sim, members HAVING count(*) >= {tau}) {tail}"""
+
+
+def _bicliques(graph_of, tau, **options):
+    return lambda s, d: biclique.search(graph_of(s, d), tau, **options)
+
+
+def _queries_of(s, edges):
+    return edges.select(F.col("u").alias("q")).distinct().orderBy("q").limit(20)
+
+
+def _streams(variant):
+    return lambda s, d: reservoir.estimate(sources.user_next(s, d), k=1 << 22, rate=0.1, variant=variant)
+
+
+def _sampled_stream(variant):
+    return lambda s, d: reservoir.estimate(sources.user_next(s, d), k=1000, rate=0.1, variant=variant)
+
+
+def _estimates(s, d, hashes=64):
+    e = sources.user_k(s, d)
+    return similarity.estimates(similarity.pairs(e), similarity.signatures(e, hashes))
+
+
+def _hybrid(s, d):
+    e = sources.user_k(s, d)
+    deg = graph.degree(e, "u")
+    rows = _estimates(s, d).join(deg.toDF("u1", "d1"), "u1").join(deg.toDF("u2", "d2"), "u2")
+    return rows.select("u1", "u2", similarity.confidence_blend(F.col("estimate"), F.col("jaccard"), F.col("d1"), F.col("d2")).alias("estimate"))
+
+
+def _convergence(s, d):
+    rows = similarity.pairs(sources.user_k(s, d)).groupBy(F.col("u1").alias("u")).agg(F.max("jaccard").alias("sim"))
+    return reports.running_best(rows.withColumn("part", F.lit(0)), "u", "sim", "part")
+
+
+def _alpha(s, d):
+    e = sources.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("hits"), F.countDistinct("o_orderpriority").alias("interval"))
+    return e.select("o_custkey", adaptive_rate(0.25, F.col("interval"), F.col("hits"), 0.1).alias("rate"))
+
+
+def _approximate(s, d):
+    e = sources.user_k(s, d)
+    left = graph.core(e, 2).select("u").distinct()
+    return biclique.search(e, 2, group=similarity.prefix_groups(similarity.signatures(e, 10).join(left, "u", "left_semi"), 2).select("u", "grp"))
+
+
+QUERIES = {
+    "edges_distinct": lambda s, d: sources.order_part(s, d),
+    "degree_left": lambda s, d: graph.degree(sources.order_part(s, d), "u"),
+    "degree_right": lambda s, d: graph.degree(sources.order_part(s, d), "v"),
+    "adjacency": lambda s, d: graph.adjacency(sources.order_part(s, d)),
+    "replay_stream": lambda s, d: sources.as_stream(sources.user_k(s, d)),
+    "twohop_pairs": lambda s, d: graph.two_hop(sources.order_part(s, d)),
+    "onetwohop": lambda s, d: graph.one_two_hop(sources.order_part(s, d)),
+    "jaccard_pairs": lambda s, d: similarity.pairs(sources.order_part(s, d), 2),
+    "local_candidates": lambda s, d: similarity.candidates(sources.user_k(s, d), _queries_of(s, sources.user_k(s, d)), 0.2),
+    "kcore_2": lambda s, d: graph.core_vertices(sources.order_part(s, d), 2),
+    "kcore_3": lambda s, d: graph.core_vertices(sources.order_part(s, d), 3),
+    "induced_subgraph": lambda s, d: graph.induced(sources.order_part(s, d), sources.order_part(s, d).where("u % 3 = 0").select("u").distinct(), sources.order_part(s, d).where("v % 2 = 0").select("v").distinct()),
+    "remove_nodes": lambda s, d: graph.without(sources.order_part(s, d), sources.order_part(s, d).where("u % 3 = 0").select("u").distinct(), sources.order_part(s, d).where("v % 2 = 0").select("v").distinct()),
+    "biclique_global_t2": _bicliques(sources.order_part, 2),
+    "biclique_global_t3": _bicliques(sources.user_k, 3),
+    "biclique_topk": _bicliques(sources.order_part, 2, k=10),
+    "biclique_local_t2": lambda s, d: biclique.local(sources.user_k(s, d), 2, _queries_of(s, sources.user_k(s, d))),
+    "biclique_ablation_nocore": _bicliques(sources.order_part, 2, use_core=False),
+    "biclique_ablation_nosim": _bicliques(sources.order_part, 2, thresholds=(0.0,)),
+    "biclique_global_approx": _approximate,
+    "minhash_sig": lambda s, d: similarity.signatures(sources.order_part(s, d), 16),
+    "minhash_estimate": _estimates,
+    "minhash_candidates": lambda s, d: _estimates(s, d).where("estimate >= 0.4"),
+    "trie_groups": lambda s, d: similarity.prefix_groups(similarity.signatures(sources.user_k(s, d), 10), 2),
+    "lsh_groups": lambda s, d: similarity.lsh_groups(similarity.signatures(sources.order_part(s, d), 4), 1),
+    "hybrid_estimate": _hybrid,
+    "mae_rmse": lambda s, d: triangles.error_metrics(_estimates(s, d), "estimate", "jaccard"),
+    "triangles_global": lambda s, d: triangles.triangles(sources.user_next(s, d)).agg(F.count("*").alias("n")),
+    "triangles_local": lambda s, d: triangles.local_counts(sources.user_next(s, d)),
+    "triangles_dense_output": lambda s, d: triangles.dense_counts(sources.user_next(s, d), triangles.local_counts(sources.user_next(s, d))),
+    "reservoir1_full": _streams("fixed"),
+    "reservoir2_full": _streams("recorded"),
+    "reservoirplus_full": _streams("adaptive"),
+    "reservoir1_sampled": _sampled_stream("fixed"),
+    "reservoir2_sampled": _sampled_stream("recorded"),
+    "reservoirplus_sampled": _sampled_stream("adaptive"),
+    "triangles_hash_sampled": lambda s, d: reservoir.sampled(sources.user_next(s, d), 0.5),
+    "tiles": lambda s, d: reports.tiles(sources.order_part(s, d), 2, 0.5),
+    "blocks": lambda s, d: reports.blocks(sources.order_part(s, d), "u"),
+    "alpha_fold": _alpha,
+    "convergence": _convergence,
+    "resample": lambda s, d: reports.resampled(_convergence(s, d), "u", "best", "part", 20),
+    "allgather_union": lambda s, d: sources.order_part(s, d).select(F.col("u").alias("id")).union(sources.order_part(s, d).select("v")).distinct(),
+    "allreduce_best": lambda s, d: similarity.pairs(sources.user_k(s, d)).agg(F.max(F.struct("jaccard", (-F.col("u1")).alias("a"), (-F.col("u2")).alias("b"))).alias("m")).select("m.jaccard", (-F.col("m.a")).alias("u1"), (-F.col("m.b")).alias("u2")),
+    "top_queries": lambda s, d: _queries_of(s, sources.order_part(s, d)),
+}
+
+_sim = f"WITH {ORDER_PART}, {DEGREES}, {PAIRS}, {JACCARD}, "
+_usim = f"WITH {USER_K}, {DEGREES}, {PAIRS}, {JACCARD}, "
+_tri = f"WITH {USER_NEXT}, {TRIANGLES}, {LOCAL} "
+_est = f"{_usim}{minhash_sql(64)}, m AS (SELECT u1, u2, common, jaccard, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 64 AS estimate FROM j JOIN s x ON x.u = u1 JOIN s y ON y.u = u2) "
+_best = 'SELECT * FROM b ORDER BY sim DESC, members LIMIT '
+_conv = "b0 AS (SELECT u1 AS u, max(jaccard) AS sim, 0 AS part FROM j GROUP BY 1), b1 AS (SELECT *, max(sim) OVER (ORDER BY u) AS best FROM b0), b2 AS (SELECT *, best - coalesce(lag(best) OVER (ORDER BY u), 0.0) AS gain FROM b1) "
+_full = _tri + "SELECT * FROM l UNION ALL SELECT -1, CAST(count(*) AS DOUBLE) FROM t"
+
+ORACLES = {
+    "edges_distinct": f"WITH {ORDER_PART} SELECT * FROM e",
+    "degree_left": f"WITH {ORDER_PART} SELECT u, count(*) AS deg FROM e GROUP BY 1",
+    "degree_right": f"WITH {ORDER_PART} SELECT v, count(*) AS deg FROM e GROUP BY 1",
+    "adjacency": f"WITH {ORDER_PART} SELECT u, list_sort(list(v)) AS nbrs FROM e GROUP BY 1",
+    "replay_stream": f"WITH {USER_K} SELECT row_number() OVER (ORDER BY u, v) AS seq, u AS src, v AS dst FROM e",
+    "twohop_pairs": f"WITH {ORDER_PART} SELECT DISTINCT a.u, b.u AS w FROM e a JOIN e b ON a.v = b.v AND a.u <> b.u",
+    "onetwohop": f"WITH {ORDER_PART} SELECT DISTINCT u, 1 AS hop, v AS id FROM e UNION ALL SELECT DISTINCT a.u, 2, b.u FROM e a JOIN e b ON a.v = b.v AND a.u <> b.u",
+    "jaccard_pairs": f"{_sim} z AS (SELECT 1) SELECT * FROM j WHERE common >= 2",
+    "local_candidates": f"{_usim} k AS (SELECT DISTINCT u FROM e ORDER BY u LIMIT 20) SELECT u1 AS q, u2 AS u, common, jaccard FROM j WHERE u1 IN (FROM k) AND jaccard > 0.2 UNION ALL SELECT u2, u1, common, jaccard FROM j WHERE u2 IN (FROM k) AND jaccard > 0.2",
+    "kcore_2": f"WITH {ORDER_PART}, {core_sql(2)} SELECT DISTINCT 'L' AS side, u AS id FROM c UNION ALL SELECT DISTINCT 'R', v FROM c",
+    "kcore_3": f"WITH {ORDER_PART}, {core_sql(3)} SELECT DISTINCT 'L' AS side, u AS id FROM c UNION ALL SELECT DISTINCT 'R', v FROM c",
+    "induced_subgraph": f"WITH {ORDER_PART} SELECT * FROM e WHERE u % 3 = 0 AND v % 2 = 0",
+    "remove_nodes": f"WITH {ORDER_PART} SELECT * FROM e WHERE u % 3 <> 0 AND v % 2 <> 0",
+    "biclique_global_t2": _sim + biclique_sql(2, _best + "1"),
+    "biclique_global_t3": _usim + biclique_sql(3, _best + "1"),
+    "biclique_topk": _sim + biclique_sql(2, _best + "10"),
+    "biclique_local_t2": _usim + biclique_sql(2, ", k AS (SELECT DISTINCT u FROM e ORDER BY u LIMIT 20), o AS (SELECT unnest(members) AS q, * FROM b) SELECT q, sim, members, \"right\" FROM o WHERE q IN (FROM k) QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, members) = 1"),
+    "biclique_ablation_nocore": _sim + biclique_sql(2, _best + "1"),
+    "biclique_ablation_nosim": _sim + biclique_sql(2, _best + "1"),
+    "minhash_sig": f"WITH {ORDER_PART}, {minhash_sql(16)} SELECT * FROM s",
+    "minhash_estimate": _est + "SELECT * FROM m",
+    "minhash_candidates": _est + "SELECT * FROM m WHERE estimate >= 0.4",
+    "lsh_groups": f"WITH {ORDER_PART}, {minhash_sql(1)} SELECT sig AS band, count(*) AS n, min(u) AS least FROM s GROUP BY 1 HAVING count(*) >= 2",
+    "hybrid_estimate": _est + "SELECT u1, u2, least(1.0, least(x.deg, y.deg) / 10) * jaccard + (1 - least(1.0, least(x.deg, y.deg) / 10)) * estimate AS estimate FROM m JOIN d x ON x.u = u1 JOIN d y ON y.u = u2",
+    "triangles_global": _tri + "SELECT count(*) AS n FROM t",
+    "triangles_local": _tri + "SELECT * FROM l",
+    "triangles_dense_output": _tri + "SELECT i AS node, coalesce(triangles, 0.0) AS triangles FROM range(0, (SELECT max(dst) + 1 FROM g)) r(i) LEFT JOIN l ON node = i",
+    "reservoir1_full": _full,
+    "reservoir2_full": _full,
+    "reservoirplus_full": _full,
+    "blocks": f"WITH {ORDER_PART}, {DEGREES} SELECT CAST(floor(u / 256) AS BIGINT) AS block_id, count(*) AS n, avg(deg) AS mean_deg, CASE WHEN avg(deg) > 10 THEN 'dense' ELSE 'sparse' END AS target FROM d GROUP BY 1",
+    "alpha_fold": "SELECT o_custkey, greatest(0.1, round(1 - pow(0.25, count(*) / count(DISTINCT o_orderpriority)), 4)) AS rate FROM orders GROUP BY 1",
+    "convergence": _usim + _conv + "SELECT * FROM b2",
+    "resample": _usim + _conv + ", i AS (SELECT unnest(range(1, 21)) AS point, (SELECT max(u) FROM b0) AS last) SELECT 0 AS part, CAST(point AS INTEGER) AS point, (SELECT max(best) FROM b1 WHERE u <= ceil(last * point / 20) AND u < ceil(last * point / 20) + 1) AS value FROM i",
+    "allgather_union": f"WITH {ORDER_PART} SELECT u AS id FROM e UNION SELECT v FROM e",
+    "allreduce_best": f"{_usim} z AS (SELECT 1) SELECT jaccard, u1, u2 FROM j ORDER BY jaccard DESC, u1, u2 LIMIT 1",
+    "top_queries": f"WITH {ORDER_PART} SELECT DISTINCT u AS q FROM e ORDER BY 1 LIMIT 20",
+}
