@@ -28,7 +28,7 @@ from tessera.llm.shared import cut
 
 #: Python's str.split() also splits at these four, the tokenizer doesn't.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
-CACHED_CHARS, CACHE_ENTRIES = 40, 400_000
+CACHED_CHARS, CACHE_ENTRIES = 40, 800_000
 _state: dict = {}
 
 
