@@ -1,6 +1,6 @@
 """A corpus pipeline of five operators over ``documents``; each stage reads what the one before it wrote.
 
-Language ID rejects texts without letters and texts whose best language hardly leads; line dedup takes out
+Language ID rejects texts in which it finds no language; line dedup takes out
 repeated lines, and documents that have nothing else; of each class of near-duplicates one document stays;
 secrets are replaced; what is left is packed into sequences.
 """
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tessera.llm import language, lines, ngram_join, packing, secrets
 from tessera.llm.shared import row_key, shared_folder
 
-#: The least share of the best language: chance is a fourth where four are known.
-MIN_SCORE = 0.3
+#: The least share of the best language. 0: only texts in which no language is found go, so that short clean ones stay.
+MIN_SCORE = 0.0
 
 
 def _with_size(docs: DataFrame, columns: list[str]) -> DataFrame:
