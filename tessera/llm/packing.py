@@ -15,6 +15,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,41 +28,69 @@ from tessera.llm.shared import cut
 
 #: Python's str.split() also splits at these four, the tokenizer doesn't.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Latin-1 letters, then signs other than the apostrophe: these two parts are never joined, and only the case is changed.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 CACHED_CHARS, CACHE_ENTRIES = 40, 800_000
 _state: dict = {}
 
 
-def _tokenizer(path: str):
-    if path not in _state:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _state[path] = Tokenizer.from_file(path), {}
-    return _state[path]
-
-
-def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each text, as little-endian 32-bit numbers.
+class Encoder:
+    """Ids of texts, as little-endian 32-bit numbers.
 
     The tokenizer drops white space and joins nothing across it, so words are encoded one by one and
-    the ids of short ones are remembered. tests/llm holds this against whole texts.
+    the ids of short ones are remembered. A word of plain letters with signs after it is put together from these two; both
+    skip the tokenizer's normaliser and splitter, which do no more than lower the case there. tests/llm holds this
+    against whole texts; with a tokenizer of other rules, texts are encoded whole.
     """
-    tokenizer, known = _tokenizer(path)
-    as_bytes = lambda e: np.asarray(e.ids, "<u4").tobytes()
-    for at in range(0, len(texts), 256):
-        block = [None if any(c in t for c in NOT_SPACE) else t.split() for t in texts[at : at + 256]]
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        new = [w for w in set().union(*filter(None, block)) if w not in known]
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.parts.normalizer = None
+        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, bytes] = {}
+        probe = "Über den  Fluß,### it's\n12 Ähren... "
+        self.by_word = self.whole(probe) == self.joined(probe.split(), self.learn(probe.split()))
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def remember(self, words: list[str], tokenizer) -> None:
+        for i in range(0, len(words), 4096):
+            found = tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)
+            self.known.update(zip(words[i : i + 4096], [np.asarray(e.ids, "<u4").tobytes() for e in found], strict=True))
+
+    def learn(self, words) -> dict[str, bytes]:
+        """Remember the ids of short words and return those of the others."""
+        known = self.known
+        new = [w for w in words if w not in known]
         short = [w for w in new if len(w) <= CACHED_CHARS]
-        for i in range(0, len(short), 4096):
-            known.update(zip(short[i : i + 4096], map(as_bytes, tokenizer.encode_batch_fast(short[i : i + 4096], add_special_tokens=False)), strict=True))
-        rest = {w: as_bytes(tokenizer.encode(w, add_special_tokens=False)) for w in new if len(w) > CACHED_CHARS}
-        for text, words in zip(texts[at : at + 256], block, strict=True):
-            if words is None:
-                yield as_bytes(tokenizer.encode(text, add_special_tokens=False))
-            else:
-                yield b"".join([known.get(w) or rest.get(w, b"") for w in words] if rest else map(known.__getitem__, words))
+        cuts = [(w, m[1].lower(), m[2]) for w, m in zip(short, map(PLAIN, short), strict=True) if m]
+        self.remember([p for p in {p for c in cuts for p in c[1:]} if p not in known], self.parts)
+        known.update([(w, known[letters] + known[signs]) for w, letters, signs in cuts])
+        self.remember([w for w in short if w not in known], self.tokenizer)
+        return {w: self.whole(w) for w in new if len(w) > CACHED_CHARS}
+
+    def joined(self, words: list[str], long: dict[str, bytes]) -> bytes:
+        known = self.known
+        return b"".join([known[w] if w in known else long[w] for w in words] if long else map(known.__getitem__, words))
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 256):
+            block = [t.split() if self.by_word and not any(c in t for c in NOT_SPACE) else None for t in texts[at : at + 256]]
+            if len(self.known) > CACHE_ENTRIES:
+                self.known.clear()
+            long = self.learn(set().union(*filter(None, block)))
+            for text, words in zip(texts[at : at + 256], block, strict=True):
+                yield self.whole(text) if words is None else self.joined(words, long)
+
+
+def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
+    if path not in _state:
+        _state[path] = Encoder(path)
+    return _state[path](texts)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -191,6 +191,12 @@ def test_packing(docs, empty):
     tokenizer = Tokenizer.from_file(path)
     for text in ("It's a Test, isn't it?", "É́a\x1cb c d", "<|endoftext|> x", "中文 字12"):
         assert next(packing.encode_texts([text], path)) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    rng = random.Random(5)
+    odd = ["".join(rng.choice("aZßÀÿéñªµ'’.,-_!#&<|>09 \t\u0301İΣ") for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # the second one keeps white space, so texts go whole
+        other = Tokenizer.from_file(public_tokenizers.path(name))
+        for text, ids in zip(odd, packing.encode_texts(odd, public_tokenizers.path(name)), strict=True):
+            assert ids == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     got = packing.best_fit_packing(docs, path).toPandas()
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 4096
