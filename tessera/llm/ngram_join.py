@@ -5,10 +5,12 @@ Words are runs of letters and digits, lower case; a document is the set of its s
 sends every class down the branches of the shingles that it chooses: at a node, a shingle is
 chosen if its hash with the node is under 1 / (similarity * size of the set), alike in all sets, so that two
 similar sets are expected to share a branch. Small buckets are compared by brute force; the paths of larger
-ones go on along the next two runs' branches, up to ``depth`` shingles, and what is still large is compared tile
-by tile, exactly. A member of a bucket with no other of a size that allows the similarity leaves it.
-Runs are repeated until a pair at the threshold is missed with probability ``miss`` at most: two sets at the
-threshold share a chosen shingle of one level with a probability of 1 - exp(-2 / (1 + similarity)).
+ones go on along branches that each node draws anew, up to ``depth`` shingles, and what is still large is compared
+tile by tile, exactly. A member of a bucket with no other of a size that allows the similarity leaves it.
+Runs are repeated until a pair at the threshold is missed with probability ``miss`` at most. Of two sets at the
+threshold, whatever their sizes, a node's branches have one in common at least in the mean, so that a path of d
+shingles is shared in a run with a probability of p(d) = 1 - exp(-p(d - 1)), p(0) = 1. Half of ``miss`` is for pairs
+that share no first branch; classes in large buckets take more runs, by p(depth), for the other half.
 
 A pair is counted in the first bucket that its two sets share. Null and empty texts, and texts without a
 word, link with nothing and are classes of their own. Repeated rows belong to one class.
@@ -66,28 +68,49 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def branches(sets: list[np.ndarray], seeds: list[int], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, run, node) of the branches that the sets take at the runs' roots, by set."""
+def _limit(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    limit = np.minimum(1.0 / (similarity * np.maximum(sizes, 1)), 1.0)
+    return np.minimum(limit * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
+
+
+def branches(sets: list[np.ndarray], seeds: list[int], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, node) of the branches that the sets take at the runs' roots, by set."""
     sizes = np.array([len(s) for s in sets])
     owner, tokens = np.repeat(np.arange(len(sets)), sizes), np.concatenate([*sets, np.empty(0, np.uint64)])
-    limit = np.minimum(1.0 / (similarity * np.maximum(sizes, 1)), 1.0)
-    limit = np.minimum(limit * 2.0**64, 2.0**64 - 2048).astype(np.uint64)[owner]
+    limit = _limit(sizes, similarity)[owner]
     found = []
-    for run, seed in enumerate(seeds):
+    for seed in seeds:
         h = mix(tokens ^ np.uint64(seed))
         at = np.flatnonzero(h <= limit)
-        found.append((owner[at], np.full(len(at), run), h[at].view(np.int64)))
-    owner, run, node = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.append((owner[at], h[at].view(np.int64)))
+    owner, node = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(owner, kind="stable")
-    return owner[order], run[order], node[order]
+    return owner[order], node[order]
+
+
+def tree(tokens: np.ndarray, seeds: list[int], similarity: float, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(parent, node) of a set's branches for each level; every node draws its own, alike in all sets."""
+    limit, parents, levels = _limit(np.array([len(tokens)]), similarity)[0], np.array(seeds, np.uint64), []
+    for _ in range(depth):
+        step, found = max(1, (1 << 20) // max(1, len(tokens))), [(np.empty(0, np.uint64),) * 2]
+        for at in range(0, len(parents), step):
+            h = mix(tokens[None, :] ^ parents[at : at + step, None])
+            who, which = np.nonzero(h <= limit)
+            found.append((parents[at + who], h[who, which]))
+        above, parents = (np.concatenate(x) for x in zip(*found, strict=True))
+        levels.append((above.view(np.int64), parents.view(np.int64)))
+    return levels
 
 
 def run_seeds(runs: int) -> list[int]:
     return [int(x) for x in mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
 
 
-def runs_for(similarity: float, miss: float) -> int:
-    return math.ceil(math.log(miss) / -(2 / (1 + similarity)))
+def runs_for(miss: float, depth: int) -> int:
+    share = 1.0
+    for _ in range(depth):
+        share = 1 - math.exp(-share)
+    return math.ceil(math.log(miss) / math.log(1 - share) - 1e-9)
 
 
 def _counts(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -117,20 +140,19 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
 
     A row for each row of docs; null ids are members of classes, but a class takes its name from the others.
     """
-    runs = runs_for(similarity, miss)
+    runs, more_runs = runs_for(miss / 2, 1), runs_for(miss / 2, depth)
     base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rkey"), F.col(text_col).alias("text"))
-    kind = "array<struct<run: int, node: long>>"
 
     def sign(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist(), words)
             sids = [xxhash.xxh128_digest(t.tobytes()) if len(t) else None for t in sets]
-            owner, run, node = branches(sets, run_seeds(runs), similarity)
+            owner, node = branches(sets, run_seeds(runs), similarity)
             offsets = np.searchsorted(owner, np.arange(len(sets) + 1)).astype(np.int32)
-            nodes = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(run.astype(np.int32)), pa.array(node)], names=["run", "node"]))
+            nodes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array([len(t) for t in sets], pa.int32()), nodes], names=["id", "rkey", "sid", "size", "nodes"])
 
-    signed = cut(base.mapInArrow(sign, f"id long, rkey long, sid binary, size int, nodes {kind}"))
+    signed = cut(base.mapInArrow(sign, "id long, rkey long, sid binary, size int, nodes array<long>"))
     classes = signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull(), "id", "rkey")).alias("r"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("nodes").alias("nodes"))
     classes = cut(classes.select("sid", "first", F.col("r.rkey").alias("rkey"), "copies", "size", "nodes"))
 
@@ -146,19 +168,40 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
         found = paths.withColumn("near", F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))).where("near").drop("near")
         return cut(found.withColumn("many", F.count("*").over(Window.partitionBy("node"))))
 
-    # a path's next branches are those of the two next runs, so that a longer path needs no look at the texts
-    paths = alive(classes.select("sid", "size", F.explode("nodes").alias("x")).select("sid", "size", F.col("x.run").alias("run"), F.col("x.node").alias("node")))
-    leaf = paths.where(F.col("many") <= bucket).select("sid", "node")
-    for level in range(1, depth):
-        large = paths.where(F.col("many") > bucket)
-        if not large.limit(1).count():
-            break
-        following = F.filter("nodes", lambda x: F.pmod(x["run"] - F.col("run"), F.lit(runs)).isin(2 * level - 1, 2 * level))
-        longer = large.join(classes.select("sid", "nodes"), "sid").select("sid", "size", "run", "node", F.explode(following).alias("x"))
-        paths = alive(longer.select("sid", "size", "run", F.xxhash64("node", "x.node").alias("node")).distinct())
-        leaf = leaf.union((paths.where(F.col("many") <= bucket) if level < depth - 1 else paths).select("sid", "node"))
-    if depth == 1:
-        leaf = paths.select("sid", "node")
+    def grow(batches):
+        """Of classes in large buckets: branches of the further runs, and those below the roots of all."""
+        for batch in batches:
+            sets, sids = shingle_sets(batch.column(1).to_pylist(), words), batch.column(2).to_pylist()
+            seeds = run_seeds(more_runs)
+            known = np.array(seeds[:runs], np.uint64).view(np.int64)
+            cols: tuple[list, ...] = ([], [], [], [])
+            for i, tokens in enumerate(sets):
+                if not len(tokens) or xxhash.xxh128_digest(tokens.tobytes()) != sids[i]:
+                    continue
+                for level, (parent, node) in enumerate(tree(tokens, seeds, similarity, depth)):
+                    if not level:
+                        new = ~np.isin(parent, known)
+                        parent, node = parent[new], node[new]
+                    for c, v in zip(cols, (np.full(len(node), i), np.full(len(node), level, np.int32), parent, node), strict=True):
+                        c.append(v)
+            if cols[0]:
+                row, level, parent, node = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row)), batch.column(3).take(pa.array(row)), pa.array(level), pa.array(parent), pa.array(node)], names=["sid", "size", "level", "parent", "node"])
+
+    paths = alive(classes.select("sid", "size", F.explode("nodes").alias("node")))
+    leaf = (paths.where(F.col("many") <= bucket) if depth > 1 else paths).select("sid", "node")
+    large = paths.where(F.col("many") > bucket).select("sid", "size", "node")
+    if depth > 1 and large.limit(1).count():
+        hard = classes.join(large.select("sid").distinct(), "sid", "left_semi").select("rkey", "sid", "size")
+        grown = cut(sets_of(hard, grow, "sid binary, size int, level int, parent long, node long"))
+        paths = alive(grown.where("level = 0").select("sid", "size", "node").distinct())
+        leaf = leaf.union(paths.where(F.col("many") <= bucket).select("sid", "node"))
+        large = large.union(paths.where(F.col("many") > bucket).select("sid", "size", "node"))
+        for level in range(1, depth):
+            below = grown.where(F.col("level") == level).select("sid", F.col("parent").alias("node"), F.col("node").alias("next"))
+            paths = alive(large.join(below, ["sid", "node"]).select("sid", "size", F.col("next").alias("node")).distinct())
+            leaf = leaf.union((paths.where(F.col("many") <= bucket) if level < depth - 1 else paths).select("sid", "node"))
+            large = paths.where(F.col("many") > bucket).select("sid", "size", "node")
     # of nodes with the same members one is enough
     alike = leaf.distinct().groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("s"))
     leaf = leaf.distinct().join(alike.groupBy("n", "x", "s").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")

@@ -64,6 +64,32 @@ def test_ngram_join(docs, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_large_group(spark):
+    """Over 1,000 different near copies, all in large buckets: a word changed (similarity 0.82) or the end cut off (0.8 and more)."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(104)]
+    texts = []
+    for i in range(1000):
+        words = list(base)
+        words[rng.randrange(10, 90)] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[: 84 + i]) for i in range(21)] + [" ".join([f"y{i}", *base[1:]]) for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = ngram_join.shingle_sets(texts)
+    column = {t: k for k, t in enumerate(sorted(set(np.concatenate(sets).tolist())))}
+    m = np.zeros((len(sets), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [column[t] for t in s.tolist()]] = 1
+    both, size = m @ m.T, m.sum(1)
+    link = both >= 0.8 * (size[:, None] + size - both) - 1e-6
+    np.fill_diagonal(link, False)
+    want = link.sum(1)
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_join(df).collect()}
+    found = np.array([got[i] for i in range(len(texts))])
+    print(f"{want.sum() - found.sum()} of {want.sum()} missed")
+    assert (found <= want).all() and found.sum() >= (1 - 3e-4) * want.sum()
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(v) for _ in range(30)), lang) for i, (lang, v) in enumerate([("en", ["the", "house", "and", "with"]), ("de", ["das", "haus", "und", "mit"])] * 30)]
