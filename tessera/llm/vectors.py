@@ -4,8 +4,9 @@ A rotation that makes balanced binary codes is learned on a sample of at most ``
 vector is coded. Codes are cut into chunks, one table for each; vectors of one label that agree in a
 chunk meet in that table's bucket, where the cosine of the original vectors, in double precision,
 decides. A pair counts in the first table where it meets, so that numbers of links add up without any list
-of pairs. Chunks get longer with the largest label (``bucket`` vectors a value are aimed at); at 12 bits
-and more each vector is also filed under the values one bit away, so that codes two bits apart meet.
+of pairs. Chunks get longer with the largest label (``bucket`` vectors a value are aimed at). Tables of signs of
+random projections follow, as many as find a pair at the threshold with probability ``recall`` without the
+learned ones, at any width and length of vector: each bit differs with a probability of angle / pi.
 Identical vectors are one row until the end. A bucket of more than ``tile`` rows is compared tile by tile.
 
 A vector that is null, empty, zero, or holds null or non-finite components, or has no label, links with
@@ -15,6 +16,7 @@ the id is a member through each of its vectors. A null id gives no row.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -63,12 +65,23 @@ def codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def chunk_values(bits: np.ndarray, width: int) -> np.ndarray:
-    """Numbers of the code's chunks; a last chunk shorter than half the width is left out."""
-    starts = [s for s in range(0, bits.shape[1], width) if bits.shape[1] - s >= min(bits.shape[1], (width + 1) // 2)]
-    return np.stack([bits[:, s : s + width] @ (1 << np.arange(min(width, bits.shape[1] - s))) for s in starts], axis=1).astype(np.int64)
+    """Numbers of the code's chunks, which share all bits out evenly: ``width`` bits each, or somewhat more."""
+    edges = np.linspace(0, bits.shape[1], max(1, bits.shape[1] // width) + 1).astype(int)
+    return np.stack([bits[:, a:b][:, :62] @ (1 << np.arange(min(b - a, 62))) for a, b in zip(edges[:-1], edges[1:], strict=True)], axis=1).astype(np.int64)
 
 
-def _bucket_links(vectors, values, table, own, i, j, threshold, near):
+def tables_for(threshold: float, width: int, recall: float) -> int:
+    """Tables of ``width`` random bits in one of which vectors at the threshold agree with probability ``recall``."""
+    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** width
+    return 1 if agree >= recall else math.ceil(math.log(1 - recall) / math.log1p(-agree))
+
+
+@functools.lru_cache(maxsize=8)
+def planes(n: int, count: int, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng((seed, n)).standard_normal((n, count))
+
+
+def _bucket_links(vectors, values, table, own, i, j, threshold):
     """(local left, local right) of links of one bucket's tile that no earlier table has."""
     norms = np.sqrt((vectors * vectors).sum(1))
     unit = vectors / norms[:, None]
@@ -83,15 +96,14 @@ def _bucket_links(vectors, values, table, own, i, j, threshold, near):
         a, b = a[exact], b[exact]
         if table:
             diff = values[a, :table] ^ values[b, :table]
-            met = (diff == 0) if not near else (np.bitwise_count(diff) <= 2)
-            new = ~met.any(axis=1)
+            new = ~(diff == 0).any(axis=1)
             a, b = a[new], b[new]
         lefts.append(a)
         rights.append(b)
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = 5_000, bucket: int = 32, tile: int = 2048, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = 5_000, bucket: int = 32, tile: int = 2048, recall: float = 0.999, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each id."""
     v = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     fine = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -101,7 +113,7 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: in
     spark = vectors.sparkSession
     most = same.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     width = min(16, max(8, math.ceil(math.log2(most / bucket)))) if most > bucket else 8
-    near = width >= 12
+    more = tables_for(threshold, width, recall)
     held = spark.sparkContext.broadcast(model)  # a matrix for each length of vector in the sample
 
     def file(batches):
@@ -112,16 +124,15 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: in
                 at = np.flatnonzero(sizes == n)
                 x = lists.take(pa.array(at)).flatten().to_numpy().reshape(-1, n)
                 scaled = x / np.ldexp(1.0, np.frexp(np.abs(x).max(1, keepdims=True))[1])  # a power of two: no rounding
-                bits = codes(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), held.value.get(n) or random_rotation(n))
-                values = chunk_values(bits, width)
-                flips = [0] + [1 << k for k in range(width)] if near else [0]
+                unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+                learned = chunk_values(codes(unit, held.value.get(n) or random_rotation(n)), width)
+                values = np.concatenate([learned, chunk_values(unit @ planes(int(n), more * width) >= 0, width)], axis=1)
                 rows = np.arange(len(at))
                 columns: dict[str, list] = {k: [] for k in ("row", "table", "value")}
                 for t in range(values.shape[1]):
-                    for f in flips:
-                        columns["row"].append(rows)
-                        columns["table"].append(np.full(len(at), t, np.int32))
-                        columns["value"].append(values[:, t] ^ f)
+                    columns["row"].append(rows)
+                    columns["table"].append(np.full(len(at), t, np.int32))
+                    columns["value"].append(values[:, t])
                 row = np.concatenate(columns["row"])
                 flat = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m[row].ravel()), m.shape[1]).cast(pa.list_(pa.from_numpy_dtype(m.dtype)))
                 take = pa.array(at[row])
@@ -130,7 +141,7 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: in
     kind = dict(vectors.dtypes)[label]
     filed = same.select("id", "copies", "label", "v").mapInArrow(file, f"id long, copies long, label {kind}, dim int, tbl int, value long, v array<double>, chunks array<long>")
     filed = tiled(filed, ["label", "dim", "tbl", "value"], "id", tile)
-    groups = parts_for(same.count() * (8 if not near else 90), 40_000)
+    groups = parts_for(same.count() * (8 + more), 40_000)
     key = ["label", "dim", "tbl", "value", "tile_i", "tile_j"]
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -143,17 +154,11 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: in
         for g in np.split(order, np.flatnonzero(~same_as_last) + 1):
             if len(g) < 2:
                 continue
-            g = g[np.r_[True, ids[g][1:] != ids[g][:-1]]]  # a value one bit away may file a vector twice
+            g = g[np.r_[True, ids[g][1:] != ids[g][:-1]]]
             take, t = pa.array(g), tables[g[0]]
             x = v.take(take).flatten().to_numpy().reshape(len(g), dims[g[0]])
             c = chunks.take(take).flatten().to_numpy().reshape(len(g), -1)
-            a, b = _bucket_links(x, c, t, own[g], ti[g[0]], tj[g[0]], threshold, near)
-            if near:  # values up to two bits apart share several buckets: the pair is counted in the smallest
-                d = c[a, t] ^ c[b, t]
-                bit = np.where(np.bitwise_count(d) == 2, d & -d, 0)
-                low = np.minimum(c[a, t] ^ bit, c[b, t] ^ bit)
-                hit = low == rows["value"][int(g[0])].as_py()
-                a, b = a[hit], b[hit]
+            a, b = _bucket_links(x, c, t, own[g], ti[g[0]], tj[g[0]], threshold)
             root = local_roots(len(g), a, b)
             links = np.bincount(a, weights[g][b], len(g)) + np.bincount(b, weights[g][a], len(g))
             some = np.flatnonzero(links)

@@ -210,6 +210,23 @@ def test_vectors(spark):
     assert vectors.embedding_near_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [64, 16])
+def test_vectors_hot_label(spark, n):
+    """20,000 vectors of one label, half of them just within the threshold of the other half."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((10_000, n))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((10_000, n))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    v = np.concatenate([x, 0.931 * x + np.sqrt(1 - 0.931**2) * y])
+    want = sum(int((v[a : a + 2000] @ v.T >= 0.93).sum()) for a in range(0, len(v), 2000)) - len(v)
+    df = spark.createDataFrame([(i, r, 1) for i, r in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int")
+    found = sum(r.n_links for r in vectors.embedding_near_dedup(df).select("n_links").collect())
+    print(f"{found} of {want} links found")
+    assert 0.995 * want <= found <= want
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
