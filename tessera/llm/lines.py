@@ -1,11 +1,12 @@
 """Line dedup (4): a segment-partition edit join.
 
-A line (stripped) is a copy if an equal line stands earlier, or an earlier line is within ``edits`` edits
-of it; earlier is by document id (nulls last), row key and line number. Lines shorter than ``min_chars`` are
-copies only if equal: two edits make another line of them. A line of l characters is split into edits + 1 even
-segments; of two lines within the threshold, the longer holds a segment of the shorter near its own place.
-Each line is filed under the hashes of its segments and looks for those of lines of its length and up to
-``edits`` shorter, at the places that the length difference leaves open. Hashes that two lines share bring
+A line (stripped) is a copy if an equal line stands earlier, or an earlier line is within the edits that the
+longer one's length allows (``BANDS``); earlier is by document id (nulls last), row key and line number. Lines under
+the first band are copies only if equal. With ``edits`` given, there is one band, from ``min_chars`` on. In the band
+of e edits, a line is split into e + 1 even segments; of two lines within the threshold, the longer holds a segment
+of the shorter near its own place. Each line is filed under the hashes of its segments and looks for those of lines of
+its length and up to e shorter, at the places that the length difference leaves open; a line up to e shorter than a
+band is filed there as well. Hashes that two lines share bring
 their texts together, where banded bit-parallel edit distance decides; a very common segment's lines are
 compared tile by tile.
 
@@ -24,6 +25,15 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import SpanHash, cut, mix, parts_for, row_key, tiled
 
 
+#: (characters from which it holds, edits)
+BANDS = ((16, 1), (32, 2), (256, 3))
+
+
+def allowed(size: int, bands: tuple[tuple[int, int], ...] = BANDS) -> int:
+    """Edits within which a line is a copy of one of ``size`` characters, the longer of the two."""
+    return max((e for least, e in bands if size >= least), default=0)
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Is the edit distance at most ``edits``? Equal ends are set aside; the rest runs in a band of bits."""
     if len(a) < len(b):
@@ -110,17 +120,31 @@ def line_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def band_keys(lines: list[str], bands: tuple[tuple[int, int], ...] = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As line_keys, each line in its band and in the next ones that a longer partner may be of."""
+    size = np.array([len(x) for x in lines])
+    out: list[tuple] = []
+    for k, (least, edits) in enumerate(bands):
+        most = bands[k + 1][0] if k + 1 < len(bands) else np.inf
+        at = np.flatnonzero((size >= max(bands[0][0], least - edits)) & (size < most))
+        if len(at):
+            number, key, filed = line_keys([lines[i] for i in at.tolist()], edits)
+            out.append((at[number], key, filed))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+
+
 def _split(text: str | None) -> list[str]:
     return [x.strip() for x in text.split("\n")] if text else []
 
 
-def line_copies(docs: DataFrame, edits: int = 1, min_chars: int = 64, tile: int = 1024, id_col: str = "doc_id") -> DataFrame:
+def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64, tile: int = 1024, id_col: str = "doc_id") -> DataFrame:
     """__rkey, gone (numbers of the document's lines that are copies): a row for each document that has some.
 
     docs: the id, __rkey and __text among others.
 
     """
     base = docs
+    bands = BANDS if edits is None else ((min_chars, edits),)
 
     def occur(batches):
         for batch in batches:
@@ -139,14 +163,14 @@ def line_copies(docs: DataFrame, edits: int = 1, min_chars: int = 64, tile: int
             ids, texts = batch.column(id_col).to_pylist(), batch.column("__text").to_pylist()
             for i in sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, rkeys[i])):
                 for n, line in enumerate(_split(texts[i])):
-                    if len(line) >= min_chars:
+                    if len(line) >= bands[0][0]:
                         lines.setdefault(line, (i, n))
             names, places = list(lines), list(lines.values())
             at = size = 0
             for stop in range(1, len(names) + 1):  # about a million characters at once
                 size += len(names[stop - 1])
                 if size > 1 << 20 or stop == len(names):
-                    number, key, filed = line_keys(names[at:stop], edits)
+                    number, key, filed = band_keys(names[at:stop], bands)
                     own = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in names[at:stop]], np.uint64).view(np.int64)
                     row = np.array([rkeys[p[0]] for p in places[at:stop]], np.int64)
                     n = np.array([p[1] for p in places[at:stop]], np.int32)
@@ -193,7 +217,7 @@ def line_copies(docs: DataFrame, edits: int = 1, min_chars: int = 64, tile: int
             for line in order[:-1]:
                 if later and later[0] is line:
                     later = later[1:]
-                hit = [within(line, x, edits) for x in later]
+                hit = [within(line, x, allowed(max(len(line), len(x)), bands)) for x in later]
                 copies.update(x for x, h in zip(later, hit, strict=True) if h)
                 later = [x for x, h in zip(later, hit, strict=True) if not h]
         return pa.table({"line": pa.array([xxhash.xxh128_digest(x.encode("utf-8", "replace")) for x in copies], pa.binary())})
@@ -205,7 +229,7 @@ def line_copies(docs: DataFrame, edits: int = 1, min_chars: int = 64, tile: int
     return gone.groupBy(F.col("rkey").alias("__rkey")).agg(F.collect_set("n").alias("__gone"))
 
 
-def line_dedup(docs: DataFrame, edits: int = 1, min_chars: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int | None = None, min_chars: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with copies taken out of the text, and ``lines_removed``."""
     # by position, so that no name clashes; the same columns go to both joins by row key, so that Spark deals the texts out once
     names = [f"c{i}" for i in range(len(docs.columns))]

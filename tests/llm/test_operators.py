@@ -139,6 +139,27 @@ def test_line_dedup(docs, empty, edits):
     assert lines.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_grows(spark):
+    """Lines of 10 to 600 characters, one to four edits apart, across the bands' borders, against brute force."""
+    rng = random.Random(8)
+    texts = []
+    for size in [10, 14, 15, 16, 17, 24, 30, 31, 32, 33, 48, 63, 64, 90, 200, 253, 254, 255, 256, 258, 400, 600] * 3:
+        line = "".join(rng.choice("abcdefghij") for _ in range(size))
+        texts.append(line)
+        for edits in (1, 2, 3, 4):
+            x = list(line)
+            for at in rng.sample(range(size), edits):
+                x[at] = rng.choice(["", "Z", x[at] + "Y"])
+            texts.append("".join(x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edits_of = lambda n: 3 if n >= 256 else 2 if n >= 32 else 1 if n >= 16 else 0
+    close = lambda a, b: a == b or min(len(a), len(b)) >= 16 and abs(len(a) - len(b)) < 4 and distance(a, b) <= edits_of(max(len(a), len(b)))
+    want = {i for i, x in enumerate(texts) if any(abs(len(y) - len(x)) < 4 and close(x, y) for y in texts[i - i % 5 : i])}
+    got = {r.doc_id for r in lines.line_dedup(df).where("lines_removed > 0").collect()}
+    print(f"{len(got & want)} of {len(want)} copies found")
+    assert got == want
+
+
 def test_pieces(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     m = pieces.model(path)
