@@ -75,7 +75,7 @@ def _hybrid(s, d):
 
 def _convergence(s, d):
     rows = similarity.pairs(sources.user_k(s, d)).groupBy(F.col("u1").alias("u")).agg(F.max("jaccard").alias("sim"))
-    return reports.running_best(rows.withColumn("part", F.lit(0)), "u", "sim", "part")
+    return reports.running_best(rows.withColumn("part", F.lit(0)), "u", "sim")
 
 
 def _alpha(s, d):
@@ -131,7 +131,7 @@ QUERIES = {
     "blocks": lambda s, d: reports.blocks(sources.order_part(s, d), "u"),
     "alpha_fold": _alpha,
     "convergence": _convergence,
-    "resample": lambda s, d: reports.resampled(_convergence(s, d), "u", "best", "part", 20),
+    "resample": lambda s, d: reports.resampled(_convergence(s, d), "u", "best", 20).withColumn("part", F.lit(0)),
     "allgather_union": lambda s, d: sources.order_part(s, d).select(F.col("u").alias("id")).union(sources.order_part(s, d).select("v")).distinct(),
     "allreduce_best": lambda s, d: similarity.pairs(sources.user_k(s, d)).agg(F.max(F.struct("jaccard", (-F.col("u1")).alias("a"), (-F.col("u2")).alias("b"))).alias("m")).select("m.jaccard", (-F.col("m.a")).alias("u1"), (-F.col("m.b")).alias("u2")),
     "top_queries": lambda s, d: _queries_of(s, sources.order_part(s, d)),

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _folders: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints. Only a local session may go without: it gets a temporary one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = tempfile.mkdtemp(prefix="spark-")
+    return _folders[app]
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
-    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read again: lost executors cost no lineage, and it isn't computed twice."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def degree(edges: DataFrame, side: str) -> DataFrame:
@@ -29,15 +40,18 @@ def adjacency(edges: DataFrame, side: str = "u") -> DataFrame:
     return edges.groupBy(side).agg(F.sort_array(F.collect_set(other)).alias("nbrs"))
 
 
-def core(edges: DataFrame, k: int) -> DataFrame:
-    """Edges of the largest subgraph in which every vertex has k neighbours: semi-joins until nothing goes."""
+def core(edges: DataFrame, k: int, steps: int = 3) -> DataFrame:
+    """Edges of the largest subgraph in which every vertex has k neighbours: semi-joins until nothing goes.
+
+    Both sides are peeled ``steps`` times before the rows are written and counted.
+    """
     edges, size = settled(edges), None
     while True:
-        for side in ("u", "v"):
+        for side in ("u", "v") * steps:
             edges = edges.join(edges.groupBy(side).count().where(F.col("count") >= k).select(side), side, "left_semi")
         edges = settled(edges.select("u", "v"))
         n = edges.count()
-        if n == size:
+        if n == size or not n:
             return edges
         size = n
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.adaptive import density_class
 from tessera.operators.graph import core, degree
-from tessera.sources.edges import numbered
+from tessera.sources.edges import in_ranges, numbered
 
 
 def tiles(edges: DataFrame, tau: int, dense_share: float, parts: int = 64) -> DataFrame:
@@ -38,17 +38,31 @@ def blocks(edges: DataFrame, side: str, size: int = 256) -> DataFrame:
     return rows.withColumn("target", density_class(F.col("mean_deg")) if side == "u" else F.lit("sparse"))
 
 
-def running_best(rows: DataFrame, order: str, value: str, part: str) -> DataFrame:
-    """Add ``best``, the largest value so far in the part, and ``gain`` over the row before."""
-    w = Window.partitionBy(part).orderBy(order)
-    found = rows.withColumn("best", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return found.withColumn("gain", F.col("best") - F.coalesce(F.lag("best").over(w), F.lit(0.0)))
+def running_best(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """Add ``best``, the largest value so far, and ``gain`` over the row before: within ranges, on top of the ranges before."""
+    ranged = in_ranges(rows, order)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    tops = ranged.groupBy("__part").agg(F.max(value).alias("__top")).select("__part", F.max("__top").over(before).alias("__before"))
+    w = Window.partitionBy("__part").orderBy(order)
+    found = ranged.join(F.broadcast(tops), "__part").withColumn("best", F.greatest(F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__before"))
+    return found.withColumn("gain", F.col("best") - F.coalesce(F.lag("best").over(w), "__before", F.lit(0.0))).drop("__part", "__before")
 
 
-def resampled(rows: DataFrame, order: str, value: str, part: str, points: int) -> DataFrame:
-    """part, point, value: the step function at ``points`` even places from 1 to the part's last position."""
-    last = rows.groupBy(part).agg(F.max(order).alias("last"))
-    grid = last.select(part, F.explode(F.sequence(F.lit(1), F.lit(points))).alias("point"), "last").select(part, F.ceil(F.col("last") * F.col("point") / points).alias("at"), "point", F.lit(None).cast("double").alias("value"))
-    steps = rows.select(part, F.col(order).alias("at"), F.lit(0).alias("point"), F.col(value).cast("double").alias("value"))
-    w = Window.partitionBy(part).orderBy("at", "point").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.union(grid.select(part, "at", "point", "value")).withColumn("value", F.last("value", True).over(w)).where("point > 0").select(part, "point", "value")
+def resampled(rows: DataFrame, order: str, value: str, points: int) -> DataFrame:
+    """point, value: the step function at ``points`` even places from 1 to the last position (whole numbers).
+
+    Each step goes to the first place that is not before it, where the last of them stays; places are few.
+    """
+    last = rows.agg(F.max(order).cast("long").alias("last"))
+    place = F.greatest(F.lit(1), F.floor((F.col(order).cast("long") - 1) * F.lit(points) / F.col("last")) + 1).cast("int")
+    steps = rows.join(F.broadcast(last)).groupBy(place.alias("point")).agg(F.max_by(F.col(value).cast("double"), order).alias("value"))
+    grid = last.where("last is not null").select(F.explode(F.sequence(F.lit(1), F.lit(points))).alias("point"))
+    so_far = Window.orderBy("point").rowsBetween(Window.unboundedPreceding, 0)  # ``points`` rows
+    return grid.join(steps, "point", "left").select("point", F.last("value", True).over(so_far).alias("value"))
+
+
+def tile_balance(tiles: DataFrame) -> DataFrame:
+    """dense, sparse: work of the two targets; balance: the smaller over the larger, 0 where one has none."""
+    work = lambda target: F.coalesce(F.sum(F.when(F.col("target") == target, F.col("work"))), F.lit(0))
+    both = tiles.agg(work("dense").alias("dense"), work("sparse").alias("sparse"))
+    return both.withColumn("balance", F.when(F.greatest("dense", "sparse") > 0, F.least("dense", "sparse") / F.greatest("dense", "sparse")).otherwise(0.0))
