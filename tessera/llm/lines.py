@@ -16,13 +16,15 @@ place of a line is kept in each of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import SpanHash, cut, mix, parts_for, row_key, tiled
+from tessera.llm.shared import SpanHash, chunked, cut, mix, parts_for, row_key, tiled
 
 
 #: (characters from which it holds, edits)
@@ -133,6 +135,67 @@ def band_keys(lines: list[str], bands: tuple[tuple[int, int], ...] = BANDS) -> t
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
 
 
+def buckets_of(rows: pa.Table, number: np.ndarray) -> Iterator[np.ndarray]:
+    """The different numbers of the lines of each key and tile, in order."""
+    keys = [rows[k].to_numpy() for k in ("key", "tile_i", "tile_j")]
+    order = np.lexsort((number, *keys))
+    number, keys = number[order], [k[order] for k in keys]
+    if len(number):
+        new = np.any([np.diff(k, prepend=k[0]) != 0 for k in keys], axis=0)
+        fresh = new | (np.diff(number, prepend=-1) != 0)
+        yield from np.split(number[fresh], np.flatnonzero(new[fresh]))
+
+
+def close_lines(lines: list[str], buckets: Iterable[np.ndarray], bands: tuple[tuple[int, int], ...]) -> list[int]:
+    """Numbers of the lines that are copies of one with a smaller number of a bucket that they share.
+
+    Pairs are met once, and ruled out by their lengths and by numbers of characters (an edit changes two of them at
+    most) before any distance is computed.
+    """
+    size = np.array([len(x) for x in lines], np.int64)
+    edits = np.zeros(len(lines), np.int64)
+    for least, e in bands:
+        edits[size >= least] = e
+    counts = np.zeros((len(lines), 32), np.int32)
+    for at, stop in chunked(lines):
+        letters = np.frombuffer("".join(lines[at:stop]).encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(31)
+        owner = np.repeat(np.arange(stop - at) * 32, size[at:stop])
+        counts[at:stop] = np.bincount(owner + letters, minlength=32 * (stop - at)).reshape(-1, 32)
+    met: set[int] = set()
+    copies: set[int] = set()
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        for at in range(0, len(a), 1 << 16):
+            i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            most = edits[np.where(size[i] > size[j], i, j)]
+            near = np.flatnonzero((np.abs(size[i] - size[j]) <= most) & (np.minimum(size[i], size[j]) >= bands[0][0]))
+            i, j, most = i[near], j[near], most[near]
+            near = np.flatnonzero(np.abs(counts[i] - counts[j]).sum(1) <= 2 * most)
+            for x, y, e in zip(i[near].tolist(), j[near].tolist(), most[near].tolist(), strict=True):
+                if y not in copies and (pair := x * len(lines) + y) not in met:
+                    if within(lines[x], lines[y], e):
+                        copies.add(y)
+                    elif len(met) < 1 << 20:
+                        met.add(pair)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for bucket in buckets:
+        if len(bucket) <= 64:
+            i, j = np.triu_indices(len(bucket), 1)
+            held.append((bucket[i], bucket[j]))
+            n += len(i)
+        else:
+            for k, line in enumerate(bucket[:-1].tolist()):
+                compare(np.full(len(bucket) - k - 1, line), bucket[k + 1 :])
+        if n > 1 << 16:
+            compare(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        compare(*map(np.concatenate, zip(*held, strict=True)))
+    return sorted(copies)
+
+
 def _split(text: str | None) -> list[str]:
     return [x.strip() for x in text.split("\n")] if text else []
 
@@ -203,24 +266,18 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
     met = met.withColumn("grp", F.pmod(F.xxhash64("key", "tile_i", "tile_j"), F.lit(groups)))
 
     def compare(rows: pa.Table) -> pa.Table:
-        buckets: dict[tuple, dict[str, tuple]] = {}
-        columns = {k: rows[k].to_pylist() for k in ("key", "tile_i", "tile_j", "id", "rkey", "n", "text")}
-        for key, i, j, doc, rkey, n, text in zip(*columns.values(), strict=True):
-            bucket = buckets.setdefault((key, i, j), {})
-            place = (doc is None, doc or 0, rkey, n)
-            if text not in bucket or place < bucket[text]:
-                bucket[text] = place
-        copies: set[str] = set()
-        for bucket in buckets.values():
-            order = sorted(bucket, key=bucket.get)
-            later = order[1:]  # those after the line at hand that aren't copies yet
-            for line in order[:-1]:
-                if later and later[0] is line:
-                    later = later[1:]
-                hit = [within(line, x, allowed(max(len(line), len(x)), bands)) for x in later]
-                copies.update(x for x, h in zip(later, hit, strict=True) if h)
-                later = [x for x, h in zip(later, hit, strict=True) if not h]
-        return pa.table({"line": pa.array([xxhash.xxh128_digest(x.encode("utf-8", "replace")) for x in copies], pa.binary())})
+        texts, number = np.unique(np.array(rows["text"].to_pylist(), object), return_inverse=True)
+        places = list(zip(*(rows[k].to_pylist() for k in ("id", "rkey", "n")), strict=True))
+        first: list = [None] * len(texts)
+        for k, (doc, rkey, n) in zip(number.tolist(), places, strict=True):
+            place = doc is None, doc or 0, rkey, n
+            if first[k] is None or place < first[k]:
+                first[k] = place
+        rank = np.empty(len(texts), np.int64)
+        rank[sorted(range(len(texts)), key=first.__getitem__)] = np.arange(len(texts))
+        texts = texts[np.argsort(rank)]  # from here on a line's number is its place in the order
+        copies = close_lines(texts.tolist(), buckets_of(rows, rank[number]), bands)
+        return pa.table({"line": pa.array([xxhash.xxh128_digest(texts[k].encode("utf-8", "replace")) for k in copies], pa.binary())})
 
     near = met.groupBy("grp").applyInArrow(compare, "line binary").distinct().withColumn("near", F.lit(True))
     firsts = firsts.join(near, "line", "left").where("times > 1 or near")
