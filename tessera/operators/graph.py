@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,10 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lost executors cost no lineage, and it isn't computed twice."""
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the tables that ``settled`` has written so far; frames that read them are of no use afterwards."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def degree(edges: DataFrame, side: str) -> DataFrame:
     return edges.groupBy(side).agg(F.count("*").alias("deg"))
 
