@@ -1,25 +1,33 @@
 """HTML extraction (6): consensus host paths.
 
-Each page's containers are scored by the text that they hold outside of boilerplate. The best container's path of
-tags and generalised classes (digits and what follows them gone) is a vote of its host; votes are
-counted in Spark, and every page is read again with its host's winning path. A page that has no such
-container, or whose url names no host, goes by its own best one.
-
-Boilerplate is navigation, headers and footers of the page, asides, forms, scripts, styles, hidden parts and
-whatever a class or id calls an advert, menu, sidebar, notice, comment or the like. Blocks are paragraphs,
-headings, list items, cells and the like; a line break inside one is white space. Null or empty html gives an empty
-text. Repeated rows vote and are read one by one.
+Each page's containers are scored by their prose: characters outside of links in blocks that read like sentences, and
+outside of boilerplate. From the page down, the container that holds nearly all of its parent's score is taken (an
+``article`` or ``main`` with most of it first). The best one's path of tags and generalised classes (digits and what
+follows them gone) is a vote of its host; votes are counted in Spark, and every page is read again with its host's
+winning path. A page that has no such container, or whose url names no host, goes by its own best one.
+
+Boilerplate is navigation, headers and footers of the page, asides, forms, scripts, styles, hidden parts and what a class
+or id calls an advert, menu, sidebar, notice, comment or the like. A name that only holds such a word beside others
+(``post-header``, ``related-work``) is no more than a suspicion, which needs a part that is mostly links or holds form
+fields. Where a page has no ``article`` or ``main``, blocks that are nothing but a short link go, too.
+
+Blocks are paragraphs, headings, list items, cells and the like; a line break inside one is white space. Null or empty
+html gives an empty text. Repeated rows vote and are read one by one. Other columns of the pages are not looked at.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import cut
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,13 +35,18 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("article body div html main section table tbody td tr".split())
 DROPPED = frozenset("nav aside form footer button select option svg canvas object audio video dialog menu head".split())
-#: Of class and id: whole words, split at what isn't a letter.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
+#: Words of a class or id, split at what isn't a letter. The first ones name boilerplate wherever they stand.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus modal nav navbar navigation newsletter pager pagination popup promo promoted respond sidebar signup sponsor sponsored subscribe toolbar widget".split()
 )
+#: These do where only they and words of layout make up the name.
+WEAK = frozenset("banner footer form header menu notice notices related search share sharing skip social tags".split())
+LAYOUT = frozenset("area articles bar block bottom box container content global inner item items left links list main outer page pages posts right row section site stories top wrap wrapper".split())
+FIELDS = frozenset("button form input select textarea".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An open tag of the key is closed by the start of one of its own kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SENTENCE = re.compile(r"[.!?。！？…](?:\s|$|[\"')\]»”])")
 CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -45,42 +58,78 @@ def host_of(url: str | None) -> str | None:
 
 
 class Node:
-    __slots__ = ("dropped", "own", "parent", "path", "size", "tag")
+    """An open element. Suspects count the characters of their text, those of them in links, and form fields."""
+
+    __slots__ = ("dropped", "fields", "links", "parent", "path", "score", "suspect", "tag", "text")
+
+    def __init__(self, tag: str, path: str, parent, dropped: bool, suspect: bool = False):
+        self.tag, self.path, self.parent, self.dropped, self.suspect = tag, path, parent, dropped, suspect
+        self.score = self.text = self.links = self.fields = 0
+
+    def is_boilerplate(self) -> bool:
+        return self.dropped or self.suspect and (self.fields > 0 or 2 * self.links > self.text)
+
 
-    def __init__(self, tag: str, path: str, parent, dropped: bool):
-        self.tag, self.path, self.parent, self.dropped = tag, path, parent, dropped
-        self.size, self.own = 0, None
+class Block(NamedTuple):
+    at: Node  # the container
+    inside: Node  # the innermost element
+    text: str
+    links: int  # characters in links
+
+    def score(self) -> int:
+        """Characters outside of links, if it reads like prose."""
+        return len(self.text) - self.links if SENTENCE.search(self.text) or self.text.count(" ") >= 7 else 0
+
+
+def _names_boilerplate(value: str) -> tuple[bool, bool]:
+    """Does a class, id or role name boilerplate; may it?"""
+    sure = maybe = False
+    for name in value.split():
+        words = {w.lower() for w in CAMEL.findall(name)}
+        sure |= bool(words & STRONG) or bool(words & WEAK) and words <= WEAK | LAYOUT
+        maybe |= bool(words & WEAK)
+    return sure, maybe
 
 
 def _open(tag: str, attributes: str, parent: Node) -> Node:
-    kind, dropped = "", parent.dropped or tag in DROPPED or (tag == "header" and "article" not in parent.path and "main" not in parent.path)
+    kind, suspect = "", False
+    dropped = parent.dropped or tag in DROPPED or (tag == "header" and "article" not in parent.path and "main" not in parent.path)
     if attributes:
         for name, *values in NAMED.findall(attributes):
             value = next((v for v in values if v), "")
             name = name.lower()
             if name == "class":
                 kind = "." + ".".join(re.sub(r"\d.*", "", c) for c in sorted(value.lower().split()))
-            words = {w.lower() for w in CAMEL.findall(value)} if name in ("class", "id", "role") else ()
-            if tag not in ("body", "html", "article", "main") and MARKS & set(words) or name == "hidden" or (name == "aria-hidden" and value == "true"):
-                dropped = True
-    return Node(tag, f"{parent.path}/{tag}{kind}" if tag in CONTAINERS else parent.path, parent, dropped)
+            if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
+                sure, maybe = _names_boilerplate(value)
+                dropped |= sure
+                suspect |= maybe
+            dropped |= name == "hidden" or (name == "aria-hidden" and value == "true")
+    return Node(tag, f"{parent.path}/{tag}{kind}" if tag in CONTAINERS else parent.path, parent, dropped, suspect)
 
 
-def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """(container, text) of the blocks outside of boilerplate, in page order, and all containers in page order."""
+def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
+    """The blocks outside of boilerplate, in page order, and all containers in page order."""
     root = Node("", "", None, False)
-    stack, containers, blocks, text = [root], [root], [], []
+    stack, containers, blocks, text, linked = [root], [root], [], [], []
 
     def flush() -> None:
         if text:
             block = " ".join(html.unescape("".join(text)).split())
-            text.clear()
             if block and not stack[-1].dropped:
                 at = stack[-1]
                 while at.tag and at.tag not in CONTAINERS:
                     at = at.parent
-                blocks.append((at, block))
+                links = min(len(block), len(" ".join(html.unescape("".join(linked)).split()))) if linked else 0
+                blocks.append(Block(at, stack[-1], block, links))
+                for node in stack:
+                    if node.suspect:
+                        node.text += len(block)
+                        node.links += links
+            text.clear()
+            linked.clear()
 
+    in_link = False
     at = 0
     search = TOKEN.search
     while True:
@@ -88,6 +137,8 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         piece = page[at : m.start() if m else len(page)]
         if piece and not stack[-1].dropped:
             text.append(piece)
+            if in_link:
+                linked.append(piece)
         if not m:
             break
         at = m.end()
@@ -95,6 +146,11 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "a":
+            in_link = not m[1]
+        if tag in FIELDS and not m[1]:
+            for node in stack:
+                node.fields += node.suspect
         if m[1]:
             if tag in INLINE:
                 if tag == "br":
@@ -121,7 +177,7 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 text.append(" " if tag == "br" else "")
             else:
                 node = _open(tag, m[3], stack[-1])
-                if node.dropped:
+                if node.dropped or node.suspect:
                     stack.append(node)
             continue
         flush()
@@ -147,29 +203,42 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if tag in CONTAINERS:
             containers.append(node)
     flush()
-    return blocks, containers
+    return [b for b in blocks if not _within(b.inside, Node.is_boilerplate)], containers
+
 
+def _within(node: Node | None, test: Callable[[Node], bool]) -> bool:
+    """Does the test hold for the element or one around it?"""
+    while node is not None:
+        if test(node):
+            return True
+        node = node.parent
+    return False
 
-def best_container(blocks: list[tuple[Node, str]], containers: list[Node], share: float = 0.5) -> Node | None:
-    """The innermost container that holds more than ``share`` of the page's text outside of boilerplate; articles and mains first."""
-    for node, block in blocks:
+
+def best_container(blocks: list[Block], containers: list[Node], share: float = 0.5, nearly: float = 0.9) -> Node | None:
+    """An article or main with more than ``share`` of the page's score; else, from the page down, the child with ``nearly`` all of it."""
+    for block in blocks:
+        node, score = block.at, block.score()
         while node is not None:
-            node.size += len(block)
+            node.score += score
             node = node.parent
-    total = containers[0].size
-    if not total:
+    if not (total := containers[0].score):
         return None
-    named = [c for c in containers if c.tag in ("article", "main") and not c.dropped and c.size > share * total]
-    large = named or [c for c in containers if not c.dropped and c.size > share * total]
-    return max(large, key=lambda c: (c.path.count("/"), c.size)) if large else None
+    if named := [c for c in containers if c.tag in ("article", "main") and c.score > share * total]:
+        return max(named, key=lambda c: (c.tag == "article", c.score, c.path.count("/")))
+    at = containers[0]
+    for c in containers[1:]:  # in page order: a child comes after its parent
+        if c.score >= nearly * at.score and _within(c.parent, lambda node, at=at: node is at):
+            at = c
+    return at
 
 
 def path_of(page: str | None) -> tuple[str | None, int]:
-    """The generalised path of the page's best container, and its characters of text."""
+    """The generalised path of the page's best container, and its score."""
     if not page:
         return None, 0
     best = best_container(*blocks_of(page))
-    return (best.path, best.size) if best else (None, 0)
+    return (best.path, best.score) if best else (None, 0)
 
 
 def extract(page: str | None, path: str | None = None) -> str:
@@ -177,19 +246,14 @@ def extract(page: str | None, path: str | None = None) -> str:
     if not page:
         return ""
     blocks, containers = blocks_of(page)
-    chosen = {id(c) for c in containers if path is not None and c.path == path and not c.dropped}
-
-    def inside(node) -> bool:
-        while node is not None:
-            if id(node) in chosen:
-                return True
-            node = node.parent
-        return False
-
-    if not chosen or not any(inside(n) for n, _ in blocks):
+    chosen = {id(c) for c in containers if path and c.path == path}
+    if not chosen or not any(_within(b.at, lambda node: id(node) in chosen) for b in blocks):
         best = best_container(blocks, containers)
-        chosen = {id(best)} if best else {id(containers[0])}
-    return "\n".join(b for n, b in blocks if inside(n))
+        chosen = {id(best or containers[0])}
+    kept = [b for b in blocks if _within(b.at, lambda node: id(node) in chosen)]
+    if any(not _within(b.at, lambda node: node.tag in ("article", "main")) and b.links < len(b.text) for b in kept):
+        kept = [b for b in kept if b.links < len(b.text) or SENTENCE.search(b.text) or _within(b.at, lambda node: node.tag in ("article", "main"))]
+    return "\n".join(b.text for b in kept)
 
 
 def html_extraction(pages: DataFrame, broadcast_hosts: int = 20_000, salts: int = 16, id_col: str = "page_id") -> DataFrame:
@@ -215,13 +279,11 @@ def html_extraction(pages: DataFrame, broadcast_hosts: int = 20_000, salts: int
     votes = base.where("__host is not null and html is not null").select("__host", paths("html").alias("v")).where("v.path is not null")
     votes = votes.groupBy("__host", F.col("v.path").alias("path")).agg(F.count("*").alias("n"), F.sum("v.size").alias("size"))
     first = Window.partitionBy("__host").orderBy(F.desc("n"), F.desc("size"), "path")
-    from tessera.llm.shared import cut
-
     winners = cut(votes.withColumn("r", F.row_number().over(first)).where("r = 1").select("__host", "path"))
     if winners.count() <= broadcast_hosts:  # a host and a path each: some MB at most
         rows = base.join(F.broadcast(winners), "__host", "left")
     else:
         spread = winners.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         rows = base.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")).join(spread, ["__host", "__salt"], "left")
-    rows = rows.withColumn("text", texts("html", "path"))
+    rows = rows.select(id_col, "url", texts("html", "path").alias("text"), "path")
     return rows.select(id_col, "url", "text", F.char_length("text").cast("long").alias("n_chars"), F.col("path").alias("host_path"))
