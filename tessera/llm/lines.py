@@ -217,7 +217,7 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
                     if line:
                         for c, v in zip(cols, (doc, rkey, n, xxhash.xxh128_digest(line.encode("utf-8", "replace"))), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "rkey", "n", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["id", "rkey", "n", "line"])
 
     def keyed(batches):
         for batch in batches:
@@ -235,17 +235,17 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
                 if size > 1 << 20 or stop == len(names):
                     number, key, filed = band_keys(names[at:stop], bands)
                     own = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in names[at:stop]], np.uint64).view(np.int64)
-                    row = np.array([rkeys[p[0]] for p in places[at:stop]], np.int64)
+                    row = pa.array([rkeys[p[0]] for p in places[at:stop]], pa.binary()).take(pa.array(number))
                     n = np.array([p[1] for p in places[at:stop]], np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row[number]), pa.array(n[number]), pa.array(own[number]), pa.array(filed)], names=["key", "rkey", "n", "own", "filed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), row, pa.array(n[number]), pa.array(own[number]), pa.array(filed)], names=["key", "rkey", "n", "own", "filed"])
                     at, size = stop, 0
 
     few = base.select(id_col, "__rkey", "__text")
-    places = few.mapInArrow(occur, "id long, rkey long, n int, line binary")
+    places = few.mapInArrow(occur, "id long, rkey binary, n int, line binary")
     order = F.struct(F.col("id").isNull(), "id", "rkey", "n")
     firsts = places.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("times"))
 
-    keys = few.mapInArrow(keyed, "key long, rkey long, n int, own long, filed boolean").repartition("key")
+    keys = few.mapInArrow(keyed, "key long, rkey binary, n int, own long, filed boolean").repartition("key")
     of_key = Window.partitionBy("key")
     shared = (F.min("own").over(of_key) != F.max("own").over(of_key)) & F.max("filed").over(of_key)
     shared = cut(keys.withColumn("shared", shared).where("shared").select("key", "rkey", "n", "own"))
@@ -260,9 +260,9 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
                 for w in wanted:
                     for k, v in (("key", w["key"]), ("tile_i", w["tile_i"]), ("tile_j", w["tile_j"]), ("id", doc), ("rkey", rkey), ("n", w["n"]), ("text", lines[w["n"]])):
                         cols[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=list(cols))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.string()), strict=True)], names=list(cols))
 
-    met = base.join(wanted, "__rkey").mapInArrow(fetch, "key long, tile_i int, tile_j int, id long, rkey long, n int, text string")
+    met = base.join(wanted, "__rkey").mapInArrow(fetch, "key long, tile_i int, tile_j int, id long, rkey binary, n int, text string")
     met = met.withColumn("grp", F.pmod(F.xxhash64("key", "tile_i", "tile_j"), F.lit(groups)))
 
     def compare(rows: pa.Table) -> pa.Table:

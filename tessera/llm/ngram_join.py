@@ -113,32 +113,52 @@ def runs_for(miss: float, depth: int) -> int:
     return math.ceil(math.log(miss) / math.log(1 - share) - 1e-9)
 
 
-def _counts(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left, right) of sets that reach the similarity: brute force over shared tokens."""
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    token, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = many[column] > 1
-    owner, column = owner[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    width = int(column.max(initial=-1)) + 1
-    both = np.zeros((len(sets), len(sets)), np.float32)
+def _links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left, right) of sets that reach the similarity: brute force over shared tokens; with ``side``, pairs of two sides.
+
+    Tokens that many of the sets hold are counted by products of matrices, the others by their few pairs.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for at in range(0, width, 4096):
-        lo, hi = np.searchsorted(column, (at, at + 4096))
-        m = np.zeros((len(sets), min(4096, width - at)), np.float32)
-        m[owner[lo:hi], column[lo:hi] - at] = 1
+    owner, many, first = owner[order], many, np.cumsum(many) - many
+    common = max(16, n // 32)
+    both = np.zeros((n, n), np.float32)
+    wide = np.flatnonzero(many > common)
+    for at in range(0, len(wide), 2048):
+        part = wide[at : at + 2048]
+        m = np.zeros((n, len(part)), np.float32)
+        rows = np.concatenate([owner[first[c] : first[c] + many[c]] for c in part.tolist()])
+        m[rows, np.repeat(np.arange(len(part)), many[part])] = 1
         both += m @ m.T
-    union = sizes[:, None] + sizes[None, :] - both
-    return np.nonzero(np.triu(both >= similarity * union - 1e-6, 1))
-
-
-def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: float = 1e-4, bucket: int = 256, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    for k in range(2, common + 1):
+        some = first[many == k]
+        i, j = np.triu_indices(k, 1)
+        for at in range(0, len(some), max(1, (1 << 20) // len(i))):
+            members = owner[some[at : at + max(1, (1 << 20) // len(i)), None] + np.arange(k)]
+            code, times = np.unique((members[:, i] * n + members[:, j]).ravel(), return_counts=True)
+            both.ravel()[code] += times
+    left, right = [], []
+    for at in range(0, n, 512):
+        sums = sizes[at : at + 512, None] + sizes
+        shared = both[at : at + 512].astype(np.float64)
+        near = shared >= similarity * (sums - shared) - 1e-6
+        a, b = np.nonzero(near)
+        a += at
+        keep = a < b if side is None else (a < b) & (side[a] != side[b])
+        left.append(a[keep])
+        right.append(b[keep])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: float = 1e-4, bucket: int = 2048, depth: int = 3, tokens: int = 1 << 21, broadcast_keys: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, copy_of (smallest id with the same shingles), n_copies, n_links (other documents that reach
-    the similarity, copies included), class_id (smallest id reachable by links), kept (is it its class's first?).
+    the similarity, copies included), class_id (smallest id reachable by links), kept (has it the class's id?), rkey (16
+    bytes that name its id and text) and first (is it the class's one document that comes first, by id, nulls last, and rkey?).
 
-    A row for each row of docs; null ids are members of classes, but a class takes its name from the others.
+    A row for each row of docs; null ids are members of classes, but a class takes its name from the others. Other columns
+    of docs are not looked at. A bucket is large if it has more than ``bucket`` sets or than ``tokens`` shingles in all.
     """
     runs, more_runs = runs_for(miss / 2, 1), runs_for(miss / 2, depth)
     base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rkey"), F.col(text_col).alias("text"))
@@ -152,13 +172,19 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
             nodes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array([len(t) for t in sets], pa.int32()), nodes], names=["id", "rkey", "sid", "size", "nodes"])
 
-    signed = cut(base.mapInArrow(sign, "id long, rkey long, sid binary, size int, nodes array<long>"))
+    signed = cut(base.mapInArrow(sign, "id long, rkey binary, sid binary, size int, nodes array<long>"))
     classes = signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull(), "id", "rkey")).alias("r"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("nodes").alias("nodes"))
     classes = cut(classes.select("sid", "first", F.col("r.rkey").alias("rkey"), "copies", "size", "nodes"))
 
     def sets_of(wanted: DataFrame, run, schema: str) -> DataFrame:
-        """Run over (sid, text and the columns of ``wanted``), one row for each class wanted."""
-        return base.select("rkey", "text").join(wanted, "rkey").mapInArrow(run, schema)
+        """Run over (sid, text and the columns of ``wanted``), one row for each class wanted.
+
+        ``wanted`` is read twice: pass a written table. Where its row keys are few, they are sent to the texts, so that only texts wanted are dealt out.
+        """
+        texts = base.select("rkey", "text")
+        if wanted.count() <= broadcast_keys:
+            texts = texts.join(F.broadcast(wanted.select("rkey")), "rkey", "left_semi")
+        return texts.join(wanted, "rkey").mapInArrow(run, schema)
 
     def alive(paths: DataFrame) -> DataFrame:
         """Members of a node that share it with a set of a size that the similarity allows, and how many it has."""
@@ -166,7 +192,9 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
         below = F.lag("size").over(by_size) >= F.col("size") * F.lit(similarity - 1e-9)
         above = F.lead("size").over(by_size) * F.lit(similarity - 1e-9) <= F.col("size")
         found = paths.withColumn("near", F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))).where("near").drop("near")
-        return cut(found.withColumn("many", F.count("*").over(Window.partitionBy("node"))))
+        own = Window.partitionBy("node")
+        large = (F.count("*").over(own) > bucket) | (F.sum("size").over(own) > tokens)
+        return cut(found.withColumn("large", large))
 
     def grow(batches):
         """Of classes in large buckets: branches of the further runs, and those below the roots of all."""
@@ -189,26 +217,27 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
                 yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row)), batch.column(3).take(pa.array(row)), pa.array(level), pa.array(parent), pa.array(node)], names=["sid", "size", "level", "parent", "node"])
 
     paths = alive(classes.select("sid", "size", F.explode("nodes").alias("node")))
-    leaf = (paths.where(F.col("many") <= bucket) if depth > 1 else paths).select("sid", "node")
-    large = paths.where(F.col("many") > bucket).select("sid", "size", "node")
+    leaf = (paths.where("not large") if depth > 1 else paths).select("sid", "size", "node")
+    large = paths.where("large").select("sid", "size", "node")
     if depth > 1 and large.limit(1).count():
         hard = classes.join(large.select("sid").distinct(), "sid", "left_semi").select("rkey", "sid", "size")
+        hard = cut(hard)
         grown = cut(sets_of(hard, grow, "sid binary, size int, level int, parent long, node long"))
         paths = alive(grown.where("level = 0").select("sid", "size", "node").distinct())
-        leaf = leaf.union(paths.where(F.col("many") <= bucket).select("sid", "node"))
-        large = large.union(paths.where(F.col("many") > bucket).select("sid", "size", "node"))
+        leaf = leaf.union(paths.where("not large").select("sid", "size", "node"))
+        large = large.union(paths.where("large").select("sid", "size", "node"))
         for level in range(1, depth):
             below = grown.where(F.col("level") == level).select("sid", F.col("parent").alias("node"), F.col("node").alias("next"))
             paths = alive(large.join(below, ["sid", "node"]).select("sid", "size", F.col("next").alias("node")).distinct())
-            leaf = leaf.union((paths.where(F.col("many") <= bucket) if level < depth - 1 else paths).select("sid", "node"))
-            large = paths.where(F.col("many") > bucket).select("sid", "size", "node")
+            leaf = leaf.union((paths.where("not large") if level < depth - 1 else paths).select("sid", "size", "node"))
+            large = paths.where("large").select("sid", "size", "node")
     # of nodes with the same members one is enough
     alike = leaf.distinct().groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("s"))
     leaf = leaf.distinct().join(alike.groupBy("n", "x", "s").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
-    places = tiled(cut(leaf), ["node"], "sid", bucket)
-    members = cut(places.groupBy("sid").agg(F.collect_list(F.struct("node", "tile_i", "tile_j", "tile_own")).alias("places")).join(classes.select("sid", "rkey", "copies"), "sid"))
-    total = members.agg(F.sum(F.size("places"))).first()[0] or 0
-    groups = parts_for(total, 1_500)
+    places = tiled(cut(leaf), ["node"], "sid", bucket, "size", tokens)
+    members = cut(places.groupBy("sid").agg(F.first("size").alias("size"), F.collect_list(F.struct("node", "tile_i", "tile_j", "tile_own")).alias("places")).join(classes.select("sid", "rkey", "copies"), "sid"))
+    total = members.agg(F.sum(F.size("places")), F.sum(F.size("places") * F.col("size").cast("long"))).first()
+    groups = max(parts_for(total[0] or 0, 1_500), parts_for(total[1] or 0, tokens // 4))
 
     def fetch(batches):
         for batch in batches:
@@ -227,7 +256,7 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
                 take = lambda x: [x[i] for i in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(cols["node"], pa.int64()), *(pa.array(cols[k], pa.int32()) for k in ("tile_i", "tile_j", "tile_own")), pa.array(take(part.column("sid").to_pylist()), pa.binary()), pa.array(take(part.column("copies").to_pylist()), pa.int64()), pa.array(take(all_nodes), pa.list_(pa.int64())), pa.array(take([s.tobytes() for s in sets]), pa.binary())], names=["node", "tile_i", "tile_j", "tile_own", "sid", "copies", "nodes", "tokens"])
 
-    filed = sets_of(members, fetch, "node long, tile_i int, tile_j int, tile_own int, sid binary, copies long, nodes array<long>, tokens binary")
+    filed = sets_of(members.drop("size"), fetch, "node long, tile_i int, tile_j int, tile_own int, sid binary, copies long, nodes array<long>, tokens binary")
     filed = filed.withColumn("grp", F.pmod(F.xxhash64("node", "tile_i", "tile_j"), F.lit(groups)))
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -245,10 +274,7 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
             g = np.array(list(seen.values()))
             if len(g) < 2:
                 continue
-            a, b = _counts([np.frombuffer(tokens[x].as_py(), np.uint64) for x in g.tolist()], similarity)
-            if ti[g[0]] != tj[g[0]]:
-                keep = own[g][a] != own[g][b]
-                a, b = a[keep], b[keep]
+            a, b = _links([np.frombuffer(tokens[x].as_py(), np.uint64) for x in g.tolist()], similarity, own[g] if ti[g[0]] != tj[g[0]] else None)
             if len(a):
                 all_nodes = [nodes[x].values.to_numpy() for x in g.tolist()]
                 alike = np.array([len(n) == len(all_nodes[0]) and (n == all_nodes[0]).all() for n in all_nodes])
@@ -270,11 +296,11 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
 
     links = cut(filed.groupBy("grp").applyInArrow(compare, "sid binary, links long, root binary"))
     roots = components(links, "sid", "root")
-    found = classes.select("sid", "first", "copies").join(links.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    found = cut(found.select("sid", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root")))
-    names = found.groupBy("root").agg(F.min("first").alias("class_id"))
-    found = found.join(names, "root").drop("root")
-    rows = signed.select("id", "sid").join(found, "sid", "left")
+    found = classes.select("sid", "first", "rkey", "copies").join(links.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    found = cut(found.select("sid", "first", "rkey", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root")))
+    names = found.groupBy("root").agg(F.min("first").alias("class_id"), F.min(F.struct(F.col("first").isNull(), "first", "rkey")).alias("best"))
+    found = found.drop("rkey").join(names.select("root", "class_id", F.col("best.rkey").alias("best")), "root").drop("root")
+    rows = signed.select("id", "rkey", "sid").join(found, "sid", "left")
     return rows.select(
         F.col("id").alias(id_col),
         F.coalesce("first", "id").alias("copy_of"),
@@ -282,4 +308,6 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce(F.col("id") == F.coalesce("class_id", "id"), F.lit(True)).alias("kept"),
+        "rkey",
+        F.coalesce(F.col("rkey") == F.col("best"), F.lit(True)).alias("first"),
     )

@@ -19,7 +19,7 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("rkey", "first")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,41 +3,45 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import clear_tables, shared_folder
+from tessera.operators.graph import settled as cut
+
+__all__ = ["clear_tables", "cut", "shared_folder"]
+
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 2**64)
-_folders: dict[str, str] = {}
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one where none is named, as in tests."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = _folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lost executors cost no lineage, nor is it computed twice."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def lean(spark: SparkSession) -> None:
+    """Let Python tasks get rows in batches of ``BATCH_BYTES`` at most, whatever texts they hold, unless the session sets another bound."""
+    if spark.conf.get(BATCH_CONF) in ("64m", "67108864b", "67108864"):  # Spark's own default
+        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A long that names a document by its id and text; repeated rows share it. Nulls are allowed."""
-    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull())
+    """16 bytes that name a document by its id and text; repeated rows share them. Nulls are allowed."""
+    parts = F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull()
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts))]))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of ``df`` bears."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 def parts_for(rows: int, per_part: int, least: int = 12) -> int:
@@ -77,7 +81,7 @@ class SpanHash:
         return mix(self.raw(start, stop))
 
 
-def chunked(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunked(texts: list, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Slices of ``texts`` of about ``limit`` characters; a longer text stands alone."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -90,15 +94,24 @@ def chunked(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def tiled(df: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
+def tiled(df: DataFrame, keys: list[str], member: str, limit: int, weight: str | None = None, most: int = 0, many: DataFrame | None = None, broadcast_keys: int = 50_000) -> DataFrame:
     """Add ``tile_i``, ``tile_j`` and ``tile_own``, so that a key of more than ``limit`` rows becomes many small groups.
 
-    The rows of a key are dealt to ceil(count / limit) chunks by a hash of ``member``; each pair of
-    chunks is a tile, and a row goes to every tile of its chunk. Pairs whose rows are in the tile's two
-    chunks (or in its one chunk, where i = j) are that tile's to compare, so none is lost or met twice.
+    The rows of a key are dealt to ceil(count / limit) chunks (more, where their ``weight`` is over ``most`` a chunk) by a
+    hash of ``member``; each pair of chunks is a tile, and a row goes to every tile of its chunk. Pairs whose rows are in
+    the tile's two chunks (or in its one chunk, where i = j) are that tile's to compare, so none is lost or met twice.
+    many: a written table of the keys over the limit, with their ``count``; where they are at most ``broadcast_keys``, the
+    rows of df needn't be dealt out for it.
     """
-    many = df.groupBy(*keys).count().where(F.col("count") > limit)
-    many = many.select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("__chunks"))
+    if many is None:
+        chunks = F.ceil(F.count("*") / limit)
+        if weight:
+            chunks = F.greatest(chunks, F.ceil(F.sum(weight) / most))
+        many = df.groupBy(*keys).agg(chunks.cast("int").alias("__chunks")).where("__chunks > 1")
+    else:
+        few = many.count() <= broadcast_keys
+        many = many.select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("__chunks"))
+        many = F.broadcast(many) if few else many
     chunks = F.coalesce("__chunks", F.lit(1))
     df = df.join(many, keys, "left").withColumn("tile_own", F.pmod(F.xxhash64(member), chunks).cast("int"))
     df = df.withColumn("__other", F.explode(F.sequence(F.lit(0), chunks - 1)))

@@ -134,7 +134,7 @@ def longest_previous_factor(data: np.ndarray, least: int) -> tuple[np.ndarray, n
     return order[found], factor[found], order[source[found]]
 
 
-def _repeats(rows: list[tuple[int, int, bytes]], length: int, later_only: bool) -> list[tuple[int, int]]:
+def _repeats(rows: list[tuple[bytes, int, bytes]], length: int, later_only: bool) -> list[tuple[bytes, int]]:
     """(document, place) of the windows that repeat, among pieces (document, start, bytes) of documents."""
     rows = sorted(set(rows))
     buffers, docs, starts = [], [], []
@@ -152,7 +152,7 @@ def _repeats(rows: list[tuple[int, int, bytes]], length: int, later_only: bool)
     if not later_only:
         place = np.union1d(place, source)
     piece = np.searchsorted(begin, place, "right") - 1
-    return list(zip(np.array(docs, np.int64)[piece].tolist(), (place - begin[piece] + np.array(starts, np.int64)[piece]).tolist(), strict=True))
+    return list(zip([docs[k] for k in piece.tolist()], (place - begin[piece] + np.array(starts, np.int64)[piece]).tolist(), strict=True))
 
 
 def substring_dedup(docs: DataFrame, length: int = 200, gram: int = 32, keep: str = "none", tile: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -165,19 +165,24 @@ def substring_dedup(docs: DataFrame, length: int = 200, gram: int = 32, keep: st
     def mark(batches):
         for batch in batches:
             text, place, gram_hash, around = anchors_of(batch.column("text").to_pylist(), length, gram)
-            # equal anchors of a batch are one row already
-            rkey = batch.column("rkey").to_numpy()[text]
-            order = np.lexsort((place, rkey, around, gram_hash))
-            gram_hash, around = gram_hash[order], around[order]
-            first = np.flatnonzero(np.r_[True, (gram_hash[1:] != gram_hash[:-1]) | (around[1:] != around[:-1])]) if len(order) else order
-            offsets = pa.array(np.append(first, len(order)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(rkey[order]), pa.array(place[order].astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([pa.array(gram_hash[first]), pa.array(around[first]), *lists], names=["gram", "around", "rkeys", "places"])
-
-    anchors = base.where(F.octet_length("text") >= length).mapInArrow(mark, "gram long, around long, rkeys array<long>, places array<int>").repartition("gram")
+            # equal anchors of a batch are one row already, in which those of repeated rows stand once
+            keys, rank = np.unique(np.array(batch.column("rkey").to_pylist(), object), return_inverse=True)
+            text = rank[text]
+            order = np.lexsort((place, text, around, gram_hash))
+            gram_hash, around, text, place = gram_hash[order], around[order], text[order], place[order]
+            if not len(order):
+                continue
+            kind = np.r_[True, (gram_hash[1:] != gram_hash[:-1]) | (around[1:] != around[:-1])]
+            one = kind | np.r_[True, (text[1:] != text[:-1]) | (place[1:] != place[:-1])]
+            first = np.flatnonzero(kind)
+            offsets = pa.array(np.append(0, np.cumsum(one))[np.append(first, len(order))].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(keys.tolist(), pa.binary()).take(pa.array(text[one])), pa.array(place[one].astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array(gram_hash[first]), pa.array(around[first]), pa.array(np.diff(np.append(first, len(order)))), *lists], names=["gram", "around", "times", "rkeys", "places"])
+
+    anchors = base.where(F.octet_length("text") >= length).mapInArrow(mark, "gram long, around long, times long, rkeys array<binary>, places array<int>").repartition("gram")
     kind, own = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
     first = F.struct(F.element_at("rkeys", 1).alias("rkey"), F.element_at("places", 1).alias("place"))
-    anchors = anchors.withColumn("n", F.sum(F.size("rkeys")).over(kind)).withColumn("first", F.min(first).over(kind))
+    anchors = anchors.withColumn("n", F.sum("times").over(kind)).withColumn("first", F.min(first).over(kind))
     anchors = anchors.withColumn("mixed", F.min("around").over(own) != F.max("around").over(own)).where("n > 1 or mixed")
     anchors = cut(anchors.withColumn("leads", F.col("first") == first))
     each = anchors.where("n > 1").select("first", F.explode(F.arrays_zip("rkeys", "places")).alias("x")).select("first", F.col("x.rkeys").alias("rkey"), F.col("x.places").alias("place"))
@@ -199,16 +204,16 @@ def substring_dedup(docs: DataFrame, length: int = 200, gram: int = 32, keep: st
                     low = max(0, w["place"] - reach)
                     for k, v in (("gram", w["gram"]), ("tile_i", w["tile_i"]), ("tile_j", w["tile_j"]), ("rkey", rkey), ("start", low), ("bytes", data[low : w["place"] + length])):
                         cols[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in (("gram", pa.int64()), ("tile_i", pa.int32()), ("tile_j", pa.int32()), ("rkey", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary()))], names=list(cols))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in (("gram", pa.int64()), ("tile_i", pa.int32()), ("tile_j", pa.int32()), ("rkey", pa.binary()), ("start", pa.int32()), ("bytes", pa.binary()))], names=list(cols))
 
-    around = base.join(sent, "rkey").mapInArrow(send, "gram long, tile_i int, tile_j int, rkey long, start int, bytes binary")
+    around = base.join(sent, "rkey").mapInArrow(send, "gram long, tile_i int, tile_j int, rkey binary, start int, bytes binary")
     around = around.withColumn("grp", F.pmod(F.xxhash64("gram", "tile_i", "tile_j"), F.lit(groups)))
 
     def compare(rows: pa.Table) -> pa.Table:
         mark = mix(rows["gram"].to_numpy().view(np.uint64) + (rows["tile_i"].to_numpy().astype(np.uint64) << np.uint64(20)) + rows["tile_j"].to_numpy().astype(np.uint64))
         order = np.argsort(mark, kind="stable")
         docs_, starts, data = rows["rkey"].to_pylist(), rows["start"].to_pylist(), rows["bytes"].to_pylist()
-        found: set[tuple[int, int]] = set()
+        found: set[tuple[bytes, int]] = set()
         part: list = []
         for x, ends in zip(order.tolist(), np.append(np.diff(mark[order]) != 0, True).tolist(), strict=True):
             part.append((docs_[x], starts[x], data[x]))
@@ -217,16 +222,16 @@ def substring_dedup(docs: DataFrame, length: int = 200, gram: int = 32, keep: st
                 part = []
         if part:
             found.update(_repeats(part, length, keep == "first"))
-        runs: list[tuple[int, int, int]] = []
+        runs: list[tuple[bytes, int, int]] = []
         for doc, at in sorted(found):
             if runs and runs[-1][0] == doc and at <= runs[-1][2]:
                 runs[-1] = doc, runs[-1][1], at + length
             else:
                 runs.append((doc, at, at + length))
-        return pa.table({"rkey": pa.array([r[0] for r in runs], pa.int64()), "start": pa.array([r[1] for r in runs], pa.int32()), "stop": pa.array([r[2] for r in runs], pa.int32())})
+        return pa.table({"rkey": pa.array([r[0] for r in runs], pa.binary()), "start": pa.array([r[1] for r in runs], pa.int32()), "stop": pa.array([r[2] for r in runs], pa.int32())})
 
-    parts = around.groupBy("grp").applyInArrow(compare, "rkey long, start int, stop int")
-    covers = whole.union(parts).groupBy("rkey").agg(F.collect_list(F.struct("start", "stop")).alias("covers"))
+    parts = around.groupBy("grp").applyInArrow(compare, "rkey binary, start int, stop int")
+    covers = whole.union(parts).groupBy("rkey").agg(F.collect_set(F.struct("start", "stop")).alias("covers"))
 
     def finish(batches):
         for batch in batches:
