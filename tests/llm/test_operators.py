@@ -95,7 +95,8 @@ def test_language(spark, docs, empty):
     rows = [(i, " ".join(rng.choice(v) for _ in range(30)), lang) for i, (lang, v) in enumerate([("en", ["the", "house", "and", "with"]), ("de", ["das", "haus", "und", "mit"])] * 30)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.predict("the house")[0] == "en" and model.predict("hausmit undas")[0] == "de"
-    assert model.predict(None) == model.predict("12 !") == ("und", 0.0)
+    assert model.predict(None) == model.predict("12 !") == ("und", 0.0, 0.0)
+    assert model.predict("漢字 мир")[0] in ("de", "en") and model.predict("漢字 мир")[2] == 0
     assert language.predict(docs, model).count() == docs.count()
     assert language.predict(docs, language.fit(empty)).where("lang_pred != 'und'").count() == 0
 
