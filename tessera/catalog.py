@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.functions.adaptive import adaptive_rate
+from tessera.functions.adaptive import adaptive_rate, link_factor
 from tessera.operators import biclique, graph, similarity, triangles
 from tessera.plans import reports
 from tessera.sources import edges as sources
@@ -35,16 +38,37 @@ def minhash_sql(hashes: int) -> str:
     return f"s AS (SELECT u, [{each}] AS sig FROM e GROUP BY u)"
 
 
-def biclique_sql(tau: int, tail: str) -> str:
-    """b: sets of two (tau 2) or three (tau 3) with least similarity and right sides."""
-    if tau == 2:
-        sets = "m AS (SELECT [u1, u2] AS members, jaccard AS sim FROM j WHERE common >= 2)"
-    else:
-        sets = "q AS (SELECT * FROM j WHERE common >= 3 AND jaccard > 0.25), m AS (SELECT [a.u1, a.u2, b.u2] AS members, least(a.jaccard, b.jaccard, c.jaccard) AS sim FROM q a JOIN q b ON b.u1 = a.u2 JOIN q c ON c.u1 = a.u1 AND c.u2 = b.u2)"
-    return f"""{sets}, x AS (SELECT members, sim, v FROM (SELECT members, sim, unnest(members) AS u FROM m) JOIN e USING (u) GROUP BY 1, 2, 3 HAVING count(*) = len(members)),
+def biclique_sql(tau: int, tail: str, pairs: str = "j", above: float = 0.25) -> str:
+    """b: sets of max(2, tau) with least similarity and right sides; of more than two, those whose pairs are above a bound."""
+    sets = [f"q AS (SELECT * FROM {pairs} WHERE common >= {tau} AND jaccard > {0.0 if tau == 2 else above}), m2 AS (SELECT [u1, u2] AS members, jaccard AS sim FROM q)"]
+    for n in range(3, tau + 1):
+        joins = " ".join(f"JOIN q p{k} ON p{k}.u1 = m.members[{k}] AND p{k}.u2 = p1.u2" for k in range(2, n))
+        least = ", ".join(["m.sim", *(f"p{k}.jaccard" for k in range(1, n))])
+        sets.append(f"m{n} AS (SELECT list_append(m.members, p1.u2) AS members, least({least}) AS sim FROM m{n - 1} m JOIN q p1 ON p1.u1 = m.members[1] AND p1.u2 > m.members[{n - 1}] {joins})")
+    return f"""{", ".join(sets)}, x AS (SELECT members, sim, v FROM (SELECT members, sim, unnest(members) AS u FROM m{max(2, tau)}) JOIN e USING (u) GROUP BY 1, 2, 3 HAVING count(*) = len(members)),
 b AS (SELECT sim, members, list_sort(list(v)) AS "right" FROM x GROUP BY sim, members HAVING count(*) >= {tau}) {tail}"""
 
 
+def affine_sql(value: str, h: int) -> str:
+    a, b = similarity.parameters(h)
+    return f"((({value}) % {similarity.PRIME}) * {a} + {b}) % {similarity.PRIME}"
+
+
+def kept_sql(share: float, *ids: str) -> str:
+    """As reservoir.kept."""
+    a, b = similarity.parameters(1)
+    value = str(b)
+    for k, name in enumerate(ids):
+        value = f"(({value} + ({name} % {similarity.PRIME}) * {similarity.parameters(k + 2)[0]}) % {similarity.PRIME})"
+    return f"(({value} * {a}) % {similarity.PRIME} < {int(share * similarity.PRIME)})"
+
+
+def sampled_jaccard_sql(share: float) -> str:
+    """js: pairs with ``sampled``; needs e, j."""
+    return f"""ek AS (SELECT * FROM e WHERE {kept_sql(share, "v")}), dk AS (SELECT u, count(*) AS deg FROM ek GROUP BY 1), pk AS (SELECT a.u AS u1, b.u AS u2, count(*) AS common FROM ek a JOIN ek b ON a.v = b.v AND a.u < b.u GROUP BY 1, 2),
+js AS (SELECT j.u1, j.u2, j.common, j.jaccard, coalesce(pk.common / (x.deg + y.deg - pk.common), 0.0) AS sampled FROM j LEFT JOIN pk ON pk.u1 = j.u1 AND pk.u2 = j.u2 LEFT JOIN dk x ON x.u = j.u1 LEFT JOIN dk y ON y.u = j.u2)"""
+
+
 def _bicliques(graph_of, tau, **options):
     return lambda s, d: biclique.search(graph_of(s, d), tau, **options)
 
@@ -53,12 +77,15 @@ def _queries_of(s, edges):
     return edges.select(F.col("u").alias("q")).distinct().orderBy("q").limit(20)
 
 
-def _streams(variant):
-    return lambda s, d: reservoir.estimate(sources.user_next(s, d), k=1 << 22, rate=0.1, variant=variant)
+def _stream(variant, k, colours=4):
+    """Slots enough (a large k) give the exact counts: colours are added until the triples' edges fit."""
 
+    def run(s, d):
+        stream = sources.user_next(s, d)
+        fit = math.ceil(math.sqrt(12 * stream.count() / k)) if k > 100_000 else colours
+        return reservoir.estimate(stream, colours=max(colours, fit), k=k, rate=0.1, variant=variant)
 
-def _sampled_stream(variant):
-    return lambda s, d: reservoir.estimate(sources.user_next(s, d), k=1000, rate=0.1, variant=variant)
+    return run
 
 
 def _estimates(s, d, hashes=64):
@@ -66,11 +93,65 @@ def _estimates(s, d, hashes=64):
     return similarity.estimates(similarity.pairs(e), similarity.signatures(e, hashes))
 
 
+def _stream_jaccard(share):
+    def run(s, d):
+        e = sources.user_k(s, d)
+        return reservoir.sampled_jaccard(e, similarity.pairs(e), share)
+
+    return run
+
+
 def _hybrid(s, d):
     e = sources.user_k(s, d)
     deg = graph.degree(e, "u")
-    rows = _estimates(s, d).join(deg.toDF("u1", "d1"), "u1").join(deg.toDF("u2", "d2"), "u2")
-    return rows.select("u1", "u2", similarity.confidence_blend(F.col("estimate"), F.col("jaccard"), F.col("d1"), F.col("d2")).alias("estimate"))
+    rows = reservoir.sampled_jaccard(e, _estimates(s, d), 0.5).join(deg.toDF("u1", "d1"), "u1").join(deg.toDF("u2", "d2"), "u2")
+    return rows.select("u1", "u2", similarity.confidence_blend(F.col("estimate"), F.col("sampled"), F.col("d1"), F.col("d2")).alias("estimate"))
+
+
+def _sampled_errors(s, d):
+    """Errors of the sampled similarity by share, above the noise."""
+    found = None
+    for share in (0.1, 0.3, 0.5):
+        one = triangles.error_metrics(_stream_jaccard(share)(s, d), "sampled", "jaccard", 0.01).withColumn("share", F.lit(share))
+        found = found.union(one) if found else one
+    return found
+
+
+def _minhash_errors(s, d):
+    """Errors of the estimate by number of hashes."""
+    found = None
+    for hashes in (16, 32, 64):
+        one = triangles.error_metrics(_estimates(s, d, hashes), "estimate", "jaccard").withColumn("hashes", F.lit(hashes))
+        found = found.union(one) if found else one
+    return found
+
+
+def _lape(s, d):
+    """Written and read again: dense counts, exact and by a sample of half of the edges."""
+    edges = sources.user_next(s, d)
+    tables = []
+    for counts in (triangles.local_counts(edges), reservoir.sampled_counts(edges, 0.5)):
+        path = f"{graph.shared_folder(s)}/counts-{uuid.uuid4().hex}"
+        sources.write_counts(triangles.dense_counts(edges, counts), path)
+        tables.append(sources.read_counts(s, path))
+    return triangles.error_metrics(triangles.with_estimates(*tables), "estimate", "truth")
+
+
+def _core_sets(s, d):
+    """The vertices of the 2-core's two sides, as frames of u and of v."""
+    found = graph.core(sources.order_part(s, d), 2)
+    return sources.order_part(s, d), found.select("u").distinct(), found.select("v").distinct()
+
+
+def _lsh_local(s, d):
+    e = sources.user_k(s, d)
+    group = similarity.signatures(e, 1).select("u", F.col("sig")[0].alias("grp"))
+    return biclique.local(e, 2, _queries_of(s, e), group=group)
+
+
+def _overlapping(s, d):
+    e = sources.user_k(s, d)
+    return graph.overlapping(e, e.select("u").distinct(), e.agg(F.min("u")).first()[0])
 
 
 def _convergence(s, d):
@@ -101,12 +182,17 @@ QUERIES = {
     "local_candidates": lambda s, d: similarity.candidates(sources.user_k(s, d), _queries_of(s, sources.user_k(s, d)), 0.2),
     "kcore_2": lambda s, d: graph.core_vertices(sources.order_part(s, d), 2),
     "kcore_3": lambda s, d: graph.core_vertices(sources.order_part(s, d), 3),
-    "induced_subgraph": lambda s, d: graph.induced(sources.order_part(s, d), sources.order_part(s, d).where("u % 3 = 0").select("u").distinct(), sources.order_part(s, d).where("v % 2 = 0").select("v").distinct()),
-    "remove_nodes": lambda s, d: graph.without(sources.order_part(s, d), sources.order_part(s, d).where("u % 3 = 0").select("u").distinct(), sources.order_part(s, d).where("v % 2 = 0").select("v").distinct()),
+    "induced_subgraph": lambda s, d: graph.induced(*_core_sets(s, d)),
+    "remove_nodes": lambda s, d: graph.without(*_core_sets(s, d)),
+    "overlapping": _overlapping,
     "biclique_global_t2": _bicliques(sources.order_part, 2),
     "biclique_global_t3": _bicliques(sources.user_k, 3),
+    "biclique_global_t4": _bicliques(sources.user_k, 4),
     "biclique_topk": _bicliques(sources.order_part, 2, k=10),
     "biclique_local_t2": lambda s, d: biclique.local(sources.user_k(s, d), 2, _queries_of(s, sources.user_k(s, d))),
+    "biclique_local_t3": lambda s, d: biclique.local(sources.user_k(s, d), 3, _queries_of(s, sources.user_k(s, d)), 0.25),
+    "biclique_local_group_t2": _lsh_local,
+    "biclique_print": lambda s, d: biclique.printed(biclique.search(sources.order_part(s, d), 2, k=5)),
     "biclique_ablation_nocore": _bicliques(sources.order_part, 2, use_core=False),
     "biclique_ablation_nosim": _bicliques(sources.order_part, 2, thresholds=(0.0,)),
     "biclique_global_approx": _approximate,
@@ -115,23 +201,37 @@ QUERIES = {
     "minhash_candidates": lambda s, d: _estimates(s, d).where("estimate >= 0.4"),
     "trie_groups": lambda s, d: similarity.prefix_groups(similarity.signatures(sources.user_k(s, d), 10), 2),
     "lsh_groups": lambda s, d: similarity.lsh_groups(similarity.signatures(sources.order_part(s, d), 4), 1),
+    "lsh_groups_4": lambda s, d: similarity.lsh_groups(similarity.signatures(sources.order_part(s, d), 4), 4),
+    "stream_jaccard_full": _stream_jaccard(1.0),
+    "stream_jaccard_sampled": _stream_jaccard(0.5),
     "hybrid_estimate": _hybrid,
-    "mae_rmse": lambda s, d: triangles.error_metrics(_estimates(s, d), "estimate", "jaccard"),
+    "mae_rmse": lambda s, d: triangles.error_metrics(_estimates(s, d), "estimate", "jaccard", 0.01),
+    "minhash_errors": _minhash_errors,
+    "sampled_errors": _sampled_errors,
+    "validation_pairs": lambda s, d: similarity.validation_pairs(sources.user_k(s, d), 300),
+    "seeded_order": lambda s, d: similarity.seeded_order(sources.order_part(s, d)),
     "triangles_global": lambda s, d: triangles.triangles(sources.user_next(s, d)).agg(F.count("*").alias("n")),
     "triangles_local": lambda s, d: triangles.local_counts(sources.user_next(s, d)),
     "triangles_dense_output": lambda s, d: triangles.dense_counts(sources.user_next(s, d), triangles.local_counts(sources.user_next(s, d))),
-    "reservoir1_full": _streams("fixed"),
-    "reservoir2_full": _streams("recorded"),
-    "reservoirplus_full": _streams("adaptive"),
-    "reservoir1_sampled": _sampled_stream("fixed"),
-    "reservoir2_sampled": _sampled_stream("recorded"),
-    "reservoirplus_sampled": _sampled_stream("adaptive"),
+    "triangle_vertices": lambda s, d: triangles.local_counts(sources.user_next(s, d)).agg(F.count_if(F.col("triangles") > 0).alias("n")),
+    "lape": _lape,
+    "reservoir1_full": _stream("fixed", 1 << 22),
+    "reservoir2_full": _stream("recorded", 1 << 22),
+    "reservoirplus_full": _stream("adaptive", 1 << 22),
+    "reservoir1_sampled": _stream("fixed", 500),
+    "reservoir2_sampled": _stream("recorded", 500),
+    "reservoirplus_sampled": _stream("adaptive", 500),
+    "reservoir_rounds": lambda s, d: reservoir.rounds(sources.user_next(s, d), k=500, rate=0.1, variant="adaptive"),
     "triangles_hash_sampled": lambda s, d: reservoir.sampled(sources.user_next(s, d), 0.5),
     "tiles": lambda s, d: reports.tiles(sources.order_part(s, d), 2, 0.5),
+    "tile_balance": lambda s, d: reports.tile_balance(reports.tiles(sources.order_part(s, d), 2, 0.5)),
     "blocks": lambda s, d: reports.blocks(sources.order_part(s, d), "u"),
+    "blocks_right": lambda s, d: reports.blocks(sources.order_part(s, d), "v"),
+    "link_factor": lambda s, d: sources.table(s, d, "part").select("p_partkey", link_factor(F.col("p_size")).alias("factor")),
     "alpha_fold": _alpha,
     "convergence": _convergence,
     "resample": lambda s, d: reports.resampled(_convergence(s, d), "u", "best", 20).withColumn("part", F.lit(0)),
+    "panel_json": lambda s, d: reports.panel(reports.resampled(_convergence(s, d), "u", "best", 20), "point", "value"),
     "allgather_union": lambda s, d: sources.order_part(s, d).select(F.col("u").alias("id")).union(sources.order_part(s, d).select("v")).distinct(),
     "allreduce_best": lambda s, d: similarity.pairs(sources.user_k(s, d)).agg(F.max(F.struct("jaccard", (-F.col("u1")).alias("a"), (-F.col("u2")).alias("b"))).alias("m")).select("m.jaccard", (-F.col("m.a")).alias("u1"), (-F.col("m.b")).alias("u2")),
     "top_queries": lambda s, d: _queries_of(s, sources.order_part(s, d)),
@@ -142,6 +242,18 @@ _usim = f"WITH {USER_K}, {DEGREES}, {PAIRS}, {JACCARD}, "
 _tri = f"WITH {USER_NEXT}, {TRIANGLES}, {LOCAL} "
 _est = f"{_usim}{minhash_sql(64)}, m AS (SELECT u1, u2, common, jaccard, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 64 AS estimate FROM j JOIN s x ON x.u = u1 JOIN s y ON y.u = u2) "
 _best = 'SELECT * FROM b ORDER BY sim DESC, members LIMIT '
+#: The best of four has pairs above this over the test data; a lower bound gives the same row more slowly.
+_T4_ABOVE = 0.4
+_LOCAL_BEST = ", k AS (SELECT DISTINCT u FROM e ORDER BY u LIMIT 20), o AS (SELECT unnest(members) AS q, * FROM b) SELECT q, sim, members, \"right\" FROM o WHERE q IN (FROM k) QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, members) = 1"
+_metrics = lambda t, p: f"SELECT count(*) AS n, avg(abs({p} - {t})) AS mae, sqrt(avg(({p} - {t}) * ({p} - {t}))) AS rmse, avg(abs({p} - {t}) / ({t} + 1)) AS lape"
+_minhash = lambda h: f"SELECT * FROM (WITH {minhash_sql(h)}, m AS (SELECT u1, u2, common, jaccard, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {h} AS estimate FROM j JOIN s x ON x.u = u1 JOIN s y ON y.u = u2) {_metrics('jaccard', 'estimate')}, {h} AS hashes FROM m)"
+_sampled = lambda share: f"SELECT * FROM (WITH {sampled_jaccard_sql(share)} {_metrics('jaccard', 'sampled')}, CAST({share} AS DOUBLE) AS share FROM js WHERE jaccard > 0.01)"
+_half = f"gk AS (SELECT * FROM g WHERE {kept_sql(0.5, 'src', 'dst')}), tk AS (SELECT x.src AS x, x.dst AS y, z.dst AS z FROM gk x JOIN gk y ON x.dst = y.src JOIN gk z ON z.src = x.src AND z.dst = y.dst)"
+_prefix = "CASE " + " ".join(f"WHEN {'(SELECT count(*) FROM s)' if d == 0 else f'count(*) OVER (PARTITION BY sig[1:{d}])'} <= 20 THEN {d}" for d in range(10)) + " ELSE 10 END"
+_tiles = f"""WITH RECURSIVE {ORDER_PART}, {core_sql(2)}, {DEGREES}, i AS (SELECT u, deg, row_number() OVER (ORDER BY u) - 1 AS r FROM (SELECT DISTINCT u FROM c) JOIN d USING (u)),
+z AS (SELECT greatest(1, floor(count(*) / 64)) AS size FROM i), w AS (SELECT CAST(floor(r / size) AS BIGINT) AS tile_id, min(u) AS first_u, max(u) AS last_u, count(*) AS n, CAST(sum(deg * deg) AS BIGINT) AS work, avg(deg) AS mean_deg FROM i, z GROUP BY 1),
+o AS (SELECT *, sum(work) OVER () * 1.1 * 0.5 AS budget FROM w), f AS (SELECT CAST(-1 AS BIGINT) AS tile_id, CAST(0 AS BIGINT) AS used, false AS dense UNION ALL SELECT o.tile_id, f.used + CASE WHEN f.used + o.work <= o.budget THEN o.work ELSE 0 END, f.used + o.work <= o.budget FROM f JOIN o ON o.tile_id = f.tile_id + 1),
+tl AS (SELECT tile_id, first_u, last_u, n, work, mean_deg, CASE WHEN dense THEN 'dense' ELSE 'sparse' END AS target FROM o JOIN f USING (tile_id)) """
 _conv = "b0 AS (SELECT u1 AS u, max(jaccard) AS sim, 0 AS part FROM j GROUP BY 1), b1 AS (SELECT *, max(sim) OVER (ORDER BY u) AS best FROM b0), b2 AS (SELECT *, best - coalesce(lag(best) OVER (ORDER BY u), 0.0) AS gain FROM b1) "
 _full = _tri + "SELECT * FROM l UNION ALL SELECT -1, CAST(count(*) AS DOUBLE) FROM t"
 
@@ -157,19 +269,40 @@ ORACLES = {
     "local_candidates": f"{_usim} k AS (SELECT DISTINCT u FROM e ORDER BY u LIMIT 20) SELECT u1 AS q, u2 AS u, common, jaccard FROM j WHERE u1 IN (FROM k) AND jaccard > 0.2 UNION ALL SELECT u2, u1, common, jaccard FROM j WHERE u2 IN (FROM k) AND jaccard > 0.2",
     "kcore_2": f"WITH {ORDER_PART}, {core_sql(2)} SELECT DISTINCT 'L' AS side, u AS id FROM c UNION ALL SELECT DISTINCT 'R', v FROM c",
     "kcore_3": f"WITH {ORDER_PART}, {core_sql(3)} SELECT DISTINCT 'L' AS side, u AS id FROM c UNION ALL SELECT DISTINCT 'R', v FROM c",
-    "induced_subgraph": f"WITH {ORDER_PART} SELECT * FROM e WHERE u % 3 = 0 AND v % 2 = 0",
-    "remove_nodes": f"WITH {ORDER_PART} SELECT * FROM e WHERE u % 3 <> 0 AND v % 2 <> 0",
+    "induced_subgraph": f"WITH {ORDER_PART}, {core_sql(2)} SELECT * FROM e WHERE u IN (SELECT u FROM c) AND v IN (SELECT v FROM c)",
+    "remove_nodes": f"WITH {ORDER_PART}, {core_sql(2)} SELECT * FROM e WHERE u NOT IN (SELECT u FROM c) AND v NOT IN (SELECT v FROM c)",
+    "overlapping": f"WITH {USER_K} SELECT DISTINCT u FROM e WHERE v IN (SELECT v FROM e WHERE u = (SELECT min(u) FROM e))",
     "biclique_global_t2": _sim + biclique_sql(2, _best + "1"),
     "biclique_global_t3": _usim + biclique_sql(3, _best + "1"),
+    "biclique_global_t4": _usim + biclique_sql(4, _best + "1", above=_T4_ABOVE),
     "biclique_topk": _sim + biclique_sql(2, _best + "10"),
-    "biclique_local_t2": _usim + biclique_sql(2, ", k AS (SELECT DISTINCT u FROM e ORDER BY u LIMIT 20), o AS (SELECT unnest(members) AS q, * FROM b) SELECT q, sim, members, \"right\" FROM o WHERE q IN (FROM k) QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, members) = 1"),
+    "biclique_local_t2": _usim + biclique_sql(2, _LOCAL_BEST),
+    "biclique_local_t3": _usim + biclique_sql(3, _LOCAL_BEST),
+    "biclique_local_group_t2": f"{_usim}{minhash_sql(1)}, jg AS (SELECT j.* FROM j JOIN s x ON x.u = u1 JOIN s y ON y.u = u2 WHERE x.sig = y.sig), " + biclique_sql(2, _LOCAL_BEST, "jg"),
+    "biclique_print": _sim + biclique_sql(2, "SELECT 'sim: ' || printf('%.5f', sim) || ' L: ' || array_to_string(members, ' ') || ' R: ' || array_to_string(\"right\", ' ') AS line FROM (FROM b ORDER BY sim DESC, members LIMIT 5)"),
     "biclique_ablation_nocore": _sim + biclique_sql(2, _best + "1"),
     "biclique_ablation_nosim": _sim + biclique_sql(2, _best + "1"),
     "minhash_sig": f"WITH {ORDER_PART}, {minhash_sql(16)} SELECT * FROM s",
     "minhash_estimate": _est + "SELECT * FROM m",
     "minhash_candidates": _est + "SELECT * FROM m WHERE estimate >= 0.4",
     "lsh_groups": f"WITH {ORDER_PART}, {minhash_sql(1)} SELECT sig AS band, count(*) AS n, min(u) AS least FROM s GROUP BY 1 HAVING count(*) >= 2",
-    "hybrid_estimate": _est + "SELECT u1, u2, least(1.0, least(x.deg, y.deg) / 10) * jaccard + (1 - least(1.0, least(x.deg, y.deg) / 10)) * estimate AS estimate FROM m JOIN d x ON x.u = u1 JOIN d y ON y.u = u2",
+    "lsh_groups_4": f"WITH {ORDER_PART}, {minhash_sql(4)} SELECT sig AS band, count(*) AS n, min(u) AS least FROM s GROUP BY 1 HAVING count(*) >= 2",
+    "trie_groups": f"WITH {USER_K}, {minhash_sql(10)}, l AS (SELECT u, sig, CAST({_prefix} AS INTEGER) AS level FROM s) SELECT u, level, min(u) OVER (PARTITION BY level, sig[1:level]) AS grp FROM l",
+    "stream_jaccard_full": f"{_usim}z AS (SELECT 1) SELECT *, jaccard AS sampled FROM j",
+    "stream_jaccard_sampled": f"{_usim}{sampled_jaccard_sql(0.5)} SELECT * FROM js",
+    "hybrid_estimate": _est.rstrip() + f", {sampled_jaccard_sql(0.5)} SELECT m.u1, m.u2, least(1.0, least(x.deg, y.deg) / 10) * sampled + (1 - least(1.0, least(x.deg, y.deg) / 10)) * estimate AS estimate FROM m JOIN js ON js.u1 = m.u1 AND js.u2 = m.u2 JOIN d x ON x.u = m.u1 JOIN d y ON y.u = m.u2",
+    "mae_rmse": f"{_est}{_metrics('jaccard', 'estimate')} FROM m WHERE jaccard > 0.01",
+    "minhash_errors": f"{_usim}z AS (SELECT 1) " + " UNION ALL ".join(_minhash(h) for h in (16, 32, 64)),
+    "sampled_errors": f"{_usim}z AS (SELECT 1) " + " UNION ALL ".join(_sampled(x) for x in (0.1, 0.3, 0.5)),
+    "validation_pairs": f"{_usim}i AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS seq, count(*) OVER () AS size FROM d), r AS (SELECT range AS id, {affine_sql('range', 42)} % (SELECT max(size) FROM i) AS a, {affine_sql('range', 43)} % (SELECT max(size) FROM i) AS b FROM range(300)), w AS (SELECT id, least(x.u, y.u) AS u1, greatest(x.u, y.u) AS u2 FROM r JOIN i x ON x.seq = a JOIN i y ON y.seq = b) SELECT id, w.u1, w.u2, CASE WHEN w.u1 = w.u2 THEN 1.0 ELSE coalesce(jaccard, 0.0) END AS exact FROM w LEFT JOIN j ON j.u1 = w.u1 AND j.u2 = w.u2",
+    "seeded_order": f"WITH {ORDER_PART} SELECT row_number() OVER (ORDER BY {affine_sql('u', 42)}, u) AS seq, u FROM (SELECT DISTINCT u FROM e)",
+    "triangle_vertices": _tri + "SELECT count(*) AS n FROM l",
+    "triangles_hash_sampled": f"WITH {USER_NEXT}, {_half} SELECT count(*) / 0.125 AS total FROM tk",
+    "lape": f"{_tri.rstrip()}, {_half}, lk AS (SELECT node, count(*) / 0.125 AS estimate FROM (SELECT unnest([x, y, z]) AS node FROM tk) GROUP BY 1), r AS (SELECT i, coalesce(triangles, 0.0) AS truth, coalesce(estimate, 0.0) AS estimate FROM range(0, (SELECT max(dst) + 1 FROM g)) r(i) LEFT JOIN l ON l.node = i LEFT JOIN lk ON lk.node = i) {_metrics('truth', 'estimate')} FROM r",
+    "tiles": _tiles + "SELECT * FROM tl",
+    "tile_balance": _tiles + ", k AS (SELECT coalesce(sum(work) FILTER (target = 'dense'), 0)::BIGINT AS dense, coalesce(sum(work) FILTER (target = 'sparse'), 0)::BIGINT AS sparse FROM tl) SELECT dense, sparse, least(dense, sparse) / greatest(dense, sparse) AS balance FROM k",
+    "blocks_right": f"WITH {ORDER_PART} SELECT CAST(floor(v / 256) AS BIGINT) AS block_id, count(*) AS n, avg(deg) AS mean_deg, 'sparse' AS target FROM (SELECT v, count(*) AS deg FROM e GROUP BY 1) GROUP BY 1",
+    "link_factor": "SELECT p_partkey, greatest(0.1, least(1.0, p_size / 64)) AS factor FROM part",
     "triangles_global": _tri + "SELECT count(*) AS n FROM t",
     "triangles_local": _tri + "SELECT * FROM l",
     "triangles_dense_output": _tri + "SELECT i AS node, coalesce(triangles, 0.0) AS triangles FROM range(0, (SELECT max(dst) + 1 FROM g)) r(i) LEFT JOIN l ON node = i",
@@ -180,6 +313,8 @@ ORACLES = {
     "alpha_fold": "SELECT o_custkey, greatest(0.1, round(1 - pow(0.25, count(*) / count(DISTINCT o_orderpriority)), 4)) AS rate FROM orders GROUP BY 1",
     "convergence": _usim + _conv + "SELECT * FROM b2",
     "resample": _usim + _conv + ", i AS (SELECT unnest(range(1, 21)) AS point, (SELECT max(u) FROM b0) AS last) SELECT 0 AS part, CAST(point AS INTEGER) AS point, (SELECT max(best) FROM b1 WHERE u <= ceil(last * point / 20) AND u < ceil(last * point / 20) + 1) AS value FROM i",
+    "panel_json": _usim + _conv + """, i AS (SELECT unnest(range(1, 21)) AS point, (SELECT max(u) FROM b0) AS last), r AS (SELECT point, (SELECT max(best) FROM b1 WHERE u <= ceil(last * point / 20) AND u < ceil(last * point / 20) + 1) AS value FROM i)
+SELECT '{"point":["' || string_agg(printf('%.8f', CAST(point AS DOUBLE)), '","' ORDER BY point) || '"],"value":["' || string_agg(printf('%.8f', value), '","' ORDER BY point) || '"]}' AS json FROM r""",
     "allgather_union": f"WITH {ORDER_PART} SELECT u AS id FROM e UNION SELECT v FROM e",
     "allreduce_best": f"{_usim} z AS (SELECT 1) SELECT jaccard, u1, u2 FROM j ORDER BY jaccard DESC, u1, u2 LIMIT 1",
     "top_queries": f"WITH {ORDER_PART} SELECT DISTINCT u AS q FROM e ORDER BY 1 LIMIT 20",

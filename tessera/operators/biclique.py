@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import core, settled
+from tessera.operators.graph import adjacency, core, settled
 from tessera.operators.similarity import pairs
 
-THRESHOLDS = (0.5, 0.25, 0.1, 0.05, 0.0)
+THRESHOLDS = (0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05, 0.0)
 
 
 def grown(found: DataFrame, size: int) -> DataFrame:
@@ -20,7 +20,6 @@ def grown(found: DataFrame, size: int) -> DataFrame:
     sets = found.select(F.array("u1", "u2").alias("members"), F.col("jaccard").alias("sim"))
     edge = found.select(F.col("u1").alias("a"), F.col("u2").alias("b"), "jaccard")
     for have in range(2, size):
-        sets = sets.withColumn("id", F.xxhash64("members"))
         new = sets.join(edge, F.element_at("members", -1) == F.col("a")).select("members", F.col("b").alias("next"), F.least("sim", "jaccard").alias("sim"))
         for k in range(1, have):  # the new member pairs with every other, too
             new = new.join(edge, (F.element_at("members", k) == F.col("a")) & (F.col("next") == F.col("b"))).select("members", "next", F.least("sim", "jaccard").alias("sim"))
@@ -28,36 +27,55 @@ def grown(found: DataFrame, size: int) -> DataFrame:
     return sets
 
 
-def with_right(sets: DataFrame, edges: DataFrame, least: int) -> DataFrame:
-    """Add ``right``, the common neighbours, where there are enough: relational division."""
-    each = sets.select("members", "sim", F.explode("members").alias("u")).join(edges, "u")
-    full = each.groupBy("members", "sim", "v").count().where(F.col("count") == F.size("members"))
-    return full.groupBy("members", "sim").agg(F.sort_array(F.collect_list("v")).alias("right")).where(F.size("right") >= least)
+def with_right(sets: DataFrame, edges: DataFrame, size: int, least: int) -> DataFrame:
+    """Add ``right``, the common neighbours of the ``size`` members, where there are enough: one join of neighbour lists for each."""
+    lists = adjacency(edges, "u")
+    found = sets.withColumn("right", F.lit(None).cast("array<bigint>"))
+    for k in range(1, size + 1):
+        both = found.join(lists, F.element_at("members", k) == F.col("u"))
+        common = F.when(F.col("right").isNull(), F.col("nbrs")).otherwise(F.array_intersect("right", "nbrs"))
+        found = both.select("members", "sim", common.alias("right")).where(F.size("right") >= least)
+    return found.withColumn("right", F.sort_array("right"))
 
 
-def all_above(edges: DataFrame, tau: int, theta: float, use_core: bool = True, group: DataFrame | None = None) -> DataFrame:
-    """Sets of max(2, tau) left vertices above theta, with their right sides. group: u, grp restricts pairs to a group."""
+def counted_pairs(edges: DataFrame, tau: int, theta: float, use_core: bool = True, group: DataFrame | None = None) -> DataFrame:
+    """Pairs above theta of the core's left vertices, written. group: u, grp restricts pairs to a group."""
     left = core(edges, tau).select("u").distinct() if use_core else None
     found = pairs(edges, tau, theta, left)
     if group is not None:
         a, b = group.select(F.col("u").alias("u1"), F.col("grp").alias("g1")), group.select(F.col("u").alias("u2"), F.col("grp").alias("g2"))
         found = found.join(a, "u1").join(b, "u2").where("g1 = g2").drop("g1", "g2")
-    return with_right(grown(settled(found), max(2, tau)), edges, tau)
+    return settled(found)
 
 
 def search(edges: DataFrame, tau: int, k: int = 1, thresholds=THRESHOLDS, use_core: bool = True, group: DataFrame | None = None) -> DataFrame:
-    """The k best bicliques: sim, members, right. No rows where there is none."""
-    found = None
+    """The k best bicliques: sim, members, right. No rows where there is none.
+
+    Pairs are counted once, for the lowest threshold; the others are filters. Of two members each pair has a right side
+    that is large enough, so only the best k are looked up.
+    """
+    size, edges = max(2, tau), settled(edges)
+    near = counted_pairs(edges, tau, min(thresholds), use_core, group)
+    best = lambda found: found.orderBy(F.desc("sim"), "members").limit(k)
+    if size == 2:
+        return best(with_right(best(grown(near, 2)), edges, 2, tau)).select("sim", "members", "right")
     for theta in thresholds:
-        found = settled(all_above(edges, tau, theta, use_core, group))
+        found = settled(with_right(grown(near.where(F.col("jaccard") > theta), size), edges, size, tau))
         if found.limit(k).count() >= k:
             break
-    return found.orderBy(F.desc("sim"), "members").limit(k).select("sim", "members", "right")
+    return best(found).select("sim", "members", "right")
 
 
-def local(edges: DataFrame, tau: int, queries: DataFrame, theta: float = 0.0, use_core: bool = True) -> DataFrame:
-    """q, sim, members, right: the best biclique that holds each query vertex (a frame of q)."""
-    found = all_above(edges, tau, theta, use_core)
+def local(edges: DataFrame, tau: int, queries: DataFrame, theta: float = 0.0, use_core: bool = True, group: DataFrame | None = None) -> DataFrame:
+    """q, sim, members, right: the best biclique that holds each query vertex (a frame of q), of those within its group if given."""
+    size, edges = max(2, tau), settled(edges)
+    found = with_right(grown(counted_pairs(edges, tau, theta, use_core, group), size), edges, size, tau)
     mine = found.withColumn("q", F.explode("members")).join(queries, "q", "left_semi")
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "members")
     return mine.withColumn("r", F.row_number().over(best)).where("r = 1").select("q", "sim", "members", "right")
+
+
+def printed(found: DataFrame) -> DataFrame:
+    """line: the bicliques as text."""
+    ids = lambda c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string")))
+    return found.select(F.concat(F.lit("sim: "), F.format_string("%.5f", "sim"), F.lit(" L: "), ids("members"), F.lit(" R: "), ids("right")).alias("line"))

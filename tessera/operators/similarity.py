@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import degree
+from tessera.sources.edges import numbered
 
 #: A prime; hash values of the affine family are below it.
 PRIME = 2147483647
@@ -81,3 +82,25 @@ def confidence_blend(estimate: Column, sampled: Column, d1: Column, d2: Column)
     """The sampled similarity counts the more, the larger the smaller degree is, up to ten."""
     weight = F.least(F.lit(1.0), F.least(d1, d2) / 10.0)
     return weight * sampled + (1 - weight) * estimate
+
+
+def affine(value: Column, h: int) -> Column:
+    """The hash ``h`` of whole numbers, below PRIME."""
+    a, b = parameters(h)
+    return F.pmod(F.pmod(value, F.lit(PRIME)) * F.lit(a) + F.lit(b), F.lit(PRIME))
+
+
+def validation_pairs(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """u1, u2, exact: n pairs of left vertices drawn by a hash, with their similarity (0 of pairs without common neighbours)."""
+    ids = numbered(edges.select("u").distinct(), "u").select((F.col("seq") - 1).alias("seq"), "u")
+    size = F.lit(max(1, edges.select("u").distinct().count()))
+    drawn = edges.sparkSession.range(n).select("id", F.pmod(affine(F.col("id"), seed), size).alias("i"), F.pmod(affine(F.col("id"), seed + 1), size).alias("j"))
+    both = drawn.join(ids.toDF("i", "u1"), "i").join(ids.toDF("j", "u2"), "j").select("id", F.least("u1", "u2").alias("u1"), F.greatest("u1", "u2").alias("u2"))
+    found = both.join(pairs(edges).select("u1", "u2", "jaccard"), ["u1", "u2"], "left")
+    return found.select("id", "u1", "u2", F.when(F.col("u1") == F.col("u2"), 1.0).otherwise(F.coalesce("jaccard", F.lit(0.0))).alias("exact"))
+
+
+def seeded_order(edges: DataFrame, seed: int = 42) -> DataFrame:
+    """seq, u: left vertices in the order of a hash, which stands for a shuffle with that seed."""
+    ids = edges.select("u").distinct().withColumn("h", affine(F.col("u"), seed))
+    return numbered(ids, "h", "u").select("seq", "u")

@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """x, y, z with x < y < z, each once."""
+    """x, y, z with x < y < z, each once.
+
+    Edges go from the end of the smaller degree (ties: the smaller id), so that no vertex, a hub least of all, has more
+    than about sqrt(2 * edges) of them, and wedges are made of these only.
+    """
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a != b").distinct()
-    xy, yz, xz = e.toDF("x", "y"), e.toDF("y", "z"), e.toDF("x", "z")
-    return xy.join(yz, "y").join(xz, ["x", "z"]).select("x", "y", "z")
+    ends = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
+    degree = ends.groupBy("a").agg(F.count("*").alias("n"))
+    ranked = e.join(degree.toDF("a", "na"), "a").join(degree.toDF("b", "nb"), "b")
+    up = F.struct("na", "a") < F.struct("nb", "b")
+    out = ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("d"))
+    wedges = out.toDF("s", "d1").join(out.toDF("s", "d2"), "s").where("d1 < d2")
+    found = wedges.join(e.toDF("d1", "d2"), ["d1", "d2"]).select(F.sort_array(F.array("s", "d1", "d2")).alias("t"))
+    return found.select(F.col("t")[0].alias("x"), F.col("t")[1].alias("y"), F.col("t")[2].alias("z"))
 
 
 def local_counts(edges: DataFrame) -> DataFrame:
@@ -24,7 +34,14 @@ def dense_counts(edges: DataFrame, counts: DataFrame) -> DataFrame:
     return ids.join(counts, "node", "left").select("node", F.coalesce("triangles", F.lit(0.0)).alias("triangles"))
 
 
-def error_metrics(rows: DataFrame, estimate: str, truth: str) -> DataFrame:
-    """n, mae, rmse and lape, the mean of |estimate - truth| / (truth + 1)."""
+def with_estimates(truth: DataFrame, estimate: DataFrame) -> DataFrame:
+    """node, truth, estimate: two tables of counts (node, triangles) joined; a node that one lacks goes."""
+    return truth.toDF("node", "truth").join(estimate.toDF("node", "estimate"), "node")
+
+
+def error_metrics(rows: DataFrame, estimate: str, truth: str, noise: float | None = None) -> DataFrame:
+    """n, mae, rmse and lape, the mean of |estimate - truth| / (truth + 1); of rows with a truth above ``noise`` if given."""
+    if noise is not None:
+        rows = rows.where(F.col(truth) > noise)
     off = F.abs(F.col(estimate) - F.col(truth))
     return rows.agg(F.count("*").alias("n"), F.avg(off).alias("mae"), F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(off / (F.col(truth) + 1)).alias("lape"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.adaptive import density_class
@@ -53,14 +53,26 @@ def resampled(rows: DataFrame, order: str, value: str, points: int) -> DataFrame
 
     Each step goes to the first place that is not before it, where the last of them stays; places are few.
     """
-    last = rows.agg(F.max(order).cast("long").alias("last"))
-    place = F.greatest(F.lit(1), F.floor((F.col(order).cast("long") - 1) * F.lit(points) / F.col("last")) + 1).cast("int")
-    steps = rows.join(F.broadcast(last)).groupBy(place.alias("point")).agg(F.max_by(F.col(value).cast("double"), order).alias("value"))
-    grid = last.where("last is not null").select(F.explode(F.sequence(F.lit(1), F.lit(points))).alias("point"))
+    last = rows.agg(F.max(order).cast("long")).first()[0]
+    spark = rows.sparkSession
+    place = F.greatest(F.lit(1), F.floor((F.col(order).cast("long") - 1) * F.lit(points) / F.lit(last or 1)) + 1).cast("int")
+    steps = rows.groupBy(place.alias("point")).agg(F.max_by(F.col(value).cast("double"), order).alias("value"))
+    grid = spark.range(1, 0 if last is None else points + 1).select(F.col("id").cast("int").alias("point"))
     so_far = Window.orderBy("point").rowsBetween(Window.unboundedPreceding, 0)  # ``points`` rows
     return grid.join(steps, "point", "left").select("point", F.last("value", True).over(so_far).alias("value"))
 
 
+def panel(rows: DataFrame, *columns: str) -> DataFrame:
+    """json: the columns' values, in order of the first, as named lists of text. For the few rows of a plot."""
+    ordered = F.sort_array(F.collect_list(F.struct(*columns)))
+
+    def texts(name: str) -> Column:
+        return F.transform(ordered, lambda x: F.format_string("%.8f", x[name].cast("double"))).alias(name)
+
+    lists = [texts(c) for c in columns]
+    return rows.agg(F.to_json(F.struct(*lists)).alias("json"))
+
+
 def tile_balance(tiles: DataFrame) -> DataFrame:
     """dense, sparse: work of the two targets; balance: the smaller over the larger, 0 where one has none."""
     work = lambda target: F.coalesce(F.sum(F.when(F.col("target") == target, F.col("work"))), F.lit(0))

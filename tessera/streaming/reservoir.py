@@ -1,20 +1,25 @@
 """One-pass triangle estimates in a fixed number of edges, and exact or sampled counts that need no order.
 
-The reservoir is one state that sees edges in order of arrival, so it is a stateful streaming operator with a
-single key: memory is bounded by the ``k`` slots, throughput by one task. ``sampled`` is the counterpart that scales out:
-edges are kept by a hash and triangles among them counted with joins.
+A reservoir sees edges in order of arrival and keeps ``k`` of them. So that this scales out, vertices get one of
+``colours`` colours by a hash, and there is a reservoir for each triple of colours: an edge goes to the triples that
+hold both of its ends' colours, and a triangle counts in the one triple of its three corners' colours. Each
+reservoir is unbiased for its triangles, so their sums are unbiased for all; with one colour it is the classical
+estimator. Memory of a task is bounded by its ``k`` slots. Repeated edges are counted again, self-loops are dropped.
 """
 
 from __future__ import annotations
 
 import pickle
 import random
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.similarity import PRIME, parameters
 from tessera.operators.triangles import triangles
 
 VARIANTS = ("fixed", "recorded", "adaptive")
@@ -27,7 +32,8 @@ class Reservoir:
     adaptive: as recorded, and the rate follows the mean age of the edges in triangles.
     """
 
-    def __init__(self, k: int, rate: float, variant: str = "recorded", z: float = 0.25, bound: int = 5, seed: int = 1):
+    def __init__(self, k: int, rate: float, variant: str = "recorded", z: float = 0.25, bound: int = 5, seed: int = 1, mine=None):
+        """mine: does a triangle (three vertices) belong to this reservoir? By default all do."""
         if variant not in VARIANTS or k * rate < 1:
             raise ValueError("unknown variant, or no slot would be freed in a round")
         self.k, self.start, self.variant, self.z, self.bound = k, rate, variant, z, bound
@@ -37,7 +43,8 @@ class Reservoir:
         self.free: list[int] = []
         self.near: dict[int, dict[int, int]] = {}
         self.nodes: dict[int, float] = {}
-        self.draw = random.Random(seed)
+        self.draw, self.mine = random.Random(seed), mine
+        self.log: list[tuple] = []  # of rounds that ended: round, t, rate, total, increment, hits, interval
 
     def survival(self, slot: int) -> float:
         _, _, p, r = self.slots[slot]
@@ -53,7 +60,7 @@ class Reservoir:
         self.t += 1
         few, many = sorted((self.near.get(src, {}), self.near.get(dst, {})), key=len)
         found = 0.0
-        for w in [w for w in few if w in many]:
+        for w in [w for w in few if w in many and (self.mine is None or self.mine(src, dst, w))]:
             if self.variant == "fixed":
                 weight = (1 - self.start) ** (-2 * (self.round - 1))
             elif self.t <= self.k:
@@ -82,6 +89,7 @@ class Reservoir:
         rate = self.start
         if self.variant == "adaptive" and self.round > self.bound and self.hits:
             rate = max(rate, round(1 - (self.z ** (self.hits / self.interval) if self.interval else 0.0), 4))
+        self.log.append((self.round, self.t - 1, self.rates[-1], self.total, self.total - (self.log[-1][3] if self.log else 0.0), self.hits, self.interval))
         self.round += 1
         self.rates.append(rate)
         self.free = self.draw.sample(range(self.k), int(self.k * rate))
@@ -99,37 +107,146 @@ class Reservoir:
         self.near.setdefault(dst, {})[src] = slot
 
 
-def estimate(stream: DataFrame, **options) -> DataFrame:
-    """node, triangles and, as node -1, the total: a batch replay, in one task that holds the reservoir and one batch."""
+def colour(vertex: int, colours: int) -> int:
+    """As ``_colour``, for an id at hand: Spark's xxhash64 of a long, with its seed."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", vertex), 42)
+    return (h - (h >> 63 << 64)) % colours
+
+
+def _colour(vertex: str, colours: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(vertex).cast("long")), F.lit(colours))
+
+
+class Coloured:
+    """The reservoirs of a task's triples."""
+
+    def __init__(self, colours: int, **options):
+        self.colours, self.options, self.held = colours, options, {}
+
+    def __getitem__(self, triple: tuple[int, int, int]) -> Reservoir:
+        if triple not in self.held:
+            mine = None if self.colours == 1 else lambda *corners: tuple(sorted(colour(x, self.colours) for x in corners)) == triple
+            self.held[triple] = Reservoir(mine=mine, **{**self.options, "seed": hash((self.options.get("seed", 1), *triple))})
+        return self.held[triple]
+
+
+def dealt(stream: DataFrame, colours: int) -> DataFrame:
+    """seq, src, dst, triple (a number): the stream's edges, each for every triple that it can complete."""
+    third = F.transform(F.sequence(F.lit(0), F.lit(colours - 1)), lambda c: F.sort_array(F.array(_colour("src", colours), _colour("dst", colours), c.cast("long"))))
+    each = stream.where("src != dst").select("seq", "src", "dst", F.explode(F.array_distinct(third)).alias("t"))
+    number = (F.col("t")[0] * colours + F.col("t")[1]) * colours + F.col("t")[2]
+    return each.select("seq", "src", "dst", number.alias("triple"))
+
+
+def _numbers(triple: int, colours: int) -> tuple[int, int, int]:
+    return triple // colours**2, triple // colours % colours, triple % colours
+
+
+def estimate(stream: DataFrame, colours: int = 4, **options) -> DataFrame:
+    """node, triangles and, as node -1, the total: a batch replay, a reservoir of k slots for each triple of colours."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = Reservoir(**options)
+        last, state = None, None
+
+        def read_out(r: Reservoir) -> pd.DataFrame:
+            return pd.DataFrame({"node": [-1, *r.nodes], "triangles": [r.total, *r.nodes.values()]}).astype({"node": "int64", "triangles": "float64"})
+
         for pdf in batches:
-            for src, dst in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+            for triple, src, dst in zip(pdf["triple"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+                if triple != last:  # rows come in order of triple, then of arrival
+                    if state:
+                        yield read_out(state)
+                    last, state = triple, Coloured(colours, **options)[_numbers(triple, colours)]
                 state.add(src, dst)
-        yield pd.DataFrame({"node": [-1, *state.nodes], "triangles": [state.total, *state.nodes.values()]}).astype({"node": "int64", "triangles": "float64"})
+        if state:
+            yield read_out(state)
 
-    return stream.select("seq", "src", "dst").repartition(1).sortWithinPartitions("seq").select("src", "dst").mapInPandas(run, "node long, triangles double")
+    parts = dealt(stream, colours).repartition("triple").sortWithinPartitions("triple", "seq").select("triple", "src", "dst")
+    found = parts.mapInPandas(run, "node long, triangles double").groupBy("node").agg(F.sum("triangles").alias("triangles"))
+    none = stream.sparkSession.createDataFrame([(-1, 0.0)], "node long, triangles double")  # a total, even of nothing
+    return found.union(none).groupBy("node").agg(F.sum("triangles").alias("triangles"))
 
 
-def stream_estimate(stream: DataFrame, **options) -> DataFrame:
-    """Structured Streaming: t, round, rate and total after each micro-batch of seq, src, dst."""
+def stream_estimate(stream: DataFrame, colours: int = 4, **options) -> DataFrame:
+    """Structured Streaming over micro-batches of seq, src, dst: rows of what each triple's reservoir holds after a batch.
+
+    triple, t, round, rate, total, increment (since the last round's end), hits and interval of the round so far. The
+    estimate of all triangles is the sum of the triples' latest totals.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    def step(_, frames, state):
-        r = pickle.loads(state.get[0]) if state.exists else Reservoir(**options)
-        for pdf in frames:
-            pdf = pdf.sort_values("seq")
-            for src, dst in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
-                r.add(src, dst)
+    schema = "triple long, t long, round long, rate double, total double, increment double, hits long, interval long"
+
+    def step(key, frames, state):
+        r = Coloured(colours, **options)[_numbers(key[0], colours)]
+        mine, r.mine = r.mine, None
+        if state.exists:
+            r = pickle.loads(state.get[0])
+        r.mine = mine
+        for src, dst in pd.concat(list(frames)).sort_values("seq")[["src", "dst"]].itertuples(index=False):
+            r.add(int(src), int(dst))
+        r.mine = None
         state.update((pickle.dumps(r),))
-        yield pd.DataFrame({"t": [r.t], "round": [r.round], "rate": [r.rates[-1]], "total": [r.total]})
+        row = key[0], r.t, r.round, r.rates[-1], r.total, r.total - (r.log[-1][3] if r.log else 0.0), r.hits, r.interval
+        yield pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return stream.groupBy(F.lit(0).alias("key")).applyInPandasWithState(step, "t long, round long, rate double, total double", "state binary", "update", GroupStateTimeout.NoTimeout)
+    return dealt(stream, colours).groupBy("triple").applyInPandasWithState(step, schema, "state binary", "update", GroupStateTimeout.NoTimeout)
 
 
-def sampled(edges: DataFrame, share: float, seed: int = 1) -> DataFrame:
-    """total: triangles among edges kept by a hash, over share cubed."""
+def rounds(stream: DataFrame, colours: int = 4, **options) -> DataFrame:
+    """triple, round, t, rate, total, increment, hits, interval: the read-out at the end of each round."""
+    names = ["triple", "round", "t", "rate", "total", "increment", "hits", "interval"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in batches:
+            log: list[tuple] = []
+            for triple, src, dst in zip(pdf["triple"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+                if triple != last:
+                    last, state = triple, Coloured(colours, **options)[_numbers(triple, colours)]
+                had = state.round
+                state.add(src, dst)
+                if state.round > had:
+                    log.append((triple, *state.log[-1]))
+            yield pd.DataFrame(log, columns=names)
+
+    parts = dealt(stream, colours).repartition("triple").sortWithinPartitions("triple", "seq").select("triple", "src", "dst")
+    return parts.mapInPandas(run, "triple long, round long, t long, rate double, total double, increment double, hits long, interval long")
+
+
+def kept(share: float, *ids: str) -> Column:
+    """Is the hash of the ids below the share of its range? The affine hash is the same in any engine."""
+    a, b = parameters(1)
+    value = F.lit(b)
+    for k, name in enumerate(ids):
+        value = F.pmod(value + F.pmod(F.col(name).cast("long"), F.lit(PRIME)) * F.lit(parameters(k + 2)[0]), F.lit(PRIME))
+    return F.pmod(value * F.lit(a), F.lit(PRIME)) < F.lit(int(share * PRIME))
+
+
+def sampled_triangles(edges: DataFrame, share: float) -> DataFrame:
+    """x, y, z: triangles among the edges kept by a hash; each stands for share^-3 of them."""
     e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    kept = e.where(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return triangles(kept).agg((F.count("*") / F.lit(share**3)).alias("total"))
+    return triangles(e.where(kept(share, "src", "dst")))
+
+
+def sampled(edges: DataFrame, share: float) -> DataFrame:
+    """total: triangles among edges kept by a hash, over share cubed."""
+    return sampled_triangles(edges, share).agg((F.count("*") / F.lit(share**3)).alias("total"))
+
+
+def sampled_counts(edges: DataFrame, share: float) -> DataFrame:
+    """node, triangles: as ``sampled``, by vertex."""
+    each = sampled_triangles(edges, share).select(F.explode(F.array("x", "y", "z")).alias("node"))
+    return each.groupBy("node").agg((F.count("*") / F.lit(share**3)).alias("triangles"))
+
+
+def sampled_jaccard(edges: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
+    """Add ``sampled`` to pairs u1, u2 of left vertices: their Jaccard over the right vertices that a hash keeps.
+
+    A right vertex is kept with all its edges, so that a pair's common and different neighbours are kept alike. 0 where
+    nothing of one is kept; 1 of a vertex with itself. A share of 1 is exact.
+    """
+    sets = edges.where(kept(share, "v")).groupBy("u").agg(F.sort_array(F.collect_set("v")).alias("n"))
+    both = pairs.join(sets.toDF("u1", "__a"), "u1", "left").join(sets.toDF("u2", "__b"), "u2", "left")
+    found = F.size(F.array_intersect("__a", "__b")) / F.size(F.array_union("__a", "__b"))
+    return both.withColumn("sampled", F.when(F.col("u1") == F.col("u2"), 1.0).otherwise(F.coalesce(found, F.lit(0.0)))).drop("__a", "__b")
