@@ -9,24 +9,28 @@ their ids, and keeps at most ``max_words`` words and ``max_grams`` n-grams of ea
 be broadcast whatever the corpus. Prediction reads the text alone.
 
 A null text, or one without letters, is ``und`` with score 0; so is every text when nothing labelled
-was learned. Ties go to the language first in the alphabet. Repeated rows are scored one by one.
+was learned. A text of letters none of which was learned goes to the language of most words learned, with that
+language's share of them. Ties go to the language first in the alphabet. Repeated rows are scored one by one; other
+columns of the rows are kept, and one that bears the prediction's name is replaced.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import unused
+
 WORD = regex.compile(r"\p{L}+")
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
-CACHE_ENTRIES = 300_000
 
 
 def words(text: str) -> list[str]:
@@ -42,57 +46,51 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class LanguageModel:
-    """Tables of log frequencies by language: words, and n-grams by length."""
-
-    def __init__(self, languages: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]]):
-        """tables: by length of n-gram (0: words) the rows of the keys and the log frequencies."""
-        self.languages, self.tables = languages, tables
-        self.unseen: dict[str, np.ndarray | None] = {}
-
-    def backoff(self, word: str) -> np.ndarray | None:
-        """Mean log frequencies of the longest n-grams known; None if not one letter is."""
-        for n in LENGTHS:
-            rows, table = self.tables.get(n, ({}, None))
-            if known := [rows[g] for g in grams(word, n) if g in rows]:
-                return table[known].mean(0)
-        return None
-
-    def scores(self, text: str) -> tuple[np.ndarray, int]:
-        """Sums of log frequencies by language, and how many words have been scored."""
-        rows, table = self.tables.get(0, ({}, None))
-        total, n = np.zeros(len(self.languages)), 0
-        known, times = [], []
-        if len(self.unseen) > CACHE_ENTRIES:
-            self.unseen.clear()
-        for word, k in Counter(words(text)).items():
-            row = rows.get(word)
-            if row is not None:
-                known.append(row)
-                times.append(k)
+    """Log frequencies by language of words, and of n-grams by length."""
+
+    def __init__(self, languages: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]], prior: np.ndarray | None = None):
+        """tables: by length of n-gram (0: words) the rows of the keys and the log frequencies. prior: the languages' words learned."""
+        self.languages = languages
+        self.prior = np.ones(len(languages)) if prior is None else prior
+        first, self.rows, all_tables = 0, {}, [np.empty((0, len(languages)))]
+        for n in (0, *LENGTHS):  # one table for all, so that a text's rows are gathered at once
+            rows, table = tables.get(n, ({}, all_tables[0]))
+            self.rows[n] = {key: first + row for key, row in rows.items()}
+            all_tables.append(table)
+            first += len(table)
+        self.table = np.concatenate(all_tables)
+
+    def scores(self, text: str) -> tuple[np.ndarray, int, float]:
+        """Sums of log frequencies by language; how many words have been scored; the share of words that are known, or by n-grams of three letters and more (0 without words)."""
+        known, lengths = self.rows[0], [(n, self.rows[n].get) for n in LENGTHS]
+        rows: list[int] = []
+        weights: list[float] = []
+        n_words = near = 0
+        counts = Counter(words(text))
+        for word, k in counts.items():
+            if (row := known.get(word)) is not None:
+                rows.append(row)
+                weights.append(k)
+                n_words += k
+                near += k
                 continue
-            if word in self.unseen:
-                found = self.unseen[word]
-            else:
-                found = self.backoff(word)
-                if len(word) <= 64:
-                    self.unseen[word] = found
-            if found is not None:
-                total += k * found
-                n += k
-        if known:
-            total += np.array(times, float) @ table[known]
-            n += sum(times)
-        return total, n
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the words' mean likelihoods."""
-        total, n = self.scores(text) if text and self.languages else (np.zeros(0), 0)
-        if not n:
-            return UNKNOWN, 0.0
-        mean = total / n
-        share = np.exp(mean - mean.max())
-        best = int(mean.argmax())
-        return self.languages[best], float(share[best] / share.sum())
+            for n, row_of in lengths:  # the longest n-grams known count alike
+                if found := [r for r in map(row_of, grams(word, n)) if r is not None]:
+                    rows += found
+                    weights += [k / len(found)] * len(found)
+                    n_words += k
+                    near += k * (n > 2)
+                    break
+        return np.array(weights) @ self.table[rows] if rows else np.zeros(len(self.languages)), n_words, near / max(1, counts.total())
+
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share of the words' mean likelihoods, and the share of words known (see ``scores``)."""
+        if not text or not self.languages or not WORD.search(text):
+            return UNKNOWN, 0.0, 0.0
+        total, n, known = self.scores(text)
+        share = np.exp(total / n - (total / n).max()) if n else self.prior
+        best = int(share.argmax())
+        return self.languages[best], float(share[best] / share.sum()), float(known)
 
 
 def fit(labelled: DataFrame, sample_docs: int = 12_000, max_words: int = 160_000, max_grams: int = 40_000) -> LanguageModel:
@@ -127,28 +125,33 @@ def fit(labelled: DataFrame, sample_docs: int = 12_000, max_words: int = 160_000
     found = top.where(F.col("r") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).select("n", "key", "by").collect()  # bounded by the parameters
     languages = sorted({x["lang"] for r in found for x in r["by"]})
     index = {lang: i for i, lang in enumerate(languages)}
-    tables = {}
+    tables, prior = {}, np.ones(len(languages))
     for n in (0, *LENGTHS):
         own = [r for r in found if r["n"] == n]
         table = np.zeros((len(own), len(languages)))
         for i, r in enumerate(own):
             for x in r["by"]:
                 table[i, index[x["lang"]]] = x["count"]
+        if n == 0:
+            prior = table.sum(0)
         tables[n] = {r["key"]: i for i, r in enumerate(own)}, np.log((table + 0.5) / (table.sum(0) + 0.5 * max(1, len(own))))
-    return LanguageModel(languages, tables)
+    return LanguageModel(languages, tables, prior)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", name: str = "lang_pred") -> DataFrame:
-    """Add the prediction and ``{name}_score`` to the rows of docs."""
+    """Add the prediction, ``{name}_score`` and ``{name}_known`` (the share of words known) to the rows of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see fit()
 
-    @F.pandas_udf("lang string, score double")
-    def run(texts):
-        import pandas as pd
-
-        return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang", "score"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = held.value
+        for texts in batches:
+            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score", "known"])
 
-    return docs.withColumn("__lang", run(F.col(text_col))).withColumn(name, F.col("__lang.lang")).withColumn(f"{name}_score", F.col("__lang.score")).drop("__lang")
+    # not deterministic, as Spark has it: a condition on the prediction then doesn't have it made twice
+    found = F.pandas_udf(run, "lang string, score double, known double").asNondeterministic()(F.col(text_col))
+    added = {name: "lang", f"{name}_score": "score", f"{name}_known": "known"}
+    names, all_three = [c for c in docs.columns if c not in added], unused(docs, "__lang")
+    return docs.select(*names, found.alias(all_three)).select(*names, *[F.col(f"{all_three}.{field}").alias(c) for c, field in added.items()])
 
 
 def held_out(doc_id: str = "doc_id"):

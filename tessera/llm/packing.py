@@ -30,7 +30,8 @@ from tessera.llm.shared import cut
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Latin-1 letters, then signs other than the apostrophe: these two parts are never joined, and only the case is changed.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
-CACHED_CHARS, CACHE_ENTRIES = 40, 800_000
+#: Words whose ids are remembered: some 60 MB, dropped at the end of a task.
+CACHED_CHARS, CACHE_ENTRIES = 40, 250_000
 _state: dict = {}
 
 
@@ -80,9 +81,10 @@ class Encoder:
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             block = [t.split() if self.by_word and not any(c in t for c in NOT_SPACE) else None for t in texts[at : at + 256]]
-            if len(self.known) > CACHE_ENTRIES:
-                self.known.clear()
-            long = self.learn(set().union(*filter(None, block)))
+            here = set().union(*filter(None, block))
+            if len(self.known) > CACHE_ENTRIES:  # the frequent ones are here again
+                self.known = {w: self.known[w] for w in here if w in self.known}
+            long = self.learn(here)
             for text, words in zip(texts[at : at + 256], block, strict=True):
                 yield self.whole(text) if words is None else self.joined(words, long)
 
@@ -93,6 +95,12 @@ def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
     return _state[path](texts)
 
 
+def forget(path: str) -> None:
+    """Drop the words remembered, which the task's worker would else hold while it runs other operators."""
+    if path in _state:
+        _state[path].known = {}
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and ``end_id``, cut at ``capacity``."""
 
@@ -108,6 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        forget(tokenizer)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
