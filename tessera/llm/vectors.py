@@ -64,9 +64,13 @@ def codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return (x - model[0]) @ model[1] >= 0
 
 
-def chunk_values(bits: np.ndarray, width: int) -> np.ndarray:
-    """Numbers of the code's chunks, which share all bits out evenly: ``width`` bits each, or somewhat more."""
-    edges = np.linspace(0, bits.shape[1], max(1, bits.shape[1] // width) + 1).astype(int)
+def chunk_edges(bits: int, width: int) -> np.ndarray:
+    """Where the chunks begin, and the end: all bits are shared out evenly, ``width`` bits a chunk or somewhat more."""
+    return np.linspace(0, bits, max(1, bits // width) + 1).astype(int)
+
+
+def chunk_values(bits: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Numbers of the code's chunks."""
     return np.stack([bits[:, a:b][:, :62] @ (1 << np.arange(min(b - a, 62))) for a, b in zip(edges[:-1], edges[1:], strict=True)], axis=1).astype(np.int64)
 
 
@@ -103,8 +107,11 @@ def _bucket_links(vectors, values, table, own, i, j, threshold):
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = 5_000, bucket: int = 32, tile: int = 2048, recall: float = 0.999, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept: a row for each id."""
+def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = 5_000, bucket: int = 32, tile: int = 2048, recall: float = 0.999, width: int | None = None, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """vec_id, n_links, component_id, kept: a row for each id. width: bits of a chunk, by the largest label if not given.
+
+    Other columns of the vectors are not looked at.
+    """
     v = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     fine = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("key", F.when(F.col("fine"), F.sha2(F.concat_ws("/", F.col("label").cast("string"), F.transform("v", lambda x: F.hex(F.xxhash64(x)))), 256)))
@@ -112,37 +119,48 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: in
     model = rotations(same, sample)
     spark = vectors.sparkSession
     most = same.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    width = min(16, max(8, math.ceil(math.log2(most / bucket)))) if most > bucket else 8
+    width = width or (min(16, max(8, math.ceil(math.log2(most / bucket)))) if most > bucket else 8)
     more = tables_for(threshold, width, recall)
     held = spark.sparkContext.broadcast(model)  # a matrix for each length of vector in the sample
 
+    def edges_of(n: int) -> np.ndarray:
+        learned = chunk_edges(n, width)
+        return np.concatenate([learned, n + chunk_edges(more * width, width)[1:]])
+
+    def coded(lists):
+        """(places, length, bits, chunks) of the batch's vectors, by length."""
+        sizes = np.diff(lists.offsets.to_numpy())
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            x = lists.take(pa.array(at)).flatten().to_numpy().reshape(-1, n).astype(float)
+            unit = x / np.ldexp(1.0, np.frexp(np.abs(x).max(1, keepdims=True))[1])  # a power of two: no rounding
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            bits = np.concatenate([codes(unit, held.value.get(n) or random_rotation(n)), unit @ planes(n, more * width) >= 0], axis=1)
+            yield at, n, bits, chunk_values(bits, edges_of(n))
+
+    def count(batches):
+        for batch in batches:
+            for at, n, _, values in coded(batch.column(1)):
+                t = np.tile(np.arange(values.shape[1], dtype=np.int32), len(at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(at, values.shape[1]))), pa.array(np.full(len(t), n, np.int32)), pa.array(t), pa.array(values.ravel())], names=["label", "dim", "tbl", "value"])
+
     def file(batches):
         for batch in batches:
-            lists = batch.column(3)
-            sizes = np.diff(lists.offsets.to_numpy())
-            for n in np.unique(sizes):
-                at = np.flatnonzero(sizes == n)
-                x = lists.take(pa.array(at)).flatten().to_numpy().reshape(-1, n)
-                scaled = x / np.ldexp(1.0, np.frexp(np.abs(x).max(1, keepdims=True))[1])  # a power of two: no rounding
-                unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-                learned = chunk_values(codes(unit, held.value.get(n) or random_rotation(n)), width)
-                values = np.concatenate([learned, chunk_values(unit @ planes(int(n), more * width) >= 0, width)], axis=1)
-                rows = np.arange(len(at))
-                columns: dict[str, list] = {k: [] for k in ("row", "table", "value")}
-                for t in range(values.shape[1]):
-                    columns["row"].append(rows)
-                    columns["table"].append(np.full(len(at), t, np.int32))
-                    columns["value"].append(values[:, t])
-                row = np.concatenate(columns["row"])
-                flat = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m[row].ravel()), m.shape[1]).cast(pa.list_(pa.from_numpy_dtype(m.dtype)))
+            for at, n, bits, values in coded(batch.column(3)):
+                tables = values.shape[1]
+                row = np.repeat(np.arange(len(at)), tables)
                 take = pa.array(at[row])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(np.full(len(row), n, np.int32)), pa.array(np.concatenate(columns["table"])), pa.array(np.concatenate(columns["value"])), flat(scaled), flat(values)], names=["id", "copies", "label", "dim", "tbl", "value", "v", "chunks"])
-
-    kind = dict(vectors.dtypes)[label]
-    filed = same.select("id", "copies", "label", "v").mapInArrow(file, f"id long, copies long, label {kind}, dim int, tbl int, value long, v array<double>, chunks array<long>")
-    filed = tiled(filed, ["label", "dim", "tbl", "value"], "id", tile)
+                packed = pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(np.full(len(row), n, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(values.ravel()), batch.column(3).take(take), packed], names=["id", "copies", "label", "dim", "tbl", "value", "v", "bits"])
+
+    kind, element = dict(vectors.dtypes)[label], "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"
+    key = ["label", "dim", "tbl", "value"]
+    base = same.select("id", "copies", "label", F.col("v").cast(f"array<{element}>").alias("v"))
+    many = base.select("label", "v").mapInArrow(count, f"label {kind}, dim int, tbl int, value long").groupBy(*key).count().where(F.col("count") > tile)
+    filed = base.mapInArrow(file, f"id long, copies long, label {kind}, dim int, tbl int, value long, v array<{element}>, bits binary")
+    filed = tiled(filed, key, "id", tile, many=cut(many))
     groups = parts_for(same.count() * (8 + more), 40_000)
-    key = ["label", "dim", "tbl", "value", "tile_i", "tile_j"]
+    key = [*key, "tile_i", "tile_j"]
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, weights, dims, tables, own = (rows[k].to_numpy() for k in ("id", "copies", "dim", "tbl", "tile_own"))
@@ -150,14 +168,21 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: in
         order = np.lexsort((ids, tj, ti, mark))
         same_as_last = (mark[order][1:] == mark[order][:-1]) & (ti[order][1:] == ti[order][:-1]) & (tj[order][1:] == tj[order][:-1])
         out: list[tuple] = []
-        v, chunks = rows["v"].combine_chunks(), rows["chunks"].combine_chunks()
+        place = np.empty(len(ids), np.int64)  # among the rows of its length
+        by_length = {}
+        for n in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == n)
+            place[at], take, edges = np.arange(len(at)), pa.array(at), edges_of(n)
+            x = rows["v"].combine_chunks().take(take).flatten().to_numpy().reshape(-1, n).astype(float)
+            packed = np.frombuffer(b"".join(rows["bits"].take(take).to_pylist()), np.uint8).reshape(len(at), -1)
+            values = [chunk_values(np.unpackbits(packed[k : k + 4096], axis=1, count=int(edges[-1])).astype(np.int64), edges) for k in range(0, len(at), 4096)]
+            by_length[n] = x / np.ldexp(1.0, np.frexp(np.abs(x).max(1, keepdims=True))[1]), np.concatenate(values)
         for g in np.split(order, np.flatnonzero(~same_as_last) + 1):
             if len(g) < 2:
                 continue
             g = g[np.r_[True, ids[g][1:] != ids[g][:-1]]]
-            take, t = pa.array(g), tables[g[0]]
-            x = v.take(take).flatten().to_numpy().reshape(len(g), dims[g[0]])
-            c = chunks.take(take).flatten().to_numpy().reshape(len(g), -1)
+            x, c = (m[place[g]] for m in by_length[dims[g[0]]])
+            t = tables[g[0]]
             a, b = _bucket_links(x, c, t, own[g], ti[g[0]], tj[g[0]], threshold)
             root = local_roots(len(g), a, b)
             links = np.bincount(a, weights[g][b], len(g)) + np.bincount(b, weights[g][a], len(g))
