@@ -22,6 +22,7 @@ import binascii
 import hashlib
 import json
 import re
+import string
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame
@@ -37,13 +38,13 @@ JWT = re.compile(r"(e[yw][A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
 ESCAPED = re.compile(r"\\[rnt]")
 PEM_HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*): *([^\r\n]*)")
-#: A run begins after no character of its own, or after an escape. DER sequences start with 0x30, OpenSSH fields with three zero bytes.
-LEFT = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))"
-DER_START = re.compile(LEFT + r"M[A-P][A-Za-z0-9+/_-]{14}")
-SSH_RUN = re.compile(LEFT + r"(?:AAAA[A-Za-z0-9+/]{38,}={0,2}|b3BlbnNzaC1rZXktdjEA(?:[A-Za-z0-9+/]|\r?\n|\\n){38,}={0,2})")
+#: DER sequences start with 0x30, OpenSSH fields with three zero bytes. Whether a run begins there, ``begins`` says.
+DER_START = re.compile(r"M[A-P][A-Za-z0-9+/_-]{14}")
+SSH_RUN = re.compile(r"AAAA[A-Za-z0-9+/]{38,}={0,2}|b3BlbnNzaC1rZXktdjEA(?:[A-Za-z0-9+/]|\r?\n|\\n){38,}={0,2}")
 #: Of a base64 text: characters, or a line end, after which blanks may stand.
 STEP = re.compile(r"([A-Za-z0-9+/_-]+)|(?:\\r)?\\n|\r?\n[ \t]*")
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+HEX_RUN = re.compile(r"30[0-9A-Fa-f]{46,}")
+IN_RUN, HEX_DIGITS = frozenset(string.ascii_letters + string.digits + "+/_-"), frozenset(string.hexdigits)
 SSH_NAMES = (b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 REPLACEMENT = "<SECRET>"
 
@@ -147,6 +148,11 @@ def is_openssh(data: bytes) -> bool:
     return 0 < n < 64 and len(name) == n and name.isascii()
 
 
+def begins(text: str, at: int) -> bool:
+    """Does a run of base64 begin there: at no character of its own, or after an escape?"""
+    return at == 0 or text[at - 1] not in IN_RUN or (at > 1 and text[at - 2 : at] in ("\\n", "\\r", "\\t"))
+
+
 def der_key_end(text: str, at: int) -> int:
     """The end of the base64 of a DER key that starts at ``at``, or -1. Its outer length says how many characters it has."""
     head = decoded(text[at : at + 16])
@@ -194,12 +200,14 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
         return k < 0 or at >= inside[k][1]
 
     for m in DER_START.finditer(text):
-        if free(m.start()) and (end := der_key_end(text, m.start())) >= 0:
+        if begins(text, m.start()) and free(m.start()) and (end := der_key_end(text, m.start())) >= 0:
             out.append(("der", m.start(), end))
     for m in SSH_RUN.finditer(text):
-        if free(m.start()) and (is_ssh_fields(data := decoded(ESCAPED.sub("\n", m[0]))) or is_openssh(data)):
+        if begins(text, m.start()) and free(m.start()) and (is_ssh_fields(data := decoded(ESCAPED.sub("\n", m[0]))) or is_openssh(data)):
             out.append(("ssh", m.start(), m.end()))
     for m in HEX_RUN.finditer(text):
+        if m.start() and text[m.start() - 1] in HEX_DIGITS:
+            continue
         body = der_length(bytes.fromhex(m[0][:12]), 1)
         if body and 2 * body[1] <= len(m[0]) and is_der_key(bytes.fromhex(m[0][: 2 * body[1]])):
             out.append(("der", m.start(), m.start() + 2 * body[1]))
