@@ -11,7 +11,8 @@ their texts together, where banded bit-parallel edit distance decides; a very co
 compared tile by tile.
 
 White lines are kept and never copies. Null texts stay null. Repeated rows are decided alike: the first
-place of a line is kept in each of them.
+place of a line is kept in each of them. Other columns are kept, whatever their names; one called ``lines_removed`` is
+replaced. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -135,6 +136,15 @@ def band_keys(lines: list[str], bands: tuple[tuple[int, int], ...] = BANDS) -> t
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
 
 
+def line_hash(line: str) -> bytes:
+    return xxhash.xxh128_digest(line.encode("utf-8", "replace"))
+
+
+def short_hashes(hashes: list[bytes]) -> pa.Array:
+    """Half of each, as a whole number."""
+    return pa.array(np.frombuffer(b"".join(hashes), np.int64)[::2])
+
+
 def buckets_of(rows: pa.Table, number: np.ndarray) -> Iterator[np.ndarray]:
     """The different numbers of the lines of each key and tile, in order."""
     keys = [rows[k].to_numpy() for k in ("key", "tile_i", "tile_j")]
@@ -215,41 +225,30 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
             for doc, rkey, text in zip(*(batch.column(k).to_pylist() for k in (id_col, "__rkey", "__text")), strict=True):
                 for n, line in enumerate(_split(text)):
                     if line:
-                        for c, v in zip(cols, (doc, rkey, n, xxhash.xxh128_digest(line.encode("utf-8", "replace"))), strict=True):
+                        for c, v in zip(cols, (doc, rkey, n, line_hash(line)), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["id", "rkey", "n", "line"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)), short_hashes(cols[3])], names=["id", "rkey", "n", "line", "own"])
 
     def keyed(batches):
         for batch in batches:
-            rkeys = batch.column("__rkey").to_pylist()
-            lines: dict[str, tuple[int, int]] = {}
-            ids, texts = batch.column(id_col).to_pylist(), batch.column("__text").to_pylist()
-            for i in sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, rkeys[i])):
-                for n, line in enumerate(_split(texts[i])):
-                    if len(line) >= bands[0][0]:
-                        lines.setdefault(line, (i, n))
-            names, places = list(lines), list(lines.values())
-            at = size = 0
-            for stop in range(1, len(names) + 1):  # about a million characters at once
-                size += len(names[stop - 1])
-                if size > 1 << 20 or stop == len(names):
-                    number, key, filed = band_keys(names[at:stop], bands)
-                    own = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in names[at:stop]], np.uint64).view(np.int64)
-                    row = pa.array([rkeys[p[0]] for p in places[at:stop]], pa.binary()).take(pa.array(number))
-                    n = np.array([p[1] for p in places[at:stop]], np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), row, pa.array(n[number]), pa.array(own[number]), pa.array(filed)], names=["key", "rkey", "n", "own", "filed"])
-                    at, size = stop, 0
+            lines = list({x for text in batch.column("__text").to_pylist() for x in _split(text) if len(x) >= bands[0][0]})
+            for at, stop in chunked(lines):
+                number, key, filed = band_keys(lines[at:stop], bands)
+                own = short_hashes([line_hash(x) for x in lines[at:stop]]).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[number]), pa.array(filed)], names=["key", "own", "filed"])
 
     few = base.select(id_col, "__rkey", "__text")
-    places = few.mapInArrow(occur, "id long, rkey binary, n int, line binary")
+    places = few.mapInArrow(occur, "id long, rkey binary, n int, line binary, own long")
     order = F.struct(F.col("id").isNull(), "id", "rkey", "n")
-    firsts = places.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("times"))
+    firsts = cut(places.groupBy("line", "own").agg(F.min(order).alias("first"), F.count("*").alias("times")))
 
-    keys = few.mapInArrow(keyed, "key long, rkey binary, n int, own long, filed boolean").repartition("key")
+    # a key's rows are hashes of lines alone; the first place of each line is looked up for those that share a key
+    keys = few.mapInArrow(keyed, "key long, own long, filed boolean").repartition("key")
     of_key = Window.partitionBy("key")
     shared = (F.min("own").over(of_key) != F.max("own").over(of_key)) & F.max("filed").over(of_key)
-    shared = cut(keys.withColumn("shared", shared).where("shared").select("key", "rkey", "n", "own"))
-    wanted = cut(tiled(shared, ["key"], "own", tile).groupBy(F.col("rkey").alias("__rkey")).agg(F.collect_list(F.struct("key", "n", "tile_i", "tile_j")).alias("wanted")))
+    shared = cut(keys.withColumn("shared", shared).where("shared").select("key", "own").distinct())
+    found = tiled(shared, ["key"], "own", tile).join(firsts.select("own", "first.rkey", "first.n"), "own")
+    wanted = cut(found.groupBy(F.col("rkey").alias("__rkey")).agg(F.collect_list(F.struct("key", "n", "tile_i", "tile_j")).alias("wanted")))
     groups = parts_for(wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0, 10_000)
 
     def fetch(batches):
@@ -277,7 +276,7 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
         rank[sorted(range(len(texts)), key=first.__getitem__)] = np.arange(len(texts))
         texts = texts[np.argsort(rank)]  # from here on a line's number is its place in the order
         copies = close_lines(texts.tolist(), buckets_of(rows, rank[number]), bands)
-        return pa.table({"line": pa.array([xxhash.xxh128_digest(texts[k].encode("utf-8", "replace")) for k in copies], pa.binary())})
+        return pa.table({"line": pa.array([line_hash(texts[k]) for k in copies], pa.binary())})
 
     near = met.groupBy("grp").applyInArrow(compare, "line binary").distinct().withColumn("near", F.lit(True))
     firsts = firsts.join(near, "line", "left").where("times > 1 or near")
@@ -307,5 +306,6 @@ def line_dedup(docs: DataFrame, edits: int | None = None, min_chars: int = 64, i
                 out.append("\n".join(x for n, x in enumerate(t.split("\n")) if n not in g))
         return pd.Series(out, dtype=object)
 
-    rows = rows.join(copies, "__rkey", "left").withColumn("__left", rest("__text", "__gone")).withColumn("lines_removed", F.coalesce(F.size("__gone"), F.lit(0)))
-    return rows.select(*[F.col("__left" if c == text_col else n).alias(c) for n, c in zip(names, docs.columns, strict=True)], "lines_removed")
+    # not deterministic, as Spark has it: a condition on the text then doesn't have it made twice
+    rows = rows.join(copies, "__rkey", "left").withColumn("__left", rest.asNondeterministic()("__text", "__gone")).withColumn("lines_removed", F.coalesce(F.size("__gone"), F.lit(0)))
+    return rows.select(*[F.col("__left" if c == text_col else n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c != "lines_removed"], "lines_removed")

@@ -9,7 +9,7 @@ took is packed the same way from the longest piece down. Tasks then place every
 among the pieces of its length.
 
 Null texts count as empty and give the closing id alone; repeated rows are packed as rows of their own;
-an empty table gives no rows.
+an empty table gives no rows. Other columns of the documents are not looked at.
 """
 
 from __future__ import annotations

@@ -75,4 +75,40 @@ WITH e AS (
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 20""",
+    "op2_ngram_join": """
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM t
+), x AS (
+    SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s
+), l AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id <> b.doc_id
+    GROUP BY 1, 2, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-6
+), r AS (
+    SELECT doc_id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id
+), c AS (
+    SELECT doc_id, min(root) AS class_id FROM r GROUP BY 1
+), n AS (
+    SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY 1
+)
+SELECT s.doc_id, CASE WHEN len(g) > 0 THEN min(s.doc_id) OVER (PARTITION BY g) ELSE s.doc_id END AS copy_of, CASE WHEN len(g) > 0 THEN count(*) OVER (PARTITION BY g) ELSE 1 END AS n_copies,
+    coalesce(n_links, 0) AS n_links, class_id, s.doc_id = class_id AS kept
+FROM s JOIN c ON c.doc_id = s.doc_id LEFT JOIN n ON n.doc_id = s.doc_id""",
+    "op9_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL
+), f AS (
+    SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+    SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x)))) >= 0.93
+), r AS (
+    SELECT DISTINCT vec_id, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id
+), c AS (
+    SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1
+), n AS (
+    SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1
+)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.vec_id = c.vec_id""",
 }

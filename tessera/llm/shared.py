@@ -32,9 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """16 bytes that name a document by its id and text; repeated rows share them. Nulls are allowed."""
+    """16 bytes that name a document by its id and text; repeated rows share them. Nulls are allowed.
+
+    The key itself is never null, and Spark knows: a shuffle of texts by it serves both inner and outer joins.
+    """
     parts = F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull()
-    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts))]))
+    return F.coalesce(F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts))])), F.lit(b""))
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -10,7 +10,11 @@ A very common anchor's surroundings are compared tile by tile.
 
 ``keep="none"`` removes all bytes of repeated windows; ``keep="first"`` removes later copies only, in the order
 of the documents' row keys and of places in them. Texts are UTF-8; null counts as empty; texts shorter
-than ``length`` stay whole. Repeated rows are documents of their own, so ``none`` removes them.
+than ``length`` stay whole. Repeated rows are documents of their own, so ``none`` removes them. Other columns of the
+documents are not looked at; an empty table gives no rows.
+
+Pieces that meet are first cut down to the bytes of windows whose hashes stand twice among them; the suffix array, which
+decides, is made of these alone.
 """
 
 from __future__ import annotations
@@ -134,6 +138,35 @@ def longest_previous_factor(data: np.ndarray, least: int) -> tuple[np.ndarray, n
     return order[found], factor[found], order[source[found]]
 
 
+def _shared_runs(data: np.ndarray, least: int) -> np.ndarray:
+    """Places of the bytes in which every window of ``least`` bytes that stands twice lies, and 256 from its start, run by run.
+
+    Windows are told apart by hashes: a collision only keeps too much. -1 stands between runs; 255 in the data is a text's end.
+    """
+    n = len(data)
+    if n < least:
+        return np.empty(0, np.int64)
+    stops = np.append(np.flatnonzero(data == 255), n)
+    clear = np.ones(n - least + 1, np.int32)
+    clear[np.cumsum(data == 255)[least - 1 :] != np.cumsum(data == 255)[: n - least + 1] - (data[: n - least + 1] == 255)] = 0
+    start = np.flatnonzero(clear)
+    window = SpanHash(BYTE_VALUES[data]).raw(start, start + least)
+    order = np.argsort(window)
+    again = window[order[1:]] == window[order[:-1]]
+    twice = np.zeros(len(start), bool)
+    twice[order[1:][again]] = twice[order[:-1][again]] = True
+    start = start[twice]
+    if not len(start):
+        return np.empty(0, np.int64)
+    stop = np.minimum(start + 256, stops[np.searchsorted(stops, start)])
+    depth = np.zeros(n + 1, np.int32)
+    np.add.at(depth, start, 1)
+    np.add.at(depth, stop, -1)
+    kept = np.flatnonzero(np.cumsum(depth[:n]) > 0)
+    cuts = np.flatnonzero(np.diff(kept) > 1) + 1
+    return np.append(np.insert(kept, cuts, -1), -1)
+
+
 def _repeats(rows: list[tuple[bytes, int, bytes]], length: int, later_only: bool) -> list[tuple[bytes, int]]:
     """(document, place) of the windows that repeat, among pieces (document, start, bytes) of documents."""
     rows = sorted(set(rows))
@@ -148,9 +181,13 @@ def _repeats(rows: list[tuple[bytes, int, bytes]], length: int, later_only: bool
             buffers.append(bytearray(data))
     joined = np.frombuffer(b"\xff".join(bytes(b) for b in buffers) + b"\xff", np.uint8)
     begin = np.cumsum([0, *(len(b) + 1 for b in buffers[:-1])])
-    place, _, source = longest_previous_factor(joined, length)
+    at = _shared_runs(joined, length)  # the suffix array is made of these bytes only
+    if not len(at):
+        return []
+    place, _, source = longest_previous_factor(np.where(at < 0, np.uint8(255), joined[at]), length)
     if not later_only:
         place = np.union1d(place, source)
+    place = at[place]
     piece = np.searchsorted(begin, place, "right") - 1
     return list(zip([docs[k] for k in piece.tolist()], (place - begin[piece] + np.array(starts, np.int64)[piece]).tolist(), strict=True))
 
@@ -184,13 +221,13 @@ def substring_dedup(docs: DataFrame, length: int = 200, gram: int = 32, keep: st
     first = F.struct(F.element_at("rkeys", 1).alias("rkey"), F.element_at("places", 1).alias("place"))
     anchors = anchors.withColumn("n", F.sum("times").over(kind)).withColumn("first", F.min(first).over(kind))
     anchors = anchors.withColumn("mixed", F.min("around").over(own) != F.max("around").over(own)).where("n > 1 or mixed")
-    anchors = cut(anchors.withColumn("leads", F.col("first") == first))
-    each = anchors.where("n > 1").select("first", F.explode(F.arrays_zip("rkeys", "places")).alias("x")).select("first", F.col("x.rkeys").alias("rkey"), F.col("x.places").alias("place"))
+    anchors = cut(anchors.select("gram", "rkeys", "places", (F.col("n") > 1).alias("again"), "mixed", (F.col("first") == first).alias("leads"), *["first"] * (keep == "first")))
+    each = anchors.where("again").select(*["first"] * (keep == "first"), F.explode(F.arrays_zip("rkeys", "places")).alias("x")).select(*["first"] * (keep == "first"), F.col("x.rkeys").alias("rkey"), F.col("x.places").alias("place"))
     if keep == "first":
         each = each.where(F.struct("rkey", "place") != F.col("first"))
     whole = each.select("rkey", (F.col("place") - reach).alias("start"), (F.col("place") + length).alias("stop"))
 
-    sent = cut(anchors.where("mixed and leads").select("gram", F.col("first.rkey").alias("rkey"), F.col("first.place").alias("place")).distinct())
+    sent = cut(anchors.where("mixed and leads").select("gram", F.element_at("rkeys", 1).alias("rkey"), F.element_at("places", 1).alias("place")).distinct())
     sent = cut(tiled(sent, ["gram"], "rkey", tile).groupBy("rkey").agg(F.collect_list(F.struct("gram", "place", "tile_i", "tile_j")).alias("sent")))
     n_sent = sent.agg(F.sum(F.size("sent"))).first()[0] or 0
     groups = parts_for(n_sent, 4_000)
