@@ -159,6 +159,17 @@ def _convergence(s, d):
     return reports.running_best(rows.withColumn("part", F.lit(0)), "u", "sim")
 
 
+def _minhash_skip(s, d):
+    """Vertices in a shuffled order, and whether a search would skip them: its best so far is above a half, and no neighbour's estimate comes to half of it. Lossy."""
+    e = sources.user_k(s, d)
+    found = similarity.pairs(e).select(F.explode(F.array("u1", "u2")).alias("u"), "jaccard").groupBy("u").agg(F.max("jaccard").alias("sim"))
+    order = similarity.seeded_order(e)
+    best = reports.running_best(order.join(found, "u"), "seq", "sim").select("seq", "best")
+    rows = similarity.neighbour_estimates(order, similarity.signatures(e, 64)).join(best.select((F.col("seq") + 1).alias("seq"), "best"), "seq", "left")
+    rows = rows.withColumn("best", F.coalesce("best", F.lit(0.0)))
+    return rows.withColumn("skip", (F.col("best") > 0.5) & (F.col("estimate") < F.col("best") * 0.5))
+
+
 def _alpha(s, d):
     e = sources.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("hits"), F.countDistinct("o_orderpriority").alias("interval"))
     return e.select("o_custkey", adaptive_rate(0.25, F.col("interval"), F.col("hits"), 0.1).alias("rate"))
@@ -208,6 +219,7 @@ QUERIES = {
     "mae_rmse": lambda s, d: triangles.error_metrics(_estimates(s, d), "estimate", "jaccard", 0.01),
     "minhash_errors": _minhash_errors,
     "sampled_errors": _sampled_errors,
+    "minhash_skip": _minhash_skip,
     "validation_pairs": lambda s, d: similarity.validation_pairs(sources.user_k(s, d), 300),
     "seeded_order": lambda s, d: similarity.seeded_order(sources.order_part(s, d)),
     "triangles_global": lambda s, d: triangles.triangles(sources.user_next(s, d)).agg(F.count("*").alias("n")),
@@ -294,6 +306,9 @@ ORACLES = {
     "mae_rmse": f"{_est}{_metrics('jaccard', 'estimate')} FROM m WHERE jaccard > 0.01",
     "minhash_errors": f"{_usim}z AS (SELECT 1) " + " UNION ALL ".join(_minhash(h) for h in (16, 32, 64)),
     "sampled_errors": f"{_usim}z AS (SELECT 1) " + " UNION ALL ".join(_sampled(x) for x in (0.1, 0.3, 0.5)),
+    "minhash_skip": f"""{_usim}{minhash_sql(64)}, o AS (SELECT row_number() OVER (ORDER BY {affine_sql("u", 42)}, u) AS seq, u, sig FROM s), f AS (SELECT u, max(jaccard) AS sim FROM (SELECT u1 AS u, jaccard FROM j UNION ALL SELECT u2, jaccard FROM j) GROUP BY 1),
+h AS (SELECT o.seq, max(sim) OVER (ORDER BY o.seq) AS best FROM o JOIN f USING (u)), n AS (SELECT x.seq, x.u, max(len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 64) AS estimate FROM o x JOIN o y ON y.seq BETWEEN x.seq - 10 AND x.seq + 9 AND y.seq <> x.seq GROUP BY 1, 2)
+SELECT n.seq, n.u, estimate, coalesce(best, 0.0) AS best, coalesce(best, 0.0) > 0.5 AND estimate < coalesce(best, 0.0) * 0.5 AS skip FROM n LEFT JOIN h ON h.seq = n.seq - 1""",
     "validation_pairs": f"{_usim}i AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS seq, count(*) OVER () AS size FROM d), r AS (SELECT range AS id, {affine_sql('range', 42)} % (SELECT max(size) FROM i) AS a, {affine_sql('range', 43)} % (SELECT max(size) FROM i) AS b FROM range(300)), w AS (SELECT id, least(x.u, y.u) AS u1, greatest(x.u, y.u) AS u2 FROM r JOIN i x ON x.seq = a JOIN i y ON y.seq = b) SELECT id, w.u1, w.u2, CASE WHEN w.u1 = w.u2 THEN 1.0 ELSE coalesce(jaccard, 0.0) END AS exact FROM w LEFT JOIN j ON j.u1 = w.u1 AND j.u2 = w.u2",
     "seeded_order": f"WITH {ORDER_PART} SELECT row_number() OVER (ORDER BY {affine_sql('u', 42)}, u) AS seq, u FROM (SELECT DISTINCT u FROM e)",
     "triangle_vertices": _tri + "SELECT count(*) AS n FROM l",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 import uuid
@@ -49,20 +50,19 @@ def adjacency(edges: DataFrame, side: str = "u") -> DataFrame:
     return edges.groupBy(side).agg(F.sort_array(F.collect_set(other)).alias("nbrs"))
 
 
-def core(edges: DataFrame, k: int, steps: int = 3) -> DataFrame:
-    """Edges of the largest subgraph in which every vertex has k neighbours: semi-joins until nothing goes.
+def core(edges: DataFrame, k: int) -> DataFrame:
+    """Edges of the largest subgraph in which every vertex has k neighbours.
 
-    Both sides are peeled ``steps`` times before the rows are written and counted.
+    Sides take turns: vertices with too few edges are taken out with an anti-join, until neither side has any.
     """
-    edges, size = settled(edges), None
-    while True:
-        for side in ("u", "v") * steps:
-            edges = edges.join(edges.groupBy(side).count().where(F.col("count") >= k).select(side), side, "left_semi")
-        edges = settled(edges.select("u", "v"))
-        n = edges.count()
-        if n == size or not n:
+    edges, clean = settled(edges), 0
+    for side in itertools.cycle(("u", "v")):
+        low = edges.groupBy(side).count().where(F.col("count") < k).select(side)
+        if low.limit(1).count():
+            edges, clean = settled(edges.join(low, side, "left_anti").select("u", "v")), 0
+        clean += 1
+        if clean == 2:
             return edges
-        size = n
 
 
 def core_vertices(edges: DataFrame, k: int) -> DataFrame:

@@ -16,19 +16,44 @@ def pairs(edges: DataFrame, least_common: int = 1, above: float = 0.0, left: Dat
     """u1 < u2, common, jaccard: pairs with enough common neighbours and a similarity above the bound.
 
     The wedge join runs over edges that carry their left end's degree, so that pairs whose degrees rule the bound out
-    are dropped in the join; ``left`` restricts the ends, not what is counted.
+    are dropped in the join; ``left`` restricts the ends, not what is counted. Where two common neighbours are asked for and
+    left vertices have fewer pairs of neighbours than right ones do, pairs of neighbours are joined instead of single ones:
+    hubs on the right side are then met only by vertices that share another neighbour, too.
     """
     if left is not None:
         edges = edges.join(left.select("u").distinct(), "u", "left_semi")
     e = edges.join(degree(edges, "u").where(F.col("deg") >= least_common), "u")
-    a = e.select(F.col("u").alias("u1"), "v", F.col("deg").alias("d1"))
-    b = e.select(F.col("u").alias("u2"), "v", F.col("deg").alias("d2"))
-    wedges = a.join(b, "v").where((F.col("u1") < F.col("u2")) & (F.least("d1", "d2") > F.greatest("d1", "d2") * F.lit(above)))
-    counted = wedges.groupBy("u1", "u2").agg(F.count("*").alias("common"), F.first("d1").alias("d1"), F.first("d2").alias("d2"))
+    if least_common > 1 and pairs_within(edges, "u") * 2 < pairs_within(edges, "v"):
+        counted = _by_two(e, above)
+    else:
+        a = e.select(F.col("u").alias("u1"), "v", F.col("deg").alias("d1"))
+        b = e.select(F.col("u").alias("u2"), "v", F.col("deg").alias("d2"))
+        wedges = a.join(b, "v").where((F.col("u1") < F.col("u2")) & _may_reach(above))
+        counted = wedges.groupBy("u1", "u2").agg(F.count("*").alias("common"), F.first("d1").alias("d1"), F.first("d2").alias("d2"))
     found = counted.where(F.col("common") >= least_common).withColumn("jaccard", F.col("common") / (F.col("d1") + F.col("d2") - F.col("common")))
     return found.where(F.col("jaccard") > above).select("u1", "u2", "common", "jaccard")
 
 
+def pairs_within(edges: DataFrame, side: str) -> float:
+    """How many pairs of edges share an end on the side."""
+    return edges.groupBy(side).count().agg(F.sum(F.col("count") * (F.col("count") - 1.0) / 2)).first()[0] or 0.0
+
+
+def _may_reach(above: float) -> Column:
+    return F.least("d1", "d2") > F.greatest("d1", "d2") * F.lit(above)
+
+
+def _by_two(e: DataFrame, above: float) -> DataFrame:
+    """u1, u2, common, d1, d2 of left vertices with two and more common neighbours: these have common * (common - 1) / 2 pairs in common."""
+    lists = e.groupBy("u").agg(F.first("deg").alias("deg"), F.sort_array(F.collect_list("v")).alias("n"))
+    two = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, F.size("n")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    each = lists.select("u", "deg", F.explode(two).alias("k")).select("u", "deg", "k.x", "k.y")
+    a, b = each.toDF("u1", "d1", "x", "y"), each.toDF("u2", "d2", "x", "y")
+    met = a.join(b, ["x", "y"]).where((F.col("u1") < F.col("u2")) & _may_reach(above))
+    counted = met.groupBy("u1", "u2").agg(F.count("*").alias("n"), F.first("d1").alias("d1"), F.first("d2").alias("d2"))
+    return counted.select("u1", "u2", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("common"), "d1", "d2")
+
+
 def candidates(edges: DataFrame, queries: DataFrame, above: float = 0.0) -> DataFrame:
     """q, u, common, jaccard for query vertices (a frame of q)."""
     d = degree(edges, "u")
@@ -104,3 +129,11 @@ def seeded_order(edges: DataFrame, seed: int = 42) -> DataFrame:
     """seq, u: left vertices in the order of a hash, which stands for a shuffle with that seed."""
     ids = edges.select("u").distinct().withColumn("h", affine(F.col("u"), seed))
     return numbered(ids, "h", "u").select("seq", "u")
+
+
+def neighbour_estimates(order: DataFrame, sig: DataFrame, reach: int = 10) -> DataFrame:
+    """seq, u, estimate: for vertices in an order (seq, u) the largest MinHash estimate with those from ``reach`` places before to ``reach`` - 1 after."""
+    rows = order.join(sig, "u")
+    near = rows.select("seq", "u", F.col("sig").alias("s1"), F.explode(F.sequence(F.col("seq") - reach, F.col("seq") + reach - 1)).alias("at")).where("at <> seq")
+    both = near.join(rows.select(F.col("seq").alias("at"), F.col("sig").alias("s2")), "at", "left")
+    return both.groupBy("seq", "u").agg(F.max(F.coalesce(agreement("s1", "s2"), F.lit(0.0))).alias("estimate"))
