@@ -15,7 +15,7 @@ an empty table gives no rows. Other columns of the documents are not looked at.
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -28,19 +28,34 @@ from tessera.llm.shared import cut
 
 #: Python's str.split() also splits at these four, the tokenizer doesn't.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
-#: Latin-1 letters, then signs other than the apostrophe: these two parts are never joined, and only the case is changed.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
-#: Words whose ids are remembered: some 60 MB, dropped at the end of a task.
-CACHED_CHARS, CACHE_ENTRIES = 40, 250_000
+#: ASCII signs other than the apostrophe. Letters and signs after them are never joined.
+SIGNS = "".join(c for c in string.punctuation if c != "'")
+#: Of Latin-1, these count as letters in Python, but their case or form is changed.
+NO_LETTERS = "\xaa\xb5\xba"
+#: Words whose ids are remembered: some 90 MB, dropped at the end of a task.
+CACHED_CHARS, CACHE_ENTRIES = 40, 400_000
 _state: dict = {}
 
 
+#: A character that isn't a letter, and that no word of a text has: Python splits at it.
+OTHER = "\x1f"
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit numbers.
 
     The tokenizer drops white space and joins nothing across it, so words are encoded one by one and
-    the ids of short ones are remembered. A word of plain letters with signs after it is put together from these two; both
-    skip the tokenizer's normaliser and splitter, which do no more than lower the case there. tests/llm holds this
+    the ids of short ones are remembered. It lowers the case, which is done for whole texts first where they are Latin-1, as
+    nothing else changes there. A word of letters with signs after it is put together from these two; they
+    skip the tokenizer's normaliser and splitter, which do no more there. tests/llm holds this
     against whole texts; with a tokenizer of other rules, texts are encoded whole.
     """
 
@@ -50,42 +65,76 @@ class Encoder:
 
         self.tokenizer, self.parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.parts.normalizer = None
-        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
+        vocabulary = self.parts.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         probe = "Über den  Fluß,### it's\n12 Ähren... "
-        self.by_word = self.whole(probe) == self.joined(probe.split(), self.learn(probe.split()))
+        try:
+            words = self.words(probe)
+            self.by_word = self.whole(probe) == self.joined(words, self.learn(words))
+        except ValueError:
+            self.by_word = False
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def remember(self, words: list[str], tokenizer) -> None:
+    def remember(self, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
-            found = tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([w.removesuffix(OTHER) for w in words[i : i + 4096]], add_special_tokens=False)
             self.known.update(zip(words[i : i + 4096], [np.asarray(e.ids, "<u4").tobytes() for e in found], strict=True))
 
+    def remember_parts(self, parts: list[str]) -> None:
+        """All in one text: each part is one word of it, and an id that ends a word ends the part."""
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            ids = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            if len(cuts) != len(some) + 1:
+                raise ValueError("the tokenizer marks word ends in another way")
+            data = ids.tobytes()
+            self.known.update(zip(some, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+
+    def words(self, text: str) -> list[str]:
+        """The text's words: in lower case if the text is Latin-1, else those of ASCII alone."""
+        if text.isascii() or (_is_latin(text) and not any(c in text for c in NO_LETTERS)):
+            return text.lower().split()
+        return [w.lower() if w.isascii() else w + OTHER for w in text.split()]
+
     def learn(self, words) -> dict[str, bytes]:
-        """Remember the ids of short words and return those of the others."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        short = [w for w in new if len(w) <= CACHED_CHARS]
-        cuts = [(w, m[1].lower(), m[2]) for w, m in zip(short, map(PLAIN, short), strict=True) if m]
-        self.remember([p for p in {p for c in cuts for p in c[1:]} if p not in known], self.parts)
-        known.update([(w, known[letters] + known[signs]) for w, letters, signs in cuts])
-        self.remember([w for w in short if w not in known], self.tokenizer)
-        return {w: self.whole(w) for w in new if len(w) > CACHED_CHARS}
+        """Remember the ids of short words and return those of the others. ``OTHER`` ends words that only the tokenizer itself reads rightly."""
+        known, parts, pairs, rest, long = self.known, set(), [], [], {}
+        for w in words:
+            if w in known:
+                continue
+            if len(w) > CACHED_CHARS:
+                long[w] = self.whole(w.removesuffix(OTHER))
+            elif not (letters := w.rstrip(SIGNS)).isalpha():
+                rest.append(w)
+            else:
+                parts.add(letters)
+                if len(letters) < len(w):
+                    signs = w[len(letters) :]
+                    parts.add(signs)
+                    pairs.append((w, letters, signs))
+        self.remember_parts([p for p in parts if p not in known])
+        known.update([(w, known[letters] + known[signs]) for w, letters, signs in pairs])
+        self.remember(rest)
+        return long
 
     def joined(self, words: list[str], long: dict[str, bytes]) -> bytes:
         known = self.known
         return b"".join([known[w] if w in known else long[w] for w in words] if long else map(known.__getitem__, words))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            block = [t.split() if self.by_word and not any(c in t for c in NOT_SPACE) else None for t in texts[at : at + 256]]
+        for at in range(0, len(texts), 1024):
+            block = [self.words(t) if self.by_word and not any(c in t for c in NOT_SPACE) else None for t in texts[at : at + 1024]]
             here = set().union(*filter(None, block))
             if len(self.known) > CACHE_ENTRIES:  # the frequent ones are here again
                 self.known = {w: self.known[w] for w in here if w in self.known}
             long = self.learn(here)
-            for text, words in zip(texts[at : at + 256], block, strict=True):
+            for text, words in zip(texts[at : at + 1024], block, strict=True):
                 yield self.whole(text) if words is None else self.joined(words, long)
 
 
