@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import degree
+from tessera.operators.graph import degree, settled
 from tessera.sources.edges import numbered
 
 #: A prime; hash values of the affine family are below it.
@@ -17,23 +17,38 @@ def pairs(edges: DataFrame, least_common: int = 1, above: float = 0.0, left: Dat
 
     The wedge join runs over edges that carry their left end's degree, so that pairs whose degrees rule the bound out
     are dropped in the join; ``left`` restricts the ends, not what is counted. Where two common neighbours are asked for and
-    left vertices have fewer pairs of neighbours than right ones do, pairs of neighbours are joined instead of single ones:
-    hubs on the right side are then met only by vertices that share another neighbour, too.
+    that makes fewer rows, pairs of neighbours are joined instead of single ones: hubs on the right side are then met only
+    by vertices that share another neighbour, too. Both ways give the same; their rows are counted before.
     """
     if left is not None:
         edges = edges.join(left.select("u").distinct(), "u", "left_semi")
     e = edges.join(degree(edges, "u").where(F.col("deg") >= least_common), "u")
-    if least_common > 1 and pairs_within(edges, "u") * 2 < pairs_within(edges, "v"):
-        counted = _by_two(e, above)
-    else:
-        a = e.select(F.col("u").alias("u1"), "v", F.col("deg").alias("d1"))
-        b = e.select(F.col("u").alias("u2"), "v", F.col("deg").alias("d2"))
-        wedges = a.join(b, "v").where((F.col("u1") < F.col("u2")) & _may_reach(above))
-        counted = wedges.groupBy("u1", "u2").agg(F.count("*").alias("common"), F.first("d1").alias("d1"), F.first("d2").alias("d2"))
+    counted = None
+    if least_common > 1 and pairs_within(edges, "u") < (wedges := pairs_within(edges, "v")):
+        two = settled(_neighbour_pairs(e))
+        if pairs_within(two, "k") < wedges / 2:
+            counted = _by_two(two, above)
+    if counted is None:
+        met = _wedges(e).where((F.col("u1") < F.col("u2")) & _may_reach(above))
+        counted = met.groupBy("u1", "u2", "d1", "d2").agg(F.count("*").alias("common"))
     found = counted.where(F.col("common") >= least_common).withColumn("jaccard", F.col("common") / (F.col("d1") + F.col("d2") - F.col("common")))
     return found.where(F.col("jaccard") > above).select("u1", "u2", "common", "jaccard")
 
 
+def _wedges(e: DataFrame, per: int = 256) -> DataFrame:
+    """u1, d1, u2, d2: edges that meet in a right vertex.
+
+    One with many edges is dealt to a part for each ``per`` of them: an edge on the left goes to one of the parts, on the right to
+    all. What comes out is much more than what goes in, so the number of partitions is given, lest few are made of them.
+    """
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = degree(e, "v").select("v", F.ceil(F.col("deg") / per).cast("int").alias("shares"))
+    e = e.join(shares, "v")
+    a = e.select("v", F.pmod(F.xxhash64("u"), "shares").cast("int").alias("part"), F.col("u").alias("u1"), F.col("deg").alias("d1"))
+    b = e.select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"), F.col("u").alias("u2"), F.col("deg").alias("d2"))
+    return a.repartition(parts, "v", "part").join(b.repartition(parts, "v", "part"), ["v", "part"])
+
+
 def pairs_within(edges: DataFrame, side: str) -> float:
     """How many pairs of edges share an end on the side."""
     return edges.groupBy(side).count().agg(F.sum(F.col("count") * (F.col("count") - 1.0) / 2)).first()[0] or 0.0
@@ -43,14 +58,19 @@ def _may_reach(above: float) -> Column:
     return F.least("d1", "d2") > F.greatest("d1", "d2") * F.lit(above)
 
 
-def _by_two(e: DataFrame, above: float) -> DataFrame:
-    """u1, u2, common, d1, d2 of left vertices with two and more common neighbours: these have common * (common - 1) / 2 pairs in common."""
+def _neighbour_pairs(e: DataFrame) -> DataFrame:
+    """u, deg, k: the pairs of neighbours of each left vertex."""
     lists = e.groupBy("u").agg(F.first("deg").alias("deg"), F.sort_array(F.collect_list("v")).alias("n"))
     two = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, F.size("n")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    each = lists.select("u", "deg", F.explode(two).alias("k")).select("u", "deg", "k.x", "k.y")
+    return lists.select("u", "deg", F.explode(two).alias("k"))
+
+
+def _by_two(two: DataFrame, above: float) -> DataFrame:
+    """u1, u2, common, d1, d2 of left vertices with two and more common neighbours: these have common * (common - 1) / 2 pairs in common."""
+    each = two.select("u", "deg", "k.x", "k.y")
     a, b = each.toDF("u1", "d1", "x", "y"), each.toDF("u2", "d2", "x", "y")
     met = a.join(b, ["x", "y"]).where((F.col("u1") < F.col("u2")) & _may_reach(above))
-    counted = met.groupBy("u1", "u2").agg(F.count("*").alias("n"), F.first("d1").alias("d1"), F.first("d2").alias("d2"))
+    counted = met.groupBy("u1", "u2", "d1", "d2").agg(F.count("*").alias("n"))
     return counted.select("u1", "u2", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("common"), "d1", "d2")
 
 
