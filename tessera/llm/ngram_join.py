@@ -152,7 +152,7 @@ def _links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None =
     return np.concatenate(left), np.concatenate(right)
 
 
-def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: float = 1e-4, bucket: int = 2048, depth: int = 3, tokens: int = 1 << 21, broadcast_keys: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: float = 1e-4, bucket: int = 2048, depth: int = 3, tokens: int = 1 << 21, broadcast_keys: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, copy_of (smallest id with the same shingles), n_copies, n_links (other documents that reach
     the similarity, copies included), class_id (smallest id reachable by links), kept (has it the class's id?), rkey (16
     bytes that name its id and text) and first (is it the class's one document that comes first, by id, nulls last, and rkey?).
