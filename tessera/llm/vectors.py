@@ -11,7 +11,8 @@ Identical vectors are one row until the end. A bucket of more than ``tile`` rows
 
 A vector that is null, empty, zero, or holds null or non-finite components, or has no label, links with
 nothing. Vectors of different lengths link never. Rows that repeat an id are one vector if equal; else
-the id is a member through each of its vectors. A null id gives no row.
+the id is a member through each of its vectors. A vector with a null id takes no part and has a row of its own, without links
+and component.
 """
 
 from __future__ import annotations
@@ -198,4 +199,6 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, sample: in
     found = found.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
     rows = v.select("id", "key").join(found, "key", "left")
     rows = rows.groupBy("id").agg(F.max(F.coalesce("links", F.lit(0))).alias("n_links"), F.min(F.coalesce("root", "id")).alias("component_id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    rows = rows.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    nameless = vectors.where(F.col(id_col).isNull()).select(F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(True))
+    return rows.union(nameless)

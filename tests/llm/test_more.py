@@ -196,6 +196,7 @@ def test_vector_rows(spark):
         for a, others in links.items():
             root[a] = min(root[a], *(root[b] for b in others))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.embedding_near_dedup(df).collect()}
+    assert got.pop(None) == (0, None, True)
     assert got == {i: (len(links[i]), root[i], root[i] == i) for i in root}
 
 
