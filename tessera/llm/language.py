@@ -122,19 +122,20 @@ def fit(labelled: DataFrame, sample_docs: int = 12_000, max_words: int = 160_000
     counts = rows.select("text", "lang").mapInArrow(count, "lang string, n int, key string, count long").groupBy("n", "key", "lang").agg(F.sum("count").alias("count"))
     keys = counts.groupBy("n", "key").agg(F.sum("count").alias("all"), F.collect_list(F.struct("lang", "count")).alias("by"))
     top = keys.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("all"), "key")))
-    found = top.where(F.col("r") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).select("n", "key", "by").collect()  # bounded by the parameters
-    languages = sorted({x["lang"] for r in found for x in r["by"]})
-    index = {lang: i for i, lang in enumerate(languages)}
+    found = top.where(F.col("r") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).select("n", "key", "by").toArrow()  # bounded by the parameters
+    lengths, keys = found["n"].to_numpy(), found["key"].combine_chunks()
+    by = found["by"].combine_chunks()
+    langs = np.array(by.flatten().field("lang").to_pylist(), object)
+    languages = sorted(set(langs.tolist()))
+    table = np.zeros((len(keys), len(languages)))
+    table[np.repeat(np.arange(len(keys)), np.diff(by.offsets.to_numpy())), np.searchsorted(np.array(languages, object), langs)] = by.flatten().field("count").to_numpy()
     tables, prior = {}, np.ones(len(languages))
     for n in (0, *LENGTHS):
-        own = [r for r in found if r["n"] == n]
-        table = np.zeros((len(own), len(languages)))
-        for i, r in enumerate(own):
-            for x in r["by"]:
-                table[i, index[x["lang"]]] = x["count"]
+        at = np.flatnonzero(lengths == n)
+        own = table[at]
         if n == 0:
-            prior = table.sum(0)
-        tables[n] = {r["key"]: i for i, r in enumerate(own)}, np.log((table + 0.5) / (table.sum(0) + 0.5 * max(1, len(own))))
+            prior = own.sum(0)
+        tables[n] = {key: i for i, key in enumerate(keys.take(pa.array(at)).to_pylist())}, np.log((own + 0.5) / (own.sum(0) + 0.5 * max(1, len(own))))
     return LanguageModel(languages, tables, prior)
 
 
