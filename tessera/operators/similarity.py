@@ -22,6 +22,7 @@ def pairs(edges: DataFrame, least_common: int = 1, above: float = 0.0, left: Dat
     """
     if left is not None:
         edges = edges.join(left.select("u").distinct(), "u", "left_semi")
+    edges = settled(edges.select("u", "v"))  # read several times below
     e = edges.join(degree(edges, "u").where(F.col("deg") >= least_common), "u")
     counted = None
     if least_common > 1 and pairs_within(edges, "u") < (wedges := pairs_within(edges, "v")):
