@@ -7,10 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, lines, ngram_join, packing, pages, pieces, secrets, substrings, token_counts, topk, vectors
+from tessera.llm import alignment, language, lines, ngram_join, packing, pages, pieces, secrets, substrings, token_counts, topk, vectors
 from tessera.llm.shared import table
 
-WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_TOKENIZER, BYTE_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +59,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(PIECE_MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_ngram_join, op3_language_id, op4_line_dedup, op5_piece_coding, op6_html_extraction, op7_secret_scan, op8_substring_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_ngram_join, op3_language_id, op4_line_dedup, op5_piece_coding, op6_html_extraction, op7_secret_scan, op8_substring_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op12_tokenizer_alignment, op13_token_counts)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
