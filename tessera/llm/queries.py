@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, language, lines, ngram_join, packing, pages, pieces, secrets, substrings, token_counts, topk, vectors
+from tessera.llm import alignment, language, lines, manifest, ngram_join, packing, pages, pieces, secrets, substrings, token_counts, topk, vectors
 from tessera.llm.shared import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -59,6 +59,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL))
 
@@ -67,10 +71,46 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(PIECE_MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_ngram_join, op3_language_id, op4_line_dedup, op5_piece_coding, op6_html_extraction, op7_secret_scan, op8_substring_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op12_tokenizer_alignment, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_ngram_join, op3_language_id, op4_line_dedup, op5_piece_coding, op6_html_extraction, op7_secret_scan, op8_substring_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_merkle_manifest, op12_tokenizer_alignment, op13_token_counts)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
+
+def _manifest_sql(depth: int = 6) -> str:
+    """Levels unrolled: enough for 16 ** depth documents of a source, and as many sources. Trees with one node left stay as they are."""
+    field = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars")) + f" || {field(text)})"
+    small = f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')"
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda s, _: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {bits}), 4294967295)"
+
+    def tree(name: str, of: str) -> list[str]:
+        out = []
+        for k in range(depth):
+            out.append(f"{name}{k + 1} AS (SELECT {of}, i // 16 AS i, CASE WHEN max(c) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (max(c) + 15) // 16 AS c FROM {name}{k} GROUP BY {of}, i // 16)")
+            out.append(f"{name}s{k} AS (SELECT a.{of}, a.i, any_value(a.c) AS c, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS f, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS g FROM {name}{k} a JOIN {name}{k} b ON a.{of} = b.{of} AND a.i // 16 = b.i // 16 GROUP BY a.{of}, a.i)")
+        return out
+
+    def up(name: str, source: str, of: str, at: str) -> list[str]:
+        out = []
+        for k in range(depth):
+            before = source if k == 0 else f"{name}{k}"
+            out.append(f"{name}{k + 1} AS (SELECT w.* REPLACE (CASE WHEN x.c = 1 THEN fold ELSE sha256(f || fold || g) END AS fold, CASE WHEN x.c = 1 THEN proof ELSE proof || f || g END AS proof) FROM {before} w JOIN {of}s{k} x ON x.t = w.{'t' if of == 'n' else 'z'} AND x.i = w.{at} // {16**k})")
+        return out
+
+    return f"""WITH RECURSIVE base AS (
+    SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(small)} ELSE {leaf("text")} END AS fold FROM documents
+), placed AS (
+    SELECT doc_id, leaf, fold, '' AS proof, CAST(0 AS BIGINT) AS z, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS c FROM base
+), n0 AS (SELECT t, i, leaf AS h, c FROM placed), {", ".join(tree("n", "t"))},
+m0 AS (SELECT CAST(0 AS BIGINT) AS t, t AS i, h, count(*) OVER () AS c FROM n{depth}), {", ".join(tree("m", "t"))},
+{", ".join(up("p", "placed", "n", "i"))}, {", ".join(up("q", f"p{depth}", "m", "t"))}
+SELECT q.doc_id, q.leaf, s.h AS subroot, r.h AS root, sha256(q.proof) AS proof_sha256, q.fold AS folded_root, q.fold = r.h AS verified
+FROM q{depth} q JOIN n{depth} s ON s.t = q.t CROSS JOIN m{depth} r"""
+
+
 ORACLES = {
+    "op11_merkle_manifest": _manifest_sql(),
     "op1_top_k": """
 WITH e AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
