@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +10,9 @@ from tessera.functions.adaptive import adaptive_rate, link_factor
 from tessera.operators import biclique, graph, similarity, triangles
 from tessera.plans import reports
 from tessera.sources import edges as sources
+from tessera.sources import live
 from tessera.streaming import reservoir
+from tessera.streaming import similarity as stream_similarity
 
 ORDER_PART = "e AS (SELECT DISTINCT l_orderkey AS u, l_partkey AS v FROM lineitem)"
 USER_K = "e AS (SELECT DISTINCT user_id AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)"
@@ -77,15 +78,25 @@ def _queries_of(s, edges):
     return edges.select(F.col("u").alias("q")).distinct().orderBy("q").limit(20)
 
 
-def _stream(variant, k, colours=4):
-    """Slots enough (a large k) give the exact counts: colours are added until the triples' edges fit."""
+def _stream(variant, k, colours=4, exact=False):
+    """exact: triples of colours with more edges than slots are split until all edges fit, hubs' as well."""
+    return lambda s, d: reservoir.estimate(sources.user_next(s, d), colours=colours, exact=exact, k=k, rate=0.1, variant=variant)
 
-    def run(s, d):
-        stream = sources.user_next(s, d)
-        fit = math.ceil(math.sqrt(12 * stream.count() / k)) if k > 100_000 else colours
-        return reservoir.estimate(stream, colours=max(colours, fit), k=k, rate=0.1, variant=variant)
 
-    return run
+def _live(s, d):
+    """The edges of the event log as text files, read as a live stream: seq, src, dst as they are numbered, and the folder."""
+    folder = f"{graph.shared_folder(s)}/live-{uuid.uuid4().hex}"
+    lines = sources.user_next(s, d).repartitionByRange("seq").sortWithinPartitions("seq").select(F.concat_ws("\t", "src", "dst"))
+    lines.write.text(f"{folder}/lines")
+    return live.written(live.read_edge_stream(s, f"{folder}/lines"), f"{folder}/edges", f"{folder}/edges-at"), folder
+
+
+def _live_reservoir(s, d):
+    """Triangles of the live stream, by reservoirs whose slots are states of a second stream; all edges fit."""
+    edges, folder = _live(s, d)
+    stream = s.readStream.schema(edges.schema).parquet(f"{folder}/edges")
+    found = live.written(reservoir.stream_estimate(stream, colours=4, k=1 << 22, rate=0.1, variant="adaptive", output_mode="append"), f"{folder}/found", f"{folder}/found-at")
+    return found.groupBy("triple").agg(F.max_by("total", "t").alias("total")).agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("triangles"))
 
 
 def _estimates(s, d, hashes=64):
@@ -93,7 +104,7 @@ def _estimates(s, d, hashes=64):
     return similarity.estimates(similarity.pairs(e), similarity.signatures(e, hashes))
 
 
-def _stream_jaccard(share):
+def _hash_jaccard(share):
     def run(s, d):
         e = sources.user_k(s, d)
         return reservoir.sampled_jaccard(e, similarity.pairs(e), share)
@@ -101,6 +112,23 @@ def _stream_jaccard(share):
     return run
 
 
+def _reservoir_jaccard(s, d, k=None, colours=4):
+    """Pairs with their similarity, and what reservoirs of k slots over the replayed stream say; without k, all edges fit."""
+    e = sources.user_k(s, d)
+    stream = graph.settled(sources.as_stream(e))
+    right = 1 if k else stream_similarity.fitting(stream, colours, 1 << 22)
+    return stream_similarity.reservoir_jaccard(stream, similarity.pairs(e), colours, right, k=k or 1 << 22, rate=0.1)
+
+
+def _reservoir_errors(s, d):
+    """Errors of the reservoirs' estimate by number of slots, above the noise; none where all edges fit."""
+    found = None
+    for k in (500, 5_000, 50_000, 1 << 22):
+        one = triangles.error_metrics(_reservoir_jaccard(s, d, k), "estimate", "jaccard", 0.01).withColumn("k", F.lit(k))
+        found = found.union(one) if found else one
+    return found
+
+
 def _hybrid(s, d):
     e = sources.user_k(s, d)
     deg = graph.degree(e, "u")
@@ -112,7 +140,7 @@ def _sampled_errors(s, d):
     """Errors of the sampled similarity by share, above the noise."""
     found = None
     for share in (0.1, 0.3, 0.5):
-        one = triangles.error_metrics(_stream_jaccard(share)(s, d), "sampled", "jaccard", 0.01).withColumn("share", F.lit(share))
+        one = triangles.error_metrics(_hash_jaccard(share)(s, d), "sampled", "jaccard", 0.01).withColumn("share", F.lit(share))
         found = found.union(one) if found else one
     return found
 
@@ -213,8 +241,10 @@ QUERIES = {
     "trie_groups": lambda s, d: similarity.prefix_groups(similarity.signatures(sources.user_k(s, d), 10), 2),
     "lsh_groups": lambda s, d: similarity.lsh_groups(similarity.signatures(sources.order_part(s, d), 4), 1),
     "lsh_groups_4": lambda s, d: similarity.lsh_groups(similarity.signatures(sources.order_part(s, d), 4), 4),
-    "stream_jaccard_full": _stream_jaccard(1.0),
-    "stream_jaccard_sampled": _stream_jaccard(0.5),
+    "stream_jaccard_full": lambda s, d: _reservoir_jaccard(s, d).drop("estimate"),
+    "stream_jaccard_reservoir": lambda s, d: _reservoir_jaccard(s, d, 2_000),
+    "reservoir_errors": _reservoir_errors,
+    "stream_jaccard_sampled": _hash_jaccard(0.5),
     "hybrid_estimate": _hybrid,
     "mae_rmse": lambda s, d: triangles.error_metrics(_estimates(s, d), "estimate", "jaccard", 0.01),
     "minhash_errors": _minhash_errors,
@@ -227,13 +257,15 @@ QUERIES = {
     "triangles_dense_output": lambda s, d: triangles.dense_counts(sources.user_next(s, d), triangles.local_counts(sources.user_next(s, d))),
     "triangle_vertices": lambda s, d: triangles.local_counts(sources.user_next(s, d)).agg(F.count_if(F.col("triangles") > 0).alias("n")),
     "lape": _lape,
-    "reservoir1_full": _stream("fixed", 1 << 22),
-    "reservoir2_full": _stream("recorded", 1 << 22),
-    "reservoirplus_full": _stream("adaptive", 1 << 22),
+    "reservoir1_full": _stream("fixed", 1 << 22, exact=True),
+    "reservoir2_full": _stream("recorded", 1 << 22, exact=True),
+    "reservoirplus_full": _stream("adaptive", 1 << 22, exact=True),
     "reservoir1_sampled": _stream("fixed", 500),
     "reservoir2_sampled": _stream("recorded", 500),
     "reservoirplus_sampled": _stream("adaptive", 500),
     "reservoir_rounds": lambda s, d: reservoir.rounds(sources.user_next(s, d), k=500, rate=0.1, variant="adaptive"),
+    "live_edges": lambda s, d: _live(s, d)[0],
+    "live_reservoir": _live_reservoir,
     "triangles_hash_sampled": lambda s, d: reservoir.sampled(sources.user_next(s, d), 0.5),
     "tiles": lambda s, d: reports.tiles(sources.order_part(s, d), 2, 0.5),
     "tile_balance": lambda s, d: reports.tile_balance(reports.tiles(sources.order_part(s, d), 2, 0.5)),
@@ -270,6 +302,8 @@ _conv = "b0 AS (SELECT u1 AS u, max(jaccard) AS sim, 0 AS part FROM j GROUP BY 1
 _full = _tri + "SELECT * FROM l UNION ALL SELECT -1, CAST(count(*) AS DOUBLE) FROM t"
 
 ORACLES = {
+    "live_edges": f"WITH {USER_NEXT} SELECT row_number() OVER (ORDER BY first) AS seq, src, dst FROM g",
+    "live_reservoir": _tri + "SELECT CAST(count(*) AS DOUBLE) AS triangles FROM t",
     "edges_distinct": f"WITH {ORDER_PART} SELECT * FROM e",
     "degree_left": f"WITH {ORDER_PART} SELECT u, count(*) AS deg FROM e GROUP BY 1",
     "degree_right": f"WITH {ORDER_PART} SELECT v, count(*) AS deg FROM e GROUP BY 1",

@@ -5,12 +5,14 @@ A reservoir sees edges in order of arrival and keeps ``k`` of them. So that this
 hold both of its ends' colours, and a triangle counts in the one triple of its three corners' colours. Each
 reservoir is unbiased for its triangles, so their sums are unbiased for all; with one colour it is the classical
 estimator. Memory of a task is bounded by its ``k`` slots. Repeated edges are counted again, self-loops are dropped.
+
+Where all edges have to fit, loads are measured: a triple of colours with more edges than slots, as hubs make them, is split by
+second colours of its vertices until each of its cells fits.
 """
 
 from __future__ import annotations
 
-import pickle
-import random
+import math
 import struct
 from collections.abc import Iterator
 
@@ -19,93 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import settled
 from tessera.operators.similarity import PRIME, parameters
 from tessera.operators.triangles import triangles
-
-VARIANTS = ("fixed", "recorded", "adaptive")
-
-
-class Reservoir:
-    """State of k slots. An edge is counted against the sample before it is stored.
-
-    fixed: insertion with (1 - rate)^(round - 1); recorded: with k / t, each edge keeps its probability and round;
-    adaptive: as recorded, and the rate follows the mean age of the edges in triangles.
-    """
-
-    def __init__(self, k: int, rate: float, variant: str = "recorded", z: float = 0.25, bound: int = 5, seed: int = 1, mine=None):
-        """mine: does a triangle (three vertices) belong to this reservoir? By default all do."""
-        if variant not in VARIANTS or k * rate < 1:
-            raise ValueError("unknown variant, or no slot would be freed in a round")
-        self.k, self.start, self.variant, self.z, self.bound = k, rate, variant, z, bound
-        self.rates = [rate, rate]  # of rounds 0 (unused) and 1
-        self.t, self.round, self.hits, self.interval, self.total = 0, 1, 0, 0, 0.0
-        self.slots: list = []
-        self.free: list[int] = []
-        self.near: dict[int, dict[int, int]] = {}
-        self.nodes: dict[int, float] = {}
-        self.draw, self.mine = random.Random(seed), mine
-        self.log: list[tuple] = []  # of rounds that ended: round, t, rate, total, increment, hits, interval
-
-    def survival(self, slot: int) -> float:
-        _, _, p, r = self.slots[slot]
-        if self.variant == "recorded":
-            return p * (1 - self.start) ** (self.round - r)
-        for later in range(r + 1, self.round + 1):
-            p *= 1 - self.rates[later]
-        return p
-
-    def add(self, src: int, dst: int) -> None:
-        if src == dst:
-            return
-        self.t += 1
-        few, many = sorted((self.near.get(src, {}), self.near.get(dst, {})), key=len)
-        found = 0.0
-        for w in [w for w in few if w in many and (self.mine is None or self.mine(src, dst, w))]:
-            if self.variant == "fixed":
-                weight = (1 - self.start) ** (-2 * (self.round - 1))
-            elif self.t <= self.k:
-                weight = 1.0
-            else:
-                weight = 1 / (self.survival(few[w]) * self.survival(many[w]))
-            self.hits += 1
-            self.interval += 2 * self.round - self.slots[few[w]][3] - self.slots[many[w]][3]
-            self.nodes[w] = self.nodes.get(w, 0.0) + weight
-            found += weight
-        if found:
-            for x in (src, dst):
-                self.nodes[x] = self.nodes.get(x, 0.0) + found
-            self.total += found
-        if self.t <= self.k:
-            self.slots.append(None)
-            self.store(len(self.slots) - 1, src, dst, 1.0, 1)
-            return
-        if not self.free:
-            self.new_round()
-        p = (1 - self.start) ** (self.round - 1) if self.variant == "fixed" else self.k / self.t
-        if self.draw.random() < p:
-            self.store(self.free.pop(), src, dst, p, self.round)
-
-    def new_round(self) -> None:
-        rate = self.start
-        if self.variant == "adaptive" and self.round > self.bound and self.hits:
-            rate = max(rate, round(1 - (self.z ** (self.hits / self.interval) if self.interval else 0.0), 4))
-        self.log.append((self.round, self.t - 1, self.rates[-1], self.total, self.total - (self.log[-1][3] if self.log else 0.0), self.hits, self.interval))
-        self.round += 1
-        self.rates.append(rate)
-        self.free = self.draw.sample(range(self.k), int(self.k * rate))
-        for slot in self.free:
-            src, dst, _, _ = self.slots[slot]
-            for a, b in ((src, dst), (dst, src)):
-                self.near.get(a, {}).pop(b, None)
-                if not self.near.get(a):
-                    self.near.pop(a, None)
-        self.hits = self.interval = 0
-
-    def store(self, slot: int, src: int, dst: int, p: float, r: int) -> None:
-        self.slots[slot] = src, dst, p, r
-        self.near.setdefault(src, {})[dst] = slot
-        self.near.setdefault(dst, {})[src] = slot
-
+from tessera.streaming.slots import Reservoir, SlotProcessor, Slots, with_states
 
 def colour(vertex: int, colours: int) -> int:
     """As ``_colour``, for an id at hand: Spark's xxhash64 of a long, with its seed."""
@@ -142,76 +61,125 @@ def _numbers(triple: int, colours: int) -> tuple[int, int, int]:
     return triple // colours**2, triple // colours % colours, triple % colours
 
 
-def estimate(stream: DataFrame, colours: int = 4, **options) -> DataFrame:
-    """node, triangles and, as node -1, the total: a batch replay, a reservoir of k slots for each triple of colours."""
+def _second(vertex: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(vertex.cast("long"), F.lit("second")), parts)
+
+
+def second(vertex: int, parts: int) -> int:
+    """As ``_second``: Spark's hash of a long is the seed of that of the text."""
+    h = xxhash.xxh64_intdigest(b"second", xxhash.xxh64_intdigest(struct.pack("<q", vertex), 42))
+    return (h - (h >> 63 << 64)) % parts
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
 
-        def read_out(r: Reservoir) -> pd.DataFrame:
-            return pd.DataFrame({"node": [-1, *r.nodes], "triangles": [r.total, *r.nodes.values()]}).astype({"node": "int64", "triangles": "float64"})
+def fitted(stream: DataFrame, colours: int, k: int) -> DataFrame:
+    """seq, src, dst, triple, parts, cell: as ``dealt``, triples of more than k edges split so that every cell has at most k.
 
+    In a split triple, each vertex has a second colour of ``parts``; a cell is a triple of both colours, and an edge goes to
+    the cells of every second colour that the third corner may have. A cell of one hub and two shares of its neighbours
+    loses edges in proportion to ``parts``, others faster. An edge repeated more than k times can't be split.
+    """
+    rows = settled(dealt(stream, colours).withColumn("first", F.array(*[F.pmod(F.floor(F.col("triple") / colours**p), F.lit(colours)) for p in (2, 1, 0)])))
+    heavy = {r["triple"]: math.ceil(1.5 * r["count"] / k) for r in rows.groupBy("triple").count().where(F.col("count") > k).collect()}  # of colours ** 3 / 6 triples at most
+    whole = rows.select("seq", "src", "dst", "triple", F.lit(1).alias("parts"), F.col("triple").cast("string").alias("cell"))
+    done, todo = whole.where(~F.col("triple").isin(list(heavy))) if heavy else whole, heavy
+    while todo:
+        parts = F.create_map(*[F.lit(x) for pair in todo.items() for x in pair])[F.col("triple")]
+        some = rows.where(F.col("triple").isin(list(todo))).withColumn("parts", parts.cast("int"))
+        corner = lambda c: F.struct(_colour(c, colours).alias("c"), _second(F.col(c), F.col("parts")).alias("s"))
+        # what the triple has beside the edge's two colours
+        rest = F.aggregate("first", F.lit(0).cast("long"), lambda a, x: a + x) - _colour("src", colours) - _colour("dst", colours)
+        cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: F.sort_array(F.array(corner("src"), corner("dst"), F.struct(rest.alias("c"), s.cast("long").alias("s")))))
+        split = some.select("seq", "src", "dst", "triple", "parts", F.explode(F.array_distinct(cells)).alias("x"))
+        split = settled(split.select("seq", "src", "dst", "triple", "parts", F.concat_ws(" ", "triple", F.transform("x", lambda x: F.concat_ws(":", x["c"], x["s"]))).alias("cell")))
+        over = [r["triple"] for r in split.groupBy("triple", "cell").count().where(F.col("count") > k).select("triple").distinct().collect()]
+        over = [t for t in over if todo[t] < 1 << 12]
+        done, todo = done.union(split.where(~F.col("triple").isin(over)) if over else split), {t: 2 * todo[t] for t in over}
+    return done
+
+
+def _rows_in_order(stream: DataFrame, colours: int, k: int, exact: bool) -> DataFrame:
+    """triple, parts, cell, src, dst: a cell's rows stand together, in order of arrival."""
+    each = fitted(stream, colours, k) if exact else dealt(stream, colours).select("*", F.lit(1).alias("parts"), F.col("triple").cast("string").alias("cell"))
+    return each.repartition("cell").sortWithinPartitions("cell", "seq").select("triple", "parts", "cell", "src", "dst")
+
+
+def _reservoir(triple: int, parts: int, cell: str, colours: int, **options) -> Reservoir:
+    if parts == 1:
+        return Coloured(colours, **options)[_numbers(triple, colours)]
+
+    def mine(*corners: int) -> bool:
+        own = sorted((colour(x, colours), second(x, parts)) for x in corners)
+        return cell == " ".join([str(triple), *(f"{c}:{s}" for c, s in own)])
+
+    return Reservoir(mine=mine, **{**options, "seed": xxhash.xxh32_intdigest(cell, options.get("seed", 1))})
+
+
+def _replayed(stream: DataFrame, colours: int, exact: bool, options: dict, schema: str, after_edge, after_cell) -> DataFrame:
+    """A batch replay: rows (of tuples) that the functions give, of a cell's reservoir, after each edge and each cell."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, r = None, None
         for pdf in batches:
-            for triple, src, dst in zip(pdf["triple"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
-                if triple != last:  # rows come in order of triple, then of arrival
-                    if state:
-                        yield read_out(state)
-                    last, state = triple, Coloured(colours, **options)[_numbers(triple, colours)]
-                state.add(src, dst)
-        if state:
-            yield read_out(state)
-
-    parts = dealt(stream, colours).repartition("triple").sortWithinPartitions("triple", "seq").select("triple", "src", "dst")
-    found = parts.mapInPandas(run, "node long, triangles double").groupBy("node").agg(F.sum("triangles").alias("triangles"))
+            out: list[tuple] = []
+            for triple, parts, cell, src, dst in zip(*(pdf[c].tolist() for c in ("triple", "parts", "cell", "src", "dst")), strict=True):
+                if cell != last:
+                    if r:
+                        out += after_cell(last, r)
+                    last, r = cell, _reservoir(triple, parts, cell, colours, **options)
+                r.add(src, dst)
+                if after_edge:
+                    out += after_edge(triple, r)
+            yield pd.DataFrame(out, columns=names)
+        if r:
+            yield pd.DataFrame(after_cell(last, r), columns=names)
+
+    return _rows_in_order(stream, colours, options["k"], exact).mapInPandas(run, schema)
+
+
+def estimate(stream: DataFrame, colours: int = 4, exact: bool = False, **options) -> DataFrame:
+    """node, triangles and, as node -1, the total: a batch replay, a reservoir of k slots for each triple of colours.
+
+    exact: triples are split until all their edges fit, so that nothing is estimated.
+    """
+    found = _replayed(stream, colours, exact, options, "node long, triangles double", None, lambda cell, r: [(-1, r.total), *r.nodes.items()])
     none = stream.sparkSession.createDataFrame([(-1, 0.0)], "node long, triangles double")  # a total, even of nothing
     return found.union(none).groupBy("node").agg(F.sum("triangles").alias("triangles"))
 
 
-def stream_estimate(stream: DataFrame, colours: int = 4, **options) -> DataFrame:
+READ_OUT = "triple long, t long, round long, rate double, total double, increment double, hits long, interval long"
+
+
+def stream_estimate(stream: DataFrame, colours: int = 4, local: bool = False, output_mode: str = "update", **options) -> DataFrame:
     """Structured Streaming over micro-batches of seq, src, dst: rows of what each triple's reservoir holds after a batch.
 
     triple, t, round, rate, total, increment (since the last round's end), hits and interval of the round so far. The
-    estimate of all triangles is the sum of the triples' latest totals.
+    estimate of all triangles is the sum of the triples' latest totals. local: instead, node and triangles, what the batch
+    adds to each vertex's count, to be summed up where it is written. The state of a triple is its slots, one by one, and the
+    neighbours of each vertex in them; a batch writes what it changes.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    schema = "triple long, t long, round long, rate double, total double, increment double, hits long, interval long"
+    with_states(stream.sparkSession)
+    schema = "node long, triangles double" if local else READ_OUT
 
-    def step(key, frames, state):
-        r = Coloured(colours, **options)[_numbers(key[0], colours)]
-        mine, r.mine = r.mine, None
-        if state.exists:
-            r = pickle.loads(state.get[0])
-        r.mine = mine
-        for src, dst in pd.concat(list(frames)).sort_values("seq")[["src", "dst"]].itertuples(index=False):
-            r.add(int(src), int(dst))
-        r.mine = None
-        state.update((pickle.dumps(r),))
-        row = key[0], r.t, r.round, r.rates[-1], r.total, r.total - (r.log[-1][3] if r.log else 0.0), r.hits, r.interval
-        yield pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")])
+    def make(triple: int, held: Slots) -> Reservoir:
+        r = Coloured(colours, **options)[_numbers(triple, colours)]
+        r.held = held
+        return r
 
-    return dealt(stream, colours).groupBy("triple").applyInPandasWithState(step, schema, "state binary", "update", GroupStateTimeout.NoTimeout)
+    processor = SlotProcessor(make, [c.split()[0] for c in schema.split(", ")], local)
+    return dealt(stream, colours).groupBy("triple").transformWithStateInPandas(processor, schema, output_mode, "none")
 
 
 def rounds(stream: DataFrame, colours: int = 4, **options) -> DataFrame:
-    """triple, round, t, rate, total, increment, hits, interval: the read-out at the end of each round."""
-    names = ["triple", "round", "t", "rate", "total", "increment", "hits", "interval"]
+    """triple, round, t, rate, total, increment, hits, interval, mean: the read-out at the end of each round; mean: of the intervals of its hits."""
+    schema = "triple long, round long, t long, rate double, total double, increment double, hits long, interval long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
-        for pdf in batches:
-            log: list[tuple] = []
-            for triple, src, dst in zip(pdf["triple"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
-                if triple != last:
-                    last, state = triple, Coloured(colours, **options)[_numbers(triple, colours)]
-                had = state.round
-                state.add(src, dst)
-                if state.round > had:
-                    log.append((triple, *state.log[-1]))
-            yield pd.DataFrame(log, columns=names)
-
-    parts = dealt(stream, colours).repartition("triple").sortWithinPartitions("triple", "seq").select("triple", "src", "dst")
-    return parts.mapInPandas(run, "triple long, round long, t long, rate double, total double, increment double, hits long, interval long")
+    def after(triple: int, r: Reservoir) -> list[tuple]:
+        found, r.ended = r.ended, None
+        return [(triple, *found)] if found else []
+
+    found = _replayed(stream, colours, False, options, schema, after, lambda cell, r: [])
+    return found.withColumn("mean", F.when(F.col("hits") > 0, F.col("interval") / F.col("hits")))
 
 
 def kept(share: float, *ids: str) -> Column:

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from tessera import catalog
 from tessera.operators import biclique, graph, similarity, triangles
-from tessera.streaming.reservoir import Reservoir
+from tessera.streaming.slots import Reservoir
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -66,7 +66,7 @@ def test_reservoir_means(variant):
         r = Reservoir(150, 0.1, variant, seed=seed)
         for e in edges:
             r.add(*e)
-        assert len(r.slots) <= 150
+        assert len(r.held.edges) <= 150
         total += r.total
     assert abs(total / 150 / truth - 1) < 0.05
 
