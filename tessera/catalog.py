@@ -74,6 +74,16 @@ def _bicliques(graph_of, tau, **options):
     return lambda s, d: biclique.search(graph_of(s, d), tau, **options)
 
 
+def _local_without(**rules):
+    """The local search without one of its rules."""
+
+    def run(s, d):
+        e = sources.user_k(s, d)
+        return biclique.local(e, 3, _queries_of(s, e), **rules)
+
+    return run
+
+
 def _queries_of(s, edges):
     return edges.select(F.col("u").alias("q")).distinct().orderBy("q").limit(20)
 
@@ -104,6 +114,13 @@ def _estimates(s, d, hashes=64):
     return similarity.estimates(similarity.pairs(e), similarity.signatures(e, hashes))
 
 
+def _candidates_above(s, d):
+    """Pairs whose signatures agree in two of five hashes and more, found by the signatures alone, with their similarities."""
+    e = sources.user_k(s, d)
+    found = graph.settled(similarity.candidates_above(graph.settled(similarity.signatures(e, 64)), 64, 0.4))
+    return similarity.compared(found, e).join(found, ["u1", "u2"])
+
+
 def _hash_jaccard(share):
     def run(s, d):
         e = sources.user_k(s, d)
@@ -165,12 +182,18 @@ def _lape(s, d):
     return triangles.error_metrics(triangles.with_estimates(*tables), "estimate", "truth")
 
 
-def _core_sets(s, d):
-    """The vertices of the 2-core's two sides, as frames of u and of v."""
-    found = graph.core(sources.order_part(s, d), 2)
+def _core_sets(s, d, k=2):
+    """The vertices of the k-core's two sides, as frames of u and of v."""
+    found = graph.core(sources.order_part(s, d), k)
     return sources.order_part(s, d), found.select("u").distinct(), found.select("v").distinct()
 
 
+def _some_sides(s, d):
+    """Half of the orders and a third of the parts, by id."""
+    e = sources.order_part(s, d)
+    return e, e.select("u").distinct().where("u % 2 = 0"), e.select("v").distinct().where("v % 3 = 0")
+
+
 def _lsh_local(s, d):
     e = sources.user_k(s, d)
     group = similarity.signatures(e, 1).select("u", F.col("sig")[0].alias("grp"))
@@ -218,26 +241,31 @@ QUERIES = {
     "twohop_pairs": lambda s, d: graph.two_hop(sources.order_part(s, d)),
     "onetwohop": lambda s, d: graph.one_two_hop(sources.order_part(s, d)),
     "jaccard_pairs": lambda s, d: similarity.pairs(sources.order_part(s, d), 2),
+    "jaccard_above": lambda s, d: similarity.pairs(sources.order_part(s, d), above=0.3),
+    "lsh_pairs": lambda s, d: similarity.lsh_pairs(sources.order_part(s, d), 0.5),
     "local_candidates": lambda s, d: similarity.candidates(sources.user_k(s, d), _queries_of(s, sources.user_k(s, d)), 0.2),
     "kcore_2": lambda s, d: graph.core_vertices(sources.order_part(s, d), 2),
     "kcore_3": lambda s, d: graph.core_vertices(sources.order_part(s, d), 3),
     "induced_subgraph": lambda s, d: graph.induced(*_core_sets(s, d)),
-    "remove_nodes": lambda s, d: graph.without(*_core_sets(s, d)),
+    "remove_nodes": lambda s, d: graph.without(*_some_sides(s, d)),
     "overlapping": _overlapping,
     "biclique_global_t2": _bicliques(sources.order_part, 2),
     "biclique_global_t3": _bicliques(sources.user_k, 3),
     "biclique_global_t4": _bicliques(sources.user_k, 4),
     "biclique_topk": _bicliques(sources.order_part, 2, k=10),
     "biclique_local_t2": lambda s, d: biclique.local(sources.user_k(s, d), 2, _queries_of(s, sources.user_k(s, d))),
-    "biclique_local_t3": lambda s, d: biclique.local(sources.user_k(s, d), 3, _queries_of(s, sources.user_k(s, d)), 0.25),
+    "biclique_local_t3": lambda s, d: biclique.local(sources.user_k(s, d), 3, _queries_of(s, sources.user_k(s, d))),
+    "biclique_local_nohop": _local_without(hop=False),
+    "biclique_local_nosfs": _local_without(by_sim=False),
+    "biclique_local_nosfs2": _local_without(by_pairs=False),
     "biclique_local_group_t2": _lsh_local,
     "biclique_print": lambda s, d: biclique.printed(biclique.search(sources.order_part(s, d), 2, k=5)),
     "biclique_ablation_nocore": _bicliques(sources.order_part, 2, use_core=False),
-    "biclique_ablation_nosim": _bicliques(sources.order_part, 2, thresholds=(0.0,)),
+    "biclique_ablation_nosim": _bicliques(sources.order_part, 2, use_bound=False),
     "biclique_global_approx": _approximate,
     "minhash_sig": lambda s, d: similarity.signatures(sources.order_part(s, d), 16),
     "minhash_estimate": _estimates,
-    "minhash_candidates": lambda s, d: _estimates(s, d).where("estimate >= 0.4"),
+    "minhash_candidates": _candidates_above,
     "trie_groups": lambda s, d: similarity.prefix_groups(similarity.signatures(sources.user_k(s, d), 10), 2),
     "lsh_groups": lambda s, d: similarity.lsh_groups(similarity.signatures(sources.order_part(s, d), 4), 1),
     "lsh_groups_4": lambda s, d: similarity.lsh_groups(similarity.signatures(sources.order_part(s, d), 4), 4),
@@ -289,6 +317,10 @@ _best = 'SELECT * FROM b ORDER BY sim DESC, members LIMIT '
 #: The best of four has pairs above this over the test data; a lower bound gives the same row more slowly.
 _T4_ABOVE = 0.4
 _LOCAL_BEST = ", k AS (SELECT DISTINCT u FROM e ORDER BY u LIMIT 20), o AS (SELECT unnest(members) AS q, * FROM b) SELECT q, sim, members, \"right\" FROM o WHERE q IN (FROM k) QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, members) = 1"
+_local3 = _usim + """k AS (SELECT DISTINCT u FROM e ORDER BY u LIMIT 20), w AS (SELECT u1 AS a, u2 AS b, jaccard FROM j WHERE common >= 3 UNION ALL SELECT u2, u1, jaccard FROM j WHERE common >= 3),
+m AS (SELECT x.a AS q, list_sort([x.a, x.b, y.b]) AS members, least(x.jaccard, y.jaccard, z.jaccard) AS sim FROM w x JOIN w y ON x.a = y.a AND x.b < y.b JOIN w z ON z.a = x.b AND z.b = y.b WHERE x.a IN (FROM k)),
+r AS (SELECT u, list_sort(list(v)) AS n FROM e GROUP BY 1), o AS (SELECT q, sim, members, list_sort(list_intersect(list_intersect(x.n, y.n), z.n)) AS "right" FROM m JOIN r x ON x.u = members[1] JOIN r y ON y.u = members[2] JOIN r z ON z.u = members[3])
+SELECT * FROM o WHERE len("right") >= 3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, members) = 1"""
 _metrics = lambda t, p: f"SELECT count(*) AS n, avg(abs({p} - {t})) AS mae, sqrt(avg(({p} - {t}) * ({p} - {t}))) AS rmse, avg(abs({p} - {t}) / ({t} + 1)) AS lape"
 _minhash = lambda h: f"SELECT * FROM (WITH {minhash_sql(h)}, m AS (SELECT u1, u2, common, jaccard, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {h} AS estimate FROM j JOIN s x ON x.u = u1 JOIN s y ON y.u = u2) {_metrics('jaccard', 'estimate')}, {h} AS hashes FROM m)"
 _sampled = lambda share: f"SELECT * FROM (WITH {sampled_jaccard_sql(share)} {_metrics('jaccard', 'sampled')}, CAST({share} AS DOUBLE) AS share FROM js WHERE jaccard > 0.01)"
@@ -311,19 +343,25 @@ ORACLES = {
     "replay_stream": f"WITH {USER_K} SELECT row_number() OVER (ORDER BY u, v) AS seq, u AS src, v AS dst FROM e",
     "twohop_pairs": f"WITH {ORDER_PART} SELECT DISTINCT a.u, b.u AS w FROM e a JOIN e b ON a.v = b.v AND a.u <> b.u",
     "onetwohop": f"WITH {ORDER_PART} SELECT DISTINCT u, 1 AS hop, v AS id FROM e UNION ALL SELECT DISTINCT a.u, 2, b.u FROM e a JOIN e b ON a.v = b.v AND a.u <> b.u",
+    "jaccard_above": f"{_sim} z AS (SELECT 1) SELECT * FROM j WHERE jaccard > 0.3",
+    "lsh_pairs": f"{_sim}{minhash_sql(72)}, w AS (SELECT u, b, sig[3 * b + 1:3 * b + 3] AS h FROM s, range(24) r(b)), n AS (SELECT DISTINCT x.u AS u1, y.u AS u2 FROM w x JOIN w y ON x.b = y.b AND x.h = y.h AND x.u < y.u) SELECT j.* FROM j JOIN n USING (u1, u2) WHERE jaccard > 0.5",
     "jaccard_pairs": f"{_sim} z AS (SELECT 1) SELECT * FROM j WHERE common >= 2",
     "local_candidates": f"{_usim} k AS (SELECT DISTINCT u FROM e ORDER BY u LIMIT 20) SELECT u1 AS q, u2 AS u, common, jaccard FROM j WHERE u1 IN (FROM k) AND jaccard > 0.2 UNION ALL SELECT u2, u1, common, jaccard FROM j WHERE u2 IN (FROM k) AND jaccard > 0.2",
     "kcore_2": f"WITH {ORDER_PART}, {core_sql(2)} SELECT DISTINCT 'L' AS side, u AS id FROM c UNION ALL SELECT DISTINCT 'R', v FROM c",
     "kcore_3": f"WITH {ORDER_PART}, {core_sql(3)} SELECT DISTINCT 'L' AS side, u AS id FROM c UNION ALL SELECT DISTINCT 'R', v FROM c",
     "induced_subgraph": f"WITH {ORDER_PART}, {core_sql(2)} SELECT * FROM e WHERE u IN (SELECT u FROM c) AND v IN (SELECT v FROM c)",
-    "remove_nodes": f"WITH {ORDER_PART}, {core_sql(2)} SELECT * FROM e WHERE u NOT IN (SELECT u FROM c) AND v NOT IN (SELECT v FROM c)",
+    "remove_nodes": f"WITH {ORDER_PART} SELECT * FROM e WHERE u % 2 <> 0 AND v % 3 <> 0",
+    "biclique_global_approx": f"{_usim}{core_sql(2)}, s AS (SELECT * FROM (WITH {minhash_sql(10)} SELECT * FROM s) WHERE u IN (SELECT u FROM c)), l AS (SELECT u, sig, {_prefix} AS level FROM s), gr AS (SELECT u, min(u) OVER (PARTITION BY level, sig[1:level]) AS grp FROM l), jg AS (SELECT j.* FROM j JOIN gr x ON x.u = u1 JOIN gr y ON y.u = u2 WHERE x.grp = y.grp AND u1 IN (SELECT u FROM c) AND u2 IN (SELECT u FROM c)), {biclique_sql(2, _best + '1', 'jg')}",
     "overlapping": f"WITH {USER_K} SELECT DISTINCT u FROM e WHERE v IN (SELECT v FROM e WHERE u = (SELECT min(u) FROM e))",
     "biclique_global_t2": _sim + biclique_sql(2, _best + "1"),
     "biclique_global_t3": _usim + biclique_sql(3, _best + "1"),
     "biclique_global_t4": _usim + biclique_sql(4, _best + "1", above=_T4_ABOVE),
     "biclique_topk": _sim + biclique_sql(2, _best + "10"),
     "biclique_local_t2": _usim + biclique_sql(2, _LOCAL_BEST),
-    "biclique_local_t3": _usim + biclique_sql(3, _LOCAL_BEST),
+    "biclique_local_t3": _local3,
+    "biclique_local_nohop": _local3,
+    "biclique_local_nosfs": _local3,
+    "biclique_local_nosfs2": _local3,
     "biclique_local_group_t2": f"{_usim}{minhash_sql(1)}, jg AS (SELECT j.* FROM j JOIN s x ON x.u = u1 JOIN s y ON y.u = u2 WHERE x.sig = y.sig), " + biclique_sql(2, _LOCAL_BEST, "jg"),
     "biclique_print": _sim + biclique_sql(2, "SELECT 'sim: ' || printf('%.5f', sim) || ' L: ' || array_to_string(members, ' ') || ' R: ' || array_to_string(\"right\", ' ') AS line FROM (FROM b ORDER BY sim DESC, members LIMIT 5)"),
     "biclique_ablation_nocore": _sim + biclique_sql(2, _best + "1"),

@@ -1,18 +1,25 @@
 """Most similar bicliques: sets of left vertices with enough common right neighbours, by least pairwise Jaccard.
 
-Candidate pairs above a threshold are grown level by level; if any set of the wanted size is found, the best of
-them is the optimum, as all above the threshold were enumerated. Else the threshold goes down.
+Global: a first bound comes from pairs that banded MinHash signatures bring together. All pairs that reach it are joined and
+grown level by level; as all sets above the bound were enumerated, the best of them is the optimum. Without a first bound
+thresholds go down until a set is found.
+
+Local: each query's search stays within the vertices that share enough neighbours with it, and has the best set found so far as
+its bound.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import adjacency, core, settled
-from tessera.operators.similarity import pairs
+from tessera.operators.graph import adjacency, core, outlasting, settled
+from tessera.operators.similarity import candidates, lsh_pairs, pairs
 
 THRESHOLDS = (0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05, 0.0)
+#: Pairs that the first bound is looked for in, and bands of hashes that find them.
+BOUND_PAIRS, BOUND_ROWS, BOUND_BANDS = 2_000, 3, 3
 
 
 def grown(found: DataFrame, size: int) -> DataFrame:
@@ -38,41 +45,178 @@ def with_right(sets: DataFrame, edges: DataFrame, size: int, least: int) -> Data
     return found.withColumn("right", F.sort_array("right"))
 
 
-def counted_pairs(edges: DataFrame, tau: int, theta: float, use_core: bool = True, group: DataFrame | None = None) -> DataFrame:
-    """Pairs above theta of the core's left vertices, written. group: u, grp restricts pairs to a group."""
-    left = core(edges, tau).select("u").distinct() if use_core else None
-    found = pairs(edges, tau, theta, left)
-    if group is not None:
-        a, b = group.select(F.col("u").alias("u1"), F.col("grp").alias("g1")), group.select(F.col("u").alias("u2"), F.col("grp").alias("g2"))
-        found = found.join(a, "u1").join(b, "u2").where("g1 = g2").drop("g1", "g2")
-    return settled(found)
+def _within_groups(found: DataFrame, group: DataFrame | None) -> DataFrame:
+    """Pairs of one group (u, grp), if groups are given."""
+    if group is None:
+        return found
+    a, b = group.select(F.col("u").alias("u1"), F.col("grp").alias("g1")), group.select(F.col("u").alias("u2"), F.col("grp").alias("g2"))
+    return found.join(a, "u1").join(b, "u2").where("g1 = g2").drop("g1", "g2")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    return found.orderBy(F.desc("sim"), "members").limit(k)
 
 
-def search(edges: DataFrame, tau: int, k: int = 1, thresholds=THRESHOLDS, use_core: bool = True, group: DataFrame | None = None) -> DataFrame:
-    """The k best bicliques: sim, members, right. No rows where there is none.
+def first_bound(edges: DataFrame, tau: int, size: int, k: int, group: DataFrame | None) -> float:
+    """A similarity that k sets reach, at least: the k-th best of those within pairs that banded signatures bring together; 0 if there are fewer."""
+    near = _within_groups(lsh_pairs(edges, 0.0, BOUND_ROWS, BOUND_BANDS, tau), group)
+    near = near.orderBy(F.desc("jaccard"), "u1", "u2")
+    if size == 2:  # each pair has a right side that is large enough
+        best = near.limit(k).agg(F.count("*").alias("n"), F.min("jaccard").alias("sim")).first()
+        return best["sim"] if best["n"] >= k else 0.0
+    near = settled(near.limit(BOUND_PAIRS))
+    best = _best(with_right(grown(near, size), edges, size, tau), k).agg(F.count("*").alias("n"), F.min("sim").alias("sim")).first()
+    return best["sim"] if best["n"] >= k else 0.0
 
-    Pairs are counted once, for the lowest threshold; the others are filters. Of two members each pair has a right side
-    that is large enough, so only the best k are looked up.
+
+@outlasting
+def search(edges: DataFrame, tau: int, k: int = 1, thresholds=THRESHOLDS, use_core: bool = True, use_bound: bool = True, group: DataFrame | None = None) -> DataFrame:
+    """The k best bicliques: sim, members, right. No rows where there is none. group: u, grp; members are of one group.
+
+    use_core and use_bound leave rules out, which the result doesn't depend on; without bound all pairs are joined and all
+    sets grown.
     """
     size, edges = max(2, tau), settled(edges)
-    near = counted_pairs(edges, tau, min(thresholds), use_core, group)
-    best = lambda found: found.orderBy(F.desc("sim"), "members").limit(k)
-    if size == 2:
-        return best(with_right(best(grown(near, 2)), edges, 2, tau)).select("sim", "members", "right")
-    for theta in thresholds:
-        found = settled(with_right(grown(near.where(F.col("jaccard") > theta), size), edges, size, tau))
+    left = settled(core(edges, tau).select("u").distinct()) if use_core else None
+    own = settled(edges.join(left, "u", "left_semi")) if use_core else edges
+    bound = first_bound(own, tau, size, k, group) if use_bound else 0.0
+    for theta in (bound - 1e-9,) if bound > 0 else thresholds if use_bound else (0.0,):
+        near = settled(_within_groups(pairs(edges, tau, max(theta, 0.0), left), group))
+        if size == 2:  # each pair has a right side that is large enough
+            found = _best(grown(near, 2), k)
+            if theta == 0.0 or found.count() >= k:
+                return with_right(found, edges, 2, tau).select("sim", "members", "right")
+            continue
+        found = settled(with_right(grown(near, size), edges, size, tau))
         if found.limit(k).count() >= k:
             break
-    return best(found).select("sim", "members", "right")
+    return _best(found, k).select("sim", "members", "right")
+
+
+class Ego:
+    """A query vertex and those around it, as bits over the right vertices that they have."""
+
+    def __init__(self, q: int, members: list[int], neighbours: list, tau: int):
+        places: dict[int, int] = {}
+        self.bits = {u: sum(1 << places.setdefault(int(v), len(places)) for v in near) for u, near in zip(members, neighbours, strict=True)}
+        self.ids, self.q, self.tau, self.size = list(places), q, tau, max(2, tau)
+        self.near = {u: b & self.bits[q] for u, b in self.bits.items()}
+        self.known: dict[tuple[int, int], float] = {}
+        self.best: tuple[float, list[int], int] | None = None
+        self.visited = 0
+
+    def sim(self, a: int, b: int) -> float:
+        key = (a, b) if a < b else (b, a)
+        if key not in self.known:
+            common = (self.bits[a] & self.bits[b]).bit_count()
+            self.known[key] = common / (self.bits[a].bit_count() + self.bits[b].bit_count() - common)
+        return self.known[key]
+
+    def peel(self) -> None:
+        """Vertices that have fewer than tau neighbours left go, on either side in turn."""
+        while True:
+            counts: dict[int, int] = {}
+            for bits in self.near.values():
+                while bits:
+                    low = bits & -bits
+                    counts[low] = counts.get(low, 0) + 1
+                    bits ^= low
+            mask = sum(b for b, n in counts.items() if n >= self.size)
+            kept = {u: b & mask for u, b in self.near.items() if (b & mask).bit_count() >= self.tau}
+            if kept == self.near:
+                return
+            self.near = kept
+
+    def worse(self, sim: float) -> bool:
+        return self.best is not None and sim < self.best[0]
+
+    def grow(self, members: list[int], right: int, sim: float, rest: list[int], by_sim: bool) -> None:
+        self.visited += 1
+        if self.worse(sim) or len(members) + len(rest) < self.size or right.bit_count() < self.tau:
+            return
+        if len(members) == self.size:
+            found = sim, sorted(members), right
+            if self.best is None or sim > self.best[0] or found[1] < self.best[1]:
+                self.best = found
+            return
+        each = [(min(self.sim(u, m) for m in members), u) for u in rest]
+        if by_sim:
+            each.sort(key=lambda x: (-x[0], x[1]))
+        for k, (own, u) in enumerate(each):
+            self.grow([*members, u], right & self.near[u], min(sim, own), [w for _, w in each[k + 1 :]], by_sim)
+
+    def search(self, by_sim: bool = True, by_pairs: bool = True) -> tuple[float, list[int], list[int]] | None:
+        """The best set that holds the query. by_sim: the most similar vertices first; by_pairs: growth starts from pairs, each with the vertices before it."""
+        self.peel()
+        if self.q not in self.near:
+            return None
+        others = sorted((u for u in self.near if u != self.q), key=lambda u: (-self.sim(self.q, u), u) if by_sim else (0.0, u))
+        if by_pairs:
+            for k, u in enumerate(others):
+                if by_sim and self.worse(self.sim(self.q, u)):
+                    break
+                self.grow([self.q, u], self.near[self.q] & self.near[u], self.sim(self.q, u), others[:k], by_sim)
+        else:
+            self.grow([self.q], self.near[self.q], 1.0, others, by_sim)
+        if self.best is None:
+            return None
+        sim, members, _ = self.best
+        right = self.bits[members[0]]
+        for m in members[1:]:
+            right &= self.bits[m]
+        return sim, members, sorted(v for k, v in enumerate(self.ids) if right >> k & 1)
+
+
+def _every(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """As ``candidates``, without looking at shared neighbours first: each query with every left vertex; queries are few."""
+    lists = adjacency(edges, "u")
+    asked = queries.join(lists.toDF("q", "mine"), "q")
+    both = lists.join(F.broadcast(asked), F.col("u") != F.col("q"))
+    common = F.size(F.array_intersect("mine", "nbrs")).cast("long")
+    return both.select("q", "u", common.alias("common"), (common / (F.size("mine") + F.size("nbrs") - common)).alias("jaccard"))
 
 
-def local(edges: DataFrame, tau: int, queries: DataFrame, theta: float = 0.0, use_core: bool = True, group: DataFrame | None = None) -> DataFrame:
-    """q, sim, members, right: the best biclique that holds each query vertex (a frame of q), of those within its group if given."""
-    size, edges = max(2, tau), settled(edges)
-    found = with_right(grown(counted_pairs(edges, tau, theta, use_core, group), size), edges, size, tau)
-    mine = found.withColumn("q", F.explode("members")).join(queries, "q", "left_semi")
-    best = Window.partitionBy("q").orderBy(F.desc("sim"), "members")
-    return mine.withColumn("r", F.row_number().over(best)).where("r = 1").select("q", "sim", "members", "right")
+@outlasting
+def local(edges: DataFrame, tau: int, queries: DataFrame, group: DataFrame | None = None, hop: bool = True, by_sim: bool = True, by_pairs: bool = True, most: int = 2_000_000) -> DataFrame:
+    """q, sim, members, right: the best biclique that holds each query vertex (a frame of q), of those within its group if given.
+
+    What a query's search needs are the vertices that share tau neighbours with it, and their neighbours: work grows with
+    those. They make a group of a task if they have at most ``most`` neighbours in all; the pairs around larger ones are
+    joined and grown. hop, by_sim and by_pairs leave rules of the search out, which the result doesn't depend on.
+    """
+    size, edges = max(2, tau), settled(edges.select("u", "v"))
+    queries = settled(queries.select("q").distinct())
+    near = candidates(edges, queries) if hop else _every(edges, queries)
+    near = near.where(F.col("common") >= tau).select("q", "u", "jaccard")
+    if group is not None:
+        grp = group.select("u", "grp")
+        near = near.join(grp, "u").join(grp.toDF("q", "own"), "q").where("grp = own").drop("grp", "own")
+    near, order = settled(near), Window.partitionBy("q").orderBy(F.desc("sim"), "members")
+    if size == 2:
+        pair = near.select("q", F.col("jaccard").alias("sim"), F.sort_array(F.array("q", "u")).alias("members"))
+        best = pair.groupBy("q").agg(F.min(F.struct((-F.col("sim")).alias("s"), "members")).alias("m")).select("q", (-F.col("m.s")).alias("sim"), "m.members")
+        return best.join(with_right(best.select("members", "sim").distinct(), edges, 2, tau).drop("sim"), "members").select("q", "sim", "members", "right")
+    members = near.select("q", "u").union(near.select("q", F.col("q").alias("u")).distinct())
+    ego = settled(members.join(adjacency(edges, "u"), "u"))
+    large = ego.groupBy("q").agg(F.sum(F.size("nbrs")).alias("n")).where(F.col("n") > most).select("q")
+    large = settled(large)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        q = int(rows["q"].iloc[0])
+        found = Ego(q, rows["u"].tolist(), rows["nbrs"].tolist(), tau).search(by_sim, by_pairs)
+        return pd.DataFrame([(q, *found)] if found else [], columns=["q", "sim", "members", "right"])
+
+    found = ego.join(F.broadcast(large), "q", "left_anti").groupBy("q").applyInPandas(one, "q long, sim double, members array<long>, right array<long>")
+    if large.limit(1).count():
+        around = settled(near.join(large, "q", "left_semi"))
+        joined = settled(pairs(edges, tau, 0.0, around.select("u").union(around.select("q")).distinct()))
+        star = around.select("q", "u")  # all members of a set are around its query, and so in its group
+        sets = with_right(grown(joined, size), edges, size, tau).withColumn("q", F.explode("members")).join(large, "q", "left_semi")
+        inside = sets.select("q", "sim", "members", "right", F.explode("members").alias("u")).where("u <> q").join(star, ["q", "u"])
+        whole = inside.groupBy("q", "sim", "members", "right").count().where(F.col("count") == size - 1)
+        best = whole.withColumn("r", F.row_number().over(order)).where("r = 1").select("q", "sim", "members", "right")
+        found = found.union(best)
+    return found
 
 
 def printed(found: DataFrame) -> DataFrame:

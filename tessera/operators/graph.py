@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _folders: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
+#: Of each application, lists of the tables written; the last one is of the innermost ``own_tables``.
+_written: dict[str, list[list[str]]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,21 +29,57 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[app]
 
 
+def _tables(spark: SparkSession) -> list[list[str]]:
+    return _written.setdefault(spark.sparkContext.applicationId, [[]])
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lost executors cost no lineage, and it isn't computed twice."""
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    _tables(df.sparkSession)[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_tables(spark: SparkSession) -> None:
-    """Delete the tables that ``settled`` has written so far; frames that read them are of no use afterwards."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """The tables that ``settled`` writes within are deleted at its end: what is to stay has to be written by then. Others' tables stay."""
+    tables = _tables(spark)
+    mine: list[str] = []
+    tables.append(mine)
+    try:
+        yield
+    finally:
+        tables[:] = [t for t in tables if t is not mine]
+        _delete(spark, mine)
+
+
+def outlasting(made: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions of a frame that write tables on the way: only the result's own table stays."""
+
+    @functools.wraps(made)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        spark = df.sparkSession
+        with own_tables(spark):
+            found = settled(made(df, *args, **options))
+            _tables(spark)[-2].append(_tables(spark)[-1].pop())
+        return found
+
+    return run
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all tables that ``settled`` has written so far, whoever reads them; for the end of a session. ``own_tables`` is for parts of one."""
+    for tables in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, tables)
+
+
 def degree(edges: DataFrame, side: str) -> DataFrame:
     return edges.groupBy(side).agg(F.count("*").alias("deg"))
 
@@ -50,19 +89,38 @@ def adjacency(edges: DataFrame, side: str = "u") -> DataFrame:
     return edges.groupBy(side).agg(F.sort_array(F.collect_set(other)).alias("nbrs"))
 
 
-def core(edges: DataFrame, k: int) -> DataFrame:
-    """Edges of the largest subgraph in which every vertex has k neighbours.
+def peeled(edges: DataFrame, k: int) -> tuple[DataFrame, list[int]]:
+    """side, id of all vertices outside of the k-core (of distinct edges), and how many went in each round.
 
-    Sides take turns: vertices with too few edges are taken out with an anti-join, until neither side has any.
+    Degrees are counted once. A round takes out the vertices that fell below k in the one before, counts what their
+    neighbours lose, and looks again at these neighbours only: what is shuffled falls with the number of vertices that go.
     """
-    edges, clean = settled(edges), 0
-    for side in itertools.cycle(("u", "v")):
-        low = edges.groupBy(side).count().where(F.col("count") < k).select(side)
-        if low.limit(1).count():
-            edges, clean = settled(edges.join(low, side, "left_anti").select("u", "v")), 0
-        clean += 1
-        if clean == 2:
-            return edges
+    arcs = edges.select(F.lit("u").alias("side"), F.col("u").alias("id"), F.col("v").alias("other")).union(edges.select(F.lit("v"), "v", "u"))
+    arcs = settled(arcs)
+    degrees = settled(arcs.groupBy("side", "id").agg(F.count("*").alias("deg")))
+    frontier = settled(degrees.where(F.col("deg") < k).select("side", "id"))
+    gone, losses, sizes = frontier, None, []
+    while size := frontier.count():
+        sizes.append(size)
+        met = arcs.join(frontier, ["side", "id"], "left_semi")
+        loss = settled(met.groupBy(F.when(F.col("side") == "u", "v").otherwise("u").alias("side"), F.col("other").alias("id")).agg(F.count("*").alias("lost")))
+        losses = loss if losses is None else losses.union(loss)
+        touched = losses.join(loss.select("side", "id"), ["side", "id"], "left_semi").groupBy("side", "id").agg(F.sum("lost").alias("lost"))
+        low = touched.join(degrees, ["side", "id"]).where(F.col("deg") - F.col("lost") < k).select("side", "id")
+        frontier = settled(low.join(gone, ["side", "id"], "left_anti"))
+        gone = gone.union(frontier)
+    return gone, sizes
+
+
+@outlasting
+def core(edges: DataFrame, k: int) -> DataFrame:
+    """Edges of the largest subgraph in which every vertex has k neighbours."""
+    edges = settled(edges.select("u", "v"))
+    gone, sizes = peeled(edges, k)
+    if not sizes:
+        return edges
+    of = lambda side: gone.where(F.col("side") == side).select(F.col("id").alias(side))
+    return without(edges, of("u"), of("v"))
 
 
 def core_vertices(edges: DataFrame, k: int) -> DataFrame:
@@ -79,10 +137,26 @@ def without(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return edges.join(left, "u", "left_anti").join(right, "v", "left_anti")
 
 
+def wedges(e: DataFrame, per: int = 256, first: Column | None = None) -> DataFrame:
+    """Edges (u, v and other columns) that meet in a right vertex, in both orders and with themselves: v, and all else with 1 and with 2 behind its name.
+
+    first: a condition that holds for those with 1.
+    A vertex with many edges is dealt to a part for each ``per`` of them: an edge on the left goes to one of the parts, on the right to
+    all. What comes out is much more than what goes in, so the number of partitions is given, lest few are made of them.
+    """
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in e.columns if c != "v"]
+    shares = degree(e, "v").select("v", F.ceil(F.col("deg") / per).cast("int").alias("__shares"))
+    e = e.join(shares, "v")
+    a = (e if first is None else e.where(first)).select("v", F.pmod(F.xxhash64("u"), "__shares").cast("int").alias("__part"), *[F.col(c).alias(f"{c}1") for c in rest])
+    b = e.select("v", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)).alias("__part"), *[F.col(c).alias(f"{c}2") for c in rest])
+    return a.repartition(parts, "v", "__part").join(b.repartition(parts, "v", "__part"), ["v", "__part"]).drop("__part")
+
+
 def two_hop(edges: DataFrame) -> DataFrame:
-    """u, w: left vertices that share a right one, each other than itself."""
-    a, b = edges.alias("a"), edges.select(F.col("u").alias("w"), "v").alias("b")
-    return a.join(b, "v").where("u != w").select("u", "w").distinct()
+    """u, w: left vertices that share a right one, each other than itself. Hubs on the right side are split."""
+    met = wedges(edges.select("u", "v"))
+    return met.where("u1 <> u2").select(F.col("u1").alias("u"), F.col("u2").alias("w")).distinct()
 
 
 def one_two_hop(edges: DataFrame) -> DataFrame:

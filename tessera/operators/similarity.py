@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import degree, settled
+from tessera.operators.graph import degree, outlasting, settled, wedges
 from tessera.sources.edges import numbered
 
 #: A prime; hash values of the affine family are below it.
@@ -15,39 +17,34 @@ PRIME = 2147483647
 def pairs(edges: DataFrame, least_common: int = 1, above: float = 0.0, left: DataFrame | None = None) -> DataFrame:
     """u1 < u2, common, jaccard: pairs with enough common neighbours and a similarity above the bound.
 
-    The wedge join runs over edges that carry their left end's degree, so that pairs whose degrees rule the bound out
-    are dropped in the join; ``left`` restricts the ends, not what is counted. Where two common neighbours are asked for and
-    that makes fewer rows, pairs of neighbours are joined instead of single ones: hubs on the right side are then met only
-    by vertices that share another neighbour, too. Both ways give the same; their rows are counted before.
+    ``left`` restricts the ends, not what is counted. There are three ways to the same rows, chosen by what the degrees say
+    they make: with a bound, pairs that meet in the rarest neighbours of either (``prefix_candidates``), whose neighbours are
+    then compared; where two common neighbours are asked for, pairs of neighbours joined instead of single ones, so that hubs
+    on the right side are met only by vertices that share another neighbour, too; else all wedges, counted.
     """
     if left is not None:
         edges = edges.join(left.select("u").distinct(), "u", "left_semi")
-    edges = settled(edges.select("u", "v"))  # read several times below
-    e = edges.join(degree(edges, "u").where(F.col("deg") >= least_common), "u")
-    counted = None
-    if least_common > 1 and pairs_within(edges, "u") < (wedges := pairs_within(edges, "v")):
-        two = settled(_neighbour_pairs(e))
-        if pairs_within(two, "k") < wedges / 2:
-            counted = _by_two(two, above)
-    if counted is None:
-        met = _wedges(e).where((F.col("u1") < F.col("u2")) & _may_reach(above))
-        counted = met.groupBy("u1", "u2", "d1", "d2").agg(F.count("*").alias("common"))
-    found = counted.where(F.col("common") >= least_common).withColumn("jaccard", F.col("common") / (F.col("d1") + F.col("d2") - F.col("common")))
+    e = edges.select("u", "v").join(degree(edges, "u").where(F.col("deg") >= least_common), "u")
+    e = settled(e)  # read several times below
+    wedge_rows = pairs_within(e, "v")
+    if above > 0:
+        rare = settled(prefixes(e, above, least_common))
+        if _prefix_rows(rare, above, least_common) < wedge_rows:
+            return compared(prefix_candidates(rare, above, least_common), e, least_common, above)
+    if least_common > 1 and 4 * pairs_within(e, "u") < wedge_rows:
+        two = wedges(e.select(F.col("u").alias("v"), F.col("v").alias("u"), "deg")).where("u1 < u2")  # neighbours that meet in a left vertex
+        met = wedges(settled(two.select(F.col("v").alias("u"), F.struct("u1", "u2").alias("v"), F.col("deg1").alias("deg"))))
+        # n common neighbours are n * (n - 1) / 2 common pairs
+        count = F.round((1 + F.sqrt(1 + 8 * F.count("*"))) / 2).cast("long")
+    else:
+        met, count = wedges(e), F.count("*")
+    counted = met.where((F.col("u1") < F.col("u2")) & _may_reach(above)).groupBy("u1", "u2", "deg1", "deg2").agg(count.alias("common"))
+    found = counted.where(F.col("common") >= least_common).withColumn("jaccard", _jaccard())
     return found.where(F.col("jaccard") > above).select("u1", "u2", "common", "jaccard")
 
 
-def _wedges(e: DataFrame, per: int = 256) -> DataFrame:
-    """u1, d1, u2, d2: edges that meet in a right vertex.
-
-    One with many edges is dealt to a part for each ``per`` of them: an edge on the left goes to one of the parts, on the right to
-    all. What comes out is much more than what goes in, so the number of partitions is given, lest few are made of them.
-    """
-    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = degree(e, "v").select("v", F.ceil(F.col("deg") / per).cast("int").alias("shares"))
-    e = e.join(shares, "v")
-    a = e.select("v", F.pmod(F.xxhash64("u"), "shares").cast("int").alias("part"), F.col("u").alias("u1"), F.col("deg").alias("d1"))
-    b = e.select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"), F.col("u").alias("u2"), F.col("deg").alias("d2"))
-    return a.repartition(parts, "v", "part").join(b.repartition(parts, "v", "part"), ["v", "part"])
+def _jaccard() -> Column:
+    return F.col("common") / (F.col("deg1") + F.col("deg2") - F.col("common"))
 
 
 def pairs_within(edges: DataFrame, side: str) -> float:
@@ -56,23 +53,50 @@ def pairs_within(edges: DataFrame, side: str) -> float:
 
 
 def _may_reach(above: float) -> Column:
-    return F.least("d1", "d2") > F.greatest("d1", "d2") * F.lit(above)
+    return F.least("deg1", "deg2") > F.greatest("deg1", "deg2") * F.lit(above)
+
+
+def prefixes(e: DataFrame, above: float, least_common: int = 1) -> DataFrame:
+    """u, v, deg, at: the edges (u, v, deg) to each left vertex's rarest neighbours, by place in the order of rarity.
+
+    Two sets above the similarity have a neighbour in common among so many of either: the others are too few.
+    """
+    rarity = degree(e, "v").select("v", F.col("deg").alias("__n"))
+    lists = e.join(rarity, "v").groupBy("u", "deg").agg(F.sort_array(F.collect_list(F.struct("__n", "v"))).alias("s"))
+    needed = F.greatest(F.lit(least_common), F.ceil(F.col("deg") * F.lit(above) - 1e-9))
+    return lists.select("u", "deg", F.posexplode(F.slice("s", 1, (F.col("deg") - needed + 1).cast("int"))).alias("at", "x")).select("u", F.col("x.v").alias("v"), "deg", "at")
+
+
+def _short(above: float, least_common: int) -> Column:
+    """Is the edge among those of a set's rarest neighbours that the smaller of two sets needs? A larger one shares more with it than one of its size."""
+    needed = F.greatest(F.lit(least_common), F.ceil(F.col("deg") * F.lit(2 * above / (1 + above)) - 1e-9))
+    return F.col("at") <= F.col("deg") - needed
+
+
+def prefix_candidates(rare: DataFrame, above: float, least_common: int = 1) -> DataFrame:
+    """u1 < u2: pairs that meet in ``prefixes``, whose sizes allow the similarity, and of which enough neighbours are left where they first meet.
+
+    The smaller set of a pair (of equal ones, that of the smaller id) is looked for by a shorter prefix.
+    """
+    needed = F.greatest(F.lit(least_common), F.ceil((F.col("deg1") + F.col("deg2")) * F.lit(above / (1 + above)) - 1e-9))
+    ordered = (F.col("deg1") < F.col("deg2")) | ((F.col("deg1") == F.col("deg2")) & (F.col("u1") < F.col("u2")))
+    met = wedges(rare, first=_short(above, least_common)).where(ordered & _may_reach(above) & (F.least(F.col("deg1") - F.col("at1"), F.col("deg2") - F.col("at2")) >= needed))
+    return met.select(F.least("u1", "u2").alias("u1"), F.greatest("u1", "u2").alias("u2")).distinct()
 
 
-def _neighbour_pairs(e: DataFrame) -> DataFrame:
-    """u, deg, k: the pairs of neighbours of each left vertex."""
-    lists = e.groupBy("u").agg(F.first("deg").alias("deg"), F.sort_array(F.collect_list("v")).alias("n"))
-    two = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, F.size("n")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    return lists.select("u", "deg", F.explode(two).alias("k"))
+def _prefix_rows(rare: DataFrame, above: float, least_common: int) -> float:
+    """How many rows ``prefix_candidates`` meets."""
+    n = rare.groupBy("v").agg(F.count("*").alias("all"), F.count_if(_short(above, least_common)).alias("short"))
+    return n.agg(F.sum(F.col("all") * F.col("short") * 1.0)).first()[0] or 0.0
 
 
-def _by_two(two: DataFrame, above: float) -> DataFrame:
-    """u1, u2, common, d1, d2 of left vertices with two and more common neighbours: these have common * (common - 1) / 2 pairs in common."""
-    each = two.select("u", "deg", "k.x", "k.y")
-    a, b = each.toDF("u1", "d1", "x", "y"), each.toDF("u2", "d2", "x", "y")
-    met = a.join(b, ["x", "y"]).where((F.col("u1") < F.col("u2")) & _may_reach(above))
-    counted = met.groupBy("u1", "u2", "d1", "d2").agg(F.count("*").alias("n"))
-    return counted.select("u1", "u2", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("common"), "d1", "d2")
+def compared(some: DataFrame, edges: DataFrame, least_common: int = 1, above: float = 0.0) -> DataFrame:
+    """u1, u2, common, jaccard of pairs (u1, u2): their neighbour lists are fetched and intersected."""
+    lists = edges.groupBy("u").agg(F.collect_set("v").alias("n"))
+    both = some.select("u1", "u2").join(lists.toDF("u1", "n1"), "u1").join(lists.toDF("u2", "n2"), "u2")
+    counted = both.select("u1", "u2", F.size("n1").alias("deg1"), F.size("n2").alias("deg2"), F.size(F.array_intersect("n1", "n2")).cast("long").alias("common"))
+    found = counted.where(F.col("common") >= least_common).withColumn("jaccard", _jaccard())
+    return found.where(F.col("jaccard") > above).select("u1", "u2", "common", "jaccard")
 
 
 def candidates(edges: DataFrame, queries: DataFrame, above: float = 0.0) -> DataFrame:
@@ -107,12 +131,39 @@ def estimates(some: DataFrame, sig: DataFrame) -> DataFrame:
     return both.withColumn("estimate", found).drop("s1", "s2")
 
 
+def lsh_candidates(sig: DataFrame, rows: int, bands: int) -> DataFrame:
+    """u1 < u2: pairs of left vertices whose signatures (u, sig) agree in all ``rows`` hashes of one of the bands at least.
+
+    Two vertices of similarity s are found with a probability of 1 - (1 - s^rows)^bands. Buckets are met as right vertices
+    are, large ones in parts; the graph's own wedges are never made.
+    """
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))
+    filed = settled(sig.select("u", F.explode(band).alias("v")))
+    alone = filed.groupBy("v").count().where("count > 1").select("v")
+    return wedges(filed.join(alone, "v", "left_semi")).where("u1 < u2").select("u1", "u2").distinct()
+
+
+def lsh_pairs(edges: DataFrame, above: float, rows: int = 3, bands: int = 24, least_common: int = 1) -> DataFrame:
+    """u1 < u2, common, jaccard: candidates of the bands with a similarity above the bound; some pairs may be missed."""
+    return compared(lsh_candidates(signatures(edges, rows * bands), rows, bands), edges, least_common, above)
+
+
 def lsh_groups(sig: DataFrame, band: int = 4) -> DataFrame:
     """Groups of two and more that agree in the first ``band`` hashes: band, members' number and least member."""
     groups = sig.groupBy(F.slice("sig", 1, band).alias("band")).agg(F.count("*").alias("n"), F.min("u").alias("least"))
     return groups.where("n >= 2")
 
 
+def candidates_above(sig: DataFrame, hashes: int, least: float) -> DataFrame:
+    """u1 < u2, estimate: all pairs of left vertices whose signatures (u, sig) agree in a share ``least`` of the hashes and more.
+
+    Such a pair disagrees in too few hashes to do so in all of the first ones: it meets in one of those. Nothing is missed.
+    """
+    needed = max(1, math.ceil(least * hashes - 1e-9))
+    met = lsh_candidates(sig, 1, hashes - needed + 1)
+    return estimates(met, sig).where(F.col("estimate") >= least)
+
+
 def prefix_groups(sig: DataFrame, tau: int, depth: int = 10) -> DataFrame:
     """u, level, least: members are split by one hash more while a group has over 10 * tau, at most ``depth`` times."""
     level, rows = F.lit(depth), sig
@@ -136,13 +187,15 @@ def affine(value: Column, h: int) -> Column:
     return F.pmod(F.pmod(value, F.lit(PRIME)) * F.lit(a) + F.lit(b), F.lit(PRIME))
 
 
+@outlasting
 def validation_pairs(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """u1, u2, exact: n pairs of left vertices drawn by a hash, with their similarity (0 of pairs without common neighbours)."""
     ids = numbered(edges.select("u").distinct(), "u").select((F.col("seq") - 1).alias("seq"), "u")
     size = F.lit(max(1, edges.select("u").distinct().count()))
     drawn = edges.sparkSession.range(n).select("id", F.pmod(affine(F.col("id"), seed), size).alias("i"), F.pmod(affine(F.col("id"), seed + 1), size).alias("j"))
     both = drawn.join(ids.toDF("i", "u1"), "i").join(ids.toDF("j", "u2"), "j").select("id", F.least("u1", "u2").alias("u1"), F.greatest("u1", "u2").alias("u2"))
-    found = both.join(pairs(edges).select("u1", "u2", "jaccard"), ["u1", "u2"], "left")
+    both = settled(both)
+    found = both.join(compared(both.select("u1", "u2").distinct(), edges).select("u1", "u2", "jaccard"), ["u1", "u2"], "left")
     return found.select("id", "u1", "u2", F.when(F.col("u1") == F.col("u2"), 1.0).otherwise(F.coalesce("jaccard", F.lit(0.0))).alias("exact"))
 
 

@@ -1,3 +1,7 @@
+import itertools
+import os
+import random
+
 import duckdb
 import pytest
 
@@ -42,7 +46,7 @@ def test_pairs_and_bicliques(tiny):
 
 
 def test_ablations_agree(tiny):
-    best = {tuple(map(str, biclique.search(tiny, 2, **o).collect())) for o in ({}, {"use_core": False}, {"thresholds": (0.0,)})}
+    best = {tuple(map(str, biclique.search(tiny, 2, **o).collect())) for o in ({}, {"use_core": False}, {"use_bound": False})}
     assert len(best) == 1
 
 
@@ -71,6 +75,153 @@ def test_reservoir_means(variant):
     assert abs(total / 150 / truth - 1) < 0.05
 
 
+def skewed(seed, left=80, right=60):
+    rng = random.Random(seed)
+    edges = {(u, rng.randrange(right) ** 2 // right) for u in range(left) for _ in range(rng.randrange(1, 14))}
+    return sorted(edges | {(u, 3) for u in range(left)} | {(left + u, v) for u in range(4) for v in range(12 + u)})
+
+
+def of_brute(edges):
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+    return near, {(a, b): (len(near[a] & near[b]), len(near[a] & near[b]) / len(near[a] | near[b])) for a, b in itertools.combinations(sorted(near), 2)}
+
+
+@pytest.mark.parametrize(("least", "above"), [(2, 0.0), (1, 0.2), (3, 0.34), (1, 0.8)])
+def test_ways_to_pairs(spark, least, above, monkeypatch):
+    """The three joins give the same rows; the prefix join meets fewer of them."""
+    edges = skewed(1)
+    df = spark.createDataFrame(edges, "u long, v long")
+    near, sims = of_brute(edges)
+    want = {p: (c, round(j, 9)) for p, (c, j) in sims.items() if c >= least and j > above}
+    for prefix, within in ((1e18, 1e18), (0, 1e18), (1e18, -1)):
+        monkeypatch.setattr(similarity, "_prefix_rows", lambda *a, n=prefix: n)
+        monkeypatch.setattr(similarity, "pairs_within", lambda e, side, n=within: n if side == "u" else 10.0)
+        got = {(r.u1, r.u2): (r.common, round(r.jaccard, 9)) for r in similarity.pairs(df, least, above).collect()}
+        assert got == want and want
+    monkeypatch.undo()
+    if above > 0:
+        e = df.join(graph.degree(df, "u"), "u")
+        rare = graph.settled(similarity.prefixes(e, above, least))
+        found = {(r.u1, r.u2) for r in similarity.prefix_candidates(rare, above, least).collect()}
+        assert set(want) <= found and len(found) < sum(c > 0 for c, _ in sims.values())
+
+
+def test_prefixes_leave_few(spark):
+    """Of the pairs that meet over the orders' parts, less than a fifth is compared at a half, less than a tenth at the best similarity, the search's bound."""
+    e = catalog.sources.order_part(spark, "/root/testdata/sf0.01")
+    e = graph.settled(e.join(graph.degree(e, "u"), "u"))
+    every = graph.wedges(e).where("u1 < u2").select("u1", "u2").distinct().count()
+    for above, times in ((0.5, 5), (2 / 3 - 1e-9, 10)):
+        assert times * similarity.prefix_candidates(graph.settled(similarity.prefixes(e, above)), above).count() < every
+
+
+def test_hubs_and_hot_pairs(spark):
+    """A right hub, a left hub, and a pair of right vertices that thousands of left ones share."""
+    edges = [(u, v) for u in range(1500) for v in (0, 1)] + [(9999, v) for v in range(3000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    assert similarity.pairs(df, 2).count() == 1500 * 1499 // 2 + 1500
+    assert graph.wedges(df, per=64).where("u1 < u2").count() == 2 * (1501 * 1500 // 2)
+
+
+def test_banded_pairs(spark):
+    """Recall of the bands against the exact join; every pair of signatures that agree enough is found."""
+    e = catalog.sources.order_part(spark, "/root/testdata/sf0.01")
+    exact = graph.settled(similarity.pairs(e, 1, 0.5))
+    found = graph.settled(similarity.lsh_pairs(e, 0.5))
+    assert found.join(exact, ["u1", "u2"], "left_anti").count() == 0 and found.count() >= 0.9 * exact.count() > 100
+    sig = graph.settled(similarity.signatures(e, 72))
+    assert 10 * similarity.lsh_candidates(sig, 3, 24).count() < similarity.pairs_within(e, "v")
+    small = spark.createDataFrame(skewed(2), "u long, v long")
+    sig = graph.settled(similarity.signatures(small, 16))
+    every = sig.toDF("u1", "a").join(sig.toDF("u2", "b"), graph.F.col("u1") < graph.F.col("u2")).select("u1", "u2")
+    for least in (0.25, 0.5, 1.0):
+        want = {(r.u1, r.u2, r.estimate) for r in similarity.estimates(every, sig).where(graph.F.col("estimate") >= least).collect()}
+        assert {(r.u1, r.u2, r.estimate) for r in similarity.candidates_above(sig, 16, least).collect()} == want and want
+
+
+def brute_local(edges, tau, q, members=None):
+    near, sims = of_brute(edges)
+    best = None
+    for rest in itertools.combinations([u for u in near if u != q and (members is None or u in members)], max(2, tau) - 1):
+        own = tuple(sorted((q, *rest)))
+        right = set.intersection(*(near[u] for u in own))
+        if len(right) >= tau:
+            sim = min(sims[p][1] for p in itertools.combinations(own, 2))
+            if best is None or (-sim, own) < best[0]:
+                best = (-sim, own), sorted(right)
+    return best and (round(-best[0][0], 9), list(best[0][1]), best[1])
+
+
+@pytest.mark.parametrize("tau", [2, 3, 4])
+def test_local_search(spark, tau):
+    """Every form of the search, the joined one for large surroundings too, finds each query's best set; so does the global one."""
+    edges = skewed(3, 22, 30)
+    df = spark.createDataFrame(edges, "u long, v long")
+    queries = spark.createDataFrame([(q,) for q in (0, 1, 5, 9, 22, 24, 25, 777)], "q long")
+    want = {q: brute_local(edges, tau, q) for q in (0, 1, 5, 9, 22, 24, 25)}
+    want = {q: w for q, w in want.items() if w}
+    for options in ({}, {"hop": False}, {"by_sim": False}, {"by_pairs": False}, {"most": 0}) if tau == 3 else ({}, {"most": 0}):
+        got = {r.q: (round(r.sim, 9), r.members, r.right) for r in biclique.local(df, tau, queries, **options).collect()}
+        assert got == want, options
+    near, _ = of_brute(edges)
+    best = min((brute_local(edges, tau, q) for q in near if brute_local(edges, tau, q)), key=lambda x: (-x[0], x[1]))
+    assert (round((found := biclique.search(df, tau).first()).sim, 9), found.members) == best[:2]
+    group = spark.createDataFrame([(u, u % 2) for u in near], "u long, grp long")
+    got = {r.q: (round(r.sim, 9), r.members, r.right) for r in biclique.local(df, tau, queries, group=group).collect()}
+    want = {q: brute_local(edges, tau, q, {u for u in near if u % 2 == q % 2}) for q in (0, 1, 5, 9, 22, 24, 25)}
+    assert got == {q: w for q, w in want.items() if w}
+
+
+def test_bounds_spare_work():
+    edges = skewed(4, 30, 24)
+    near, _ = of_brute(edges)
+    visits = []
+    for by_sim in (True, False):
+        ego = biclique.Ego(30, list(near), [sorted(n) for n in near.values()], 3)
+        ego.search(by_sim)
+        visits.append(ego.visited)
+    assert 0 < visits[0] < visits[1]
+
+
+def test_peeling_follows_the_frontier(spark):
+    """A path of triangles' doubles unravels from its end: each round looks at a few vertices alone; hubs and cores are right."""
+    ladder = [(u, v) for u in range(30) for v in (u, u + 1)] + [(100 + u, 100 + v) for u in range(5) for v in range(5)] + [(100, 0)]
+    gone, sizes = graph.peeled(spark.createDataFrame(ladder, "u long, v long"), 2)
+    assert sizes and max(sizes) <= 2 and gone.distinct().count() == gone.count() == sum(sizes)
+    for k in (2, 3, 4):
+        edges = skewed(k)
+        kept = set(edges)
+        while True:
+            n = {}
+            for u, v in kept:
+                n["u", u], n["v", v] = n.get(("u", u), 0) + 1, n.get(("v", v), 0) + 1
+            smaller = {(u, v) for u, v in kept if n["u", u] >= k and n["v", v] >= k}
+            if smaller == kept:
+                break
+            kept = smaller
+        assert {r[:] for r in graph.core(spark.createDataFrame(edges, "u long, v long"), k).collect()} == kept
+
+
+def test_approximate_search_recall(spark):
+    """Within groups of equal hashes the best pair found comes near the best of all, never above it."""
+    e = catalog.sources.user_k(spark, SF)
+    exact, found = biclique.search(e, 2).first(), catalog.QUERIES["biclique_global_approx"](spark, SF).first()
+    assert 0.8 * exact.sim <= found.sim <= exact.sim + 1e-9
+
+
+def test_tables_have_owners(spark):
+    """What others have written stays; a search leaves its result's table alone."""
+    held = graph.settled(spark.range(10))
+    before = len(os.listdir(graph.shared_folder(spark)))
+    found = biclique.search(spark.createDataFrame(TINY, "u long, v long"), 3)
+    assert len(os.listdir(graph.shared_folder(spark))) == before + 1 and found.count() == 1
+    with graph.own_tables(spark):
+        graph.settled(spark.range(5))
+    assert held.count() == 10 and found.count() == 1 and len(os.listdir(graph.shared_folder(spark))) == before + 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
