@@ -152,7 +152,7 @@ def _links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None =
     return np.concatenate(left), np.concatenate(right)
 
 
-def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: float = 1e-4, bucket: int = 2048, depth: int = 3, tokens: int = 1 << 21, broadcast_keys: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: float = 1e-4, bucket: int = 2048, depth: int = 3, tokens: int = 1 << 21, key_bits: int = 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, copy_of (smallest id with the same shingles), n_copies, n_links (other documents that reach
     the similarity, copies included), class_id (smallest id reachable by links), kept (has it the class's id?), rkey (16
     bytes that name its id and text) and first (is it the class's one document that comes first, by id, nulls last, and rkey?).
@@ -179,12 +179,13 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
     def sets_of(wanted: DataFrame, run, schema: str) -> DataFrame:
         """Run over (sid, text and the columns of ``wanted``), one row for each class wanted.
 
-        ``wanted`` is read twice: pass a written table. Where its row keys are few, they are sent to the texts, so that only texts wanted are dealt out.
+        ``wanted`` is read twice: pass a written table. The first ``key_bits`` bits of its row keys, 2 ** key_bits numbers at most whatever
+        the corpus, are sent to the texts, so that of the texts not wanted only those are dealt out that share them: a share of
+        n / 2 ** key_bits about, for n keys, which grows with n and doesn't jump. Rows that repeat a document are one row.
         """
-        texts = base.select("rkey", "text")
-        if wanted.count() <= broadcast_keys:
-            texts = texts.join(F.broadcast(wanted.select("rkey")), "rkey", "left_semi")
-        return texts.join(wanted, "rkey").mapInArrow(run, schema)
+        bits = F.shiftrightunsigned(F.conv(F.hex(F.substring("rkey", 1, 4)), 16, 10).cast("long"), 32 - key_bits)
+        texts = base.select("rkey", "text").withColumn("bits", bits).join(F.broadcast(wanted.select(bits.alias("bits")).distinct()), "bits", "left_semi")
+        return texts.select("rkey", "text").join(wanted, "rkey").mapInArrow(run, schema)
 
     def alive(paths: DataFrame) -> DataFrame:
         """Members of a node that share it with a set of a size that the similarity allows, and how many it has."""

@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import clear_tables, shared_folder
+from tessera.operators.graph import clear_tables, own_tables, shared_folder
 from tessera.operators.graph import settled as cut
 
-__all__ = ["clear_tables", "cut", "shared_folder"]
+__all__ = ["clear_tables", "cut", "own_tables", "shared_folder"]
 
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
