@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, lines, ngram_join, packing, secrets
-from tessera.llm.shared import clear_tables, lean, row_key, shared_folder, unused
+from tessera.llm.shared import lean, own_tables, row_key, shared_folder, unused
 
 #: The least share of a text's words that language ID knows, or knows by n-grams of three letters and more. Of the
 #: labelled languages' texts none is below 0.9, short ones included; texts of other scripts are at 0.
@@ -79,11 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; the tables that a stage has written for itself go then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        clear_tables(spark)
+        with own_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
