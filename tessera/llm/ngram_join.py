@@ -181,7 +181,7 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, miss: f
 
         ``wanted`` is read twice: pass a written table. The first ``key_bits`` bits of its row keys, 2 ** key_bits numbers at most whatever
         the corpus, are sent to the texts, so that of the texts not wanted only those are dealt out that share them: a share of
-        n / 2 ** key_bits about, for n keys, which grows with n and doesn't jump. Rows that repeat a document are one row.
+        n / 2 ** key_bits about, for n keys, which grows with n and doesn't jump. Rows that repeat a document come each; ``compare`` takes one.
         """
         bits = F.shiftrightunsigned(F.conv(F.hex(F.substring("rkey", 1, 4)), 16, 10).cast("long"), 32 - key_bits)
         texts = base.select("rkey", "text").withColumn("bits", bits).join(F.broadcast(wanted.select(bits.alias("bits")).distinct()), "bits", "left_semi")
