@@ -6,10 +6,10 @@ outside of boilerplate. From the page down, the container that holds nearly all
 follows them gone) is a vote of its host; votes are counted in Spark, and every page is read again with its host's
 winning path. A page that has no such container, or whose url names no host, goes by its own best one.
 
-Boilerplate is navigation, headers and footers of the page, asides, forms, scripts, styles, hidden parts and what a class
-or id calls an advert, menu, sidebar, notice, comment or the like. A name that only holds such a word beside others
-(``post-header``, ``related-work``) is no more than a suspicion, which needs a part that is mostly links or holds form
-fields. Where a page has no ``article`` or ``main``, blocks that are nothing but a short link go, too.
+Boilerplate is navigation, headers and footers of the page (those of an open ``article`` or ``main`` stay), asides, forms, scripts,
+styles, hidden parts and what a class or id calls an advert, menu, sidebar, notice, comment or the like. The name has to be
+made of such words and words of layout alone; one that only holds such a word beside others (``post-header``, ``related-work``,
+``widget-theory``, ``ad-hoc``) is no more than a suspicion, which needs a part that is mostly links or holds form fields. Where a page has no ``article`` or ``main``, blocks that are nothing but a short link go, too.
 
 Blocks are paragraphs, headings, list items, cells and the like; a line break inside one is white space. Null or empty
 html gives an empty text. Repeated rows vote and are read one by one. Other columns of the pages are not looked at.
@@ -35,13 +35,12 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("article body div html main section table tbody td tr".split())
 DROPPED = frozenset("nav aside form footer button select option svg canvas object audio video dialog menu head".split())
-#: Words of a class or id, split at what isn't a letter. The first ones name boilerplate wherever they stand.
+#: Words of a class or id, split at what isn't a letter. The first ones name boilerplate, the next do beside words of layout.
 STRONG = frozenset(
-    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus modal nav navbar navigation newsletter pager pagination popup promo promoted respond sidebar signup sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus modal nav navbar navigation newsletter pager pagination popup promo promoted replies respond responses sidebar signup sponsor sponsored subscribe toolbar widget widgets".split()
 )
-#: These do where only they and words of layout make up the name.
 WEAK = frozenset("banner footer form header menu notice notices related search share sharing skip social tags".split())
-LAYOUT = frozenset("area articles bar block bottom box container content global inner item items left links list main outer page pages posts right row section site stories top wrap wrapper".split())
+LAYOUT = frozenset("area articles bar block bottom box button buttons card container content cta footer global group head header inner item items left letter links list main outer page pages panel placeholder policy posts primary reader readers right row secondary section site slot stories teaser text thread title top unit user users wrap wrapper".split())
 FIELDS = frozenset("button form input select textarea".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An open tag of the key is closed by the start of one of its own kind.
@@ -60,10 +59,11 @@ def host_of(url: str | None) -> str | None:
 class Node:
     """An open element. Suspects count the characters of their text, those of them in links, and form fields."""
 
-    __slots__ = ("dropped", "fields", "links", "parent", "path", "score", "suspect", "tag", "text")
+    __slots__ = ("dropped", "fields", "inside", "links", "parent", "path", "score", "suspect", "tag", "text")
 
     def __init__(self, tag: str, path: str, parent, dropped: bool, suspect: bool = False):
         self.tag, self.path, self.parent, self.dropped, self.suspect = tag, path, parent, dropped, suspect
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.score = self.text = self.links = self.fields = 0
 
     def is_boilerplate(self) -> bool:
@@ -81,19 +81,28 @@ class Block(NamedTuple):
         return len(self.text) - self.links if SENTENCE.search(self.text) or self.text.count(" ") >= 7 else 0
 
 
+def _parts(word: str) -> tuple[str, ...]:
+    """The word, or the two that it is made of, as in ``commentlist``."""
+    for at in range(3, len(word) - 2):
+        if word[:at] in STRONG and word[at:] in LAYOUT or word[:at] in LAYOUT and word[at:] in STRONG:
+            return word[:at], word[at:]
+    return (word,)
+
+
 def _names_boilerplate(value: str) -> tuple[bool, bool]:
     """Does a class, id or role name boilerplate; may it?"""
     sure = maybe = False
     for name in value.split():
-        words = {w.lower() for w in CAMEL.findall(name)}
-        sure |= bool(words & STRONG) or bool(words & WEAK) and words <= WEAK | LAYOUT
-        maybe |= bool(words & WEAK)
+        words = {part for w in CAMEL.findall(name) for part in _parts(w.lower())}
+        telling = words & (STRONG | WEAK)
+        sure |= bool(telling) and words <= STRONG | WEAK | LAYOUT
+        maybe |= bool(telling)
     return sure, maybe
 
 
 def _open(tag: str, attributes: str, parent: Node) -> Node:
     kind, suspect = "", False
-    dropped = parent.dropped or tag in DROPPED or (tag == "header" and "article" not in parent.path and "main" not in parent.path)
+    dropped = parent.dropped or tag in DROPPED or (tag == "header" and not parent.inside)
     if attributes:
         for name, *values in NAMED.findall(attributes):
             value = next((v for v in values if v), "")

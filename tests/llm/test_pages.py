@@ -31,6 +31,18 @@ PAGES = {
     "header inside the article": (f"<header>Site</header><article><header><h1>Flood</h1></header><p>{LEAD}</p></article>", f"Flood\n{LEAD}"),
     "hidden": (f"<article><p>{LEAD}</p><p hidden>No.</p><div aria-hidden=true>No.</div></article>", LEAD),
     "text without markup": (f"{LEAD} 1 < 2", f"{LEAD} 1 < 2"),
+    "section called widget theory": (f"<article><p>{LEAD}</p><section class='widget-theory'><p>{MORE}</p></section></article>", f"{LEAD}\n{MORE}"),
+    "division called ad hoc": (f"<article><p>{LEAD}</p><div class='ad-hoc'><p>{MORE}</p></div></article>", f"{LEAD}\n{MORE}"),
+    "comment on the budget": (f"<article><p>{LEAD}</p><p id='comment-on-budget'>{MORE}</p></article>", f"{LEAD}\n{MORE}"),
+    "list of comments in one word": (f"<article><p>{LEAD}</p><ol class='commentlist'><li>I was there. It was bad.</li></ol></article>", LEAD),
+    "replies": (f"<article><p>{LEAD}</p><div id='replies'><p>I was there. It was bad.</p></div></article>", LEAD),
+    "share buttons": (f"<article><p>{LEAD}</p><div class='share-buttons'>Send it on.</div></article>", LEAD),
+    "body called article page": (f"<body class='article-page'><header>Our paper. Since 1900.</header><div><p>{LEAD}</p></div></body>", LEAD),
+    "division called domain": (f"<div class='domain'><header>Our paper. Since 1900.</header><div><p>{LEAD}</p></div></div>", LEAD),
+    "header of main": (f"<main><header><h1>Flood</h1></header><p>{LEAD}</p></main>", f"Flood\n{LEAD}"),
+    "comments of readers": (f"<article><p>{LEAD}</p><div class='reader-comments'><p>I was there. It was bad.</p></div></article>", LEAD),
+    "advert slot": (f"<article><p>{LEAD}</p><div class='ad-slot-3'>Buy our boats. They float.</div><p>{MORE}</p></article>", f"{LEAD}\n{MORE}"),
+    "widget in camel case": (f"<article><p>{LEAD}</p><div class='sidebarWidget'>Read more. And more.</div></article>", LEAD),
     "no text": ("<html><body><script>1</script></body></html>", ""),
 }
 

@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import lines, ngram_join, secrets
+from tessera.operators.graph import settled
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found string, __key string, __lang_pred string"
 VOCABULARY = {"en": ["the", "house", "and", "with", "stone", "river", "green", "walk"], "de": ["das", "haus", "und", "mit", "stein", "fluss", "weg", "baum"]}
@@ -144,10 +145,13 @@ def test_packing(spark, docs, rows):
 
 def test_run(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = settled(docs)  # someone else's table stays, those that the stages write for themselves go
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert held.count() == docs.count() and found.count() > 0
     by_hand = docs
     for name, stage in corpus_pipeline.STAGES:
         by_hand = stage(spark, by_hand, str(tmp_path))
         rows = by_hand.collect()
         by_hand = spark.createDataFrame(rows, by_hand.schema)
     pieces = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
-    assert pieces(corpus_pipeline.run(spark, str(tmp_path)).collect()) == pieces(rows) and rows
+    assert pieces(found.collect()) == pieces(rows) and rows
