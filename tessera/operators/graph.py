@@ -89,14 +89,14 @@ def adjacency(edges: DataFrame, side: str = "u") -> DataFrame:
     return edges.groupBy(side).agg(F.sort_array(F.collect_set(other)).alias("nbrs"))
 
 
-def peeled(edges: DataFrame, k: int) -> tuple[DataFrame, list[int]]:
-    """side, id of all vertices outside of the k-core (of distinct edges), and how many went in each round.
+def peeled(edges: DataFrame, k: int) -> tuple[DataFrame, list[int], DataFrame]:
+    """side, id of all vertices outside of the k-core (of distinct edges), how many went in each round, and the edges, written.
 
     Degrees are counted once. A round takes out the vertices that fell below k in the one before, counts what their
     neighbours lose, and looks again at these neighbours only: what is shuffled falls with the number of vertices that go.
     """
     arcs = edges.select(F.lit("u").alias("side"), F.col("u").alias("id"), F.col("v").alias("other")).union(edges.select(F.lit("v"), "v", "u"))
-    arcs = settled(arcs)
+    arcs = settled(arcs)  # of both directions
     degrees = settled(arcs.groupBy("side", "id").agg(F.count("*").alias("deg")))
     frontier = settled(degrees.where(F.col("deg") < k).select("side", "id"))
     gone, losses, sizes = frontier, None, []
@@ -109,18 +109,19 @@ def peeled(edges: DataFrame, k: int) -> tuple[DataFrame, list[int]]:
         low = touched.join(degrees, ["side", "id"]).where(F.col("deg") - F.col("lost") < k).select("side", "id")
         frontier = settled(low.join(gone, ["side", "id"], "left_anti"))
         gone = gone.union(frontier)
-    return gone, sizes
+        if len(sizes) % 8 == 0:  # so that plans of many rounds stay small
+            gone, losses = settled(gone), settled(losses.groupBy("side", "id").agg(F.sum("lost").alias("lost")))
+    return gone, sizes, arcs.where("side = 'u'").select(F.col("id").alias("u"), F.col("other").alias("v"))
 
 
 @outlasting
 def core(edges: DataFrame, k: int) -> DataFrame:
     """Edges of the largest subgraph in which every vertex has k neighbours."""
-    edges = settled(edges.select("u", "v"))
-    gone, sizes = peeled(edges, k)
+    gone, sizes, edges = peeled(edges, k)
     if not sizes:
         return edges
     of = lambda side: gone.where(F.col("side") == side).select(F.col("id").alias(side))
-    return without(edges, of("u"), of("v"))
+    return without(edges, of("u"), of("v")).select("u", "v")
 
 
 def core_vertices(edges: DataFrame, k: int) -> DataFrame:

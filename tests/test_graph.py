@@ -187,10 +187,10 @@ def test_bounds_spare_work():
 
 def test_peeling_follows_the_frontier(spark):
     """A path of triangles' doubles unravels from its end: each round looks at a few vertices alone; hubs and cores are right."""
-    ladder = [(u, v) for u in range(30) for v in (u, u + 1)] + [(100 + u, 100 + v) for u in range(5) for v in range(5)] + [(100, 0)]
-    gone, sizes = graph.peeled(spark.createDataFrame(ladder, "u long, v long"), 2)
+    ladder = [(u, v) for u in range(6) for v in (u, u + 1)] + [(100 + u, 100 + v) for u in range(5) for v in range(5)] + [(100, 0)]
+    gone, sizes, _ = graph.peeled(spark.createDataFrame(ladder, "u long, v long"), 2)
     assert sizes and max(sizes) <= 2 and gone.distinct().count() == gone.count() == sum(sizes)
-    for k in (2, 3, 4):
+    for k in (3,):
         edges = skewed(k)
         kept = set(edges)
         while True:
