@@ -6,13 +6,21 @@ outside of boilerplate. From the page down, the container that holds nearly all
 follows them gone) is a vote of its host; votes are counted in Spark, and every page is read again with its host's
 winning path. A page that has no such container, or whose url names no host, goes by its own best one.
 
+A host's parts are compared as well. A part is a division, list, table or the like, outside of ``article`` and ``main`` also a
+paragraph or heading, at its path of tags and classes. What stands on four different pages and more (and a hundredth of the host's), and
+has at most one text for four of them, is fixed: boilerplate, whatever its name. Pages are different by their texts, so that copies of a page count once. A
+container that is fixed wins no vote; if nothing on a page that reads like prose is outside of fixed parts, they stay. On a
+host of four different pages and more, a sentence outside of the winning container stays too, unless it is fixed or the page has an ``article`` or
+``main``: how long it is doesn't matter. On other pages a sibling with under a tenth of the prose goes.
+
 Boilerplate is navigation, headers and footers of the page (those of an open ``article`` or ``main`` stay), asides, forms, scripts,
 styles, hidden parts and what a class or id calls an advert, menu, sidebar, notice, comment or the like. The name has to be
 made of such words and words of layout alone; one that only holds such a word beside others (``post-header``, ``related-work``,
 ``widget-theory``, ``ad-hoc``) is no more than a suspicion, which needs a part that is mostly links or holds form fields. Where a page has no ``article`` or ``main``, blocks that are nothing but a short link go, too.
 
 Blocks are paragraphs, headings, list items, cells and the like; a line break inside one is white space. Null or empty
-html gives an empty text. Repeated rows vote and are read one by one. Other columns of the pages are not looked at.
+html gives an empty text. Repeated rows vote and are read one by one; of paths with equal votes the one with more prose wins, then the
+first by name. An empty table gives no rows; pages may be of any length. Other columns of the pages are not looked at.
 """
 
 from __future__ import annotations
@@ -23,10 +31,12 @@ from collections.abc import Callable
 from typing import NamedTuple
 from urllib.parse import urlsplit
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut
+from tessera.llm.shared import BASE, cut
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -42,6 +52,9 @@ STRONG = frozenset(
 WEAK = frozenset("banner footer form header menu notice notices related search share sharing skip social tags".split())
 LAYOUT = frozenset("area articles bar block bottom box button buttons card container content cta footer global group head header inner item items left letter links list main outer page pages panel placeholder policy posts primary reader readers right row secondary section site slot stories teaser text thread title top unit user users wrap wrapper".split())
 FIELDS = frozenset("button form input select textarea".split())
+#: Parts that a host's pages are compared by; the second ones outside of article and main alone.
+PARTS = frozenset("div dl ol section table ul".split())
+LOOSE_PARTS = frozenset("blockquote figure h1 h2 h3 h4 h5 h6 header p pre".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An open tag of the key is closed by the start of one of its own kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -59,16 +72,19 @@ def host_of(url: str | None) -> str | None:
 class Node:
     """An open element. Suspects count the characters of their text, those of them in links, and form fields."""
 
-    __slots__ = ("dropped", "fields", "inside", "links", "parent", "path", "score", "suspect", "tag", "text")
+    __slots__ = ("dropped", "fields", "inside", "links", "parent", "path", "place", "score", "suspect", "tag", "text")
 
-    def __init__(self, tag: str, path: str, parent, dropped: bool, suspect: bool = False):
-        self.tag, self.path, self.parent, self.dropped, self.suspect = tag, path, parent, dropped, suspect
+    def __init__(self, tag: str, path: str, place: str, parent, dropped: bool, suspect: bool = False):
+        self.tag, self.path, self.place, self.parent, self.dropped, self.suspect = tag, path, place, parent, dropped, suspect
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.score = self.text = self.links = self.fields = 0
 
     def is_boilerplate(self) -> bool:
         return self.dropped or self.suspect and (self.fields > 0 or 2 * self.links > self.text)
 
+    def is_part(self) -> bool:
+        return self.tag in PARTS or self.tag in LOOSE_PARTS and not self.inside
+
 
 class Block(NamedTuple):
     at: Node  # the container
@@ -114,12 +130,14 @@ def _open(tag: str, attributes: str, parent: Node) -> Node:
                 dropped |= sure
                 suspect |= maybe
             dropped |= name == "hidden" or (name == "aria-hidden" and value == "true")
-    return Node(tag, f"{parent.path}/{tag}{kind}" if tag in CONTAINERS else parent.path, parent, dropped, suspect)
+    path = f"{parent.path}/{tag}{kind}" if tag in CONTAINERS else parent.path
+    place = parent.place if tag in INLINE else f"{parent.place}/{tag}{kind}"
+    return Node(tag, path, place, parent, dropped, suspect)
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
     """The blocks outside of boilerplate, in page order, and all containers in page order."""
-    root = Node("", "", None, False)
+    root = Node("", "", "", None, False)
     stack, containers, blocks, text, linked = [root], [root], [], [], []
 
     def flush() -> None:
@@ -242,57 +260,118 @@ def best_container(blocks: list[Block], containers: list[Node], share: float = 0
     return at
 
 
-def path_of(page: str | None) -> tuple[str | None, int]:
-    """The generalised path of the page's best container, and its score."""
-    if not page:
-        return None, 0
-    best = best_container(*blocks_of(page))
-    return (best.path, best.score) if best else (None, 0)
+def place_key(place: str) -> int:
+    return xxhash.xxh64_intdigest(place) - (1 << 63)
+
+
+class Profile(NamedTuple):
+    """What a page tells its host: the best container's path, its score and key, and hashes of the texts of the page and of its parts."""
+
+    path: str | None
+    size: int
+    at: int | None
+    page: int
+    places: list[int]
+    texts: list[int]
+
+
+def profile(page: str) -> Profile:
+    blocks, containers = blocks_of(page)
+    best = best_container(blocks, containers)
+    texts: dict[str, int] = {"": 1}
+    for b in blocks:
+        text = xxhash.xxh64_intdigest(b.text)
+        node = b.inside
+        while node is not None:
+            if node.is_part() or not node.tag:
+                texts[node.place] = (texts.get(node.place, 1) * BASE + text) % (1 << 64)
+            node = node.parent
+    whole = texts.pop("") - (1 << 63)
+    vote = (best.path, best.score, place_key(best.place) if best.is_part() else None) if best else (None, 0, None)
+    return Profile(*vote, whole, [place_key(x) for x in texts], [x - (1 << 63) for x in texts.values()])
+
 
+def extract(page: str | None, path: str | None = None, fixed: frozenset[int] = frozenset(), known: bool = False) -> str:
+    """The blocks of the containers at the path, or of the page's best one, joined by line breaks.
 
-def extract(page: str | None, path: str | None = None) -> str:
-    """The blocks of the containers at the path, or of the page's best one, joined by line breaks."""
+    fixed: keys of the host's fixed parts. known: the host has pages enough to tell them.
+    """
     if not page:
         return ""
     blocks, containers = blocks_of(page)
-    chosen = {id(c) for c in containers if path and c.path == path}
+    if fixed:
+        left = [b for b in blocks if not _within(b.inside, lambda node: node.is_part() and place_key(node.place) in fixed)]
+        blocks = left if any(b.score() for b in left) else blocks
+    chosen = {id(c): c for c in containers if path and c.path == path}
     if not chosen or not any(_within(b.at, lambda node: id(node) in chosen) for b in blocks):
-        best = best_container(blocks, containers)
-        chosen = {id(best or containers[0])}
-    kept = [b for b in blocks if _within(b.at, lambda node: id(node) in chosen)]
+        best = best_container(blocks, containers) or containers[0]
+        chosen = {id(best): best}
+    wide = known and not any(c.inside for c in chosen.values())
+    kept = [b for b in blocks if wide and b.score() and SENTENCE.search(b.text) or _within(b.at, lambda node: id(node) in chosen)]
     if any(not _within(b.at, lambda node: node.tag in ("article", "main")) and b.links < len(b.text) for b in kept):
         kept = [b for b in kept if b.links < len(b.text) or SENTENCE.search(b.text) or _within(b.at, lambda node: node.tag in ("article", "main"))]
     return "\n".join(b.text for b in kept)
 
 
-def html_extraction(pages: DataFrame, broadcast_hosts: int = 20_000, salts: int = 16, id_col: str = "page_id") -> DataFrame:
-    """page_id, url, text, n_chars and the host's winning path."""
+def fixed_parts(found: DataFrame, pages: DataFrame, least: int = 4, per_text: int = 4, per_host: int = 100) -> DataFrame:
+    """__host, place of the parts that are fixed.
+
+    found: __host, page, places, texts of each page. pages: __host, n_pages. Parts on at least a ``per_host``-th of a host's
+    pages are so few that a host's list of them is ``per_host`` times the parts of a page at most, whatever the host's size.
+    """
+    each = found.select("__host", "page", F.explode(F.arrays_zip("places", "texts")).alias("x")).select("__host", "page", F.col("x.places").alias("place"), F.col("x.texts").alias("part"))
+    of_text = each.distinct().groupBy("__host", "place", "part").agg(F.count("*").alias("n"))
+    of_place = of_text.groupBy("__host", "place").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    enough = (F.col("n") >= least) & (F.col("texts") * per_text <= F.col("n")) & (F.col("n") * per_host >= F.col("n_pages"))
+    return of_place.join(pages, "__host").where(enough).select("__host", "place")
+
+
+def html_extraction(pages: DataFrame, broadcast_hosts: int = 20_000, broadcast_parts: int = 1_000_000, salts: int = 16, least: int = 4, id_col: str = "page_id") -> DataFrame:
+    """page_id, url, text, n_chars and the host's winning path.
+
+    least: different pages of a host from which on its parts are compared.
+    """
 
     @F.pandas_udf("string")
     def hosts(urls):
         return urls.map(host_of)
 
-    @F.pandas_udf("path string, size long")
-    def paths(htmls):
+    @F.pandas_udf("path string, size long, at long, page long, places array<long>, texts array<long>")
+    def profiles(htmls):
         import pandas as pd
 
-        return pd.DataFrame([path_of(h) for h in htmls], columns=["path", "size"])
+        found = pd.DataFrame([profile(h) for h in htmls], columns=Profile._fields, dtype=object)
+        return found.astype({"size": "int64", "at": "Int64", "page": "int64"})
 
     @F.pandas_udf("string")
-    def texts(htmls, paths):
+    def texts(htmls, paths, fixed, known):
         import pandas as pd
 
-        return pd.Series([extract(h, p) for h, p in zip(htmls, paths, strict=True)], dtype=object)
+        sets: dict[bytes, frozenset] = {}  # of the batch's hosts
+        out = []
+        for page, path, parts, enough in zip(htmls, paths, fixed, known, strict=True):
+            parts = np.empty(0, np.int64) if parts is None else parts
+            if (key := parts.tobytes()) not in sets:
+                sets[key] = frozenset(parts.tolist())
+            out.append(extract(page, path, sets[key], bool(enough)))
+        return pd.Series(out, dtype=object)
 
     base = pages.select(F.col(id_col), F.col("url"), F.col("html"), hosts("url").alias("__host"))
-    votes = base.where("__host is not null and html is not null").select("__host", paths("html").alias("v")).where("v.path is not null")
-    votes = votes.groupBy("__host", F.col("v.path").alias("path")).agg(F.count("*").alias("n"), F.sum("v.size").alias("size"))
+    found = cut(base.where("__host is not null and html is not null").select("__host", profiles("html").alias("v")).select("__host", "v.*"))
+    sizes = found.groupBy("__host").agg(F.count_distinct("page").alias("n_pages"))
+    fixed = cut(fixed_parts(found, sizes, least))
+    votes = found.where("path is not null").groupBy("__host", "path", "at").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    votes = votes.join(fixed.withColumnRenamed("place", "at"), ["__host", "at"], "left_anti")
+    votes = votes.groupBy("__host", "path").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     first = Window.partitionBy("__host").orderBy(F.desc("n"), F.desc("size"), "path")
-    winners = cut(votes.withColumn("r", F.row_number().over(first)).where("r = 1").select("__host", "path"))
-    if winners.count() <= broadcast_hosts:  # a host and a path each: some MB at most
-        rows = base.join(F.broadcast(winners), "__host", "left")
+    winners = votes.withColumn("r", F.row_number().over(first)).where("r = 1").select("__host", "path")
+    lists = fixed.groupBy("__host").agg(F.sort_array(F.collect_list("place")).alias("fixed"))
+    told = sizes.join(winners, "__host", "left").join(lists, "__host", "left")
+    told = cut(told.select("__host", "path", "fixed", (F.col("n_pages") >= least).alias("known")))
+    if told.count() <= broadcast_hosts and fixed.count() <= broadcast_parts:  # a path a host, a number a part: some MB at most
+        rows = base.join(F.broadcast(told), "__host", "left")
     else:
-        spread = winners.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = told.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         rows = base.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")).join(spread, ["__host", "__salt"], "left")
-    rows = rows.select(id_col, "url", texts("html", "path").alias("text"), "path")
+    rows = rows.select(id_col, "url", texts("html", "path", "fixed", F.coalesce("known", F.lit(False))).alias("text"), "path")
     return rows.select(id_col, "url", "text", F.char_length("text").cast("long").alias("n_chars"), F.col("path").alias("host_path"))
