@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 
 from tessera.llm import language, lines, ngram_join, packing, pages, pieces, secrets, substrings, topk, vectors
+from tessera.llm.shared import row_key
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "ri", "so", "tu") for b in ("ban", "dek", "fil", "gor", "hun", "jas", "kev", "lim")]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __rkey string, found string"
@@ -215,6 +216,47 @@ def test_substrings(docs, empty):
     assert substrings.substring_dedup(empty).count() == 0
 
 
+def runs_of(gone):
+    return int((np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1).sum())
+
+
+def test_substring_spans(docs):
+    """Removed runs: those that touch are one, those that a byte parts are two."""
+    rows = docs.collect()
+    raw = [(r.text or "").encode() for r in rows]
+    starts = collections.Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    want = collections.Counter()
+    for r, b in zip(rows, raw, strict=True):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            gone[i : i + 200] |= starts[b[i : i + 200]] > 1
+        want[r.doc_id, len(b), int(gone.sum()), runs_of(gone)] += 1
+    got = substrings.substring_dedup(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == want
+    assert max(r.n_spans for r in got) > 1
+
+
+@pytest.mark.parametrize("tile", [2048, 2])
+def test_substring_first(spark, docs, tile):
+    """Later copies go, the first stays, by row keys and places."""
+    rows = docs.withColumn("k", row_key()).dropDuplicates(["k"]).collect()
+    rows = sorted(rows, key=lambda r: bytes(r.k))
+    seen = set()
+    want = collections.Counter()
+    for r in rows:
+        b = (r.text or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if b[i : i + 200] in seen:
+                gone[i : i + 200] = True
+            seen.add(b[i : i + 200])
+        want[r.doc_id, int(gone.sum()), runs_of(gone), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
+    got = substrings.substring_dedup(docs.dropDuplicates(["doc_id", "text"]), keep="first", tile=tile).collect()
+    assert collections.Counter((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    none = {r.doc_id: r.n_removed for r in substrings.substring_dedup(docs.dropDuplicates(["doc_id", "text"])).collect()}
+    assert sum(r.n_removed for r in got) < sum(none.values())
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((60, 16))
