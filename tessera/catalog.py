@@ -25,6 +25,11 @@ PAIRS = "p AS (SELECT a.u AS u1, b.u AS u2, count(*) AS common FROM e a JOIN e b
 JACCARD = "j AS (SELECT u1, u2, common, common / (x.deg + y.deg - common) AS jaccard FROM p JOIN d x ON x.u = u1 JOIN d y ON y.u = u2)"
 
 
+HASH_COUNTS = similarity.hash_counts()
+#: Each one and the next are two hashes that draw a sample's pairs.
+SAMPLE_SEEDS = (42, 44, 46)
+
+
 def core_sql(k: int, rounds: int = 10) -> str:
     """Unrolled rounds of peeling; c is the core's edges."""
     steps = []
@@ -210,6 +215,30 @@ def _convergence(s, d):
     return reports.running_best(rows.withColumn("part", F.lit(0)), "u", "sim")
 
 
+def _hash_curve(s, d):
+    """sample, hashes, n, mae over three samples of 300 pairs each; only their vertices get signatures."""
+    e = sources.user_k(s, d)
+    drawn = None
+    for seed in SAMPLE_SEEDS:
+        one = similarity.validation_pairs(e, 300, seed).withColumn("sample", F.lit(seed))
+        drawn = drawn.union(one) if drawn else one
+    drawn = graph.settled(drawn)
+    ends = drawn.select(F.explode(F.array("u1", "u2")).alias("u")).distinct()
+    sig = graph.settled(similarity.signatures(e.join(ends, "u", "left_semi"), max(HASH_COUNTS)))
+    return similarity.error_curve(drawn, sig, HASH_COUNTS, "sample")
+
+
+def _rate_curve(s, d):
+    """z, point, value: the reservoirs' mean rate by round, at 20 places from the first round to the last, for five bases of the rate's rule."""
+    stream = graph.settled(sources.user_next(s, d))
+    found = None
+    for z in (0.1, 0.3, 0.5, 0.7, 0.9):
+        rates = graph.settled(reservoir.rounds(stream, k=200, rate=0.1, variant="adaptive", z=z).groupBy("round").agg(F.avg("rate").alias("rate")))
+        one = reports.resampled(rates, "round", "rate", 20).withColumn("z", F.lit(z))
+        found = found.union(one) if found else one
+    return found
+
+
 def _minhash_skip(s, d):
     """Vertices in a shuffled order, and whether a search would skip them: its best so far is above a half, and no neighbour's estimate comes to half of it. Lossy."""
     e = sources.user_k(s, d)
@@ -304,6 +333,10 @@ QUERIES = {
     "convergence": _convergence,
     "resample": lambda s, d: reports.resampled(_convergence(s, d), "u", "best", 20).withColumn("part", F.lit(0)),
     "panel_json": lambda s, d: reports.panel(reports.resampled(_convergence(s, d), "u", "best", 20), "point", "value"),
+    "minhash_curve": _hash_curve,
+    "panel_minhash_error": lambda s, d: reports.panel(_hash_curve(s, d), "hashes", "mae", by=("sample",)),
+    "panel_reservoir_error": lambda s, d: reports.panel(_reservoir_errors(s, d), "k", "mae"),
+    "panel_rates": lambda s, d: reports.panel(_rate_curve(s, d), "point", "value", by=("z",)),
     "allgather_union": lambda s, d: sources.order_part(s, d).select(F.col("u").alias("id")).union(sources.order_part(s, d).select("v")).distinct(),
     "allreduce_best": lambda s, d: similarity.pairs(sources.user_k(s, d)).agg(F.max(F.struct("jaccard", (-F.col("u1")).alias("a"), (-F.col("u2")).alias("b"))).alias("m")).select("m.jaccard", (-F.col("m.a")).alias("u1"), (-F.col("m.b")).alias("u2")),
     "top_queries": lambda s, d: _queries_of(s, sources.order_part(s, d)),
@@ -333,7 +366,15 @@ tl AS (SELECT tile_id, first_u, last_u, n, work, mean_deg, CASE WHEN dense THEN
 _conv = "b0 AS (SELECT u1 AS u, max(jaccard) AS sim, 0 AS part FROM j GROUP BY 1), b1 AS (SELECT *, max(sim) OVER (ORDER BY u) AS best FROM b0), b2 AS (SELECT *, best - coalesce(lag(best) OVER (ORDER BY u), 0.0) AS gain FROM b1) "
 _full = _tri + "SELECT * FROM l UNION ALL SELECT -1, CAST(count(*) AS DOUBLE) FROM t"
 
+_affine_of = lambda seed: f"(SELECT range AS id, {affine_sql('range', seed)} % (SELECT max(size) FROM i) AS a, {affine_sql('range', seed + 1)} % (SELECT max(size) FROM i) AS b FROM range(300))"
+_drawn = " UNION ALL ".join(f"SELECT {seed} AS sample, x.u AS u1, y.u AS u2 FROM {_affine_of(seed)} JOIN i x ON x.seq = a JOIN i y ON y.seq = b WHERE x.u <> y.u" for seed in SAMPLE_SEEDS)
+_curve = f"""{_usim}{minhash_sql(max(HASH_COUNTS))}, i AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS seq, count(*) OVER () AS size FROM d), w AS (SELECT sample, least(u1, u2) AS u1, greatest(u1, u2) AS u2 FROM ({_drawn})),
+o AS (SELECT sample, hashes, abs(len(list_filter(list_zip(x.sig[1:hashes], y.sig[1:hashes]), lambda z: z[1] = z[2])) / hashes - coalesce(jaccard, 0.0)) AS off FROM w JOIN s x ON x.u = w.u1 JOIN s y ON y.u = w.u2 LEFT JOIN j ON j.u1 = w.u1 AND j.u2 = w.u2, (SELECT unnest({HASH_COUNTS}) AS hashes)),
+c AS (SELECT CAST(sample AS INTEGER) AS sample, CAST(hashes AS INTEGER) AS hashes, count(*) AS n, avg(off) AS mae FROM o GROUP BY 1, 2) """
+
 ORACLES = {
+    "minhash_curve": _curve + "SELECT * FROM c",
+    "panel_minhash_error": _curve + """SELECT sample, '{"hashes":["' || string_agg(printf('%.8f', CAST(hashes AS DOUBLE)), '","' ORDER BY hashes) || '"],"mae":["' || string_agg(printf('%.8f', mae), '","' ORDER BY hashes) || '"]}' AS json FROM c GROUP BY 1""",
     "live_edges": f"WITH {USER_NEXT} SELECT row_number() OVER (ORDER BY first) AS seq, src, dst FROM g",
     "live_reservoir": _tri + "SELECT CAST(count(*) AS DOUBLE) AS triangles FROM t",
     "edges_distinct": f"WITH {ORDER_PART} SELECT * FROM e",

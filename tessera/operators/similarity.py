@@ -131,6 +131,25 @@ def estimates(some: DataFrame, sig: DataFrame) -> DataFrame:
     return both.withColumn("estimate", found).drop("s1", "s2")
 
 
+def hash_counts(least: int = 4, most: int = 512) -> list[int]:
+    """Numbers of hashes for an error curve, each about 1.3 times the one before."""
+    counts = [least]
+    while (n := int(counts[-1] * 1.3) + 1) <= most:
+        counts.append(n)
+    return counts
+
+
+def error_curve(some: DataFrame, sig: DataFrame, counts: list[int], *by: str) -> DataFrame:
+    """hashes, n, mae: how far the estimate by the first ``hashes`` of a signature (u, sig) is off, over the pairs (u1, u2, exact).
+
+    Signatures are made once, for the longest; each number of hashes reads as much of them. A vertex and itself is no pair here.
+    """
+    both = some.where("u1 != u2").join(sig.toDF("u1", "s1"), "u1").join(sig.toDF("u2", "s2"), "u2")
+    agree = both.select(*by, "exact", F.zip_with("s1", "s2", lambda x, y: x == y).alias("agree"), F.explode(F.array(*map(F.lit, counts))).alias("hashes"))
+    share = F.size(F.filter(F.slice("agree", 1, F.col("hashes")), lambda x: x)) / F.col("hashes")
+    return agree.groupBy(*by, "hashes").agg(F.count("*").alias("n"), F.avg(F.abs(share - F.col("exact"))).alias("mae"))
+
+
 def lsh_candidates(sig: DataFrame, rows: int, bands: int) -> DataFrame:
     """u1 < u2: pairs of left vertices whose signatures (u, sig) agree in all ``rows`` hashes of one of the bands at least.
 

@@ -62,15 +62,15 @@ def resampled(rows: DataFrame, order: str, value: str, points: int) -> DataFrame
     return grid.join(steps, "point", "left").select("point", F.last("value", True).over(so_far).alias("value"))
 
 
-def panel(rows: DataFrame, *columns: str) -> DataFrame:
-    """json: the columns' values, in order of the first, as named lists of text. For the few rows of a plot."""
+def panel(rows: DataFrame, *columns: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """json: the columns' values, in order of the first, as named lists of text; a row for each curve, which ``by`` names. For the few rows of a plot."""
     ordered = F.sort_array(F.collect_list(F.struct(*columns)))
 
     def texts(name: str) -> Column:
         return F.transform(ordered, lambda x: F.format_string("%.8f", x[name].cast("double"))).alias(name)
 
     lists = [texts(c) for c in columns]
-    return rows.agg(F.to_json(F.struct(*lists)).alias("json"))
+    return rows.groupBy(*by).agg(F.to_json(F.struct(*lists)).alias("json"))
 
 
 def tile_balance(tiles: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def rounded(x):
     return round(x, 9) if isinstance(x, float) else tuple(map(rounded, x)) if isinstance(x, list | tuple) else x
 
 
-@pytest.mark.parametrize("name", ["jaccard_pairs", "kcore_3", "local_candidates", "biclique_global_t2", "triangles_local", "minhash_estimate", "resample", "reservoirplus_full"])
+@pytest.mark.parametrize("name", ["jaccard_pairs", "kcore_3", "local_candidates", "biclique_global_t2", "triangles_local", "minhash_estimate", "resample", "reservoirplus_full", "minhash_curve", "panel_minhash_error"])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:

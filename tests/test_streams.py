@@ -1,10 +1,12 @@
 """Numbering, files in and out, running windows, reservoirs by colours, Structured Streaming."""
 
 import itertools
+import json
 import random
 
 import pytest
 
+from tessera import catalog
 from tessera.functions.adaptive import link_factor
 from tessera.operators import graph, similarity, triangles
 from tessera.plans import reports
@@ -13,6 +15,8 @@ from tessera.sources import live
 from tessera.streaming import reservoir
 from tessera.streaming import similarity as stream_similarity
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_numbering_of_many_partitions(spark):
     """Default adaptive settings join partitions; every row stays, with its place."""
@@ -165,6 +169,32 @@ def test_restarted_reservoirs(spark, tmp_path, variant):
     assert slots and all(n <= 120 for n in slots.values()) and all(n <= 240 for n in ends.values())
 
 
+def test_rates_by_round(spark):
+    """The curve of rates against one replay for each triple of colours; the panels are JSON with as many values as places."""
+    rng = random.Random(4)
+    some = [(i, *rng.sample(range(60), 2)) for i in range(4_000)]
+    stream = spark.createDataFrame(some, "seq long, src long, dst long")
+    edges = {}
+    for r in reservoir.dealt(stream, 4).orderBy("seq").collect():
+        edges.setdefault(r.triple, []).append((r.src, r.dst))
+    for z in (0.1, 0.9):
+        rates = {}
+        for triple, mine in edges.items():
+            held = reservoir.Coloured(4, k=200, rate=0.1, variant="adaptive", z=z)[reservoir._numbers(triple, 4)]
+            for e in mine:
+                held.ended = None
+                held.add(*e)
+                if held.ended:
+                    rates.setdefault(held.ended[0], []).append(held.ended[2])
+        want = {k: sum(v) / len(v) for k, v in rates.items()}
+        got = reservoir.rounds(stream, k=200, rate=0.1, variant="adaptive", z=z).groupBy("round").agg({"rate": "avg"}).collect()
+        assert want and {r[0]: pytest.approx(r[1]) for r in got} == want
+    panels = {r.z: json.loads(r.json) for r in catalog.QUERIES["panel_rates"](spark, SF).collect()}
+    assert list(sorted(panels)) == [0.1, 0.3, 0.5, 0.7, 0.9] and all(len(p["point"]) == len(p["value"]) == 20 for p in panels.values())
+    errors = json.loads(catalog.QUERIES["panel_reservoir_error"](spark, SF).first().json)
+    assert [float(k) for k in errors["k"]] == [500, 5000, 50000, 1 << 22] and float(errors["mae"][-1]) == 0
+
+
 def test_hubs_stay_exact(spark):
     """A hub with 8,000 leaves in a path: 7,999 triangles, however few slots a cell has."""
     edges = [(0, i) for i in range(1, 8001)] + [(i, i + 1) for i in range(1, 8000)]
