@@ -1,13 +1,21 @@
 """Line dedup (4): a segment-partition edit join.
 
 A line (stripped) is a copy if an equal line stands earlier, or an earlier line is within the edits that the
-longer one's length allows (``BANDS``); earlier is by document id (nulls last), row key and line number. Lines under
-the first band are copies only if equal. With ``edits`` given, there is one band, from ``min_chars`` on. In the band
+longer one's length allows: those of its band (``BANDS``), or ``percent`` in 100 of its characters where these are more (none by default);
+earlier is by document id (nulls last), row key and line number. Lines under the first band are copies only if equal.
+With ``edits`` given, there is one band, from ``min_chars`` on, and no share. In the band
 of e edits, a line is split into e + 1 even segments; of two lines within the threshold, the longer holds a segment
 of the shorter near its own place. Each line is filed under the hashes of its segments and looks for those of lines of
 its length and up to e shorter, at the places that the length difference leaves open; a line up to e shorter than a
-band is filed there as well. Hashes that two lines share bring
-their texts together, where banded bit-parallel edit distance decides; a very common segment's lines are
+band is filed there as well. No pair within a band's edits is missed.
+
+Segments for a share of the length would need keys by the cube of the edits. Such lines are filed under ``BINS`` strings
+of ``GRAM`` characters besides: a line's strings are dealt to bins by their hashes, and each bin's smallest hash is a key,
+together with the string's place and the line's length on grids that are shifted from bin to bin. The keys don't grow
+with the edits; a pair with more edits than its band's is missed now and then (tests measure how often), never made up.
+
+Hashes that two lines share bring
+their texts together, where banded bit-parallel edit distance decides; a very common key's lines are
 compared tile by tile.
 
 White lines are kept and never copies. Null texts stay null. Repeated rows are decided alike: the first
@@ -30,11 +38,16 @@ from tessera.llm.shared import SpanHash, chunked, cut, mix, parts_for, row_key,
 
 #: (characters from which it holds, edits)
 BANDS = ((16, 1), (32, 2), (256, 3))
+#: the share of the queries: edits for 100 characters, where that is more than the band allows
+PERCENT = 5
+GRAM, BINS = 12, 12
+#: cells of the grids: parts of a line, and the ratio of two lengths
+PARTS, RATIO = 4, 1.25
 
 
-def allowed(size: int, bands: tuple[tuple[int, int], ...] = BANDS) -> int:
+def allowed(size: int, bands: tuple[tuple[int, int], ...] = BANDS, percent: int = 0) -> int:
     """Edits within which a line is a copy of one of ``size`` characters, the longer of the two."""
-    return max((e for least, e in bands if size >= least), default=0)
+    return max((e for least, e in (*bands, (bands[0][0], size * percent // 100)) if size >= least), default=0)
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -70,18 +83,18 @@ def banded(a: str, b: str, edits: int) -> int:
     One word holds the vertical differences of a column within the band; it moves down a row each column.
     The value followed is that of the band's lowest cell, then of the last row.
     """
-    word, mask = 64, (1 << 64) - 1
-    if 2 * edits + 1 > word:
-        raise ValueError("at most 31 edits")
+    word = max(64, 2 * edits + 2)
+    mask, band = (1 << word) - 1, ((1 << (2 * edits + 1)) - 1) << (word - 1 - 2 * edits)
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
     plus, minus = (mask << (word - edits - 1)) & mask, 0
     distance, top, most = edits, 1 << (word - 1), 3 * edits + 1
     row = 1 << (word - 2)
     for i, c in enumerate(b):
-        equal = 0
-        for k in range(2 * edits + 1):
-            at = i + edits - k
-            if 0 <= at < len(a) and a[at] == c:
-                equal |= 1 << (word - 1 - k)
+        move = word - 1 - i - edits
+        equal = places.get(c, 0)
+        equal = (equal << move if move > 0 else equal >> -move) & band
         zero = ((((equal & plus) + plus) ^ plus) | equal | minus) & mask
         up, down = (minus | ~(zero | plus)) & mask, zero & plus
         if i + edits < len(a):
@@ -102,13 +115,9 @@ def segments(length: np.ndarray, edits: int, i: int) -> tuple[np.ndarray, np.nda
     return i * size + longer, size + (i >= edits + 1 - rest)
 
 
-def line_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line number, key, filed): hashes of segments filed under, and of those looked for."""
-    values = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    hashes = SpanHash(mix(values + np.uint64(1)))
-    size = np.array([len(x) for x in lines], np.int64)
-    start = np.cumsum(size) - size
-    number = np.arange(len(lines))
+def line_keys(hashes: SpanHash, start: np.ndarray, size: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, key, filed) of the lines that start there: hashes of segments filed under, and of those looked for."""
+    number = np.arange(len(size))
     out: list[tuple] = []
     for short in range(edits + 1):
         length = size - short
@@ -123,19 +132,66 @@ def line_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def band_keys(lines: list[str], bands: tuple[tuple[int, int], ...] = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As line_keys, each line in its band and in the next ones that a longer partner may be of."""
-    size = np.array([len(x) for x in lines])
+def gram_keys(hashes: SpanHash, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As line_keys, all filed: each bin's smallest string, with its place and the line's length on the bin's grids.
+
+    The strings of all lines of the buffer are hashed in one go; of those, each line's own are looked at.
+    """
+    grams = hashes.sums[GRAM:] - hashes.sums[:-GRAM]
+    grams *= hashes.down[: len(grams)]
+    grams ^= grams >> np.uint64(32)
+    grams *= np.uint64(0xFF51AFD7ED558CCD)
+    bins = ((grams & np.uint64(0xFFFFFFFF)) * np.uint64(BINS) >> np.uint64(32)).view(np.int64)
+    spans = np.zeros(len(grams) + 1, np.int64)  # a line's number + 1 where its strings start, its negative behind the last
+    number = np.arange(1, len(size) + 1)
+    np.add.at(spans, start, number)
+    np.add.at(spans, start + size - GRAM + 1, -number)
+    slot = np.cumsum(spans[:-1])
+    slot *= BINS
+    slot += bins  # those of no line come first
+    least = np.full((len(size) + 1) * BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, slot, grams)
+    first = np.flatnonzero(grams == least[slot])
+    slot, one = np.unique(slot[first], return_index=True)
+    one, slot = one[slot >= BINS], slot[slot >= BINS] - BINS
+    first = first[one]
+    line, bin_ = slot // BINS, slot % BINS
+    part = np.floor((first - start[line]) * PARTS / size[line] + bin_ * 0.618 % 1)
+    length = np.floor(np.log(size[line]) / np.log(RATIO) + bin_ * 0.414 % 1)
+    name = mix((length * (PARTS + 1) + part).astype(np.uint64) * np.uint64(BINS) + bin_.astype(np.uint64) + np.uint64(1))
+    return line, mix(grams[first] ^ ~name).view(np.int64), np.ones(len(line), bool)
+
+
+def band_keys(lines: list[str], bands: tuple[tuple[int, int], ...] = BANDS, percent: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As line_keys, each line in its band and in the next ones that a longer partner may be of; those of gram_keys where
+    the share allows more, for a line or for a longer partner."""
+    values = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    hashes = SpanHash(mix(values + np.uint64(1)))
+    size = np.array([len(x) for x in lines], np.int64)
+    start = np.cumsum(size) - size
     out: list[tuple] = []
     for k, (least, edits) in enumerate(bands):
         most = bands[k + 1][0] if k + 1 < len(bands) else np.inf
         at = np.flatnonzero((size >= max(bands[0][0], least - edits)) & (size < most))
         if len(at):
-            number, key, filed = line_keys([lines[i] for i in at.tolist()], edits)
+            number, key, filed = line_keys(hashes, start[at], size[at], edits)
             out.append((at[number], key, filed))
+    longest = size * 100 // max(1, 100 - percent) + 1
+    at = np.flatnonzero((size >= max(GRAM, bands[0][0])) & (allowances(longest, bands, percent) > allowances(longest, bands, 0)))
+    if len(at):
+        number, key, filed = gram_keys(hashes, start[at], size[at])
+        out.append((at[number], key, filed))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
 
 
+def allowances(size: np.ndarray, bands: tuple[tuple[int, int], ...], percent: int) -> np.ndarray:
+    """``allowed`` for many sizes."""
+    edits = np.where(size >= bands[0][0], size * percent // 100, 0)
+    for least, e in bands:
+        edits[size >= least] = np.maximum(edits[size >= least], e)
+    return edits
+
+
 def line_hash(line: str) -> bytes:
     return xxhash.xxh128_digest(line.encode("utf-8", "replace"))
 
@@ -156,16 +212,14 @@ def buckets_of(rows: pa.Table, number: np.ndarray) -> Iterator[np.ndarray]:
         yield from np.split(number[fresh], np.flatnonzero(new[fresh]))
 
 
-def close_lines(lines: list[str], buckets: Iterable[np.ndarray], bands: tuple[tuple[int, int], ...]) -> list[int]:
+def close_lines(lines: list[str], buckets: Iterable[np.ndarray], bands: tuple[tuple[int, int], ...], percent: int) -> list[int]:
     """Numbers of the lines that are copies of one with a smaller number of a bucket that they share.
 
     Pairs are met once, and ruled out by their lengths and by numbers of characters (an edit changes two of them at
     most) before any distance is computed.
     """
     size = np.array([len(x) for x in lines], np.int64)
-    edits = np.zeros(len(lines), np.int64)
-    for least, e in bands:
-        edits[size >= least] = e
+    edits = allowances(size, bands, percent)
     counts = np.zeros((len(lines), 32), np.int32)
     for at, stop in chunked(lines):
         letters = np.frombuffer("".join(lines[at:stop]).encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(31)
@@ -210,14 +264,14 @@ def _split(text: str | None) -> list[str]:
     return [x.strip() for x in text.split("\n")] if text else []
 
 
-def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64, tile: int = 1024, id_col: str = "doc_id") -> DataFrame:
+def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64, percent: int = 0, tile: int = 1024, id_col: str = "doc_id") -> DataFrame:
     """__rkey, gone (numbers of the document's lines that are copies): a row for each document that has some.
 
     docs: the id, __rkey and __text among others.
 
     """
     base = docs
-    bands = BANDS if edits is None else ((min_chars, edits),)
+    bands, percent = (BANDS, percent) if edits is None else (((min_chars, edits),), 0)
 
     def occur(batches):
         for batch in batches:
@@ -233,7 +287,7 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
         for batch in batches:
             lines = list({x for text in batch.column("__text").to_pylist() for x in _split(text) if len(x) >= bands[0][0]})
             for at, stop in chunked(lines):
-                number, key, filed = band_keys(lines[at:stop], bands)
+                number, key, filed = band_keys(lines[at:stop], bands, percent)
                 own = short_hashes([line_hash(x) for x in lines[at:stop]]).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[number]), pa.array(filed)], names=["key", "own", "filed"])
 
@@ -275,7 +329,7 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
         rank = np.empty(len(texts), np.int64)
         rank[sorted(range(len(texts)), key=first.__getitem__)] = np.arange(len(texts))
         texts = texts[np.argsort(rank)]  # from here on a line's number is its place in the order
-        copies = close_lines(texts.tolist(), buckets_of(rows, rank[number]), bands)
+        copies = close_lines(texts.tolist(), buckets_of(rows, rank[number]), bands, percent)
         return pa.table({"line": pa.array([line_hash(texts[k]) for k in copies], pa.binary())})
 
     near = met.groupBy("grp").applyInArrow(compare, "line binary").distinct().withColumn("near", F.lit(True))
@@ -285,13 +339,13 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
     return gone.groupBy(F.col("rkey").alias("__rkey")).agg(F.collect_set("n").alias("__gone"))
 
 
-def line_dedup(docs: DataFrame, edits: int | None = None, min_chars: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int | None = None, min_chars: int = 64, percent: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with copies taken out of the text, and ``lines_removed``."""
     # by position, so that no name clashes; the same columns go to both joins by row key, so that Spark deals the texts out once
     names = [f"c{i}" for i in range(len(docs.columns))]
     own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     rows = docs.toDF(*names).withColumn("__rkey", row_key(own_id, own_text)).withColumnRenamed(own_text, "__text")
-    copies = line_copies(rows, edits, min_chars, id_col=own_id)
+    copies = line_copies(rows, edits, min_chars, percent, id_col=own_id)
 
     @F.pandas_udf("string")
     def rest(texts, gone):

@@ -29,7 +29,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=lines.PERCENT)
     return docs.select("doc_id", "lines_removed", F.char_length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

@@ -162,6 +162,46 @@ def test_line_dedup_grows(spark):
     assert got == want
 
 
+def test_edit_distance_wide():
+    """Bands of more bits than a machine word has."""
+    rng = random.Random(3)
+    for _ in range(60):
+        a = "".join(rng.choice("abcdé ") for _ in range(rng.choice([60, 90, 260])))
+        b = list(a)
+        for _ in range(rng.randint(0, 45)):
+            b[rng.randrange(len(b))] = rng.choice(["", "x", "yz"])
+        b = "".join(b)
+        assert all(lines.within(a, b, e) == (distance(a, b) <= e) for e in (4, 13, 31, 32, 40))
+
+
+def test_line_dedup_share(spark):
+    """Lines of 60 to 3,000 characters with as many edits as 5 % allow and with one more, spread, or in few places; recall."""
+    rng = random.Random(9)
+    sizes, texts, want = [60, 61, 79, 80, 100, 120, 200, 255, 256, 300, 500, 1000, 3000] * 8, [], set()
+    for k, size in enumerate(sizes):
+        line = "(" + "".join(rng.choice("abcdefghij ") for _ in range(size - 2)) + ")"  # nothing to strip
+        edits = size * 5 // 100
+        for more in (0, 1):  # only changed characters, so that the distance is their number: Z and Q stand nowhere else
+            x = list(line if k % 2 else line[::-1])
+            texts.append("".join(x))
+            at = rng.sample(range(1, size - 1), edits + more) if k % 4 < 2 else range(size // 3, size // 3 + edits + more)
+            for i in at:
+                x[i] = "ZQ"[more]
+            if not more:
+                want.add(len(texts))
+            texts.append("".join(x))
+    texts += ["Meeting of the board of the harbour works, 12 March 2019, minutes taken by the clerk, approved by all members present today.", "Meeting of the board of the harbour works, 17 April 2021, minutes taken by the clerk, approved by all members present today."]
+    ids = {t: i for i, t in reversed(list(enumerate(texts)))}
+    edges = lambda a, b: abs(len(a) - len(b)) <= max(len(a), len(b)) // 20 and lines.within(a, b, lines.allowed(max(len(a), len(b)), percent=5))
+    true = {i for i, x in enumerate(texts) if ids[x] != i or any(edges(texts[j], x) for j in range(max(0, i - 4), i))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in lines.line_dedup(df, percent=5).where("lines_removed > 0").collect()}
+    print(f"{len(got & true)} of {len(true)} copies found")
+    assert want <= true and got <= true and len(got) >= 0.97 * len(true)
+    none = {r.doc_id for r in lines.line_dedup(df).where("lines_removed > 0").collect()}
+    assert len(none) < len(got)
+
+
 def test_pieces(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     m = pieces.model(path)

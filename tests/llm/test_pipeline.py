@@ -71,7 +71,7 @@ def test_lines(spark, docs, rows):
         first.setdefault(line, tuple(place))
     names = list(first)
     for i, b in enumerate(names):
-        if any(min(len(a), len(b)) >= 16 and lines.within(a, b, lines.allowed(max(len(a), len(b)))) for a in names[:i]):
+        if any(min(len(a), len(b)) >= 16 and lines.within(a, b, lines.allowed(max(len(a), len(b)), percent=lines.PERCENT)) for a in names[:i]):
             copies.add(b)
     want = collections.Counter()
     for r in rows:
