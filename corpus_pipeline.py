@@ -39,7 +39,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lean(spark)
-    found = lines.line_dedup(docs)
+    found = lines.line_dedup(docs, percent=lines.PERCENT)
     return _with_size(found.where((F.col("lines_removed") == 0) | (F.trim("text") != "")), docs.columns)
 
 
