@@ -300,7 +300,9 @@ def line_copies(docs: DataFrame, edits: int | None = None, min_chars: int = 64,
     keys = few.mapInArrow(keyed, "key long, own long, filed boolean").repartition("key")
     of_key = Window.partitionBy("key")
     shared = (F.min("own").over(of_key) != F.max("own").over(of_key)) & F.max("filed").over(of_key)
-    shared = cut(keys.withColumn("shared", shared).where("shared").select("key", "own").distinct())
+    # close lines share many keys: keys of one smallest line are one, so that lines that share several meet, and are sent, once
+    shared = keys.select("own", shared.alias("shared"), F.min("own").over(of_key).alias("key")).where("shared")
+    shared = cut(shared.select("key", "own").distinct())
     found = tiled(shared, ["key"], "own", tile).join(firsts.select("own", "first.rkey", "first.n"), "own")
     wanted = cut(found.groupBy(F.col("rkey").alias("__rkey")).agg(F.collect_list(F.struct("key", "n", "tile_i", "tile_j")).alias("wanted")))
     groups = parts_for(wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0, 10_000)
