@@ -38,8 +38,6 @@ from tessera.llm.shared import SpanHash, chunked, cut, mix, parts_for, row_key,
 
 #: (characters from which it holds, edits)
 BANDS = ((16, 1), (32, 2), (256, 3))
-#: the share of the queries: edits for 100 characters, where that is more than the band allows
-PERCENT = 5
 GRAM, BINS = 12, 12
 #: cells of the grids: parts of a line, and the ratio of two lengths
 PARTS, RATIO = 4, 1.25
