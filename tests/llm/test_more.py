@@ -30,6 +30,22 @@ def test_top_k_rows(spark):
     assert got == {(0, 1, 1, 3): 2, (0, 2, 1, 3): 2, (1, 1, 0, 3): 2, (1, 2, 0, 3): 2}
 
 
+def test_top_k_other_rows(spark):
+    """Rows that repeat the query's id are candidates, the query's own row is not, wherever it stands in its ranking; the largest weights stay themselves."""
+    rng = np.random.default_rng(3)
+    rows = [(i // 3, rng.integers(-4, 5, 5).tolist()) for i in range(180)] + [(20, [0, 0, 0, 0, 0])] * 2 + [(40, [1, 1])] * 30 + [(7, [])]
+    df = spark.createDataFrame(rows, "vec_id long, weights array<long>").repartition(5)
+    got = collections.Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df.where("vec_id % 20 = 0"), df, 20, other_rows=True).collect())
+    want = collections.Counter()
+    for a, (q, w) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(w, v, strict=False)), i) for b, (i, v) in enumerate(rows) if b != a)[:20]
+            want.update((q, n, i, -s) for n, (s, i) in enumerate(best, 1))
+    assert got == want
+    large = spark.createDataFrame([(0, [1]), (1, [-(2**63)]), (2, [3])], "vec_id long, weights array<long>")
+    assert [r.score for r in topk.top_k(large.where("vec_id = 0"), large, 2).orderBy("rank").collect()] == [3, -(2**63)]
+
+
 def brute_language(train, text):
     """The same rule with plain dictionaries: words, then the longest n-grams known, mean log frequencies."""
     langs = sorted({lang for _, lang in train})
