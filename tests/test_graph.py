@@ -225,3 +225,9 @@ def test_tables_have_owners(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_remove_nodes_takes_out_the_core(spark, tmp_path):
+    rows = [(1, 1), (1, 2), (3, 1), (3, 2), (2, 3), (5, 1), (4, 6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {(r.u, r.v) for r in catalog.QUERIES["remove_nodes"](spark, str(tmp_path)).collect()} == {(2, 3), (4, 6)}
