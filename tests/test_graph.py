@@ -1,13 +1,16 @@
 import itertools
+import math
 import os
 import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera import catalog
 from tessera.operators import biclique, graph, similarity, triangles
+from tessera.streaming import reservoir
 from tessera.streaming.slots import Reservoir
 
 SF = "/root/testdata/sf0.001"
@@ -231,3 +234,26 @@ def test_remove_nodes_takes_out_the_core(spark, tmp_path):
     rows = [(1, 1), (1, 2), (3, 1), (3, 2), (2, 3), (5, 1), (4, 6)]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {(r.u, r.v) for r in catalog.QUERIES["remove_nodes"](spark, str(tmp_path)).collect()} == {(2, 3), (4, 6)}
+
+
+def test_dense_pairs_go_block_by_block(spark, monkeypatch):
+    """Pairs, estimates and sampled similarities of the blocks against the joins; a dense graph's pairs are not shuffled."""
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(-70, 130), rng.randrange(40)) for _ in range(4000)} | {(500, 900), (501, 901)})
+    e = graph.settled(spark.createDataFrame(rows, "u int, v long"))
+    assert similarity.dense(e) and "FlatMapGroupsInArrow" in similarity.pairs(e)._jdf.queryExecution().toString()
+    monkeypatch.setattr(similarity, "COLUMNS", 7)
+    sig, keep = graph.settled(similarity.signatures(e, 16)), reservoir.kept(0.5, "v")
+    got = {(r.u1, r.u2): r for r in similarity.block_pairs(e, sig=sig, kept=keep).collect()}
+    monkeypatch.setattr(similarity, "dense", lambda edges: False)
+    monkeypatch.setattr(similarity, "pairs_of_all", lambda edges: math.inf)
+    joined = similarity.pairs(e)
+    assert "FlatMapGroupsInArrow" not in joined._jdf.queryExecution().toString()
+    want = reservoir.sampled_jaccard(e, similarity.estimates(joined, sig), 0.5).collect()
+    assert len(got) == len(want) > 5000
+    for r in want:
+        assert got[r.u1, r.u2][2:6] == (r.common, r.jaccard, r.estimate, r.sampled)
+    for least, above in ((2, 0.0), (3, 0.3), (1, 0.5)):
+        assert {tuple(r) for r in similarity.block_pairs(e, least, above).collect()} == {tuple(r) for r in similarity.pairs(e, least, above).collect()}
+    best = sorted(((-r.jaccard, r.u1, r.u2) for r in want))[:20]
+    assert [(-r.jaccard, r.u1, r.u2) for r in similarity.block_pairs(e, most=20).orderBy(F.desc("jaccard"), "u1", "u2").limit(20).collect()] == best
