@@ -257,3 +257,20 @@ def test_dense_pairs_go_block_by_block(spark, monkeypatch):
         assert {tuple(r) for r in similarity.block_pairs(e, least, above).collect()} == {tuple(r) for r in similarity.pairs(e, least, above).collect()}
     best = sorted(((-r.jaccard, r.u1, r.u2) for r in want))[:20]
     assert [(-r.jaccard, r.u1, r.u2) for r in similarity.block_pairs(e, most=20).orderBy(F.desc("jaccard"), "u1", "u2").limit(20).collect()] == best
+
+
+def test_bicliques_among_twins(spark):
+    """Of classes of equal neighbours only the smallest ids are looked at; the k best sets and the queries' are those of brute force."""
+    rng = random.Random(8)
+    shapes = [sorted(rng.sample(range(12), 6)) for _ in range(4)]
+    near = {u: set(shapes[u % 4]) for u in range(14)} | {u: set(rng.sample(range(12), 6)) for u in range(14, 20)}
+    e = spark.createDataFrame([(u, v) for u in near for v in near[u]], "u long, v long")
+    group = spark.createDataFrame([(u, u % 3) for u in near], "u long, grp long")
+    assert biclique.without_twins(e, 2).select("u").distinct().count() == 4 * 2 + 6
+    sim = {(a, b): len(near[a] & near[b]) / len(near[a] | near[b]) for a, b in itertools.combinations(near, 2)}
+    every = sorted((-min(sim[p] for p in itertools.combinations(s, 2)), s) for s in itertools.combinations(sorted(near), 3) if len(set.intersection(*(near[u] for u in s))) >= 3)
+    for k, g in ((1, None), (40, None), (5, group)):
+        want = [(s, list(m)) for s, m in every if g is None or len({u % 3 for u in m}) == 1][:k]
+        assert [(-r.sim, r.members) for r in biclique.search(e, 3, k=k, group=g).orderBy(F.desc("sim"), "members").collect()] == want
+    got = {r.q: (-r.sim, r.members) for r in biclique.local(e, 3, spark.createDataFrame([(13,), (9,), (17,)], "q long")).collect()}
+    assert got == {q: next((s, list(m)) for s, m in every if q in m) for q in (13, 9, 17) if any(q in m for _, m in every)}
