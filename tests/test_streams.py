@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -264,6 +265,52 @@ def test_reservoir_jaccard_means():
     assert abs(total / 100 / truth - 1) < 0.02 and raw / 100 / truth < 0.9
 
 
+def test_dense_reservoir_pairs_go_block_by_block(spark):
+    """The blocks' pairs, with and without copies, against those asked for one by one; the catalog's dense pairs are not shuffled."""
+    rng = random.Random(4)
+    near = {u: sorted(rng.sample(range(30), 12)) for u in range(60)}
+    for copies in (1, 5):
+        edges = [(u + 60 * c, v) for c in range(copies) for u in near for v in near[u]]
+        e = graph.settled(spark.createDataFrame(edges, "u long, v long"))
+        stream = graph.settled(sources.as_stream(e))
+        for right, k in ((1, 40), (2, 150), (1, 5000)):
+            options = {"colours": 3, "right": right, "k": k, "rate": 0.1}
+            blocks = similarity.block_pairs(e, samples=stream_similarity.samples(stream, **options))
+            got = {(r.u1, r.u2): r for r in blocks.collect()}
+            want = stream_similarity.reservoir_jaccard(stream, similarity.pairs(e), **options).collect()
+            assert len(got) == len(want) > 1000
+            for r in want:
+                g = got[r.u1, r.u2]
+                assert (g.common, g.jaccard) == (r.common, r.jaccard) and g.sampled == pytest.approx(r.sampled) and g.estimate == pytest.approx(r.estimate, abs=1e-9)
+        if copies > 1:
+            deg = {u: len(near[u % 60]) for u in range(300)}
+            assert all((r.deg1, r.deg2) == (deg[r.u1], deg[r.u2]) for r in got.values())
+    for name in ("stream_jaccard_reservoir", "stream_jaccard_full"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Classes of copies of unequal sizes and degrees: pairs, estimates and samples as those of the joins."""
+    rng = random.Random(6)
+    shapes = [sorted(rng.sample(range(20), rng.randrange(3, 12))) for _ in range(12)]
+    rows = [(u, v) for u in range(150) for v in shapes[u * u % 12]]
+    e = graph.settled(spark.createDataFrame(rows, "u int, v long"))
+    sig, keep = graph.settled(similarity.signatures(e, 16)), reservoir.kept(0.5, "v")
+    monkeypatch.setattr(similarity, "PACK", 4)
+    for most in (similarity.BROADCAST, 0):
+        monkeypatch.setattr(similarity, "BROADCAST", most)
+        found = similarity.block_pairs(e, sig=sig, kept=keep)
+        assert "explode(a" in str(found._jdf.queryExecution())
+        got = sorted(tuple(r) for r in found.collect())
+        deg = {u: len(shapes[u * u % 12]) for u in range(150)}
+        assert all(r[6:] == (deg[r[0]], deg[r[1]]) for r in got)
+    monkeypatch.setattr(similarity, "dense", lambda edges: False)
+    monkeypatch.setattr(similarity, "pairs_of_all", lambda edges: math.inf)
+    want = reservoir.sampled_jaccard(e, similarity.estimates(similarity.pairs(e), sig), 0.5)
+    assert [r[:6] for r in got] == sorted(tuple(r) for r in want.select(found.columns[:6]).collect()) and len(got) > 5000
+
+
 def test_stream_similarities(spark, tmp_path):
     """Probes are answered as of their place; two restarts give what the batch replay gives."""
     edges = bipartite(3)
