@@ -259,10 +259,10 @@ class PieceModel:
         return text.split(" ")
 
     def encode_all(self, texts: list[str | None], n: int = 2) -> Iterator[list[tuple[float, bytes]] | None]:
-        """As ``encode`` for each text; of two best, those of different words are searched for together, block by block."""
-        if n > 2:
-            yield from (None if t is None else self.encode(t, n) for t in texts)
-            return
+        """As ``encode`` for each text; the two best of different words are searched for together, block by block.
+
+        Of more than two, only the n - 1 words that lose least by their next choice can take part: these are searched for all of theirs.
+        """
         for start, stop in chunked(texts, 1 << 20):
             lists = [self.words(t) if t else [] for t in texts[start:stop]]
             different = list(set().union(*lists))
@@ -283,7 +283,11 @@ class PieceModel:
                 a, b = b, b + len(words)
                 top = float(sums[b] - sums[a])
                 rows = [(top, b"".join(spelled[a:b]))]
-                if n == 2 and loss[k := a + int(loss[a:b].argmin())] < np.inf:
+                if n > 2:
+                    near = np.argpartition(loss[a:b], n - 2)[: n - 1] if b - a > n - 1 else np.arange(b - a)
+                    where = [k for k in sorted(near.tolist(), key=lambda k: (loss[a + k], k)) if loss[a + k] < np.inf]
+                    rows += self._combined(top, spelled[a:b], {k: self.word(words[k], n)[3] for k in where}, n)
+                elif n == 2 and loss[k := a + int(loss[a:b].argmin())] < np.inf:
                     rows.append((top - float(loss[k]), b"".join([*spelled[a:k], following[flat[k]], *spelled[k + 1 : b]])))
                 yield rows
 
@@ -300,16 +304,19 @@ class PieceModel:
             return [(top, ids)]
         # the n smallest losses against the best of all, over one or more words with another choice
         others = [losses.index(min(losses))] if n == 2 else heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)
+        return [(top, ids), *self._combined(top, spelled, {i: parts[i][3] for i in others}, n)]
+
+    def _combined(self, top: float, spelled, others: dict[int, list[tuple[float, bytes]]], n: int) -> list[tuple[float, bytes]]:
+        """The segmentations after the best one, up to n - 1, with other choices of some words: ``others`` has these words' n best by place."""
         out: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-        for i in others:
-            every = parts[i][3]
+        for i, every in others.items():
             more = [(loss + every[0][0] - every[k][0], {**c, i: k}) for loss, c in out for k in range(1, len(every))]
             out = sorted(out + more, key=lambda x: x[0])[:n]
-        rows = [(top, ids)]
+        rows = []
         for loss, choice in out[1:]:
             changed = list(spelled)
             for i, k in choice.items():
-                changed[i] = parts[i][3][k][1]
+                changed[i] = others[i][k][1]
             rows.append((top - loss, b"".join(changed)))
         return rows
 
@@ -361,17 +368,17 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", name: str = "decode
 
 
 def digest(docs: DataFrame, path: str, n: int = 2, text_col: str = "text", name: str = "found") -> DataFrame:
-    """Add a struct: n_ids, ids_crc32 and score of the best segmentation, next_score and next_crc32 of the last of the n best (null if fewer), and whether decoding gives the text back."""
-    types = {"n_ids": "Int64", "ids_crc32": "Int64", "score": "float64", "next_score": "float64", "next_crc32": "Int64", "decodes": "boolean"}
+    """Add a struct: n_ids, ids_crc32 and score of the best segmentation, next_score and next_crc32 of the last of the n best (null if fewer), whether decoding each gives the text back, how many were found, and the crc32 of all their ids, one after another."""
+    types = {"n_ids": "Int64", "ids_crc32": "Int64", "score": "float64", "next_score": "float64", "next_crc32": "Int64", "decodes": "boolean", "n_found": "Int64", "all_crc32": "Int64"}
 
     def row(m: PieceModel, text: str | None, best: list | None) -> tuple:
         if text is None:
-            return (None,) * 6
+            return (None,) * len(types)
         s, ids = best[0]
         other = best[-1] if len(best) == n > 1 else (None, None)
-        return len(ids) // 4, zlib.crc32(ids), s, other[0], other[1] and zlib.crc32(other[1]), m.decode(ids) == text.replace(SPACE, " ")
+        return len(ids) // 4, zlib.crc32(ids), s, other[0], other[1] and zlib.crc32(other[1]), all(m.decode(x) == text.replace(SPACE, " ") for _, x in best), len(best), zlib.crc32(b"".join(x for _, x in best))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from each_batch(path, batches, lambda m, texts: pd.DataFrame([row(m, t, best) for t, best in zip(texts, m.encode_all(texts.tolist(), n), strict=True)], columns=list(types)).astype(types))
 
-    return docs.withColumn(name, F.pandas_udf(run, "n_ids long, ids_crc32 long, score double, next_score double, next_crc32 long, decodes boolean")(F.col(text_col)))
+    return docs.withColumn(name, F.pandas_udf(run, "n_ids long, ids_crc32 long, score double, next_score double, next_crc32 long, decodes boolean, n_found long, all_crc32 long")(F.col(text_col)))

@@ -202,6 +202,22 @@ def test_line_dedup_share(spark):
     assert len(none) < len(got)
 
 
+def test_more_than_two_best_of_whole_texts(docs):
+    """Ten best of each text, of all its words' choices, as the search of each word with a heap gives them; the query asks for as many."""
+    from tessera.llm import queries
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m = pieces.model(path)
+    texts = ["alpha beta gamma", "a", "", None, "the " * 300 + "internationalization", "  two  spaces ", "x\u2581y \U0001f600 z", "one"]
+    for n in (3, 10):
+        for text, found in zip(texts, m.encode_all(texts, n), strict=True):
+            want = None if text is None else m.encode(text, n)
+            assert found is None if text is None else [round(s, 6) for s, _ in found] == [round(s, 6) for s, _ in want]
+            assert text is None or len({ids for _, ids in found}) == len(found) and all(m.decode(ids) == text.replace("\u2581", " ") for _, ids in found)
+    assert queries.N_BEST == 10
+    assert max(r.found.n_found or 0 for r in pieces.digest(docs, path, queries.N_BEST).collect()) == 10
+
+
 def test_pieces(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     m = pieces.model(path)
