@@ -274,3 +274,33 @@ def test_bicliques_among_twins(spark):
         assert [(-r.sim, r.members) for r in biclique.search(e, 3, k=k, group=g).orderBy(F.desc("sim"), "members").collect()] == want
     got = {r.q: (-r.sim, r.members) for r in biclique.local(e, 3, spark.createDataFrame([(13,), (9,), (17,)], "q long")).collect()}
     assert got == {q: next((s, list(m)) for s, m in every if q in m) for q in (13, 9, 17) if any(q in m for _, m in every)}
+
+
+def test_pairs_are_found_where_they_first_meet(spark, monkeypatch):
+    """With short neighbour lists neither pairs nor two-hop rows are shuffled once found; long lists go by the joins, with the same rows."""
+    edges = sorted({(u, v) for u, v in skewed(3) if u % 7} | {(u, v) for u in range(300, 420) for v in (u % 5, 70 + u % 9)})
+    df = graph.settled(spark.createDataFrame(edges, "u long, v long"))
+    near, sims = of_brute(edges)
+    monkeypatch.setattr(similarity, "pairs_of_all", lambda e: math.inf)
+    for prefix in (0, 1e18):
+        monkeypatch.setattr(similarity, "_prefix_rows", lambda *a, n=prefix: n)
+        for least, above in ((1, 0.0),) if prefix else ((1, 0.3), (2, 0.5)):
+            want = {p: (c, j) for p, (c, j) in sims.items() if c >= least and j > above}
+            for long in (4096, 0):
+                monkeypatch.setattr(graph, "LONG", long)
+                found = similarity.pairs(df, least, above)
+                got = found.collect()
+                assert {(r.u1, r.u2): (r.common, r.jaccard) for r in got} == want and len(got) == len(want) > 0
+                if long and least == 1:
+                    assert "HashAggregate(keys=[u1" not in found._jdf.queryExecution().toString()
+    two = {(a, b) for p, (c, _) in sims.items() if c for a, b in (p, p[::-1])}
+    for long in (4096, 0):
+        monkeypatch.setattr(graph, "LONG", long)
+        found, repeated = graph.two_hop(df), graph.one_two_hop(df.union(df))
+        assert sorted(tuple(r) for r in found.collect()) == sorted(two)
+        assert ("Deduplicate" in found._jdf.queryExecution().toString()) == (not long)
+        assert sorted(tuple(r) for r in repeated.collect()) == sorted([(u, 1, v) for u, v in edges] + [(a, 2, b) for a, b in two])
+        banded = similarity.lsh_pairs(df, 0.4)
+        got = banded.collect()
+        assert len(got) == len({(r.u1, r.u2) for r in got}) > 0 and all(sims[r.u1, r.u2] == (r.common, r.jaccard) for r in got)
+    assert similarity.signatures(df, 8)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
