@@ -304,3 +304,9 @@ def test_pairs_are_found_where_they_first_meet(spark, monkeypatch):
         got = banded.collect()
         assert len(got) == len({(r.u1, r.u2) for r in got}) > 0 and all(sims[r.u1, r.u2] == (r.common, r.jaccard) for r in got)
     assert similarity.signatures(df, 8)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_union_of_ids_reads_edges_once(spark):
+    """Edges aren't made distinct before their ids: one shuffle, of ids alone."""
+    plan = catalog.QUERIES["allgather_union"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("FileScan") == 1
