@@ -4,6 +4,7 @@ import os
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,27 @@ def test_triangles(spark):
     assert {r.triangles for r in triangles.local_counts(k4).collect()} == {3.0}
 
 
+def test_triangles_by_cells(spark, monkeypatch):
+    """Against brute force, in cells of several colours and of few wedges at a time; wedges aren't shuffled, edges are once for each colour."""
+    draw = random.Random(5)
+    edges = {tuple(sorted(draw.sample(range(60), 2))) for _ in range(500)} | {(0, x) for x in range(1, 60)}
+    near = {x: {y for e in edges for y in e if x in e} - {x} for x in range(60)}
+    truth = sorted((x, y, z) for x, y in edges for z in near[x] & near[y] if y < z)
+    df = spark.createDataFrame([*edges, *[(b, a) for a, b in list(edges)[:50]], (3, 3)], "src long, dst long")
+    for cell in (1 << 20, 1000, 150):
+        monkeypatch.setattr(triangles, "CELL", cell)
+        found = triangles.triangles(df)
+        assert sorted(map(tuple, found.collect())) == truth
+        assert "Join" not in found._jdf.queryExecution().toString()
+    assert triangles.triangles(df.limit(0)).count() == 0
+    a, b = (pa.array(list(c), pa.int64()) for c in zip(*edges, strict=True))
+    rows = pa.RecordBatch.from_arrays([a, b, pa.array([False] * len(edges))], names=["a", "b", "same"])
+    for most in (1, 40):
+        monkeypatch.setattr(triangles, "WEDGES", most)
+        parts = list(triangles._closed(iter([rows])))
+        assert len(parts) > 10 and sorted(x for p in parts for x in zip(*(c.to_pylist() for c in p.columns), strict=True)) == truth
+
+
 @pytest.mark.parametrize("variant", ["fixed", "recorded", "adaptive"])
 def test_reservoir_means(variant):
     import itertools
