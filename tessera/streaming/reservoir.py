@@ -26,6 +26,15 @@ from tessera.operators.similarity import PRIME, parameters
 from tessera.operators.triangles import triangles
 from tessera.streaming.slots import Reservoir, SlotProcessor, Slots, with_states
 
+#: Edges of a triple of colours, about, where colours go by the number of edges: Python holds some 500 bytes for each.
+ROOM = 1 << 19
+
+
+def colours_for(edges: int) -> int:
+    """Colours that keep triples at about ``ROOM`` edges, four at least: an edge goes to as many triples, and there are colours ** 3 / 6 of them."""
+    return max(4, math.ceil(math.sqrt(6 * edges / ROOM)))
+
+
 def colour(vertex: int, colours: int) -> int:
     """As ``_colour``, for an id at hand: Spark's xxhash64 of a long, with its seed."""
     h = xxhash.xxh64_intdigest(struct.pack("<q", vertex), 42)
@@ -44,7 +53,8 @@ class Coloured:
 
     def __getitem__(self, triple: tuple[int, int, int]) -> Reservoir:
         if triple not in self.held:
-            mine = None if self.colours == 1 else lambda *corners: tuple(sorted(colour(x, self.colours) for x in corners)) == triple
+            colours = self.colours  # not self: a reservoir that is in a cycle stays until garbage is collected
+            mine = None if colours == 1 else lambda *corners: tuple(sorted(colour(x, colours) for x in corners)) == triple
             self.held[triple] = Reservoir(mine=mine, **{**self.options, "seed": hash((self.options.get("seed", 1), *triple))})
         return self.held[triple]
 
@@ -78,7 +88,7 @@ def fitted(stream: DataFrame, colours: int, k: int) -> DataFrame:
     the cells of every second colour that the third corner may have. A cell of one hub and two shares of its neighbours
     loses edges in proportion to ``parts``, others faster. An edge repeated more than k times can't be split.
     """
-    rows = settled(dealt(stream, colours).withColumn("first", F.array(*[F.pmod(F.floor(F.col("triple") / colours**p), F.lit(colours)) for p in (2, 1, 0)])))
+    rows = dealt(settled(stream.select("seq", "src", "dst")), colours).withColumn("first", F.array(*[F.pmod(F.floor(F.col("triple") / colours**p), F.lit(colours)) for p in (2, 1, 0)]))
     heavy = {r["triple"]: math.ceil(1.5 * r["count"] / k) for r in rows.groupBy("triple").count().where(F.col("count") > k).collect()}  # of colours ** 3 / 6 triples at most
     whole = rows.select("seq", "src", "dst", "triple", F.lit(1).alias("parts"), F.col("triple").cast("string").alias("cell"))
     done, todo = whole.where(~F.col("triple").isin(list(heavy))) if heavy else whole, heavy
@@ -99,7 +109,7 @@ def fitted(stream: DataFrame, colours: int, k: int) -> DataFrame:
 
 def _rows_in_order(stream: DataFrame, colours: int, k: int, exact: bool) -> DataFrame:
     """triple, parts, cell, src, dst: a cell's rows stand together, in order of arrival."""
-    each = fitted(stream, colours, k) if exact else dealt(stream, colours).select("*", F.lit(1).alias("parts"), F.col("triple").cast("string").alias("cell"))
+    each = fitted(stream, colours, min(k, 2 * ROOM)) if exact else dealt(stream, colours).select("*", F.lit(1).alias("parts"), F.col("triple").cast("string").alias("cell"))
     return each.repartition("cell").sortWithinPartitions("cell", "seq").select("triple", "parts", "cell", "src", "dst")
 
 
@@ -137,11 +147,15 @@ def _replayed(stream: DataFrame, colours: int, exact: bool, options: dict, schem
     return _rows_in_order(stream, colours, options["k"], exact).mapInPandas(run, schema)
 
 
-def estimate(stream: DataFrame, colours: int = 4, exact: bool = False, **options) -> DataFrame:
+def estimate(stream: DataFrame, colours: int | None = 4, exact: bool = False, **options) -> DataFrame:
     """node, triangles and, as node -1, the total: a batch replay, a reservoir of k slots for each triple of colours.
 
-    exact: triples are split until all their edges fit, so that nothing is estimated.
+    exact: triples are split until all their edges fit (and a task's memory holds them), so that nothing is estimated. Without a
+    number of colours there are ``colours_for`` the stream's edges.
     """
+    if colours is None:
+        stream = settled(stream.select("seq", "src", "dst"))
+        colours = colours_for(stream.count())
     found = _replayed(stream, colours, exact, options, "node long, triangles double", None, lambda cell, r: [(-1, r.total), *r.nodes.items()])
     none = stream.sparkSession.createDataFrame([(-1, 0.0)], "node long, triangles double")  # a total, even of nothing
     return found.union(none).groupBy("node").agg(F.sum("triangles").alias("triangles"))

@@ -1,9 +1,11 @@
 """Numbering, files in and out, running windows, reservoirs by colours, Structured Streaming."""
 
+import gc
 import itertools
 import json
 import math
 import random
+import weakref
 
 import pytest
 
@@ -207,6 +209,28 @@ def test_hubs_stay_exact(spark):
         assert got.pop(-1) == 7999 and got[0] == 7999 and got[1] == 1 and got[5] == 2
 
 
+def test_full_reservoirs_stay_small(spark, monkeypatch):
+    """Colours go by the number of edges, results stay exact, and a cell's reservoir goes when the next one begins, without garbage collection."""
+    draw = random.Random(3)
+    edges = {tuple(sorted(draw.sample(range(50), 2))) for _ in range(400)}
+    stream = spark.createDataFrame([(i, *e) for i, e in enumerate(edges)], "seq long, src long, dst long")
+    truth = {r.node: r.triangles for r in triangles.local_counts(stream).collect()}
+    monkeypatch.setattr(reservoir, "ROOM", 60)
+    assert reservoir.colours_for(len(edges)) > 4
+    got = {r.node: r.triangles for r in reservoir.estimate(stream, colours=None, exact=True, k=1 << 22, rate=0.1).collect()}
+    assert got.pop(-1) == sum(truth.values()) / 3 and got == truth
+    for parts, cell in ((1, "1"), (2, "1 0:0 0:1 1:0")):
+        gc.disable()
+        try:
+            r = reservoir._reservoir(1, parts, cell, 4, k=10, rate=0.1)
+            r.add(1, 2)
+            freed = weakref.ref(r)
+            del r
+            assert freed() is None
+        finally:
+            gc.enable()
+
+
 def test_live_edges(spark, tmp_path):
     """Lines come in three goes; each position is given once, in line order; other lines and self-loops get none."""
     (tmp_path / "in").mkdir()
