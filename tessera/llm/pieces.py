@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import heapq
 import itertools
+import operator
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -86,7 +87,9 @@ class PieceModel:
                 self.single[code], self.length[i], self.score[i] = i, 1, self.fallback
                 self.simple.add(chr(code))
         self.known: dict[int, dict[str, tuple]] = {}
-        self.pairs: dict[str, tuple[float, float, bytes, bytes]] = {}
+        #: words' places in the table of what ``two_best`` gives
+        self.pairs: dict[str, int] = {}
+        self.table: tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]] = np.zeros(0), np.zeros(0), [], []
 
     def n_best(self, word: str, n: int) -> list[tuple[float, bytes]]:
         """(score, ids) of up to n segmentations, best first."""
@@ -263,33 +266,55 @@ class PieceModel:
 
         Of more than two, only the n - 1 words that lose least by their next choice can take part: these are searched for all of theirs.
         """
+        for rows, _ in self.encode_with_changes(texts, n):
+            yield rows
+
+    def _looked_up(self, lists: list[list[str]]) -> list[int]:
+        """Places of the lists' words, one after another, in what is known of words (``table``); unknown ones are searched for first."""
+        different = set().union(*lists)
+        new = list(different.difference(self.pairs))
+        scores, losses, best, following = self.table if self.pairs else (np.zeros(0), np.zeros(0), [], [])
+        if len(self.pairs) + len(new) > CACHE_ENTRIES:  # the frequent ones are here again
+            kept = [w for w in different if w in self.pairs]
+            at = [self.pairs[w] for w in kept]
+            scores, losses, best, following = scores[at], losses[at], [best[k] for k in at], [following[k] for k in at]
+            self.pairs = dict(zip(kept, range(len(kept)), strict=True))
+        if new:
+            a, b, c, d = self.two_best(new)
+            self.pairs.update(zip(new, range(len(best), len(best) + len(new)), strict=True))
+            scores, losses = np.concatenate([scores, a]), np.concatenate([losses, b])
+            best += c
+            following += d
+        self.table = scores, losses, best, following
+        return list(map(self.pairs.__getitem__, itertools.chain.from_iterable(lists)))
+
+    def encode_with_changes(self, texts: list[str | None], n: int = 2) -> Iterator[tuple[list[tuple[float, bytes]] | None, list]]:
+        """As ``encode_all``, and of each segmentation after the best where it differs: start and stop in the best one's bytes, and in its own."""
         for start, stop in chunked(texts, 1 << 20):
             lists = [self.words(t) if t else [] for t in texts[start:stop]]
-            different = list(set().union(*lists))
-            new = [w for w in different if w not in self.pairs]
-            if len(self.pairs) + len(new) > CACHE_ENTRIES:  # the frequent ones are here again
-                self.pairs = {w: self.pairs[w] for w in different if w in self.pairs}
-            self.pairs.update(zip(new, zip(*self.two_best(new), strict=True), strict=True))
-            index = dict(zip(different, range(len(different)), strict=True))
-            scores, losses, best, following = zip(*map(self.pairs.__getitem__, different), strict=True) if different else ((),) * 4
-            flat = list(map(index.__getitem__, itertools.chain.from_iterable(lists)))
-            loss, spelled = np.array(losses)[flat], list(map(best.__getitem__, flat))
-            sums = np.append(0.0, np.cumsum(np.array(scores)[flat]))
+            flat = self._looked_up(lists)
+            scores, losses, best, following = self.table
+            loss, spelled = losses[flat], list(map(best.__getitem__, flat))
+            sums = np.append(0.0, np.cumsum(scores[flat]))
             a = b = 0
             for text, words in zip(texts[start:stop], lists, strict=True):
                 if not text:
-                    yield None if text is None else [(0.0, b"")]
+                    yield (None if text is None else [(0.0, b"")]), []
                     continue
                 a, b = b, b + len(words)
-                top = float(sums[b] - sums[a])
-                rows = [(top, b"".join(spelled[a:b]))]
+                top, mine = float(sums[b] - sums[a]), spelled[a:b]
+                rows, changes = [(top, b"".join(mine))], []
                 if n > 2:
                     near = np.argpartition(loss[a:b], n - 2)[: n - 1] if b - a > n - 1 else np.arange(b - a)
-                    where = [k for k in sorted(near.tolist(), key=lambda k: (loss[a + k], k)) if loss[a + k] < np.inf]
-                    rows += self._combined(top, spelled[a:b], {k: self.word(words[k], n)[3] for k in where}, n)
+                    near = near[np.lexsort((near, loss[a:b][near]))]
+                    others = [(k, x, words[k]) for k, x in zip(near.tolist(), loss[a:b][near].tolist(), strict=True) if x < np.inf]
+                    more, changes = self._combined(top, mine, others, n)
+                    rows += more
                 elif n == 2 and loss[k := a + int(loss[a:b].argmin())] < np.inf:
-                    rows.append((top - float(loss[k]), b"".join([*spelled[a:k], following[flat[k]], *spelled[k + 1 : b]])))
-                yield rows
+                    at, new = sum(map(len, spelled[a:k])), following[flat[k]]
+                    rows.append((top - float(loss[k]), b"".join([*spelled[a:k], new, *spelled[k + 1 : b]])))
+                    changes.append([(at, at + len(spelled[k]), at, at + len(new))])
+                yield rows, changes
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """Up to n segmentations of a text, best first: (score, ids)."""
@@ -304,21 +329,51 @@ class PieceModel:
             return [(top, ids)]
         # the n smallest losses against the best of all, over one or more words with another choice
         others = [losses.index(min(losses))] if n == 2 else heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)
-        return [(top, ids), *self._combined(top, spelled, {i: parts[i][3] for i in others}, n)]
-
-    def _combined(self, top: float, spelled, others: dict[int, list[tuple[float, bytes]]], n: int) -> list[tuple[float, bytes]]:
-        """The segmentations after the best one, up to n - 1, with other choices of some words: ``others`` has these words' n best by place."""
-        out: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-        for i, every in others.items():
-            more = [(loss + every[0][0] - every[k][0], {**c, i: k}) for loss, c in out for k in range(1, len(every))]
-            out = sorted(out + more, key=lambda x: x[0])[:n]
-        rows = []
-        for loss, choice in out[1:]:
-            changed = list(spelled)
-            for i, k in choice.items():
-                changed[i] = others[i][k][1]
-            rows.append((top - loss, b"".join(changed)))
-        return rows
+        return [(top, ids), *self._combined(top, spelled, [(i, losses[i], words[i]) for i in others], n)[0]]
+
+    def _combined(self, top: float, spelled, others: list[tuple[int, float, str]], n: int) -> tuple[list[tuple[float, bytes]], list[list[tuple[int, int, int, int]]]]:
+        """The segmentations after the best one, up to n - 1, with other choices of some words, and what changed: ``others`` has these words by what their next choice loses.
+
+        A word whose next choice loses no less than the last of n found so far changes nothing, and isn't searched for its n best.
+        """
+        out: list[tuple[float, tuple]] = [(0.0, ())]
+        choices: dict[int, list[tuple[float, bytes]]] = {}
+        for i, least, word in others:
+            last = out[-1][0] if len(out) == n else np.inf
+            if least >= last:
+                break
+            every = choices[i] = self.word(word, n)[3]
+            more = []
+            for loss, chosen in out:
+                for k in range(1, len(every)):
+                    total = loss + every[0][0] - every[k][0]
+                    if total >= last:
+                        break
+                    more.append((total, (*chosen, (i, k))))
+            out = sorted(out + more, key=operator.itemgetter(0))[:n]
+        whole, stops = b"".join(spelled), list(itertools.accumulate(map(len, spelled)))
+        rows, changes = [], []
+        for loss, chosen in out[1:]:
+            parts, changed, at, shift = [], [], 0, 0
+            for i, k in sorted(chosen):
+                first, stop, new = stops[i] - len(spelled[i]), stops[i], choices[i][k][1]
+                parts += (whole[at:first], new)
+                changed.append((first, stop, first + shift, first + shift + len(new)))
+                at, shift = stop, shift + len(new) - (stop - first)
+            parts.append(whole[at:])
+            rows.append((top - loss, b"".join(parts)))
+            changes.append(changed)
+        return rows, changes
+
+    def alike(self, ids: bytes, other: bytes, changed: list[tuple[int, int, int, int]]) -> bool:
+        """Do both spell the same bytes? Ids outside of what changed have to be equal, those inside are spelled."""
+        at = to = 0
+        for a, b, c, d in changed:
+            one, two = (b"".join(map(self.spelled.__getitem__, memoryview(x).cast("I"))) for x in (ids[a:b], other[c:d]))
+            if one != two or ids[at:a] != other[to:c]:
+                return False
+            at, to = b, d
+        return ids[at:] == other[to:]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the space put before it goes."""
@@ -344,6 +399,7 @@ def each_batch(path: str, batches: Iterator[pd.Series], work: Callable) -> Itera
     finally:
         m.known.clear()
         m.pairs.clear()
+        m.table = np.zeros(0), np.zeros(0), [], []
         gc.enable()
 
 
@@ -371,14 +427,16 @@ def digest(docs: DataFrame, path: str, n: int = 2, text_col: str = "text", name:
     """Add a struct: n_ids, ids_crc32 and score of the best segmentation, next_score and next_crc32 of the last of the n best (null if fewer), whether decoding each gives the text back, how many were found, and the crc32 of all their ids, one after another."""
     types = {"n_ids": "Int64", "ids_crc32": "Int64", "score": "float64", "next_score": "float64", "next_crc32": "Int64", "decodes": "boolean", "n_found": "Int64", "all_crc32": "Int64"}
 
-    def row(m: PieceModel, text: str | None, best: list | None) -> tuple:
+    def row(m: PieceModel, text: str | None, best: list | None, changes: list) -> tuple:
         if text is None:
             return (None,) * len(types)
         s, ids = best[0]
         other = best[-1] if len(best) == n > 1 else (None, None)
-        return len(ids) // 4, zlib.crc32(ids), s, other[0], other[1] and zlib.crc32(other[1]), all(m.decode(x) == text.replace(SPACE, " ") for _, x in best), len(best), zlib.crc32(b"".join(x for _, x in best))
+        given = text.replace(SPACE, " ")
+        decodes = m.decode(ids) == given and all(m.alike(ids, x, c) or m.decode(x) == given for (_, x), c in zip(best[1:], changes, strict=True))
+        return len(ids) // 4, zlib.crc32(ids), s, other[0], other[1] and zlib.crc32(other[1]), decodes, len(best), zlib.crc32(b"".join(x for _, x in best))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from each_batch(path, batches, lambda m, texts: pd.DataFrame([row(m, t, best) for t, best in zip(texts, m.encode_all(texts.tolist(), n), strict=True)], columns=list(types)).astype(types))
+        yield from each_batch(path, batches, lambda m, texts: pd.DataFrame([row(m, t, *found) for t, found in zip(texts, m.encode_with_changes(texts.tolist(), n), strict=True)], columns=list(types)).astype(types))
 
     return docs.withColumn(name, F.pandas_udf(run, "n_ids long, ids_crc32 long, score double, next_score double, next_crc32 long, decodes boolean, n_found long, all_crc32 long")(F.col(text_col)))

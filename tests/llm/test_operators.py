@@ -218,6 +218,21 @@ def test_more_than_two_best_of_whole_texts(docs):
     assert max(r.found.n_found or 0 for r in pieces.digest(docs, path, queries.N_BEST).collect()) == 10
 
 
+def test_ten_best_search_few_words(monkeypatch):
+    """Words that can't be among the ten best aren't searched for all of theirs; what differs from the best is told, and is all that is spelled again."""
+    m = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    asked, search = [], m.n_best
+    monkeypatch.setattr(m, "n_best", lambda word, n: asked.append((word, n)) or search(word, n))
+    text = "seven different words take part in this sentence of several more words that all have other ways"
+    ((rows, changes),) = m.encode_with_changes([text], 10)
+    assert len(rows) == 10 and len(changes) == 9 and 0 < len([w for w, n in asked if n == 10]) < 9
+    assert [s for s, _ in rows] == pytest.approx([s for s, _ in m.encode(text, 10)])
+    best = rows[0][1]
+    for (_, ids), changed in zip(rows[1:], changes, strict=True):
+        assert m.decode(ids) == text and m.alike(best, ids, changed)
+        assert not m.alike(best, ids[:-4], changed) and not m.alike(best, ids, []) and not m.alike(best, best[:4] + ids, changed)
+
+
 def test_pieces(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     m = pieces.model(path)
