@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.operators.graph import own_tables
+from tessera.sources.edges import numbered
 from tessera.streaming.slots import with_states
 
+EDGES = "seq long, src long, dst long"
+
 
 class Sequence(StatefulProcessor):
     """Numbers the rows of each key from 1 on; the state of a key is the last number given."""
@@ -62,13 +66,40 @@ def read_edge_stream(spark: SparkSession, path: str, sep: str = "\t", parts: int
     Files of one micro-batch go by their paths, micro-batches as they come; with parts, order holds within a file. Self-loops
     and lines of other shapes go before positions are given.
     """
+    rows = _parsed(spark, path, sep, options)
+    order = F.concat_ws("/", "file_path", F.lpad(F.col("file_block_start").cast("string"), 19, "0"), F.lpad(F.col("row").cast("string"), 19, "0"))
+    return sequenced(rows, order, F.col("file_path"), parts, output_mode).select("seq", "src", "dst")
+
+
+def _parsed(spark: SparkSession, path: str, sep: str, options: dict) -> DataFrame:
+    """src, dst and where they stand: file_path, file_block_start and row."""
     lines = spark.readStream.options(**options).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
     lines = lines.mapInArrow(_counted, "value string, file_path string, file_block_start long, row long")
     p = F.split("value", sep)
     rows = lines.select(F.when(F.size(p) == 2, p[0].try_cast("long")).alias("src"), F.when(F.size(p) == 2, p[1].try_cast("long")).alias("dst"), "file_path", "file_block_start", "row")
-    rows = rows.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
-    order = F.concat_ws("/", "file_path", F.lpad(F.col("file_block_start").cast("string"), 19, "0"), F.lpad(F.col("row").cast("string"), 19, "0"))
-    return sequenced(rows, order, F.col("file_path"), parts, output_mode).select("seq", "src", "dst")
+    return rows.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+
+
+def write_edge_stream(spark: SparkSession, path: str, out: str, checkpoint: str, sep: str = "\t", **options) -> DataFrame:
+    """As ``read_edge_stream`` with one part, run to the source's end and written: seq, src, dst without gaps, in line order.
+
+    Positions of a micro-batch are given by ranges of its lines, on top of how many the micro-batches before it have written: no task
+    sees all lines. A micro-batch has a folder of its own below ``out``, which it writes anew when it is repeated. Called again, it goes on.
+    """
+
+    def number(rows: DataFrame, batch: int) -> None:
+        with own_tables(rows.sparkSession):
+            found = numbered(rows, "file_path", "file_block_start", "row")
+            before = 0
+            if batch:
+                earlier = rows.sparkSession.read.schema(EDGES).parquet(f"{out}/*").where(F.regexp_extract(F.col("_metadata.file_path"), r"batch-(\d+)/[^/]*$", 1).try_cast("long") < batch)
+                before = earlier.count()
+            found.select((F.col("seq") + before).alias("seq"), "src", "dst").write.mode("overwrite").parquet(f"{out}/batch-{batch:09d}")
+
+    spark.createDataFrame([], EDGES).write.mode("overwrite").parquet(f"{out}/none")  # read where there are no lines at all
+    query = _parsed(spark, path, sep, options).writeStream.foreachBatch(number).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(EDGES).parquet(f"{out}/*")
 
 
 def written(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -17,6 +17,7 @@ from tessera.sources import edges as sources
 from tessera.sources import live
 from tessera.streaming import reservoir
 from tessera.streaming import similarity as stream_similarity
+from tessera.streaming.slots import Slots, StateSlots
 
 SF = "/root/testdata/sf0.01"
 
@@ -246,6 +247,61 @@ def test_live_edges(spark, tmp_path):
     assert [tuple(r[1:]) for r in sorted(apart) if r.src >= 200] == [e for e in want if e[0] >= 200]
 
 
+def test_live_edges_in_ranges(spark, tmp_path, monkeypatch):
+    """Lines come in three goes, the last one in two files; positions go on without gaps, in line order, and no task numbers all lines. A repeated micro-batch changes nothing."""
+    monkeypatch.setattr(live, "sequenced", None)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "empty").mkdir()
+    assert live.write_edge_stream(spark, str(tmp_path / "empty"), str(tmp_path / "none"), str(tmp_path / "none-at")).count() == 0
+    want = []
+    run = lambda: live.write_edge_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "at"))
+    for go in ([0], [1], [2, 3]):
+        for k in go:
+            lines = [(100 * k + i, 7 * i + k) for i in range(50 + k)]
+            want += [e for e in lines if e[0] != e[1]]
+            (tmp_path / "in" / f"part-{k}").write_text("\n".join([*(f"{a}\t{b}" for a, b in lines), "1\t1", "x\ty", "", "5"]) + "\n")
+        found = run()
+        assert [tuple(r) for r in found.orderBy("seq").collect()] == [(i + 1, *e) for i, e in enumerate(want)]
+    for last in list((tmp_path / "at" / "commits").glob("*2*")):
+        last.unlink()  # as if it had failed after writing
+    assert [tuple(r) for r in run().orderBy("seq").collect()] == [(i + 1, *e) for i, e in enumerate(want)]
+
+
+def test_states_by_blocks():
+    """Slots read back from a state's blocks are those that were put and not removed; a state has a row for each block, not for each slot."""
+
+    class State(dict):
+        containsKey, getValue = dict.__contains__, dict.__getitem__  # noqa: N815
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+        removeKey = dict.__delitem__  # noqa: N815
+
+    draw, kept, slot_state, near_state = random.Random(2), Slots(), State(), State()
+    for _ in range(4):
+        held = StateSlots(slot_state, near_state)
+        for _ in range(600):
+            i = draw.randrange(1500)
+            if i in kept.edges:
+                assert held.slot(i) == kept.slot(i)
+                kept.remove(i)
+                held.remove(i)
+            else:
+                edge = (draw.randrange(3000), draw.randrange(3000), draw.random(), draw.randrange(9), draw.random())
+                kept.put(i, edge)
+                held.put(i, edge)
+        held.write()
+        again = StateSlots(slot_state, near_state)
+        assert {i: again.slot(i) for i in kept.edges} == kept.edges and set(again.edges) == set(kept.edges)
+        assert {v: again.neighbours(v) for v in range(3000) if again.neighbours(v)} == kept.near
+    assert len(slot_state) <= 6 and len(near_state) <= 3
+    for i in list(again.edges):
+        again.remove(i)
+    again.write()
+    assert not slot_state and not near_state
+
+
 def bipartite(seed, left=24, right=120, share=0.4):
     rng = random.Random(seed)
     edges = [(u, v) for u in range(left) for v in range(right) if rng.random() < share * (0.5 + (u % 3) / 3)]
