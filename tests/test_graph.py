@@ -332,3 +332,25 @@ def test_union_of_ids_reads_edges_once(spark):
     """Edges aren't made distinct before their ids: one shuffle, of ids alone."""
     plan = catalog.QUERIES["allgather_union"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("FileScan") == 1
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    """Lists are sent to a fixed number of blocks, whatever the vertices, and to more where a task couldn't hold them; parts of blocks are compared as a whole is."""
+    draw = random.Random(8)
+    near = {u: sorted(draw.sample(range(30), draw.randint(1, 12))) for u in range(900)}
+    df = spark.createDataFrame([(u, v) for u, n in near.items() for v in n], "u long, v long")
+    truth = {(a, b): len(set(near[a]) & set(near[b])) for a, b in itertools.combinations(near, 2)}
+    truth = {p: n for p, n in truth.items() if n >= 3}
+    sig = similarity.signatures(df, 8)
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    for held, tasks in ((1 << 22, 12 * 13 // 2), (sum(map(len, near.values())) // 19, 20 * 21 // 2)):
+        monkeypatch.setattr(similarity, "HELD", held)
+        found = similarity.block_pairs(df, 3)
+        assert found.rdd.getNumPartitions() == tasks
+        assert {(r.u1, r.u2): r.common for r in found.collect()} == truth
+    best = similarity.block_pairs(df, 3, most=5).orderBy(F.desc("jaccard"), "u1", "u2").limit(5).collect()
+    rank = sorted(truth, key=lambda p: (-truth[p] / (len(near[p[0]]) + len(near[p[1]]) - truth[p]), p))
+    assert [(r.u1, r.u2) for r in best] == rank[:5]
+    values = {r.u: r.sig for r in sig.collect()}
+    agree = {(a, b): sum(x == y for x, y in zip(values[a], values[b], strict=True)) / 8 for a, b in truth}
+    assert {(r.u1, r.u2): r.estimate for r in similarity.block_pairs(df, 3, sig=sig, least_estimate=0.5).collect()} == {p: s for p, s in agree.items() if s >= 0.5}
