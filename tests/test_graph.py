@@ -354,3 +354,18 @@ def test_blocks_grow_with_the_table(spark, monkeypatch):
     values = {r.u: r.sig for r in sig.collect()}
     agree = {(a, b): sum(x == y for x, y in zip(values[a], values[b], strict=True)) / 8 for a, b in truth}
     assert {(r.u1, r.u2): r.estimate for r in similarity.block_pairs(df, 3, sig=sig, least_estimate=0.5).collect()} == {p: s for p, s in agree.items() if s >= 0.5}
+
+
+def test_large_surroundings_are_bounded(spark, monkeypatch):
+    """Around queries with large surroundings, what the most similar vertices reach bounds the vertices and the pairs looked at; results are brute force's."""
+    edges = [(u, v) for u, n in enumerate(itertools.combinations(range(8), 6)) for v in n]  # 12 others share five of six with each
+    df = spark.createDataFrame(edges, "u long, v long")
+    queries = spark.createDataFrame([(q,) for q in (0, 7, 27)], "q long")
+    want = {q: brute_local(edges, 3, q) for q in (0, 7, 27)}
+    bounds, paired = [], biclique.pairs
+    monkeypatch.setattr(biclique, "pairs", lambda e, least, above, left: bounds.append(above) or paired(e, least, above, left))
+    for first, most, options in ((60, 60, {}), (60, 2000, {"by_sim": False}), (60, 2000, {"by_pairs": False})):
+        monkeypatch.setattr(biclique, "FIRST", first)
+        got = {r.q: (round(r.sim, 9), r.members, r.right) for r in biclique.local(df, 3, queries, most=most, **options).collect()}
+        assert got == want and all(want.values())
+    assert bounds and all(b > 0 for b in bounds)
