@@ -369,3 +369,24 @@ def test_large_surroundings_are_bounded(spark, monkeypatch):
         got = {r.q: (round(r.sim, 9), r.members, r.right) for r in biclique.local(df, 3, queries, most=most, **options).collect()}
         assert got == want and all(want.values())
     assert bounds and all(b > 0 for b in bounds)
+
+
+def test_errors_are_summed_up_in_blocks(spark, monkeypatch):
+    """Errors over all pairs are those of the pairs' rows, with copies and without; no pair leaves a task."""
+    rng = random.Random(3)
+    shapes = [sorted(rng.sample(range(25), rng.randrange(2, 12))) for _ in range(90)]
+    shares = (0.1, 0.5)
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    for copies, held in ((1, 1 << 22), (4, 1 << 22), (1, 60)):
+        monkeypatch.setattr(similarity, "HELD", held)
+        e = graph.settled(spark.createDataFrame([(u + 90 * c, v) for c in range(copies) for u in range(90) for v in shapes[u]], "u int, v long"))
+        kept = tuple(reservoir.kept(x, "v") for x in shares)
+        got = {r.which: r[1:] for r in similarity.block_errors(e, 0.2, (16, 4), kept).collect()}
+        want = [triangles.error_metrics(similarity.block_pairs(e, sig=similarity.signatures(e, h)), "estimate", "jaccard", 0.2).first() for h in (16, 4)]
+        want += [triangles.error_metrics(similarity.block_pairs(e, kept=one), "sampled", "jaccard", 0.2).first() for one in kept]
+        assert want[0].n > 500 and len(got) == len(want)
+        for k, w in enumerate(want):
+            assert got[k] == pytest.approx(tuple(w), abs=1e-12)
+    for name in ("mae_rmse", "minhash_errors", "sampled_errors"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        assert plan.count("FlatMapGroupsInArrow") and "u1" not in plan and "Union" not in plan.split("FlatMapGroupsInArrow")[0]
