@@ -5,6 +5,7 @@ import itertools
 import json
 import math
 import random
+import tracemalloc
 import weakref
 
 import pytest
@@ -405,3 +406,40 @@ def test_stream_similarities(spark, tmp_path):
     stream = spark.createDataFrame([r[:3] for r in rows], "seq long, src long, dst long")
     batch = {(r.u1, r.u2): r.estimate for r in stream_similarity.reservoir_jaccard(stream, spark.createDataFrame([(0, 1), (2, 5)], "u1 long, u2 long"), **options).collect()}
     assert found[n, 0, 1] == pytest.approx(batch[0, 1]) and found[n + 1, 2, 5] == pytest.approx(batch[2, 5])
+
+
+def test_survivors_by_place(monkeypatch):
+    """What a reservoir holds is known from the number of edges alone: as one that is fed with them, in a few numbers a slot."""
+    for variant in ("recorded", "fixed", "adaptive"):
+        for n, k, rate, drawn in ((5, 10, 0.1, 99), (11, 10, 0.1, 99), (300, 10, 0.1, 7), (5000, 137, 0.33, 1000), (20000, 500, 0.1, 1 << 18)):
+            monkeypatch.setattr(stream_similarity, "DRAWN", drawn)
+            made = lambda: stream_similarity._made(5, None, {"k": k, "rate": rate, "variant": variant, "seed": 3})  # noqa: B023, E731
+            r = made()
+            for t in range(1, n + 1):
+                r.add(t, t)
+            want = sorted((r.held.edges[i][0], 1 / r.survival(i)) for i in r.held.edges)
+            places, weights = stream_similarity.survivors(n, made())
+            assert places.tolist() == [p for p, _ in want] and weights == pytest.approx([w for _, w in want])
+    tracemalloc.start()
+    places, _ = stream_similarity.survivors(400_000, stream_similarity._made(1, None, {"k": 100_000, "rate": 0.1}))
+    assert 80_000 < len(places) <= 100_000 and tracemalloc.get_traced_memory()[1] < 250 * 100_000
+    tracemalloc.stop()
+
+
+def test_reservoir_errors_are_summed_up_in_blocks(spark, monkeypatch):
+    """Several reservoirs' errors in one pass, with copies and without, are those of their pairs' rows; the stream is dealt out once."""
+    rng, slots = random.Random(4), (12, 60, 200, 5000)
+    near = {u: sorted(rng.sample(range(30), rng.randrange(4, 12))) for u in range(70)}
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    for copies, right in ((1, 1), (3, 2)):
+        e = graph.settled(spark.createDataFrame([(u + 70 * c, v) for c in range(copies) for u in near for v in near[u]], "u long, v long"))
+        stream = graph.settled(sources.as_stream(e))
+        found = stream_similarity.several_samples(stream, slots, 3, right, rate=0.1)
+        got = {r.which: r[1:] for r in similarity.block_errors(e, 0.01, samples=tuple(found)).collect()}
+        for which, k in enumerate(slots):
+            rows = similarity.block_pairs(e, samples=stream_similarity.samples(stream, 3, right, k=k, rate=0.1))
+            want = triangles.error_metrics(rows, "estimate", "jaccard", 0.01).first()
+            assert want.n > 1000 and got[which] == pytest.approx(tuple(want), abs=1e-6)
+        assert got[3][1:] == pytest.approx((0, 0, 0), abs=1e-12) and got[0][1] > got[2][1] > 0
+    plan = catalog.QUERIES["reservoir_errors"](spark, SF)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "u1" not in plan
