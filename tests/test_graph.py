@@ -390,3 +390,39 @@ def test_errors_are_summed_up_in_blocks(spark, monkeypatch):
     for name in ("mae_rmse", "minhash_errors", "sampled_errors"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert plan.count("FlatMapGroupsInArrow") and "u1" not in plan and "Union" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_bounds_are_looked_for_in_more_pairs(spark, monkeypatch):
+    """Where the most similar pairs hold no set, the first bound comes from more of them, and no threshold is tried; the result is brute force's."""
+    rng = random.Random(9)
+    near = {u: set(rng.sample(range(40), 20)) for u in range(120)}
+    e = graph.settled(spark.createDataFrame([(u, v) for u in near for v in near[u]], "u long, v long"))
+    sim = {(a, b): len(near[a] & near[b]) / len(near[a] | near[b]) for a, b in itertools.combinations(near, 2)}
+    floor = sorted(sim.values())[-600]
+    found = biclique.grown(spark.createDataFrame([(*p, s) for p, s in sim.items() if s >= floor], "u1 long, u2 long, jaccard double"), 4).collect()
+    want = min((-r.sim, r.members) for r in found if len(set.intersection(*(near[u] for u in r.members))) >= 4)
+    monkeypatch.setattr(biclique, "BOUND_PAIRS", 10)
+    assert similarity.dense(e) and biclique.first_bound(e, 4, 4, 1, None) == pytest.approx(-want[0])
+    tried, paired = [], biclique.pairs
+    monkeypatch.setattr(biclique, "pairs", lambda e, least, above, left: tried.append(above) or paired(e, least, above, left))
+    best = biclique.search(e, 4).first()
+    assert (-best.sim, best.members) == (pytest.approx(want[0]), want[1]) and len(tried) == 1 and tried[0] > 0
+    assert similarity._least_prefix_rows(similarity.settled(e.join(graph.degree(e, "u"), "u")), 0.5, 4) <= similarity._prefix_rows(similarity.prefixes(e.join(graph.degree(e, "u"), "u"), 0.5, 4), 0.5, 4)
+
+
+def test_groups_are_paired_within(spark, monkeypatch):
+    """Searches within groups pair their vertices there: neither all pairs nor bands' are made."""
+    rng = random.Random(10)
+    near = {u: set(rng.sample(range(30), 12)) for u in range(90)}
+    e = spark.createDataFrame([(u, v) for u in near for v in near[u]], "u long, v long")
+    group = spark.createDataFrame([(u, u % 9) for u in near], "u long, grp long")
+    sim = {(a, b): len(near[a] & near[b]) / len(near[a] | near[b]) for a, b in itertools.combinations(near, 2) if a % 9 == b % 9 and len(near[a] & near[b]) >= 2}
+    monkeypatch.setattr(biclique, "pairs", None)
+    monkeypatch.setattr(biclique, "lsh_pairs", None)
+    for k in (1, 7):
+        want = sorted((-s, list(p)) for p, s in sim.items())[:k]
+        assert [(-r.sim, r.members) for r in biclique.search(e, 2, k=k, group=group).orderBy(F.desc("sim"), "members").collect()] == want
+    three = min((-min(sim.get(p, 0) for p in itertools.combinations(s, 2)), s) for g in range(9) for s in itertools.combinations(range(g, 90, 9), 3) if len(set.intersection(*(near[u] for u in s))) >= 3)
+    best = biclique.search(e, 3, group=group).first()
+    assert (-best.sim, tuple(best.members)) == three
+    assert catalog.QUERIES["biclique_global_approx"](spark, SF).count() == 1
